@@ -7,26 +7,64 @@ from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontam, langid, mixing, simhash, tokens
+from quillspark.llm import chat, decontam, langid, mixing, pii, quality, secrets, simhash, tokens, toxicity
 from quillspark.llm.common import crc_mod, new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    names = F.array(*map(F.lit, (*secrets.KINDS, secrets.LEARNT)))
+    base = F.filter("found", lambda x: x["kind"] < len(secrets.KINDS))
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("found", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.read_checksums(spark, path)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_mod("doc_id", toxicity.PARTS)
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(part != toxicity.HELD_OUT))
+    held_out = F.coalesce(part == toxicity.HELD_OUT, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.events(table(spark, sf_dir, "conversations")), chat.EXCHANGES)
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+
+    def written(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
+
+    base = F.concat(*map(written, pii.KINDS))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, written(pii.EXTRA)), ",").alias("spans"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = crc_mod("doc_id", langid.PARTS)
@@ -52,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_simhash_neardup, op4_token_files, op8_language_id, op9_source_mix, op10_decontamination, pipeline]
+    found = [op1_secret_scan, op2_simhash_neardup, op3_quality_rules, op4_token_files, op5_toxicity, op6_tool_calls, op7_personal_data, op8_language_id, op9_source_mix, op10_decontamination, pipeline]
     return {q.__name__: q for q in found}
 
 
