@@ -31,6 +31,8 @@ BLOCK_IDS = 1 << 19
 #: Pieces of text whose ids a worker keeps; beyond it starts anew.
 CACHE = 400_000
 END_ID = 0
+#: Texts that a worker encodes together.
+TOGETHER = 64
 HINT_EVERY = 256
 SCHEMA = "part int, block int, first long, width int, n_docs int, universe long, low_bits int, low binary, high binary, hints binary, doc_ids binary, ids binary"
 
@@ -93,7 +95,7 @@ class Encoder:
     piece can be kept. Any other text is encoded in one piece.
     """
 
-    PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+    PIECE = re.compile(r"\n(?=[^ \n])|[ \n]*[^ \n]+|[ \n]+")
     OTHER = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​-‍⁠﻿]|<\|")
 
     def __init__(self, path: str):
@@ -104,31 +106,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.kept: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        """Ids of new pieces, as of one text with a line end after each; a piece that holds line ends is encoded by itself."""
+        new = [p for p in pieces if "\n" not in p]
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+        ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+        if len(ends) != len(new):
+            raise AssertionError("pieces and ids don't match")
+        raw, w, start = ids.tobytes(), self.width, 0
+        for piece, end in zip(new, ends, strict=True):
+            self.kept[piece] = raw[start * w : end * w]
+            start = end + 1
+        rest = [p for p in pieces if "\n" in p]
+        for piece, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.kept[piece] = self._bytes(e.ids)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids with the end id."""
-        end = self._bytes([END_ID])
-        if not text:
-            return end
-        if self.OTHER.search(text):
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) + end
-        pieces = self.PIECE.findall(text)
-        try:
-            return b"".join([self.kept[p] for p in pieces]) + end
-        except KeyError:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text with the end id."""
+        end, get = self._bytes([END_ID]), self.kept.get
+        pieces = [None if t and self.OTHER.search(t) else self.PIECE.findall(t or "") for t in texts]
+        found = [None if p is None else list(map(get, p)) for p in pieces]
+        new = {x for p, f in zip(pieces, found, strict=True) if f and None in f for x, y in zip(p, f, strict=True) if y is None}
+        if new:
             if len(self.kept) > CACHE:
-                self.kept = {}
-            self._learn({p for p in pieces if p not in self.kept})
-            return b"".join([self.kept[p] for p in pieces]) + end
+                self.kept.clear()
+                new = {x for p in pieces if p for x in p}
+            self._learn(new)
+            found = [f if not f or None not in f else list(map(get, p)) for p, f in zip(pieces, found, strict=True)]
+        return [(self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) if f is None else b"".join(f)) + end for t, f in zip(texts, found, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -163,13 +174,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         encoder = encoder_of(tokenizer)
         part, block, first, size, ids, doc_ids = TaskContext.get().partitionId(), 0, 0, 0, [], []
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(encoder.encode(text))
-                doc_ids.append(doc_id)
-                size += len(ids[-1]) // encoder.width
-                if size >= BLOCK_IDS:
-                    yield _block(part, block, first, encoder.width, ids, doc_ids)
-                    block, first, size, ids, doc_ids = block + 1, first + size, 0, [], []
+            for at in range(0, b.num_rows, TOGETHER):
+                few = b.slice(at, TOGETHER)
+                for doc_id, raw in zip(few.column(0).to_pylist(), encoder.encode(few.column(1).to_pylist()), strict=True):
+                    ids.append(raw)
+                    doc_ids.append(doc_id)
+                    size += len(raw) // encoder.width
+                    if size >= BLOCK_IDS:
+                        yield _block(part, block, first, encoder.width, ids, doc_ids)
+                        block, first, size, ids, doc_ids = block + 1, first + size, 0, [], []
         if ids:
             yield _block(part, block, first, encoder.width, ids, doc_ids)
 
