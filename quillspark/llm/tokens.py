@@ -28,8 +28,8 @@ from quillspark.llm.common import ship
 
 #: Ids after which a block is closed; a longer document has a block of its own.
 BLOCK_IDS = 1 << 19
-#: Pieces of text whose ids a worker keeps; beyond it starts anew.
-CACHE = 400_000
+#: Pieces of text whose ids a worker keeps, the first that it meets; later ones are encoded each time.
+CACHE = 1_000_000
 END_ID = 0
 #: Texts that a worker encodes together.
 TOGETHER = 64
@@ -92,11 +92,15 @@ class Encoder:
 
     The file's pre-tokenizer never joins what a space or line end separates from a preceding character, so a text in
     which these are the only white space is the sum of its pieces (white space and the run after it), and the ids of a
-    piece can be kept. Any other text is encoded in one piece.
+    piece can be kept. Any other text is encoded in one piece. Pieces are named by keys: a word stands for itself after
+    one space, a line end and a word for themselves, anything else stands after AS_IS.
     """
 
     PIECE = re.compile(r"\n(?=[^ \n])|[ \n]*[^ \n]+|[ \n]+")
-    OTHER = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​-‍⁠﻿]|<\|")
+    AS_IS = "\x02"
+    #: White space other than space and line end, what engines disagree on, AS_IS, and the start of a special token.
+    OTHER = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff\x02", *map(chr, range(0x2000, 0x200E)), "<|")
+    UNEVEN = ("  ", " \n", "\n ", "\n\n")
 
     def __init__(self, path: str):
         import os
@@ -106,40 +110,74 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.line_end = self._library("\n")
+        self.marks = {x: self._library(x) for x in ".,"}
         self.kept: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of new pieces, as of one text with a line end after each; a piece that holds line ends is encoded by itself."""
-        new = [p for p in pieces if "\n" not in p]
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-        ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
-        if len(ends) != len(new):
-            raise AssertionError("pieces and ids don't match")
-        raw, w, start = ids.tobytes(), self.width, 0
-        for piece, end in zip(new, ends, strict=True):
-            self.kept[piece] = raw[start * w : end * w]
-            start = end + 1
-        rest = [p for p in pieces if "\n" in p]
-        for piece, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.kept[piece] = self._bytes(e.ids)
+    def _library(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _keys(self, text: str) -> list[str]:
+        if text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in self.UNEVEN):
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = self.AS_IS + keys[0]
+            return keys
+        return [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in " \n" else self.AS_IS + p for p in self.PIECE.findall(text)]
+
+    def _ids(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of the pieces, as of one text with a line end after each; a piece that holds line ends or is all blank is encoded by itself."""
+        pieces = [k[1:] if k[0] == self.AS_IS else " " + k for k in keys]
+        plain = [i for i, p in enumerate(pieces) if "\n" not in p and p.strip()]
+        out = {k: self._library(p) for k, p in zip(keys, pieces, strict=True) if "\n" in p or not p.strip()}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in plain])], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            ends = [*np.flatnonzero(ids == np.frombuffer(self.line_end, ids.dtype)[0]).tolist(), len(ids)]
+            if len(ends) != len(plain):
+                raise AssertionError("pieces and ids don't match")
+            raw, w = ids.tobytes(), self.width
+            out |= {keys[i]: raw[a * w : b * w] for i, a, b in zip(plain, [0, *(e + 1 for e in ends)], ends, strict=False)}
+        return out
+
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces; they are kept while there is room. A mark after a letter is a token of its own, and so is a single line end, so only what remains is encoded."""
+        parts = {}
+        for k in keys:
+            mark = k[-1] if k[-1] in self.marks and k[-2:-1].isascii() and k[-2:-1].isalpha() else ""
+            body = k[:-1] if mark else k
+            parts[k] = (self.AS_IS + body[1:], mark, True) if body[0] == "\n" else (body, mark, False)
+        need = {p[0] for p in parts.values()}
+        known = {k: y for k in need if (y := self.kept.get(k)) is not None}
+        known |= self._ids([k for k in need if k not in known])
+        known |= {k: (self.line_end if line else b"") + known[body] + (self.marks[mark] if mark else b"") for k, (body, mark, line) in parts.items()}
+        if len(self.kept) < CACHE:
+            self.kept |= known
+        return known
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id."""
         end, get = self._bytes([END_ID]), self.kept.get
-        pieces = [None if t and self.OTHER.search(t) else self.PIECE.findall(t or "") for t in texts]
-        found = [None if p is None else list(map(get, p)) for p in pieces]
-        new = {x for p, f in zip(pieces, found, strict=True) if f and None in f for x, y in zip(p, f, strict=True) if y is None}
-        if new:
-            if len(self.kept) > CACHE:
-                self.kept.clear()
-                new = {x for p in pieces if p for x in p}
-            self._learn(new)
-            found = [f if not f or None not in f else list(map(get, p)) for p, f in zip(pieces, found, strict=True)]
-        return [(self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids) if f is None else b"".join(f)) + end for t, f in zip(texts, found, strict=True)]
+        out: list[bytes] = [b""] * len(texts)
+        later: list[tuple[int, list[str], list[bytes | None]]] = []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if any(x in text for x in self.OTHER):
+                out[i] = self._library(text)
+                continue
+            keys = self._keys(text)
+            found = list(map(get, keys))
+            try:
+                out[i] = b"".join(found)
+            except TypeError:  # a piece is new
+                later.append((i, keys, found))
+        if later:
+            learnt = self._learn({k for _, keys, found in later for k, y in zip(keys, found, strict=True) if y is None})
+            for i, keys, found in later:
+                out[i] = b"".join([learnt[k] if y is None else y for k, y in zip(keys, found, strict=True)])
+        return [raw + end for raw in out]
 
 
 _ENCODERS: dict[str, Encoder] = {}
