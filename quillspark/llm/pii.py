@@ -115,6 +115,10 @@ def _valid(kind: str, s: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
+def _valid_spans(kind: str) -> Column:
+    return F.filter(kind, lambda x: _valid(kind, x["s"]))
+
+
 def _hint(kind: str, text: Column) -> Column:
     if kind == "card":
         return text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")
@@ -127,28 +131,37 @@ def base_spans(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     d = d.select("doc_id", "text", *(_parts(F.col("text"), PATTERNS[k], _hint(k, F.col("text"))).alias(k) for k in KINDS))
     d = d.select("doc_id", "text", *(_spans(k).alias(k) for k in KINDS))
-    return d.select("doc_id", "text", *(F.filter(k, lambda x, k=k: _valid(k, x["s"])).alias(k) for k in KINDS))
+    return d.select("doc_id", "text", *(_valid_spans(k).alias(k) for k in KINDS))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs of base_spans with `more`: the method's candidates (kind, start, end, votes, size) that overlap no base span and no earlier kind's candidate."""
     d = docs.select("*", *(_parts(F.col("text"), p, F.col("text").rlike(hint)).alias(f"m_{k}") for k, (p, hint) in MORE.items()))
     d = d.select(*docs.columns, *(_spans(f"m_{k}").alias(f"m_{k}") for k in MORE))
-    taken = F.concat(*(F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS))
+    taken = F.concat(*map(_places, KINDS))
     kinds = []
     for kind in MORE:
-        def voted(x: Column, kind: str = kind) -> Column:
-            before = F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
-            votes = [x["s"].rlike(SHAPES[kind]), x["s"].rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind])]
-            bits = votes[0].cast("int") + 2 * votes[1].cast("int") + 4 * votes[2].cast("int")
-            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), bits.alias("votes"), (F.length(x["s"]) > 12).cast("int").alias("size"))
-
-        free = F.filter(f"m_{kind}", lambda x, taken=taken: ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (t["end"] > x["start"])))
-        kinds.append(F.transform(free, voted))
-        taken = F.concat(taken, F.transform(f"m_{kind}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+        kinds.append(_voted(kind, taken))
+        taken = F.concat(taken, _places(f"m_{kind}"))
     return d.withColumn("more", F.concat(*kinds)).drop(*(f"m_{k}" for k in MORE))
 
 
+def _places(spans: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+
+def _voted(kind: str, taken: Column) -> Column:
+    """The candidates of a kind that overlap nothing taken, with their votes."""
+
+    def voted(x: Column) -> Column:
+        before = F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
+        votes = [x["s"].rlike(SHAPES[kind]), x["s"].rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind])]
+        bits = votes[0].cast("int") + 2 * votes[1].cast("int") + 4 * votes[2].cast("int")
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), bits.alias("votes"), (F.length(x["s"]) > 12).cast("int").alias("size"))
+
+    return F.transform(F.filter(f"m_{kind}", lambda x: ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (t["end"] > x["start"]))), voted)
+
+
 @dataclass(frozen=True)
 class Labelers:
     """Of one kind: how often each labeler votes yes on true and on false spans, and the share of true spans."""
@@ -226,9 +239,8 @@ def find(docs: DataFrame) -> DataFrame:
     don't overlap; those of different base kinds may. Rows with any span or candidate are few next to the texts, and
     their spans alone are written, so texts are scanned once.
     """
-    place = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
-    found = candidates(base_spans(docs)).select("doc_id", *(F.transform(k, place).alias(k) for k in KINDS), "more")
+    found = candidates(base_spans(docs)).select("doc_id", *(_places(k).alias(k) for k in KINDS), "more")
     found = cut(found, "pii")
     model = fit(found)
-    learnt = F.array_sort(F.transform(F.filter("more", lambda x: accepts(model, x)), place))
+    learnt = F.array_sort(F.transform(F.filter("more", lambda x: accepts(model, x)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
     return found.select("doc_id", *KINDS, learnt.alias(EXTRA))

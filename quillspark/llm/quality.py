@@ -34,7 +34,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     size = lambda c: F.size(c).cast("long")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words_of(text).alias("words"))
     d = d.select("doc_id", "text", "words", size("words").alias("n_words"), F.array_distinct("words").alias("kinds"), F.array_join("words", "").alias("solid"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    grams = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(1)).cast("int")), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    window = lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(WINDOW)))
+    grams = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_words") - WINDOW, F.lit(0)).cast("int")), window)).otherwise(F.array().cast("array<bigint>"))
     d = d.withColumn("grams", grams)
     d = d.withColumn("placed", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     near = lambda i, j: F.coalesce(F.get("placed", i)["h"] == F.get("placed", j)["h"], F.lit(False))
@@ -138,8 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     few = marked.orderBy(F.xxhash64(F.lit("quality"), "label_id"), "label_id", "quality").limit(LEARN_ROWS)
     some = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
     stats = statistics(some.select("doc_id", "text")).join(F.broadcast(few), F.col("doc_id") == F.col("label_id"))
-    rows = stats.where(~base_failed()).select("label_id", (1 - F.col("quality")).alias("bad"), *FEATURES).orderBy(F.xxhash64("label_id"), "label_id")
-    return learn([r.asDict() for r in rows.collect()])
+    # rows that fail the base are left out here and not by a filter, which would be pushed below the statistics and compute them word by word
+    rows = stats.select("label_id", (1 - F.col("quality")).alias("bad"), base_failed().alias("failed"), *FEATURES).orderBy(F.xxhash64("label_id"), "label_id")
+    return learn([r.asDict() for r in rows.collect() if not r["failed"]])
 
 
 def verdict(rules: list[Rule]) -> Column:

@@ -22,7 +22,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, (*secrets.KINDS, secrets.LEARNT)))
     base = F.filter("found", lambda x: x["kind"] < len(secrets.KINDS))
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("found", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
     return found.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
 
 
