@@ -21,7 +21,7 @@ MASKS = ("111011", "1101101", "11001011")
 STRETCH = 20
 THRESHOLD = 0.8
 #: Benchmark positions that are broadcast at once; a larger benchmark is joined in blocks of this size.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -40,20 +40,18 @@ def _hashed(df: DataFrame, key: str) -> DataFrame:
 
 
 def seeds(benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """(mask, seed, places): each benchmark hash once, with the items and positions it comes from. Items shorter than a mask have none of it."""
+    """(mask, seed, places): each benchmark hash once, with the items, positions and sizes it comes from. Items shorter than a mask have none of it."""
     at = _hashed(benchmark, "item_id").select("item_id", "words", "hashes", F.posexplode("hashes").alias("pos", "_"))
-    each = at.select("item_id", "words", "pos", F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), _seed(m).alias("seed")) for i, m in enumerate(masks)))).alias("s"))
-    return each.where("s.seed is not null").groupBy("s.mask", "s.seed").agg(F.collect_list(F.struct("item_id", "pos", "words")).alias("places"))
+    each = at.select("item_id", F.size("words").alias("size"), "pos", F.explode(F.array(*(F.struct(F.lit(i).alias("mask"), _seed(m).alias("seed")) for i, m in enumerate(masks)))).alias("s"))
+    return each.where("s.seed is not null").groupBy("s.mask", "s.seed").agg(F.collect_list(F.struct("item_id", "pos", "size")).alias("places"))
 
 
-def _compared() -> Column:
-    """Of a hit: the words that agree on the stretch, and the stretch; null where the document ends too early."""
-    size, diagonal = F.size("place.words"), F.col("pos") - F.col("place.pos")
+def _stretch() -> Column:
+    """Of a hit: where the stretch of the item around it starts, its length, and the document's words there; null where the document ends too early."""
+    size, diagonal = F.col("place.size"), F.col("pos") - F.col("place.pos")
     stretch = F.least(size, F.lit(STRETCH))
     first = F.greatest(F.least(F.greatest(F.col("place.pos") - 6, -diagonal, F.lit(0)), size - stretch, F.size("words") - diagonal - stretch), F.lit(0))
-    here, there = F.slice("words", first + diagonal + 1, stretch), F.slice("place.words", first + 1, stretch)
-    agree = F.size(F.filter(F.zip_with(here, there, lambda a, b: a == b), lambda x: x))
-    return F.when(first + diagonal >= 0, F.struct(agree.alias("agree"), stretch.alias("stretch")))
+    return F.when(first + diagonal >= 0, F.struct(first.alias("first"), stretch.alias("stretch"), F.slice("words", first + diagonal + 1, stretch).alias("words")))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -72,7 +70,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
         some = reduce(lambda a, b: a | b, (F.col(f"p{i}").isNotNull() for i in range(len(masks))))
         place = F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(f"p{i}", F.array().cast(known.schema["places"].dataType)) for i in range(len(masks)))))))
         found.append(joined.where(some).select("doc_id", "words", "pos", place.alias("place")))
-    return reduce(DataFrame.union, found).select("doc_id", "place.item_id", _compared().alias("c")).where(F.col("c.agree") >= THRESHOLD * F.col("c.stretch")).select("doc_id", "item_id", "c.agree", "c.stretch")
+    near = reduce(DataFrame.union, found).select("doc_id", "place.item_id", _stretch().alias("s"))
+    items = benchmark.select("item_id", words(F.col("text")).alias("item_words"))
+    agree = F.size(F.filter(F.zip_with("s.words", F.slice("item_words", F.col("s.first") + 1, F.col("s.stretch")), lambda a, b: a == b), lambda x: x))
+    checked = near.join(items, "item_id").select("doc_id", "item_id", agree.alias("agree"), "s.stretch")
+    return checked.where(F.col("agree") >= THRESHOLD * F.col("stretch"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per row of docs: (doc_id, contaminated, n_items, items, share).
 
     Null and empty texts and documents shorter than an item's stretch hold nothing; items shorter than the shortest
-    mask are never found; null items count as empty. Rows that share a doc_id, null included, share a verdict. Either
+    mask are never found; items without a text or an id are never found. Rows that share a doc_id, null included, share a verdict. Either
     table may be empty.
     """
     found = leaks(docs, benchmark).withColumnRenamed("doc_id", "hit_id")
