@@ -8,6 +8,7 @@ the JVM, where lower case and collapsed blanks give the same.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -67,15 +68,23 @@ def concept_name(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)^(?:hence|thus|therefore|so|now|here|then|also|similarly|moreover|however)\s*,?\s+", "")
     t = F.regexp_replace(t, r"(?i)^(?:an?|the)\s+", "")
     t = F.regexp_replace(t, r"[\s,;:.]+$", "")
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
+    return let(t, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def clean_term(text: Column) -> Column:
     """A concept name, or null where it can't be one: 2 to 46 characters, at most 6 words, a letter, no stop term, no preposition first."""
-    t = concept_name(text)
-    words = F.split(t, " ")
-    ok = F.length(t).between(2, 46) & (F.size(words) <= 6) & ~F.lower(t).isin(STOP_TERMS) & ~F.lower(F.get(words, F.lit(0))).isin(PREPOSITIONS) & t.rlike(r"\p{L}")
-    return F.when(ok, t)
+
+    def checked(t: Column) -> Column:
+        spaces = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+        ok = F.length(t).between(2, 46) & (spaces <= 5) & ~F.lower(t).isin(STOP_TERMS) & ~F.lower(F.substring_index(t, " ", 1)).isin(PREPOSITIONS) & t.rlike(r"\p{L}")
+        return F.when(ok, t)
+
+    return let(concept_name(text), checked)
 
 
 def label(prefix: str, text: Column, limit: int = 60) -> Column:

@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.adapter import knowledge_base, with_tables
+from quillspark.functions import formulas
 from quillspark.functions import text as T
 from quillspark.functions.ids import counter
 from quillspark.operators import catalogue as C
+from quillspark.operators import dedup as D
+from quillspark.operators import detectors as X
 from quillspark.operators import evidence as E
 from quillspark.operators import graph as G
+from quillspark.operators import mentions as M
+from quillspark.operators import retrieval as R
+from quillspark.operators import structure as S
+from quillspark.session import ship
+from quillspark.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,6 +142,60 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-query("t1_normalised", flat=True, sql=f"select doc_id, trim(regexp_replace(lower(text), '[\\x09-\\x0D\\x1C-\\x1F ]+', ' ', 'g')) as normalised from documents where {_ASCII}")(lambda spark, d: _docs(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.normalised(F.col("text")).alias("normalised")))
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return _docs(spark, sf_dir).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.normalised(F.col("text")).alias("normalised"))
+
+
+query("t1_normalised", flat=True, sql=f"select doc_id, trim(regexp_replace(lower(text), '[\\x09-\\x0D\\x1C-\\x1F ]+', ' ', 'g')) as normalised from documents where {_ASCII}")(_normalised)
 query("t5_page_quality", flat=True, sql="select doc_id, case when length(t) = 0 or length(t) < 24 or length(regexp_replace(t, '[^\\p{L}\\p{N}]+', '', 'g')) / length(t) < 0.35 then 'UNKNOWN' else 'NATIVE_TEXT' end as origin, case when length(t) = 0 then 'empty' when length(t) < 24 then 'too short' when length(regexp_replace(t, '[^\\p{L}\\p{N}]+', '', 'g')) / length(t) < 0.35 then 'too few letters and digits' end as reason from (select doc_id, trim(coalesce(text, '')) as t from documents) x")(lambda spark, d: _docs(spark, d).select("doc_id", T.page_quality(F.col("text")).alias("q")).select("doc_id", "q.*"))
 query("d4_exact_duplicates", flat=True, sql="select d.doc_id, m.first_id, d.doc_id <> m.first_id as superseded from documents d join (select sha256(text) as h, min(doc_id) as first_id from documents group by 1) m on m.h = sha256(d.text)")(lambda spark, d: (lambda docs: docs.join(docs.groupBy("h").agg(F.min("doc_id").alias("first_id")), "h").select("doc_id", "first_id", (F.col("doc_id") != F.col("first_id")).alias("superseded")))(_docs(spark, d).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))))
+
+# statements and their names
+_NORM = "select id, knowledge_type, canonical_name as name, statement as norm from kb_knowledge where lifecycle_status = 'ACTIVE'"
+_TOKENS = "' ' || trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\p{{Mn}}]+', ' ', 'g')) || ' '"
+
+
+def _statements(kb) -> DataFrame:
+    return kb.knowledge.where("lifecycle_status = 'ACTIVE'").select("id", "knowledge_type", F.col("canonical_name").alias("name"), F.col("statement").alias("norm"))
+
+
+simple("d2_compared_statements", lambda kb: D.compared(_statements(kb), "name"), ("knowledge",), f"select a.id as canonical_id, b.id as other_id, case when regexp_extract(a.norm, 'by (.*)$', 1) = regexp_extract(b.norm, 'by (.*)$', 1) then 'CONTRADICTORY' else 'POSSIBLE_DUPLICATE' end as outcome from ({_NORM}) a join ({_NORM}) b on a.name = b.name and a.norm <> b.norm and {_N.format('a.id')} < {_N.format('b.id')}")
+simple("q8_resolve", lambda kb: R.resolve(kb, "Suppliers 7"), ("alias",), "select concept_id, min(alias) as matched_alias from kb_alias where lifecycle_status = 'ACTIVE' and normalized_alias = 'suppliers 7' group by 1")
+simple("q8_resolve_singular", lambda kb: R.resolve(kb, "  EUROPE "), ("alias",), "select concept_id, min(alias) as matched_alias from kb_alias where lifecycle_status = 'ACTIVE' and normalized_alias = 'europe' group by 1")
+_GROUP = "case when r = 'DEFINED_BY' or kt = 'DEFINITION' then 0 when r = 'HAS_PROPERTY' or kt = 'PROPERTY' then 1 when kt = 'EQUATION' then 2 when kt = 'RULE' then 3 when r = 'PARENT_OF' and side = 'TO' then 4 when r = 'PARENT_OF' then 5 when r = 'REQUIRES' and side = 'FROM' then 6 when r in ('DEPENDS_ON', 'REQUIRES') then 7 else 8 end"
+_SUPPLIERS = "concept_id like 'CPT-0000100%'"
+simple(
+    "q11_concept_sections", lambda kb: R.section(kb, kb.concept.select(F.col("id").alias("concept_id")).where(_SUPPLIERS)).select("concept_id", "group_no", "group_name", "item_id", "n_links"), ("edge", "knowledge"),
+    f"select concept_id, min(g) as group_no, case min(g) when 0 then 'DEFINITIONS' when 1 then 'PROPERTIES' when 2 then 'EQUATIONS' when 3 then 'RULES' when 4 then 'PARENTS' when 5 then 'CHILDREN' when 6 then 'PREREQUISITES' when 7 then 'DEPENDENCIES' else 'RELATED' end as group_name, item_id, count(*) as n_links from (select concept_id, item_id, {_GROUP} as g from (select l.*, k.knowledge_type as kt from (select from_concept_id as concept_id, 'FROM' as side, relation_type as r, coalesce(to_concept_id, to_knowledge_id) as item_id from kb_edge where lifecycle_status = 'ACTIVE' union all select to_concept_id, 'TO', relation_type, from_concept_id from kb_edge where lifecycle_status = 'ACTIVE' and to_concept_id is not null) l left join kb_knowledge k on k.id = l.item_id and k.lifecycle_status not in ('ARCHIVED', 'DELETED', 'SUPERSEDED') where {_SUPPLIERS} and (l.item_id like 'CPT-%' or k.id is not null)) x) y group by concept_id, item_id",
+)
+simple(
+    "q18_keyword_hits", lambda kb: R.keyword_hits(kb, "is rated 1", prefix=True), (*_OCC, "source", "knowledge", "alias", "segment"),
+    f"with_hits as (select 1) select v.item_id, v.kind, v.n_in_scope from (select i.item_id, i.kind, cast(sum(case when e.subject_id is not null and not ({_DENIED}) then 1 else 0 end) as bigint) as n_in_scope from (select id as item_id, 'KNOWLEDGE' as kind from kb_knowledge where lifecycle_status not in ('ARCHIVED', 'DELETED', 'SUPERSEDED') and contains({_TOKENS.format('statement')}, ' is rated 1') union all select distinct concept_id, 'CONCEPT' from kb_alias where lifecycle_status = 'ACTIVE' and contains({_TOKENS.format('normalized_alias')}, ' is rated 1')) i left join ({_EVIDENCE}) e on e.subject_id = i.item_id left join kb_source s on s.id = e.source_id group by 1, 2) v where v.n_in_scope > 0 union all select id, 'SEGMENT', cast(1 as bigint) from kb_segment where contains({_TOKENS.format('text')}, ' is rated 1')".replace("with_hits as (select 1) ", ""),
+)
+simple(
+    "p1_quote_checks", lambda kb: R.quote_checks(kb.source_occurrence, kb.segment.select(F.col("id").alias("segment_id"), F.col("text").alias("segment_text"))).groupBy("status").agg(F.count("*").alias("n")), ("source_occurrence", "segment"),
+    "select status, count(*) as n from (select case when g.text is null or o.char_start is null then 'INCONCLUSIVE' when substring(g.text, o.char_start + 1, o.char_end - o.char_start) = o.text then 'VERIFIED' else 'FAILED' end as status from kb_source_occurrence o left join kb_segment g on g.id = o.segment_id) x group by 1",
+)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their own."""
+    return _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text")
+
+
+query("t8_prose_regions", flat=True)(lambda spark, d: S.prose_regions(_pages(spark, d)).select("document_id", "start", "end"))
+query("t9_sentences", flat=True)(lambda spark, d: S.sentences(S.prose_regions(_pages(spark, d))).select("document_id", "start", "end", "flat"))
+query("t12_masked_pages", flat=True)(lambda spark, d: S.masked(_pages(spark, d)).select("document_id", F.length("expository").alias("n"), "question_chars"))
+query("t6_lines", flat=True, sql="select cast(doc_id as varchar) as document_id, count(*) as n_lines, cast(sum(length(l)) as bigint) as n_chars from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) x where l <> '' group by 1")(lambda spark, d: S.lines(_pages(spark, d)).where("stripped <> ''").groupBy("document_id").agg(F.count("*").alias("n_lines"), F.sum(F.length(F.rtrim(F.regexp_replace("raw", "\n$", "")))).alias("n_chars")))
+query("e13_candidates", flat=True)(lambda spark, d: X.detect(_pages(spark, d)))
+query("cl2_mentions", flat=True)(lambda spark, d: (lambda kb: M.mentions(kb.knowledge.select(F.col("id").alias("text_id"), F.col("id").alias("own"), F.col("statement").alias("text")), M.names(kb.knowledge.select(F.col("id").alias("concept_id"), F.col("canonical_name").alias("normalized_alias")).dropDuplicates(["normalized_alias"]))).select("text_id", "name", "start_word", "n_words"))(knowledge_base(spark, d)))
+SQL["cl2_mentions"] = f"{with_tables('knowledge')} select id as text_id, canonical_name as name, 1 as start_word, len(string_split(canonical_name, ' ')) as n_words from kb_knowledge"
+
+# formulas over rows, and pages of markup
+_REVENUE = "revenue = l_extendedprice * (1 - l_discount) * (1 + l_tax) / 2 - -l_quantity ^ 2"
+query("c3_bulk_formula", flat=True, sql="select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) / 2 - -(l_quantity * l_quantity) as revenue from lineitem")(lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", formulas.column(_REVENUE).alias("revenue")))
+query("sv3_isolated_formula", flat=True, sql="select l_orderkey, l_linenumber, l_extendedprice / l_quantity as price from lineitem")(lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", formulas.column(formulas.isolate("l_extendedprice = l_quantity * price", "price")).alias("price")))
+query("s24_page_text", flat=True)(lambda spark, d: readers.html_text(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "title", F.length("text").alias("n_chars")))
+query("s26_within_site", flat=True, sql="select page_id, url, starts_with(url, 'https://') as secure from pages")(lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.startswith("url", F.lit("https://")).alias("secure")))
+query("a17_table_counts", flat=True, sql=" union all ".join(f"select '{t}' as table_name, count(*) as n from {t}" for t in ("region", "nation", "supplier", "part", "orders", "lineitem")))(lambda spark, d: reduce(DataFrame.union, (spark.read.parquet(f"{d}/{t}.parquet").agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in ("region", "nation", "supplier", "part", "orders", "lineitem"))))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +20,19 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **mo
     for k, v in {**settings, **more}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: nothing to do where they find it by path, else it is sent along as a zip file once."""
+    root, app = Path(__file__).resolve().parents[1], spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]:
+        return
+    path = Path(tempfile.mkdtemp()) / "quillspark_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in (root / "quillspark").rglob("*.py"):
+            z.write(f, str(f.relative_to(root)))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
