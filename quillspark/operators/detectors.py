@@ -80,10 +80,10 @@ def _leading(text: Column) -> Column:
     return clean_term(F.get(F.split(text, TERM_END, 2), F.lit(0)))
 
 
-def _row(category: str, text: Column = F.col("flat"), weak: Column | bool = False, numeric: Column | bool = False, **fields: Column) -> list[Column]:
+def _row(category: str, weak: Column | bool = False, numeric: Column | bool = False, **fields: Column) -> list[Column]:
     given = [fields.get(f, F.lit(None).cast("string")).cast("string").alias(f) for f in FIELDS]
     flag = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return [*(F.col(c) for c in _PAGE), F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.lit(category).alias("category"), text.alias("text"), *given, flag(numeric).alias("numeric"), flag(weak).alias("weak")]
+    return [*(F.col(c) for c in _PAGE), F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.lit(category).alias("category"), F.col("flat").alias("text"), *given, flag(numeric).alias("numeric"), flag(weak).alias("weak")]
 
 
 def definitions(s: DataFrame) -> DataFrame:
