@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.session import ship
+
+__all__ = ["GAP", "WORD", "crc_mod", "cut", "n_words", "new_path", "resident", "shared_dir", "ship", "table", "words_of"]
+T = TypeVar("T")
+
 #: Fixed values of the contracts: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -29,20 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_SHIPPED: set[str] = set()
+_RESIDENT: dict[object, object] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: nothing to do where they find it by path, else it is sent along as a zip file once."""
-    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
-    if app in _SHIPPED or str(root) in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]:
-        return
-    path = Path(tempfile.mkdtemp()) / "quillspark_code.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in (root / "quillspark").rglob("*.py"):
-            z.write(f, str(f.relative_to(root)))
-    spark.sparkContext.addPyFile(str(path))
-    _SHIPPED.add(app)
+def resident(key: object, build: Callable[[], T]) -> T:
+    """What a worker keeps between tasks: one large object at a time, so stages that follow one another don't add up."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,9 @@ doc_id); everything that is labelled counts towards how many rows a language has
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, ship
+from quillspark.llm.common import cut, resident, ship
 
 #: Documents of each language that the model is fitted on.
 PER_LANG = 1500
@@ -80,34 +82,32 @@ def _schema(key: str) -> pa.Schema:
 
 
 class Model:
-    """Log frequencies of words and n-grams, a row of one number for each language."""
+    """Log frequencies of words and n-grams, a row of one number for each language; what the worker has scored is kept behind the words."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.words, self.grams = langs, words, grams
-        self.row: dict[str, int] = {}
-        self.rows = np.zeros((0, len(langs)), dtype=np.float32)
+    def __init__(self, langs: list[str], words: list[str], word_rows: np.ndarray, grams: list[str], gram_rows: np.ndarray):
+        self.langs, self.words, self.word_rows, self.gram_rows = langs, words, word_rows, gram_rows
+        self.gram = {g: i for i, g in enumerate(grams)}
         self.forget()
 
-    def forget(self) -> None:
-        self.row = {w: i for i, w in enumerate(self.words)}
-        size = len(self.row) + CACHE
-        self.rows = np.zeros((size, len(self.langs)), dtype=np.float32)
-        if self.row:
-            self.rows[: len(self.row)] = np.stack(list(self.words.values()))
+    def packed(self) -> bytes:
+        return zlib.compress(pickle.dumps((self.langs, self.words, self.word_rows, list(self.gram), self.gram_rows)), 1)
 
-    def __getstate__(self) -> tuple:
-        return self.langs, self.words, self.grams
+    @staticmethod
+    def unpacked(data: bytes) -> Model:
+        return resident(("language model", zlib.crc32(data), len(data)), lambda: Model(*pickle.loads(zlib.decompress(data))))  # noqa: S301
 
-    def __setstate__(self, state: tuple) -> None:
-        self.__init__(*state)
+    def forget(self) -> None:
+        self.row = {w: i for i, w in enumerate(self.words)}
+        self.rows = np.zeros((len(self.row) + CACHE, len(self.langs)), dtype=np.float32)
+        self.rows[: len(self.row)] = self.word_rows
 
     def unseen(self, word: str) -> np.ndarray:
         """The mean of the n-grams of the longest size of which at least half are known; zeros if no letter is known."""
         for size in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
             grams = _grams(word, size)
-            known = [v for g in grams if (v := self.grams.get(g)) is not None]
+            known = [i for g in grams if (i := self.gram.get(g)) is not None]
             if known and 2 * len(known) >= len(grams):
-                return np.mean(known, axis=0)
+                return self.gram_rows[known].mean(0)
         return np.zeros(len(self.langs), dtype=np.float32)
 
     def _index(self, word: str) -> int:
@@ -146,20 +146,23 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def _logs(rows: list, langs: list[str], least: int) -> dict[str, np.ndarray]:
-    """For each key seen `least` times or more: smoothed log frequency by language, less the mean over languages."""
-    at = {x: i for i, x in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
+def _rows(df: DataFrame) -> list[tuple]:
+    """The rows of a table of bounded size on the driver, by Arrow."""
+    return list(zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True))
+
+
+def _logs(rows: list, langs: list[str], least: int) -> tuple[list[str], np.ndarray]:
+    """Keys seen `least` times or more, and for each the smoothed log frequency by language, less the mean over languages."""
+    at, key_at = {x: i for i, x in enumerate(langs)}, {}
+    for _, key, _ in rows:
+        key_at.setdefault(key, len(key_at))
+    counts = np.zeros((len(key_at), len(langs)), dtype=np.float32)
     for lang, key, n in rows:
-        counts.setdefault(key, np.zeros(len(langs), dtype=np.float32))[at[lang]] += n
-    total = sum(counts.values(), np.zeros(len(langs), dtype=np.float32))
-    base = np.log(total + 0.5 * max(1, len(counts)))
-    out = {}
-    for key, c in counts.items():
-        if c.sum() >= least:
-            v = np.log(c + 0.5) - base
-            out[key] = (v - v.mean()).astype(np.float32)
-    return out
+        counts[key_at[key], at[lang]] += n
+    logs = np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * max(1, len(key_at)))
+    kept = np.flatnonzero(counts.sum(1) >= least)
+    keys = list(key_at)
+    return [keys[i] for i in kept], (logs - logs.mean(1, keepdims=True))[kept].astype(np.float32) if langs else np.zeros((0, 0), np.float32)
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -177,17 +180,18 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     common = words.join(words.groupBy("word").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_COUNT), "word", "left_semi")
     grams = _counted(words.select("lang", "word", "n"), _count_grams, "gram")
     grams = grams.join(grams.groupBy("gram").agg(F.sum("n").alias("all")).where("all >= 3"), "gram", "left_semi")
-    return Model(langs, _logs(common.select("lang", "word", "n").collect(), langs, LEAST_COUNT), _logs(grams.select("lang", "gram", "n").collect(), langs, 3))
+    return Model(langs, *_logs(_rows(common.select("lang", "word", "n")), langs, LEAST_COUNT), *_logs(_rows(grams.select("lang", "gram", "n")), langs, 3))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs, whole texts; null and empty texts and texts without letters are `und`."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shared.value.predict(t) for t in b.column(1).to_pylist()]
+            known = Model.unpacked(shared.value)
+            got = [known.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -196,11 +200,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows whose language is `und`; all columns stay as they are. Rows are judged in place, without a shuffle."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([shared.value.predict(t)[0] != UNKNOWN for t in b.column(at).to_pylist()], pa.bool_()))
+            known = Model.unpacked(shared.value)
+            yield b.filter(pa.array([known.predict(t)[0] != UNKNOWN for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

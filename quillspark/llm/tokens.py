@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ship
+from quillspark.llm.common import resident, ship
 
 #: Ids after which a block is closed; a longer document has a block of its own.
 BLOCK_IDS = 1 << 19
@@ -180,14 +180,9 @@ class Encoder:
         return [raw + end for raw in out]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """The worker's own encoder; workers serve many tasks, so what it has kept is used again."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 def _block(part: int, block: int, first: int, width: int, ids: list[bytes], doc_ids: list[int | None]) -> pa.RecordBatch:
