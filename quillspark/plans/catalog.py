@@ -6,12 +6,15 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.adapter import knowledge_base, with_tables
 from quillspark.functions import formulas
+from quillspark.functions import ids as N
 from quillspark.functions import text as T
 from quillspark.functions.ids import counter
+from quillspark.operators import answers as A
 from quillspark.operators import catalogue as C
 from quillspark.operators import dedup as D
 from quillspark.operators import detectors as X
@@ -199,3 +202,26 @@ query("sv3_isolated_formula", flat=True, sql="select l_orderkey, l_linenumber, l
 query("s24_page_text", flat=True)(lambda spark, d: readers.html_text(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "title", F.length("text").alias("n_chars")))
 query("s26_within_site", flat=True, sql="select page_id, url, starts_with(url, 'https://') as secure from pages")(lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.startswith("url", F.lit("https://")).alias("secure")))
 query("a17_table_counts", flat=True, sql=" union all ".join(f"select '{t}' as table_name, count(*) as n from {t}" for t in ("region", "nation", "supplier", "part", "orders", "lineitem")))(lambda spark, d: reduce(DataFrame.union, (spark.read.parquet(f"{d}/{t}.parquet").agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in ("region", "nation", "supplier", "part", "orders", "lineitem"))))
+
+# answers in scope
+_SEEN = f"select e.* from ({_EVIDENCE}) e join kb_source s on s.id = e.source_id where not ({_DENIED})"
+_VISIBLE = f"select d.id, d.from_concept_id as src, coalesce(d.to_concept_id, d.to_knowledge_id) as dst, d.relation_type, case when d.origin = 'EXPLICIT' then 'EXPLICIT' else coalesce(b.rule, 'INFERRED') end as label from kb_edge d left join (select relationship_id, min(rule) as rule from kb_basis where basis_occurrence_id in (select id from ({_SEEN}) v) group by 1) b on b.relationship_id = d.id where d.lifecycle_status = 'ACTIVE' and (b.rule is not null or d.id in (select subject_id from ({_SEEN}) v where subject_kind = 'RELATIONSHIP'))"
+_EDGE_TABLES = (*_OCC, "source", "edge", "basis")
+simple("q12_visible_edges", A.visible_edges, _EDGE_TABLES, _VISIBLE)
+query("q13_scoped_closure", flat=True, sql=_recursive((*_EDGE_TABLES, "concept"), f"select distinct src, dst from ({_VISIBLE}) x where relation_type = 'REQUIRES'", _SEEDS, "select seed, node from reach where seed <> node"))(lambda spark, d: (lambda kb: A.scoped_closure(kb, _seeds(kb), ["REQUIRES"]))(knowledge_base(spark, d)))
+_WANTED = ["DOC-00000003", "CPT-00001002", "K-00000007", "REL-00000004", "K-99999999"]
+simple("q15_by_id", lambda kb: A.by_id(kb, _WANTED), ("document", "concept", "knowledge", "edge"), " union all ".join(f"select id, '{k}' as kind, {t} as title, {s} as status from kb_{n} where id in ({', '.join(repr(x) for x in _WANTED)})" for n, k, t, s in (("document", "DOCUMENT", "filename", "processing_status"), ("concept", "CONCEPT", "canonical_name", "lifecycle_status"), ("knowledge", "KNOWLEDGE", "statement", "lifecycle_status"), ("edge", "RELATIONSHIP", "relation_type", "lifecycle_status"))))
+simple("q16_page_answer", lambda kb: A.page_answer(kb, "DOC-00000004", 1), (*_OCC, "source"), f"select case when {_DENIED} then 'NOT_AUTHORIZED' else 'IN_SCOPE' end as verdict, count(*) as n_rows, count(distinct e.subject_id) as n_subjects from ({_EVIDENCE}) e left join kb_source s on s.id = e.source_id where e.document_id = 'DOC-00000004' and e.page_number = 1 group by 1")
+simple("q17_document_sources", A.document_sources, ("source",), f"select s.document_id, s.id as source_id, s.source_category, h.n as n_same_content from kb_source s join (select file_hash, count(*) as n from kb_source group by 1) h on h.file_hash = s.file_hash where not ({_DENIED})")
+simple(
+    "i1_items", A.items, (*_OCC, "source", "knowledge", "edge"),
+    f"select k.id, k.knowledge_type, p.n_sources, p.evidence_id, p.quote, coalesce(o.n, 0) as n_owners, o.first_owner, k.certainty = 'UNCERTAIN' as doubtful from kb_knowledge k join (select subject_id, count(distinct source_id) as n_sources, min(case when r = 1 then id end) as evidence_id, min(case when r = 1 then substring(text, 1, 400) end) as quote from (select v.*, row_number() over (partition by subject_id order by {_N.format('document_id')}, page_number, char_start, {_N.format('id')}) as r from ({_SEEN}) v where subject_kind = 'KNOWLEDGE') x group by 1) p on p.subject_id = k.id left join (select to_knowledge_id, count(*) as n, min(from_concept_id) as first_owner from kb_edge where lifecycle_status = 'ACTIVE' and to_knowledge_id is not null group by 1) o on o.to_knowledge_id = k.id where k.lifecycle_status not in ('ARCHIVED', 'DELETED', 'SUPERSEDED')",
+)
+simple("q25_provenance", lambda kb: A.provenance(kb, kb.knowledge.where("knowledge_type = 'RULE'").select(F.col("id").alias("subject_id"))), (*_OCC, "run", "knowledge"), f"select r.id, r.document_id, u.n as n_evidence, concat_ws('; ', case when r.status = 'PARTIAL' then 'partial run' end, case when r.extractor_version < 4 then 'old extractor' end) as notes from kb_run r join (select extraction_run_id, count(*) as n from ({_EVIDENCE}) e where subject_id in (select id from kb_knowledge where knowledge_type = 'RULE') group by 1) u on u.extraction_run_id = r.id")
+simple("d9_merged_statements", lambda kb: A.merged(kb.knowledge.select("id", "lifecycle_status"), C.exact_duplicate_groups(kb.knowledge.where("lifecycle_status = 'ACTIVE'").select("id", "canonical_name"), F.col("canonical_name")).select("id", "canonical_id")), ("knowledge",), f"select k.id, case when k.lifecycle_status = 'ACTIVE' and k.id <> m.first_id then 'SUPERSEDED' else k.lifecycle_status end as lifecycle_status, case when k.lifecycle_status = 'ACTIVE' and k.id <> m.first_id then m.first_id end as superseded_by from kb_knowledge k left join (select canonical_name, arg_min(id, {_N.format('id')}) as first_id from kb_knowledge where lifecycle_status = 'ACTIVE' group by 1) m on m.canonical_name = k.canonical_name")
+simple("h7_superseded_pointers", A.superseded_pointers, ("equivalence",), f"select other_knowledge_id as id, arg_min(canonical_knowledge_id, {_N.format('canonical_knowledge_id')}) as canonical_id from kb_equivalence where outcome = 'EXACT_DUPLICATE' group by 1")
+simple("q23_index_status", lambda kb: A.index_status(C.state_marker(kb), C.state_marker(kb).where("table_name <> 'alias'").withColumn("n_rows", F.col("n_rows") + (F.col("table_name") == "segment").cast("long"))), ("alias",), "select * from (values ('knowledge', 'FRESH'), ('source_occurrence', 'FRESH'), ('concept_occurrence', 'FRESH'), ('alias', 'MISSING'), ('segment', 'STALE')) t (table_name, status)")
+simple("l13_recorded_bases", lambda kb: kb.edge.where("origin = 'INFERRED'").join(kb.basis, F.col("id").eqNullSafe(F.col("relationship_id")), "left_semi").select("id"), ("edge", "basis"), "select id from kb_edge where origin = 'INFERRED' and exists (select 1 from kb_basis b where b.relationship_id is not distinct from id)")
+simple("l17_equivalences_of", lambda kb: kb.equivalence.where("canonical_knowledge_id = 'K-00000014' or other_knowledge_id = 'K-00000015'").select("canonical_knowledge_id", "other_knowledge_id", "outcome"), ("equivalence",), "select canonical_knowledge_id, other_knowledge_id, outcome from kb_equivalence where canonical_knowledge_id = 'K-00000014' or other_knowledge_id = 'K-00000015'")
+simple("l1_document_by_hash", lambda kb: kb.document.where(F.col("file_hash") == F.md5(F.lit("Supplier#000000002"))).select("id", "filename"), ("document",), "select id, filename from kb_document where file_hash = md5('Supplier#000000002')")
+simple("s29_next_ids", lambda kb: kb.run.select("id", N.next_ids("RUN", F.lit(100), F.dense_rank().over(W.partitionBy("document_id").orderBy("run_number"))).alias("new_id")), ("run",), "select id, 'RUN-' || lpad(cast(100 + dense_rank() over (partition by document_id order by run_number) as varchar), 8, '0') as new_id from kb_run")
