@@ -17,7 +17,7 @@ def ending(path: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length, content) of the files in a folder and below."""
+    """(path, length, content) of the files in a folder and below; Spark lists no empty ones."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length", "content")
 
 
