@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -232,27 +232,29 @@ def read_tokens(spark, path: str) -> DataFrame:
     """(doc_id, start long, n_tokens long, ids binary) of each document in a file set, with its place in the whole id array."""
     ship(spark)
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    return _documents(blocks, "ids binary", lambda raw, width: [raw])
+    return _documents(blocks, "ids binary", bytes, 0)
 
 
 def read_checksums(spark, path: str) -> DataFrame:
     """(doc_id, start long, n_tokens long, ids_crc32 long) of each document; the crc is of its ids as 4-byte little-endian numbers."""
     ship(spark)
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    return _documents(blocks, "ids_crc32 long", lambda raw, width: [zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())])
+    return _documents(blocks, "ids_crc32 long", zlib.crc32, 4)
 
 
-def _documents(blocks: DataFrame, column: str, value) -> DataFrame:
+def _documents(blocks: DataFrame, column: str, value: Callable[[memoryview], object], width: int) -> DataFrame:
+    """The documents of blocks with `value` of each one's ids, as numbers of `width` bytes (0: as written). Ids are widened once for a block."""
     name, kind = column.split()
     arrow = pa.binary() if kind == "binary" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                width, ends = r["width"], EliasFano(r["n_docs"], r["universe"], r["low_bits"], r["low"], r["high"], r["hints"]).decode()
+                ends = EliasFano(r["n_docs"], r["universe"], r["low_bits"], r["low"], r["high"], r["hints"]).decode()
                 starts = np.concatenate(([0], ends[:-1]))
-                raw = memoryview(r["ids"])
-                got = [value(bytes(raw[s * width : e * width]), width)[0] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                w = width or r["width"]
+                raw = memoryview(r["ids"] if w == r["width"] else np.frombuffer(r["ids"], f"<u{r['width']}").astype(f"<u{w}").tobytes())
+                got = [value(raw[s * w : e * w]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 doc_ids = np.frombuffer(r["doc_ids"], "<i8")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, pa.int64(), mask=doc_ids == -(1 << 63)), pa.array(starts + r["before"] + r["first"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(got, arrow)],

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +45,7 @@ def terms(text: str | None) -> Counter:
 def _signature(text: str) -> int:
     """The same for texts that differ in few words, mostly: the least hash of their three-word windows."""
     w = text.lower().split()
-    return min((hash_of(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0)
-
-
-def hash_of(s: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(s, 5) >> 1
+    return min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 5) >> 1 for i in range(max(1, len(w) - 2))), default=0)
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:

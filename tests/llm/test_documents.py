@@ -197,7 +197,8 @@ def test_neighbours_are_exact():
     r = random.Random(12)
     number = {f"t{i}": i for i in range(30)}
     index = toxicity.Index(number, np.ones(30), [], [], [])
-    vectors = [index.vector(sorted(r.sample(range(30), r.randint(0, 5))), [1] * 5) if False else index.vector(a := sorted(r.sample(range(30), r.randint(0, 5))), [r.randint(1, 4) for _ in a]) for _ in range(700)]
+    chosen = [sorted(r.sample(range(30), r.randint(0, 5))) for _ in range(700)]
+    vectors = [index.vector(a, [r.randint(1, 4) for _ in a]) for a in chosen]
     index = toxicity.Index(number, np.ones(30), list(range(700)), [i % 2 for i in range(700)], vectors)
     for _ in range(60):
         q = index.vector(a := sorted(r.sample(range(30), r.randint(1, 6))), [1] * len(a))
