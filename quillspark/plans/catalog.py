@@ -225,3 +225,18 @@ simple("l13_recorded_bases", lambda kb: kb.edge.where("origin = 'INFERRED'").joi
 simple("l17_equivalences_of", lambda kb: kb.equivalence.where("canonical_knowledge_id = 'K-00000014' or other_knowledge_id = 'K-00000015'").select("canonical_knowledge_id", "other_knowledge_id", "outcome"), ("equivalence",), "select canonical_knowledge_id, other_knowledge_id, outcome from kb_equivalence where canonical_knowledge_id = 'K-00000014' or other_knowledge_id = 'K-00000015'")
 simple("l1_document_by_hash", lambda kb: kb.document.where(F.col("file_hash") == F.md5(F.lit("Supplier#000000002"))).select("id", "filename"), ("document",), "select id, filename from kb_document where file_hash = md5('Supplier#000000002')")
 simple("s29_next_ids", lambda kb: kb.run.select("id", N.next_ids("RUN", F.lit(100), F.dense_rank().over(W.partitionBy("document_id").orderBy("run_number"))).alias("new_id")), ("run",), "select id, 'RUN-' || lpad(cast(100 + dense_rank() over (partition by document_id order by run_number) as varchar), 8, '0') as new_id from kb_run")
+
+# further views and text columns
+_VIEW = {"PREREQUISITES": ("PREREQUISITE_OF", "REQUIRES"), "DEPENDENCIES": ("DEPENDS_ON", "DERIVED_FROM"), "RELATED": ("RELATED_TO", "SIMILAR_TO", "EQUIVALENT_TO", "ALTERNATIVE_TO"), "APPLICATIONS": ("USES", "APPLIES_TO", "PRODUCES")}
+simple("g7_organisation", lambda kb: kb.edge.where("lifecycle_status = 'ACTIVE'").withColumn("view", reduce(lambda c, v: c.when(F.col("relation_type").isin(*_VIEW[v]), v), _VIEW, F)).where("view is not null").groupBy("view", "relation_type", "origin").agg(F.count("*").alias("n")), ("edge",), "select view, relation_type, origin, count(*) as n from (select *, case " + " ".join(f"when relation_type in ({', '.join(repr(x) for x in t)}) then '{v}'" for v, t in _VIEW.items()) + " end as view from kb_edge where lifecycle_status = 'ACTIVE') x where view is not null group by 1, 2, 3")
+simple("q14_equivalents", lambda kb: R.one_hop_equivalents(kb, kb.alias.alias("a").join(kb.alias.alias("b"), (F.col("a.normalized_alias") == F.col("b.normalized_alias")) & (F.col("a.concept_id") < F.col("b.concept_id"))).select(F.col("a.concept_id").alias("concept_a"), F.col("b.concept_id").alias("concept_b")), kb.concept.where("canonical_name like '%7'").select(F.col("id").alias("concept_id"))), ("alias", "concept"), "select distinct p.x as concept_id, p.y as other_id from (select a.concept_id as x, b.concept_id as y from kb_alias a join kb_alias b on a.normalized_alias = b.normalized_alias and a.concept_id <> b.concept_id) p where p.x in (select id from kb_concept where canonical_name like '%7') and (p.y not in (select id from kb_concept where canonical_name like '%7') or p.x < p.y)")
+simple("l2_sources_of_documents", lambda kb: kb.document.join(kb.source.select(F.col("id").alias("source_id"), F.col("document_id").alias("id"), "authorization"), "id").select(F.col("id").alias("document_id"), "source_id", "authorization"), ("document", "source"), "select d.id as document_id, s.id as source_id, s.authorization from kb_document d join kb_source s on s.document_id = d.id")
+simple("l6_occurrences_of_concepts", lambda kb: kb.concept_occurrence.groupBy("concept_id", "document_id").agg(F.count("*").alias("n"), F.min("page_number").alias("first_page"), F.max("char_end").alias("last_end")), ("concept_occurrence",), "select concept_id, document_id, count(*) as n, min(page_number) as first_page, max(char_end) as last_end from kb_concept_occurrence group by 1, 2")
+simple("l9_prerequisites_of_concepts", lambda kb: kb.edge.where("relation_type = 'REQUIRES' and lifecycle_status = 'ACTIVE'").select(F.col("from_concept_id").alias("concept_id"), F.col("to_concept_id").alias("required_id"), counter("to_concept_id").alias("required_n")), ("edge",), f"select from_concept_id as concept_id, to_concept_id as required_id, {_N.format('to_concept_id')} as required_n from kb_edge where relation_type = 'REQUIRES' and lifecycle_status = 'ACTIVE'")
+simple("l14_owners", lambda kb: kb.edge.where("to_knowledge_id is not null").groupBy(F.col("to_knowledge_id").alias("knowledge_id"), "relation_type").agg(F.countDistinct("from_concept_id").alias("n_owners"), F.min("from_concept_id").alias("first_owner")), ("edge",), "select to_knowledge_id as knowledge_id, relation_type, count(distinct from_concept_id) as n_owners, min(from_concept_id) as first_owner from kb_edge where to_knowledge_id is not null group by 1, 2")
+simple("l24_statements_by_prefix", lambda kb: kb.knowledge.where(F.startswith("canonical_name", F.lit("standard"))).select("id", "canonical_name"), ("knowledge",), "select id, canonical_name from kb_knowledge where starts_with(canonical_name, 'standard')")
+simple("u2_concepts_without_edges", lambda kb: kb.concept.select("id").join(kb.edge.select(F.col("from_concept_id").alias("id")).union(kb.edge.select("to_concept_id")), "id", "left_anti"), ("concept", "edge"), "select id from kb_concept where id not in (select from_concept_id from kb_edge union all select to_concept_id from kb_edge where to_concept_id is not null)")
+_FLAT = "trim(regexp_replace(text, '[\\x09-\\x0D\\x1C-\\x1F ]+', ' ', 'g'))"
+query("t2_collapsed", flat=True, sql=f"select doc_id, {_FLAT} as flat from documents where {_ASCII}")(lambda spark, d: _docs(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.collapse(F.col("text")).alias("flat")))
+query("t4_labels", flat=True, sql=f"select doc_id, 'Note: ' || case when length(f) <= 60 then f else rtrim(substring(f, 1, 60)) || '…' end as label from (select doc_id, {_FLAT} as f from documents where {_ASCII}) x")(lambda spark, d: _docs(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.label("Note", F.col("text")).alias("label")))
+query("t10_letters", flat=True, sql="select doc_id, case when length(text) = 0 then 0.0 else cast(length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) as double) / length(text) end as share from documents")(lambda spark, d: _docs(spark, d).select("doc_id", T.alpha_ratio(F.col("text")).alias("share")))
