@@ -109,6 +109,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # pieces are kept here, so the library's own cache is never hit
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.line_end = self._library("\n")
         self.marks = {x: self._library(x) for x in ".,"}
