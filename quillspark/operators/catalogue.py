@@ -210,6 +210,23 @@ def conflicts(kb: Base) -> DataFrame:
     return kb.conflict.where(F.col("lifecycle_status") == "ACTIVE").join(a, "claim_a_id").join(b, "claim_b_id").select("id", "claim_a_id", "claim_a", "claim_b_id", "claim_b")
 
 
+def concept_conflicts(kb: Base) -> DataFrame:
+    """(concept_id, conflict_id, claim_a_id, claim_a, claim_b_id, claim_b): the conflicts in force about what a concept's edges lead to.
+
+    Rows are judged by lifecycle alone; for a scope, pass tables of what is in it. A conflict stands once for each concept. A claim that is archived, deleted or unknown keeps its id and shows no
+    statement. Only active edges count, and conflicts that are neither archived nor deleted. Nothing linked gives no rows.
+    """
+    usable = kb.knowledge.where(~F.col("lifecycle_status").isin(*LEFT_OUT)).select(F.col("id").alias("knowledge_id"), "statement")
+    linked = kb.edge.where((F.col("lifecycle_status") == "ACTIVE") & F.col("to_knowledge_id").isNotNull()).select(F.col("from_concept_id").alias("concept_id"), F.col("to_knowledge_id").alias("knowledge_id"))
+    linked = linked.distinct().join(usable, "knowledge_id", "left_semi")
+    held = kb.conflict.where(~F.col("lifecycle_status").isin(*LEFT_OUT)).select(F.col("id").alias("conflict_id"), "claim_a_id", "claim_b_id")
+    sides = held.withColumn("knowledge_id", F.explode(F.array_distinct(F.array("claim_a_id", "claim_b_id"))))
+    found = linked.join(sides, "knowledge_id").select("concept_id", "conflict_id", "claim_a_id", "claim_b_id").distinct()
+    for side in ("a", "b"):
+        found = found.join(usable.toDF(f"claim_{side}_id", f"claim_{side}"), f"claim_{side}_id", "left")
+    return found.select("concept_id", "conflict_id", "claim_a_id", "claim_a", "claim_b_id", "claim_b")
+
+
 def compared_pairs(kb: Base) -> DataFrame:
     lo, hi = pair(F.col("canonical_knowledge_id"), F.col("other_knowledge_id"))
     return kb.equivalence.select(lo.alias("a"), hi.alias("b")).distinct()

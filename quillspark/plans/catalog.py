@@ -85,6 +85,7 @@ simple("a13_issue_examples", C.issue_examples, ("issue",), f"select document_id,
 simple("a15_first_evidence", C.first_evidence, ("source_occurrence",), f"select knowledge_id, max(n) as n_evidence, max(m) as n_sources, min(case when r = 1 then id end) as first_id, min(case when r = 1 then text end) as quote from (select *, count(*) over (partition by knowledge_id) as n, row_number() over (partition by knowledge_id order by {_N.format('document_id')}, page_number, char_start, {_N.format('id')}) as r from kb_source_occurrence) x join (select knowledge_id as kid, count(distinct source_id) as m from kb_source_occurrence group by 1) y on y.kid = x.knowledge_id group by knowledge_id")
 simple("a16_document_ingestion", C.ingestion, ("document", "run"), "select d.id as document_id, d.processing_status = 'PROCESSED' and coalesce(r.done, 0) = 1 as ready, concat_ws('; ', case when d.processing_status <> 'PROCESSED' then 'not fully parsed' end, case when coalesce(r.done, 0) = 0 then 'no completed run' end) as reasons from kb_document d left join (select document_id, max(case when status = 'COMPLETED' and extractor_version >= 4 then 1 else 0 end) as done from kb_run group by 1) r on r.document_id = d.id")
 simple("q24_conflicts", C.conflicts, ("conflict", "knowledge"), "select c.id, c.claim_a_id, a.statement as claim_a, c.claim_b_id, b.statement as claim_b from kb_conflict c join kb_knowledge a on a.id = c.claim_a_id join kb_knowledge b on b.id = c.claim_b_id where c.lifecycle_status = 'ACTIVE'")
+simple("r8_concept_conflicts", C.concept_conflicts, ("conflict", "knowledge", "edge"), "select distinct e.from_concept_id as concept_id, c.id as conflict_id, c.claim_a_id, a.statement as claim_a, c.claim_b_id, b.statement as claim_b from kb_edge e join kb_knowledge k on k.id = e.to_knowledge_id and k.lifecycle_status not in ('ARCHIVED', 'DELETED') join kb_conflict c on k.id in (c.claim_a_id, c.claim_b_id) and c.lifecycle_status not in ('ARCHIVED', 'DELETED') left join kb_knowledge a on a.id = c.claim_a_id and a.lifecycle_status not in ('ARCHIVED', 'DELETED') left join kb_knowledge b on b.id = c.claim_b_id and b.lifecycle_status not in ('ARCHIVED', 'DELETED') where e.lifecycle_status = 'ACTIVE'")
 simple("u1_evidence", lambda kb: E.evidence(kb).groupBy("subject_kind", "document_id").agg(F.count("*").alias("n"), F.min("page_number").alias("first_page")), _OCC, f"select subject_kind, document_id, count(*) as n, min(page_number) as first_page from ({_EVIDENCE}) e group by 1, 2")
 simple("u3_compared_pairs", C.compared_pairs, ("equivalence",), "select distinct least(canonical_knowledge_id, other_knowledge_id) as a, greatest(canonical_knowledge_id, other_knowledge_id) as b from kb_equivalence")
 simple("l8_edges_at_concept", lambda kb: C.touching(kb, "CPT-00001007"), ("edge",), "select id, relation_type, 'FROM' as at from kb_edge where from_concept_id = 'CPT-00001007' union all select id, relation_type, 'TO' from kb_edge where to_concept_id = 'CPT-00001007'")

@@ -2,12 +2,13 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import formulas, ids, text, units
-from quillspark.operators import dedup, detectors, evidence, graph, mentions, retrieval, structure
+from quillspark.operators import catalogue, dedup, detectors, evidence, graph, mentions, retrieval, structure
 
 
 def pages(spark, rows):
@@ -232,3 +233,15 @@ def test_units(spark):
 def test_filters(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "a")], "p int, q string")
     assert df.where(evidence.filters(p=[1, 2], q=["a"])).count() == 1 and df.where(evidence.filters(p=[])).count() == 3
+
+
+def test_concept_conflicts(spark):
+    knowledge = spark.createDataFrame([("K-1", "a", "ACTIVE"), ("K-2", "b", "ARCHIVED"), ("K-3", "c", "SUPERSEDED")], "id string, statement string, lifecycle_status string")
+    edges = [("C-1", "K-1", "ACTIVE"), ("C-1", "K-1", "ACTIVE"), ("C-1", "K-3", "ACTIVE"), ("C-2", "K-2", "ACTIVE"), ("C-3", "K-1", "INVALID"), ("C-4", None, "ACTIVE"), (None, "K-3", None)]
+    edge = spark.createDataFrame(edges, "from_concept_id string, to_knowledge_id string, lifecycle_status string")
+    conflicts = [("X-1", "K-1", "K-2", "ACTIVE"), ("X-2", "K-3", "K-1", "ACTIVE"), ("X-3", "K-1", "K-3", "DELETED"), ("X-4", "K-3", "K-9", "ACTIVE"), ("X-5", None, "K-1", None)]
+    conflict = spark.createDataFrame(conflicts, "id string, claim_a_id string, claim_b_id string, lifecycle_status string")
+    kb = SimpleNamespace(knowledge=knowledge, edge=edge, conflict=conflict)
+    want = [("C-1", "X-1", "K-1", "a", "K-2", None), ("C-1", "X-2", "K-3", "c", "K-1", "a"), ("C-1", "X-4", "K-3", "c", "K-9", None)]
+    assert sorted(tuple(r) for r in catalogue.concept_conflicts(kb).collect()) == want
+    assert catalogue.concept_conflicts(SimpleNamespace(knowledge=knowledge, edge=edge.where("false"), conflict=conflict)).count() == 0
