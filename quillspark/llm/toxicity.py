@@ -9,6 +9,7 @@ examples turns votes into calibrated scores.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from bisect import bisect_left
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +42,13 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-def _signature(text: str) -> int:
-    """The same for texts that differ in few words, mostly: the least hash of their three-word windows."""
-    w = text.lower().split()
-    return min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 5) >> 1 for i in range(max(1, len(w) - 2))), default=0)
+def _signature(text: str) -> bytes:
+    """The same for texts whose words are all the same in the same order, and for no others."""
+    return hashlib.sha256(" ".join(text.lower().split()).encode("utf-8", "surrogatepass")).digest()
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, terms, counts) of the examples; near copies of an example are left out, the one with the smallest doc_id stays."""
+    """(doc_id, toxic, terms, counts) of the examples; of examples with the same label and the same words in the same order the one with the smallest doc_id stays."""
     ship(docs.sparkSession)
     marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64(F.lit("toxic"), "label_id"), F.col("label_id")]
@@ -61,12 +60,12 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = [t or "" for t in b.column(2).to_pylist()]
             found = [sorted(terms(t).items()) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([_signature(t) for t in texts], pa.int64()), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array([_signature(t) for t in texts], pa.binary()), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))],
                 ["doc_id", "toxic", "signature", "terms", "counts"],
             )
 
-    each = rows.mapInArrow(run, "doc_id long, toxic int, signature long, terms array<string>, counts array<long>")
-    return each.groupBy("signature").agg(F.min(F.struct("doc_id", "toxic", "terms", "counts")).alias("x")).select("x.*")
+    each = rows.mapInArrow(run, "doc_id long, toxic int, signature binary, terms array<string>, counts array<long>")
+    return each.groupBy("signature", "toxic").agg(F.min(F.struct("doc_id", "terms", "counts")).alias("x")).select("x.doc_id", "toxic", "x.terms", "x.counts")
 
 
 def telling_terms(found: DataFrame) -> list[str]:

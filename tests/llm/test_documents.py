@@ -193,6 +193,13 @@ def test_toxicity(spark):
     assert {x["score"] for x in toxicity.score(d.limit(3), labels.limit(0)).collect()} == {0.0}
 
 
+def test_examples_drop_only_whole_copies(spark):
+    shared = "one shared passage of words"
+    texts = [f"{shared} and then {w} text" for w in ("alpha", "beta", "gamma")] + [f"  {shared.upper()} and then\nalpha TEXT"] + [f"{shared} and then alpha text"]
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    assert {(x["doc_id"], x["toxic"]) for x in toxicity.examples(frame(spark, rows(texts)), labels).collect()} == {(0, 0), (1, 1), (2, 0), (4, 1)}
+
+
 def test_neighbours_are_exact():
     r = random.Random(12)
     number = {f"t{i}": i for i in range(30)}
