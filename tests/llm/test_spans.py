@@ -1,5 +1,6 @@
 """Secret scan and personal data against plain scans of the same texts, and odd rows."""
 
+import math
 import random
 import re
 
@@ -48,6 +49,21 @@ def test_secrets_learn_a_format(spark):
     assert model.spans("theronanther anerthonthere and ononerththananer") == []
 
 
+def test_secrets_threshold_counts_all_candidates(spark):
+    r = random.Random(5)
+    code = lambda: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz" + "23456789" * 3) for _ in range(24))
+    word = lambda: "".join(r.choice(["th", "er", "on", "an"]) for _ in range(8)) + "123"
+    words = [word() for _ in range(300)]
+    texts = [f"password: {code()}" for _ in range(300)] + [" ".join(r.choice(words) for _ in range(40)) for _ in range(300)] + [f"the key {code()} is here" for _ in range(8)]
+    d = docs(spark, texts)
+    model = secrets.fit(d)
+    every = sorted(model.gain(s) for t in texts for _, _, s in secrets.candidates(t, secrets.base_spans(t)))
+    at = every[int(0.999 * len(every))]
+    assert len(every) == 12_008 and secrets.left_out(secrets.gains(d, model)) == math.floor(at / secrets.GAIN_STEP)
+    assert abs(model.threshold - max(secrets.LEAST_GAIN, at)) < 2 * secrets.GAIN_STEP
+    assert sum(k == 3 for x in secrets.scan(d, model).collect() for _, k, _ in x["found"]) == sum(g >= model.threshold for g in every) > 0
+
+
 def test_secrets_on_empty_table(spark):
     d = docs(spark, []).limit(0)
     assert secrets.scan(d, secrets.fit(d)).collect() == []
