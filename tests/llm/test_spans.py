@@ -49,6 +49,11 @@ def test_secrets_learn_a_format(spark):
     assert model.spans("theronanther anerthonthere and ononerththananer") == []
 
 
+@pytest.mark.parametrize("s", ["kJhGfDsAqWeRtYuI", "Zx7kQpLmNvBcXzAsDf", "9481726350918273", "ABCDEFGH12IJKLMNOP"])
+def test_secrets_candidates_need_no_digits_or_letters(s):
+    assert [x[2] for x in secrets.candidates(f"the key {s} is here", [])] == [s]
+
+
 def test_secrets_threshold_counts_all_candidates(spark):
     r = random.Random(5)
     code = lambda: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz" + "23456789" * 3) for _ in range(24))
