@@ -241,3 +241,15 @@ _FLAT = "trim(regexp_replace(text, '[\\x09-\\x0D\\x1C-\\x1F ]+', ' ', 'g'))"
 query("t2_collapsed", flat=True, sql=f"select doc_id, {_FLAT} as flat from documents where {_ASCII}")(lambda spark, d: _docs(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.collapse(F.col("text")).alias("flat")))
 query("t4_labels", flat=True, sql=f"select doc_id, 'Note: ' || case when length(f) <= 60 then f else rtrim(substring(f, 1, 60)) || '…' end as label from (select doc_id, {_FLAT} as f from documents where {_ASCII}) x")(lambda spark, d: _docs(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.label("Note", F.col("text")).alias("label")))
 query("t10_letters", flat=True, sql="select doc_id, case when length(text) = 0 then 0.0 else cast(length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) as double) / length(text) end as share from documents")(lambda spark, d: _docs(spark, d).select("doc_id", T.alpha_ratio(F.col("text")).alias("share")))
+
+# whole tables, where the queries above keep to the rows that their SQL covers; without SQL, held against plain versions
+
+
+def _normalised_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return _docs(spark, sf_dir).select("doc_id", T.normalised(F.col("text")).alias("normalised"))
+
+
+query("t1_normalised_all", flat=True)(_normalised_all)
+query("t2_collapsed_all", flat=True)(lambda spark, d: _docs(spark, d).select("doc_id", T.collapse(F.col("text")).alias("flat")))
+query("t4_labels_all", flat=True)(lambda spark, d: _docs(spark, d).select("doc_id", T.label("Note", F.col("text")).alias("label")))

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import unicodedata
 
 import duckdb
 import pytest
@@ -44,3 +45,13 @@ def test_core_needs_no_llm():
     for f in glob.glob(f"{root}/quillspark/**/*.py", recursive=True):
         if f"{os.sep}llm{os.sep}" not in f:
             assert "quillspark.llm" not in open(f).read(), f
+
+
+def test_texts_of_all_documents(spark, tmp_path):
+    texts = ["Plain  text\t here ", "ﬁne\u00a0 Straße\u2003ÉCOLE ", "\u3000Ｆｕｌｌ　width\u2028é", "日本 語" * 30, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r[0]: r[1] for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("t1_normalised_all", "t2_collapsed_all", "t4_labels_all")}
+    flat = [t if t is None else " ".join(t.split()) for t in texts]
+    assert got["t1_normalised_all"] == {i: t if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for i, t in enumerate(texts)}
+    assert got["t2_collapsed_all"] == dict(enumerate(flat))
+    assert got["t4_labels_all"] == {i: f if f is None else "Note: " + (f if len(f) <= 60 else f[:60].rstrip() + "…") for i, f in enumerate(flat)}
