@@ -1,9 +1,11 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-The mix is a row of equal slots of `block` words. Slot i has the point frac(i * golden ratio), which the cumulative
-targets map to a source; the r-th slot of a source takes the r-th block of words of that source, whose documents stand
-in shuffled order and are read at most twice over. Slots meet sources over a grid on the unit interval and blocks over
-(source, r), so no source, however large, is one join key.
+The mix is a row of slots of `block` words. Each source owns as many slots as its target fills, the last one in part.
+Slot i has the point frac(i * golden ratio), which the cumulative shares of the sources map to a source; a source that
+the points gave more slots than it owns hands the surplus to those that got fewer. The r-th slot of a source takes the
+r-th block of words of that source, whose documents stand in shuffled order and are read at most twice over. Points meet
+sources by a merge within the cells of a grid on the unit interval, and blocks meet slots by (source, rank), so no
+source, however large, is one join key, and a cell with many sources costs no more than its rows.
 """
 
 from __future__ import annotations
@@ -28,64 +30,71 @@ MOST_BLOCK = 8192
 SLOTS = 4096
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(source, source_size, target) for each source; sizes: (source, size). Windows here run over one row per source.
+def running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """df with, for each name, the sum of the value over all rows before in the order; ties in the order are broken at random, so there must be none.
 
-    Sources in code point order, null last, take the weights in turn. Targets stop at `epochs` times the source's size
-    and the rest is reshared by weight: with sources in order of size over weight, the capped ones come first, and the
-    others get the level that is left.
+    Rows are dealt by ranges of the order and written; sums run within a range and over the ranges, so no task holds all.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1)
-    t = totals.withColumn("weight", weight).withColumn("cap", F.lit(float(epochs)) * F.col("source_size"))
-    up = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    all_rows = up.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before = F.coalesce(F.sum("cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(up.rowsBetween(0, W.unboundedFollowing))
-    t = t.withColumn("level", (F.lit(share) * F.sum("source_size").over(all_rows) - before) / rest)
-    t = t.withColumn("open", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))
-    level = F.first("open", ignorenulls=True).over(all_rows)
-    return t.select("source", "source_size", F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("weight"))).alias("target"))
+    dealt = cut(df.repartitionByRange(*order).select("*", *(v.alias(f"_{n}") for n, v in values.items()), F.spark_partition_id().alias("_part")), "ranges")
+    run = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(*(F.sum(f"_{n}").alias(f"_all_{n}") for n in values))
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_all_{n}").over(run), F.lit(0)).alias(f"_before_{n}") for n in values))
+    within = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.select("*", *(F.coalesce(F.sum(f"_{n}").over(within), F.lit(0)).alias(f"_within_{n}") for n in values)).join(F.broadcast(parts), "_part")
+    return placed.select(*df.columns, *((F.col(f"_before_{n}") + F.col(f"_within_{n}")).alias(n) for n in values))
 
 
-def _same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """(source, sid, source_size, target) for each source, sid its number in code point order, null last; sizes: (source, size).
 
+    Sources take the weights in turn. Targets stop at `epochs` times the source's size and the rest is reshared by
+    weight: with sources in order of size over weight, the capped ones come first, and the others get the level that
+    is left.
+    """
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    t = running(totals, [F.col("source").asc_nulls_last()], sid=F.lit(1).cast("long"))
+    t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int")))
+    t = t.withColumn("cap", F.lit(float(epochs)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    t = cut(running(t, [F.col("ratio"), F.col("sid")], caps=F.col("cap"), weights=F.col("weight")), "caps")
+    whole = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    level = (F.lit(share * whole["size"]) - F.col("caps")) / (F.lit(whole["weight"]) - F.col("weights"))
+    found = t.where(level * F.col("weight") <= F.col("cap")).agg(F.min_by(level, F.struct("ratio", "sid"))).first()[0]
+    target = F.col("cap") if found is None else F.least(F.col("cap"), F.lit(found) * F.col("weight"))
+    return t.select("source", "sid", "source_size", target.alias("target"))
 
-def _streams(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source, size) with `start`, the words of the source before this document in shuffled order.
 
-    Two levels of running sums: over the hash buckets of a source, then within a bucket.
-    """
-    h = F.xxhash64(F.lit("mix"), "doc_id")
-    d = docs.where("size > 0").withColumn("h", h).withColumn("bucket", F.pmod(h, F.lit(BUCKETS)))
-    buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    run = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = buckets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
-    within = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return d.join(before, _same("source", "s") & (F.col("bucket") == F.col("b"))).select("doc_id", "source", "size", (F.col("before") + F.col("within")).alias("start"))
+def owned(targets: DataFrame, block: int) -> DataFrame:
+    """targets with `words`, the whole words that the mix takes of the source, and `slots`, as many as these fill, the last in part."""
+    words = F.floor(F.col("target") + 0.5)
+    return targets.withColumn("words", words).withColumn("slots", F.ceil(F.col("words") / block))
 
 
 def schedule(targets: DataFrame, block: int) -> DataFrame:
-    """(slot, source, rank): the source of each slot and the slot's number among those of its source."""
+    """(slot, sid, rank): the source of each slot and the number of the slot among those of its source; each source has as many as it owns. targets: (sid, target)."""
     spark = targets.sparkSession
-    up = W.orderBy(F.col("source").asc_nulls_last())
-    bounds = targets.where("target > 0").withColumn("to", F.sum("target").over(up.rowsBetween(W.unboundedPreceding, 0)))
-    total = F.max("to").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    bounds = bounds.select("source", F.col("to") / total, (F.col("to") - F.col("target")) / total, total).toDF("source", "hi", "lo", "all")
-    bounds = cut(bounds, "bounds")
-    words = bounds.agg(F.max("all")).first()[0] or 0.0
-    cells = bounds.select("source", "lo", F.when(F.col("hi") >= 1.0 - 1e-12, F.lit(2.0)).otherwise(F.col("hi")).alias("hi")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.floor(F.least(F.col("hi"), F.lit(0.9999999999)) * GRID))))
-    point = F.col("id") * F.lit(_GOLDEN) - F.floor(F.col("id") * F.lit(_GOLDEN))
-    slots = spark.range(round(words / block)).select(F.col("id").alias("slot"), point.alias("u")).withColumn("cell", F.floor(F.col("u") * GRID))
-    met = slots.join(cells, "cell").where("u >= lo and u < hi").select("slot", "source", F.floor(F.col("slot") / CHUNK).alias("chunk"))
-    per = met.groupBy("source", "chunk").agg(F.count("*").alias("n"))
-    run = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    before = per.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
-    ranked = met.withColumn("r", F.row_number().over(W.partitionBy("source", "chunk").orderBy("slot")) - 1)
-    return ranked.join(before, _same("source", "s") & (F.col("chunk") == F.col("c"))).select("slot", "source", (F.col("before") + F.col("r")).alias("rank"))
+    few = owned(targets, block).where("slots > 0").select("sid", "slots")
+    bounds = cut(running(few, [F.col("sid")], lo=F.col("slots")), "bounds")
+    n = bounds.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    width = max(1, -(-n // GRID))
+    cells = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("lo") + F.col("slots") - 1) / width)))
+    marks = bounds.withColumn("cell", cells).select("cell", F.greatest(F.col("lo"), F.col("cell") * width).alias("at"), F.lit(None).cast("long").alias("slot"), "sid")
+    turn = F.col("id") * F.lit(_GOLDEN)
+    at = F.least(F.floor((turn - F.floor(turn)) * n), F.lit(n - 1))
+    points = spark.range(n).select(F.floor(at / width).alias("cell"), at.alias("at"), F.col("id").alias("slot"), F.lit(None).cast("long").alias("sid"))
+    upto = W.partitionBy("cell").orderBy("at", F.col("slot").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    met = marks.union(points).withColumn("sid", F.last("sid", ignorenulls=True).over(upto)).where("slot is not null").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    met = cut(met, "slots")
+    per = met.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
+    run = W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select("sid", "chunk", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before")).join(few, "sid")
+    ranked = met.withColumn("r", F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1).join(per, ["sid", "chunk"])
+    ranked = cut(ranked.select("slot", "sid", (F.col("before") + F.col("r")).alias("rank"), "slots"), "ranks")
+    # the points miss the shares by a few slots for each source: surplus slots go to the sources that lack some, in order
+    spare = running(ranked.where("rank >= slots").select("slot"), [F.col("slot")], j=F.lit(1).cast("long"))
+    got = ranked.groupBy("sid").agg(F.count("*").alias("got"))
+    lack = few.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))).where("got < slots")
+    lack = running(lack.select("sid", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)).alias("rank")), [F.col("sid"), F.col("rank")], j=F.lit(1).cast("long"))
+    return ranked.where("rank < slots").select("slot", "sid", "rank").union(spare.join(lack, "j").select("slot", "sid", "rank"))
 
 
 def block_words(words: float, sources: int) -> int:
@@ -93,38 +102,71 @@ def block_words(words: float, sources: int) -> int:
     return int(min(MOST_BLOCK, max(1, SHARE * words // (SLOTS * max(1, sources)))))
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), F.col("text"), F.col("source").cast("string"))
+
+
+def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """sized with its source's columns and `start`, the words of the source before this row in shuffled order: running sums over the hash buckets of a source, then within a bucket."""
+    d = sized.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    run = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    named = targets.withColumnRenamed("source", "s")
+    buckets = buckets.join(named, _same("source", "s")).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", "sid", "source_size", "target", "words", "slots")
+    within = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    return d.join(buckets, _same("source", "s") & (F.col("bucket") == F.col("b"))).drop("s", "b").withColumn("start", F.col("before") + F.col("within"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """mix, with the row's key `h` besides."""
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _row_key().alias("h")), "sizes")
+    targets = source_targets(sized)
+    whole = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    block = block_words(whole, targets.count())
+    targets = cut(owned(targets, block), "targets")
+    d = cut(_placed(sized, targets), "placed")
+    # readings of a row: its words in the first and in the second pass over the source, as far as the source is taken
+    read = d.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))).withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size"))
+    end = F.least(F.col("at") + F.col("size"), F.col("words"))
+    first, last = F.floor(F.col("at") / block), F.floor((end - 1) / block)
+    pieces = read.withColumn("rank", F.explode(F.when(end > F.col("at"), F.sequence(first, last)).otherwise(F.array(F.lit(None).cast("long")))))
+    part = F.least(end, (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)
+    slots = schedule(targets, block).select(F.col("sid").alias("s"), F.col("rank").alias("k"))
+    columns = ("doc_id", "source", "size", "source_size", "target", "h")
+    taken = (
+        pieces.withColumn("part", part).join(slots, (F.col("sid") == F.col("s")) & (F.col("rank") == F.col("k")), "left")
+        .groupBy("sid", "start").agg(*(F.first(c).alias(c) for c in columns), F.sum(F.when(F.col("k").isNotNull(), F.col("part")).otherwise(0)).cast("long").alias("taken"))
+    )
+    empty = d.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    order = ["doc_id", "size", "source_size", "target", "taken", "source", "h"]
+    return taken.select(*order).union(empty.select(*order))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text, source): (doc_id, size, source_size, target, taken, source).
 
     size counts words (null: 0); taken counts the words that the mix takes of this row, repeats included, at most
-    twice its size. A null source is a source of its own. Rows without words take nothing. Rows with the same doc_id
-    and size are interchangeable. An empty table gives no rows. The same rows give the same mix again.
+    twice its size. The words taken of a source are its target, rounded to a whole word. A null source is a source of
+    its own. Rows without words take nothing. Rows that are equal throughout are interchangeable. An empty table gives
+    no rows. The same rows give the same mix again.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "sizes")
-    targets = cut(source_targets(sized), "targets")
-    whole = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n"), F.count("*").alias("k")).first()
-    block = block_words(whole["n"], whole["k"])
-    named = targets.select(F.col("source").alias("s"), "source_size", "target")
-    stream = _streams(sized).join(named, _same("source", "s")).drop("s")
-    # readings of a document: its words in the first and in the second pass over the source
-    read = stream.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))).withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size"))
-    last = F.floor((F.col("at") + F.col("size") - 1) / block)
-    pieces = read.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block), last)))
-    part = F.least(F.col("at") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)
-    slots = schedule(targets, block).select(F.col("source").alias("s"), F.col("rank").alias("k"))
-    taken = (
-        pieces.withColumn("part", part).join(slots, _same("source", "s") & (F.col("rank") == F.col("k")), "left")
-        .groupBy("doc_id", "source", "start", "size", "source_size", "target")
-        .agg(F.sum(F.when(F.col("k").isNotNull(), F.col("part")).otherwise(0)).alias("taken"))
-    )
-    empty = sized.where("size = 0").join(named, _same("source", "s")).withColumn("taken", F.lit(0))
-    columns = ["doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source"]
-    return taken.select(*columns).union(empty.select(*columns))
+    return mixed(docs).drop("h")
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """docs as often as the mix takes them: each row zero, one or two times, the words taken over its words, rounded half up."""
+    """docs as often as the mix takes them: each row zero, one or two times, the words taken over its words, rounded half up.
+
+    A source is taken as a run of its shuffled rows, so rounding touches one row of each source at most. Of rows that
+    are equal in doc_id, text and source each comes as often as the one that is taken most; rows without words go; an
+    empty table gives no rows; all columns stay as they are.
+    """
     copies = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))
-    taken = mix(docs).where("size > 0").groupBy("doc_id").agg(F.max(copies).cast("int").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "taken_id")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return joined.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(docs[c] for c in docs.columns))
+    taken = mixed(docs).where("size > 0").groupBy(F.col("h").alias("taken_h"), F.col("doc_id").alias("taken_id")).agg(F.max(copies).cast("int").alias("copies")).where("copies > 0")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _row_key().alias("key"), F.col("doc_id").cast("long").alias("id"))
+    joined = keyed.join(taken, (F.col("key") == F.col("taken_h")) & F.col("id").eqNullSafe(F.col("taken_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -1,23 +1,25 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms (words, and the first letters of longer words) that tell the labels apart beyond chance span the vectors; their
-document frequencies are counted over all documents. Labelled examples stand in an inverted index in blocks with each
-term's largest weight in a block; a query visits blocks by falling upper bound and stops when no block can reach its
-k-th neighbour, so neighbours are exact. They vote with their similarity; an isotonic fit to leave-one-out votes of the
-examples turns votes into calibrated scores.
+All terms of the examples (words, and the first letters of longer words) span the vectors. A term's weight is its
+logarithmic count times its inverse frequency over all documents times its relevance, which grows with how surely the
+term tells the labels apart and is never zero. Labelled examples stand in an inverted index in blocks: rare
+terms have postings, frequent ones rows with each block's largest weight. A query adds up its rare terms, bounds the
+rest by the block maxima, and completes only blocks that can still hold one of its nearest, so neighbours are exact.
+They vote with their squared cosine; an isotonic fit to leave-one-out votes of the examples makes calibrated scores.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
 PARTS, HELD_OUT = 5, 0
 #: Neighbours that vote; examples in a block; the prior's weight among the votes; letters of a stem.
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, STEM = 15, 64, 0.3, 5
+#: Terms in more than this share of the examples have rows instead of postings.
+FREQUENT = 1 / 8
+#: Standard errors by which a term must tell the labels apart; the relevance of all terms that don't.
+SURE, LEAST_RELEVANCE = 3.0, 0.01
+LEAST_HASHES = 3
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -48,9 +55,13 @@ def _signature(text: str) -> bytes:
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic, terms, counts) of the examples; of examples with the same label and the same words in the same order the one with the smallest doc_id stays."""
+    """(doc_id, toxic, terms, counts) of the examples; of examples with the same label and the same words in the same order the one with the smallest doc_id stays.
+
+    Labels without a doc_id or a value teach nothing, nor do labels of rows that docs lacks; a label that is repeated
+    counts once; no labels give no rows.
+    """
     ship(docs.sparkSession)
-    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
+    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     order = [F.xxhash64(F.lit("toxic"), "label_id"), F.col("label_id")]
     some = marked.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).union(marked.where("toxic = 0").orderBy(*order).limit(CLEAN_ROWS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", "text")
@@ -68,69 +79,84 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return each.groupBy("signature", "toxic").agg(F.min(F.struct("doc_id", "terms", "counts")).alias("x")).select("x.doc_id", "toxic", "x.terms", "x.counts")
 
 
-def telling_terms(found: DataFrame) -> list[str]:
-    """Terms whose share of toxic examples differs from that of all by more than the largest chance difference among so many terms (log-likelihood ratio)."""
-    n, toxic = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not 0 < toxic < n:
-        return []
-    seen = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
-    seen = cut(seen.where("n > 1"), "terms")
-    least = 2 * math.log(max(2, seen.count()))
-    p = toxic / n
-    ln = lambda k, share: F.when(k > 0, k * F.log(k / share)).otherwise(0.0)
-    k, rest = F.col("k").cast("double"), (F.col("n") - F.col("k")).cast("double")
-    outside = ln(toxic - k, (n - F.col("n")) * p) + ln((n - toxic) - rest, (n - F.col("n")) * (1 - p))
-    gain = 2 * (ln(k, F.col("n") * p) + ln(rest, F.col("n") * (1 - p)) + outside)
-    return sorted(r[0] for r in seen.where((gain > least) & (k / F.col("n") > max(0.5, p))).select("term").collect())
+def relevance(examples_weight: np.ndarray, toxic: np.ndarray, at: list[list[int]], n_terms: int) -> np.ndarray:
+    """For each term how far the log odds of the labels, given the term, surely lie from even: SURE standard errors less than they do, LEAST_RELEVANCE at least."""
+    sizes = [len(x) for x in at]
+    flat = np.fromiter((i for x in at for i in x), np.int64, sum(sizes))
+    held = lambda weight: np.bincount(flat, np.repeat(weight, sizes), minlength=n_terms).astype(np.float64) + 0.5
+    bad, good = examples_weight * toxic, examples_weight * (1 - toxic)
+    k, m = held(bad), held(good)
+    odds = np.log(k / (bad.sum() + 1)) - np.log(m / (good.sum() + 1))
+    return np.maximum(LEAST_RELEVANCE, np.abs(odds) - SURE * np.sqrt(1 / k + 1 / m))
+
+
+def shares(kinds: list[list[str]], toxic: list[int]) -> np.ndarray:
+    """One for each example, parted among those with the same label whose terms have the same LEAST_HASHES least hashes: near copies. Only relevance is counted with it."""
+    least = [(*heapq.nsmallest(LEAST_HASHES, map(xxhash.xxh64_intdigest, x)), y) for x, y in zip(kinds, toxic, strict=True)]
+    n = Counter(least)
+    return np.array([1 / n[x] for x in least])
 
 
 class Index:
-    """Unit vectors of the examples in an inverted index with block maxima."""
+    """Unit vectors of the examples, (term numbers ascending, weights) each, in an inverted index with block maxima."""
 
-    def __init__(self, term_of: dict[str, int], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]]):
-        order = sorted(range(len(ids)), key=lambda i: (-int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else 1, ids[i]))
-        self.term_of, self.idf = term_of, idf
+    def __init__(self, weight: np.ndarray, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]]):
+        n, self.weight = len(ids), weight
+        lead = [int(t[np.argmax(w)]) if len(t) else len(weight) for t, w in vectors]
+        order = sorted(range(n), key=lambda i: (lead[i], ids[i]))
         self.ids, self.labels = np.array([ids[i] for i in order], np.int64), np.array([labels[i] for i in order], np.int8)
-        self.blocks = -(-len(ids) // BLOCK)
-        posts: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, w in zip(*vectors[i], strict=True):
-                posts.setdefault(int(t), []).append((at, float(w)))
-        self.most = np.zeros((len(term_of), self.blocks))
-        self.posts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for t, rows in posts.items():
-            by: dict[int, list[tuple[int, float]]] = {}
-            for at, w in rows:
-                by.setdefault(at // BLOCK, []).append((at % BLOCK, w))
-            for b, inside in by.items():
-                self.posts[t, b] = np.array([x for x, _ in inside]), np.array([w for _, w in inside])
-                self.most[t, b] = max(w for _, w in inside)
-        self.prior = float(self.labels.mean()) if len(ids) else 0.0
+        sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
+        at = np.repeat(np.arange(n), sizes)
+        term = np.concatenate([vectors[i][0] for i in order]) if n else np.zeros(0, np.int64)
+        w = np.concatenate([vectors[i][1] for i in order]) if n else np.zeros(0)
+        by_term = np.argsort(term, kind="stable")
+        at, term, w = at[by_term], term[by_term], w[by_term]
+        df = np.bincount(term, minlength=len(weight))
+        often = np.flatnonzero(df > FREQUENT * n)
+        self.row = np.full(len(weight), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.blocks = -(-n // BLOCK)
+        self.rows = np.zeros((len(often), self.blocks * BLOCK))
+        frequent = self.row[term] >= 0
+        self.rows[self.row[term[frequent]], at[frequent]] = w[frequent]
+        self.most = self.rows.reshape(len(often), self.blocks, BLOCK).max(2) if n else np.zeros((0, 0))
+        self.at, self.w = at[~frequent].astype(np.int32), w[~frequent]
+        df[often] = 0
+        self.start = np.concatenate([[0], np.cumsum(df)])
+        self.prior = float(self.labels.mean()) if n else 0.0
         self.curve: tuple[list[float], list[float]] = ([], [])
 
-    def vector(self, at: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The unit TF-IDF vector of term numbers and counts, with logarithmic counts."""
-        t = np.array(at, np.int64)
-        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / (np.linalg.norm(w) or 1.0)
-
     def neighbours(self, t: np.ndarray, w: np.ndarray, but: int | None = None) -> list[tuple[float, int, int]]:
         """(cosine, example id, label) of the nearest examples with a common term, but the one with id `but`; ties go to the smaller id."""
-        if not len(t):
+        if not len(t) or not len(self.ids):
             return []
-        bound = w @ self.most[t]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == NEIGHBOURS and bound[b] < best[-1][0] - 1e-9:
-                break
-            sums = np.zeros(BLOCK)
-            for x, q in zip(t.tolist(), w.tolist(), strict=True):
-                if (p := self.posts.get((x, int(b)))) is not None:
-                    sums[p[0]] += q * p[1]
-            base = int(b) * BLOCK
-            near = [(round(float(sums[i]), 9), int(self.ids[base + i]), int(self.labels[base + i])) for i in np.flatnonzero(sums > 0)]
-            best = sorted([*best, *(x for x in near if x[1] != but)], key=lambda x: (-x[0], x[1]))[:NEIGHBOURS]
-        return best
+        row = self.row[t]
+        often = row >= 0
+        rows, wo, tr, wr = row[often], w[often], t[~often], w[~often]
+        first = self.start[tr]
+        size = self.start[tr + 1] - first
+        places = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(tr) else np.zeros(0, np.int64)
+        sums = np.bincount(self.at[places], self.w[places] * np.repeat(wr, size), minlength=self.blocks * BLOCK).astype(np.float64)
+        if but is not None:
+            sums[np.flatnonzero(self.ids == but)] = -np.inf
+        want = min(NEIGHBOURS, len(sums))
+        least = max(0.0, float(np.partition(sums, -want)[-want]))
+        columns = np.arange(len(sums))
+        if len(rows):
+            bound = wo @ self.most[rows]
+            blocks = np.flatnonzero(sums.reshape(-1, BLOCK).max(1) + bound >= least - 1e-9)
+            if len(blocks) * 2 > self.blocks:
+                sums += wo @ self.rows[rows]
+            else:
+                columns = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                sums[columns] += wo @ self.rows[rows[:, None], columns]
+            least = max(0.0, float(np.partition(sums[columns], -want)[-want])) if len(columns) >= want else 0.0
+        near = columns[(sums[columns] >= least - 1e-9) & (sums[columns] > 0)]
+        found = [(round(float(sums[i]), 9), int(self.ids[i]), int(self.labels[i])) for i in near.tolist()]
+        return sorted(found, key=lambda x: (-x[0], x[1]))[:NEIGHBOURS]
+
+    def vector(self, at: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        return unit(self.weight, at, counts)
 
     def vote(self, near: list[tuple[float, int, int]]) -> float:
         """The neighbours' labels weighed by their squared cosines, with the prior as one more vote."""
@@ -141,73 +167,104 @@ class Index:
         """Pool adjacent violators: ascending votes get ascending shares of toxic examples."""
         pools: list[list[float]] = []
         for v, y in sorted(zip(votes, labels, strict=True)):
-            pools.append([v, float(y), 1.0])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            pools.append([v, v, float(y), 1.0])
+            while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
                 last = pools.pop()
-                pools[-1] = [last[0], pools[-1][1] + last[1], pools[-1][2] + last[2]]
-        self.curve = [p[0] for p in pools], [(p[1] + self.prior) / (p[2] + 1) for p in pools]
-
-    def score(self, vote: float) -> float:
-        """The calibrated share, with a hundredth of the vote itself so that no two votes tie."""
-        if not self.curve[0]:
-            return vote
-        at = min(bisect_left(self.curve[0], vote), len(self.curve[0]) - 1)
-        return 0.99 * self.curve[1][at] + 0.01 * vote
-
-
-def featurised(docs: DataFrame, chosen: list[str]) -> DataFrame:
-    """(doc_id, at, counts) of each row of docs: the numbers of the chosen terms in its whole text, and how often they occur."""
+                pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+        at = [(x, (p[2] + self.prior) / (p[3] + 1)) for p in pools for x in p[:2]]
+        self.curve = [x for x, _ in at], np.maximum.accumulate([y for _, y in at]).tolist()
+
+    def score(self, near: list[tuple[float, int, int]]) -> float:
+        """The calibrated share of toxic examples at the neighbours' vote, between pools in proportion, with a hundredth of the vote itself so that no two votes tie; the prior without neighbours."""
+        if not near:
+            return self.prior
+        vote = self.vote(near)
+        return 0.99 * float(np.interp(vote, *self.curve)) + 0.01 * vote
+
+
+def unit(weight: np.ndarray, at: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vector of term numbers and counts, with logarithmic counts."""
+    t = np.array(at, np.int64)
+    w = (1 + np.log(np.array(counts, np.float64))) * weight[t] if len(t) else np.zeros(0)
+    t, w = t[w > 0], w[w > 0]
+    return t, w / (np.linalg.norm(w) or 1.0)
+
+
+class Reader:
+    """Counts numbered terms in texts. White space parts words, so a text is read token by token, equal tokens once."""
+
+    def __init__(self, number: dict[str, int]):
+        self.words = {w: i for w, i in number.items() if w[-1] != "*"}
+        self.stems = {w[:-1]: i for w, i in number.items() if w[-1] == "*"}
+
+    def counted(self, text: str | None) -> tuple[list[int], list[int]]:
+        """The numbers of the terms in a whole text, ascending, and how often each occurs."""
+        found: dict[int, int] = {}
+        word, stem, get = self.words.get, self.stems.get, found.get
+        for token, n in Counter((text or "").lower().split()).items():
+            for w in (token,) if token.isalpha() else _LETTERS.findall(token):
+                if (i := word(w)) is not None:
+                    found[i] = get(i, 0) + n
+                if len(w) > STEM and (i := stem(w[:STEM])) is not None:
+                    found[i] = get(i, 0) + n
+        at = sorted(found)
+        return at, [found[i] for i in at]
+
+
+def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many hold each numbered term."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(chosen)}, {w[:-1] for w in chosen if w[-1] == "*"}))
+    shared = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, stems = shared.value
+        seen, n, reader = np.zeros(len(shared.value), np.int64), 0, Reader(shared.value)
         for b in batches:
-            at, counts = [], []
-            for text in b.column(1).to_pylist():
-                found: Counter = Counter()
-                for w in _LETTERS.findall(text.lower()) if text else ():
-                    if w in number:
-                        found[number[w]] += 1
-                    if len(w) > STEM and w[:STEM] in stems:
-                        found[number[w[:STEM] + "*"]] += 1
-                at.append(sorted(found))
-                counts.append([found[t] for t in at[-1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "at", "counts"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, at array<int>, counts array<long>")
+            n += b.num_rows
+            for text in b.column(0).to_pylist():
+                seen[reader.counted(text)[0]] += 1
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([n, *seen[some]], pa.int64())], ["t", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n = rows.column("t").to_numpy(), rows.column("n").to_numpy()
+    df = np.zeros(len(number), np.int64)
+    df[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), df
+
+
+def build(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], Index]:
+    """The numbers of the terms and the calibrated index; the examples, bounded in number, are gathered on the driver."""
+    known = cut(examples(docs, labels), "examples").toArrow().sort_by("doc_id").to_pydict()
+    kinds = known["terms"]
+    number = {w: i for i, w in enumerate(sorted({w for x in kinds for w in x}))}
+    at = [[number[w] for w in x] for x in kinds]
+    n, df = document_frequencies(docs, number)
+    weight = np.log((n + 1) / (df + 1)) * relevance(shares(kinds, known["toxic"]), np.array(known["toxic"], np.int64), at, len(number))
+    vectors = [unit(weight, x, c) for x, c in zip(at, known["counts"], strict=True)]
+    index = Index(weight, known["doc_id"], known["toxic"], vectors)
+    index.calibrate([index.vote(index.neighbours(*v, but=i)) for i, v in zip(known["doc_id"], vectors, strict=True)], known["toxic"])
+    return number, index
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: (doc_id, score, evidence), evidence the nearest examples as id:cosine:label.
 
-    labels: the rows to learn from. Null and empty texts, and texts without a telling term, have no neighbours and get
-    the score of the prior. No labels, or one label alone, give score 0 to all. Repeated rows are scored alike; an
-    empty table gives no rows.
+    labels: the rows to learn from. Null and empty texts, and texts without a term of the examples, have no neighbours
+    and get the score of the prior. No labels, or clean ones alone, give score 0 to all; toxic ones alone give 1.
+    Repeated rows are scored alike; an empty table gives no rows. Texts are read whole, in two passes.
     """
     ship(docs.sparkSession)
-    known = cut(examples(docs, labels), "examples")
-    chosen = telling_terms(known)
-    rows = cut(featurised(docs, chosen), "features")
-    n = rows.count()
-    df = {r["t"]: r["n"] for r in rows.select(F.explode("at").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([math.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(chosen))])
-    number = {w: i for i, w in enumerate(chosen)}
-    few = known.select("doc_id", "toxic", F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin(chosen) if chosen else F.lit(False)).alias("x")).orderBy("doc_id").collect()
-    index = Index(number, idf, [], [], [])
-    vectors = [index.vector([number[x["terms"]] for x in r["x"]], [x["counts"] for x in r["x"]]) for r in few]
-    index = Index(number, idf, [r["doc_id"] for r in few], [r["toxic"] for r in few], vectors)
-    index.calibrate([index.vote(index.neighbours(*v, but=r["doc_id"])) for r, v in zip(few, vectors, strict=True)], [r["toxic"] for r in few])
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(build(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        number, model = shared.value
+        reader = Reader(number)
         for b in batches:
             scores, evidence = [], []
-            for at, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                near = model.neighbours(*model.vector(at, counts))
-                scores.append(model.score(model.vote(near)))
+            for text in b.column(1).to_pylist():
+                near = model.neighbours(*model.vector(*reader.counted(text)))
+                scores.append(model.score(near))
                 evidence.append(" ".join(f"{i}:{s:.4f}:{y}" for s, i, y in near))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], ["doc_id", "score", "evidence"])
 
-    return rows.mapInArrow(run, "doc_id long, score double, evidence string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, evidence string")
