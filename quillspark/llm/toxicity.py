@@ -11,7 +11,6 @@ They vote with their squared cosine; an isotonic fit to leave-one-out votes of t
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import re
 from collections import Counter
@@ -19,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ PARTS, HELD_OUT = 5, 0
 #: Neighbours that vote; examples in a block; the prior's weight among the votes; letters of a stem.
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, STEM = 15, 64, 0.3, 5
 #: Terms in more than this share of the examples have rows instead of postings.
-FREQUENT = 1 / 8
+FREQUENT = 1 / 4
 #: Standard errors by which a term must tell the labels apart; the relevance of all terms that don't.
 SURE, LEAST_RELEVANCE = 3.0, 0.01
 LEAST_HASHES = 3
@@ -79,20 +79,19 @@ def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return each.groupBy("signature", "toxic").agg(F.min(F.struct("doc_id", "terms", "counts")).alias("x")).select("x.doc_id", "toxic", "x.terms", "x.counts")
 
 
-def relevance(examples_weight: np.ndarray, toxic: np.ndarray, at: list[list[int]], n_terms: int) -> np.ndarray:
-    """For each term how far the log odds of the labels, given the term, surely lie from even: SURE standard errors less than they do, LEAST_RELEVANCE at least."""
-    sizes = [len(x) for x in at]
-    flat = np.fromiter((i for x in at for i in x), np.int64, sum(sizes))
-    held = lambda weight: np.bincount(flat, np.repeat(weight, sizes), minlength=n_terms).astype(np.float64) + 0.5
-    bad, good = examples_weight * toxic, examples_weight * (1 - toxic)
+def relevance(share: np.ndarray, toxic: np.ndarray, term: np.ndarray, sizes: np.ndarray, n_terms: int) -> np.ndarray:
+    """For each term how far the log odds of the labels, given the term, surely lie from even: SURE standard errors less than they do, LEAST_RELEVANCE at least. term: the terms of all examples one after another, `sizes` of each; an example counts with its share."""
+    held = lambda weight: np.bincount(term, np.repeat(weight, sizes), minlength=n_terms).astype(np.float64) + 0.5
+    bad, good = share * toxic, share * (1 - toxic)
     k, m = held(bad), held(good)
     odds = np.log(k / (bad.sum() + 1)) - np.log(m / (good.sum() + 1))
     return np.maximum(LEAST_RELEVANCE, np.abs(odds) - SURE * np.sqrt(1 / k + 1 / m))
 
 
-def shares(kinds: list[list[str]], toxic: list[int]) -> np.ndarray:
-    """One for each example, parted among those with the same label whose terms have the same LEAST_HASHES least hashes: near copies. Only relevance is counted with it."""
-    least = [(*heapq.nsmallest(LEAST_HASHES, map(xxhash.xxh64_intdigest, x)), y) for x, y in zip(kinds, toxic, strict=True)]
+def shares(hashes: np.ndarray, toxic: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One for each example, parted among those with the same label whose terms have the same LEAST_HASHES least hashes: near copies. Only relevance is counted with it. hashes: of the terms of all examples one after another."""
+    parts = np.split(hashes, np.cumsum(sizes)[:-1]) if len(sizes) else []
+    least = [(y, *np.sort(x)[:LEAST_HASHES].tolist()) for x, y in zip(parts, toxic.tolist(), strict=True)]
     n = Counter(least)
     return np.array([1 / n[x] for x in least])
 
@@ -182,9 +181,9 @@ class Index:
         return 0.99 * float(np.interp(vote, *self.curve)) + 0.01 * vote
 
 
-def unit(weight: np.ndarray, at: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def unit(weight: np.ndarray, at: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The unit vector of term numbers and counts, with logarithmic counts."""
-    t = np.array(at, np.int64)
+    t = np.asarray(at, np.int64)
     w = (1 + np.log(np.array(counts, np.float64))) * weight[t] if len(t) else np.zeros(0)
     t, w = t[w > 0], w[w > 0]
     return t, w / (np.linalg.norm(w) or 1.0)
@@ -233,16 +232,27 @@ def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int,
 
 
 def build(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], Index]:
-    """The numbers of the terms and the calibrated index; the examples, bounded in number, are gathered on the driver."""
-    known = cut(examples(docs, labels), "examples").toArrow().sort_by("doc_id").to_pydict()
-    kinds = known["terms"]
-    number = {w: i for i, w in enumerate(sorted({w for x in kinds for w in x}))}
-    at = [[number[w] for w in x] for x in kinds]
+    """The numbers of the terms and the calibrated index; the examples, bounded in number, are gathered on the driver as Arrow columns."""
+    known = cut(examples(docs, labels), "examples").toArrow().sort_by("doc_id")
+    ids, toxic = known.column("doc_id").to_pylist(), known.column("toxic").to_numpy().astype(np.int64)
+    lists = known.column("terms").combine_chunks()
+    coded = pc.dictionary_encode(lists.flatten())
+    sizes = np.diff(lists.offsets.to_numpy().astype(np.int64))
+    counts = known.column("counts").combine_chunks().flatten().to_numpy()
+    words = coded.dictionary.to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)
+    number = {words[i]: at for at, i in enumerate(order)}
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    term = place[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in order), np.uint64, len(order))
+    del known, lists, coded, words
     n, df = document_frequencies(docs, number)
-    weight = np.log((n + 1) / (df + 1)) * relevance(shares(kinds, known["toxic"]), np.array(known["toxic"], np.int64), at, len(number))
-    vectors = [unit(weight, x, c) for x, c in zip(at, known["counts"], strict=True)]
-    index = Index(weight, known["doc_id"], known["toxic"], vectors)
-    index.calibrate([index.vote(index.neighbours(*v, but=i)) for i, v in zip(known["doc_id"], vectors, strict=True)], known["toxic"])
+    weight = np.log((n + 1) / (df + 1)) * relevance(shares(hashes[term], toxic, sizes), toxic, term, sizes, len(number))
+    ends = np.cumsum(sizes)[:-1]
+    vectors = [unit(weight, t, c) for t, c in zip(np.split(term, ends), np.split(counts, ends), strict=True)] if ids else []
+    index = Index(weight, ids, toxic.tolist(), vectors)
+    index.calibrate([index.vote(index.neighbours(*v, but=i)) for i, v in zip(ids, vectors, strict=True)], toxic.tolist())
     return number, index
 
 
