@@ -1,8 +1,7 @@
-"""What the operators share: reading tables, cutting lineage in the shared folder, stable splits and counts of words."""
+"""What the operators share: reading tables, cutting lineage in the shared folder, joins with hot keys, stable splits and counts of words."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -10,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.session import ship
+from quillspark.storage import new_path, shared_dir, written
 
-__all__ = ["GAP", "WORD", "crc_mod", "cut", "n_words", "new_path", "resident", "shared_dir", "ship", "table", "words_of"]
+__all__ = ["GAP", "WORD", "crc_mod", "cut", "join_hot", "n_words", "new_path", "resident", "shared_dir", "ship", "table", "words_of"]
 T = TypeVar("T")
 
 #: Fixed values of the contracts: a word is a run of anything but ASCII white space.
@@ -23,15 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/quillspark-shared"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 _RESIDENT: dict[object, object] = {}
 
 
@@ -43,16 +34,21 @@ def resident(key: object, build: Callable[[], T]) -> T:
     return _RESIDENT[key]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    return written(df, name)
+
 
+#: A key is hot if it has more than one in so many of all rows; there are fewer hot keys than this.
+HOT = 1000
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df once to the shared folder and read it back: what comes before is never computed again, also not after a lost executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def join_hot(rows: DataFrame, named: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with named, which has each key of rows once and in `n` how many rows have it; rows of hot keys stay where they are and meet the fewer than HOT hot keys by broadcast, so no key is a hot spot of the shuffle."""
+    total = named.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = named.where(F.col(n) * HOT > total).drop(n)
+    rest = named.where(F.col(n) * HOT <= total).drop(n)
+    near = rows.join(F.broadcast(hot), key)
+    return near.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
 def crc_mod(column: str | Column, n: int) -> Column:

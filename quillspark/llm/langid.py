@@ -198,7 +198,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose language is `und`; all columns stay as they are. Rows are judged in place, without a shuffle."""
+    """docs without the rows whose language is `und`; all columns stay as they are. Rows are judged in place, without a shuffle.
+
+    Null texts and texts without a letter go. A model that learnt no language rejects nothing else.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.packed())
     at = docs.columns.index("text")
@@ -206,6 +209,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = Model.unpacked(shared.value)
-            yield b.filter(pa.array([known.predict(t)[0] != UNKNOWN for t in b.column(at).to_pylist()], pa.bool_()))
+            keep = [known.predict(t)[0] != UNKNOWN if known.langs else any(map(str.isalpha, t or "")) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
