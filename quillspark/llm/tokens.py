@@ -7,7 +7,9 @@ A file set is a Parquet folder whose rows are blocks in document order. A block
   width            2 or 4
   n_docs, universe number of documents and of ids
   low_bits, low, high, hints   the ends of the documents as an Elias-Fano sequence
-  doc_ids          8 bytes each, little-endian
+  n_null, first_id, last_id, id_bits, id_low, id_high, id_hints   doc_ids: how many are null, which come first, and the others,
+                   less the first of them, as an Elias-Fano sequence too
+No part of a block is a table of 64-bit numbers.
 Spark's writer commits whole tasks only, so a lost executor leaves no half-written file.
 """
 
@@ -34,7 +36,7 @@ END_ID = 0
 #: Texts that a worker encodes together.
 TOGETHER = 64
 HINT_EVERY = 256
-SCHEMA = "part int, block int, first long, width int, n_docs int, universe long, low_bits int, low binary, high binary, hints binary, doc_ids binary, ids binary"
+SCHEMA = "part int, block int, first long, width int, n_docs int, universe long, low_bits int, low binary, high binary, hints binary, n_null int, first_id long, last_id long, id_bits int, id_low binary, id_high binary, id_hints binary, ids binary"
 
 
 class EliasFano:
@@ -60,31 +62,34 @@ class EliasFano:
         pack = lambda x: np.packbits(x, bitorder="little").tobytes()
         return cls(n, universe, bits, pack(lows.ravel()), pack(unary), places[::HINT_EVERY].astype("<u8").tobytes())
 
-    def decode(self) -> np.ndarray:
-        """All numbers."""
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        high = (places - np.arange(self.n)).astype(np.int64) << self.low_bits
+    def some(self, first: int, last: int) -> np.ndarray:
+        """Numbers `first` to `last` - 1, by select: only the stretches of the code that hold them are read."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError(last)
+        if first == last:
+            return np.zeros(0, np.uint64)
+        hints = np.frombuffer(self.hints, "<u8")
+        start = int(hints[first // HINT_EVERY])
+        end = int(hints[h]) if (h := -(-last // HINT_EVERY)) < len(hints) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[start // 8 : -(-end // 8)], bitorder="little")[start % 8 :]
+        skip = first % HINT_EVERY
+        places = start + np.flatnonzero(bits)[skip : skip + last - first]
+        high = (places - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)
         if not self.low_bits:
             return high
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits]
-        return high + bits.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        at = first * self.low_bits
+        bits = np.unpackbits(np.frombuffer(self.low, np.uint8)[at // 8 : -(-last * self.low_bits // 8)], bitorder="little")[at % 8 :][: (last - first) * self.low_bits]
+        return high | (bits.reshape(-1, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+    def decode(self) -> np.ndarray:
+        """All numbers."""
+        return self.some(0, self.n).astype(np.int64)
 
     def select(self, i: int) -> int:
         """Number i, counted from 0."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        start = int(np.frombuffer(self.hints, "<u8")[i // HINT_EVERY])
-        left, byte, place = i % HINT_EVERY, start // 8, start
-        skip = start % 8
-        while True:
-            ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8, 1, byte), bitorder="little")[skip:])
-            if left < len(ones):
-                place = byte * 8 + skip + int(ones[left])
-                break
-            left, byte, skip = left - len(ones), byte + 1, 0
-        at = i * self.low_bits
-        low = int.from_bytes(self.low[at // 8 : (at + self.low_bits + 7) // 8], "little") >> (at % 8) & ((1 << self.low_bits) - 1)
-        return ((place - i) << self.low_bits) | low
+        return int(self.some(i, i + 1)[0])
 
 
 class Encoder:
@@ -136,8 +141,8 @@ class Encoder:
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in plain])], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
             ends = [*np.flatnonzero(ids == np.frombuffer(self.line_end, ids.dtype)[0]).tolist(), len(ids)]
-            if len(ends) != len(plain):
-                raise AssertionError("pieces and ids don't match")
+            if len(ends) != len(plain):  # the tokenizer joined or split a line end: each piece by itself
+                return out | {keys[i]: self._library(pieces[i]) for i in plain}
             raw, w = ids.tobytes(), self.width
             out |= {keys[i]: raw[a * w : b * w] for i, a, b in zip(plain, [0, *(e + 1 for e in ends)], ends, strict=False)}
         return out
@@ -189,8 +194,11 @@ def encoder_of(path: str) -> Encoder:
 def _block(part: int, block: int, first: int, width: int, ids: list[bytes], doc_ids: list[int | None]) -> pa.RecordBatch:
     ends = np.cumsum([len(x) // width for x in ids], dtype=np.int64)
     ef = EliasFano.encode(ends, int(ends[-1]))
-    row = [part, block, first, width, ef.n, ef.universe, ef.low_bits, ef.low, ef.high, ef.hints, np.array([-(1 << 63) if x is None else x for x in doc_ids], dtype="<i8").tobytes(), b"".join(ids)]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    known = [x for x in doc_ids if x is not None]
+    low, high = (known[0], known[-1]) if known else (0, 0)
+    ids_of = EliasFano.encode(np.array([x - low for x in known], dtype=np.uint64), high - low)
+    row = [part, block, first, width, ef.n, ef.universe, ef.low_bits, ef.low, ef.high, ef.hints, len(doc_ids) - len(known), low, high, ids_of.low_bits, ids_of.low, ids_of.high, ids_of.hints, b"".join(ids)]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
@@ -198,7 +206,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode (doc_id, text) and write the file set to a new folder `path`, in ascending doc_id order (null first, ties by a hash of the text).
 
     Null and empty texts give the end id alone; repeated rows are written as often as they come; an empty table writes
-    a file set without blocks. Partitions are ranges of doc_id, so none depends on the number of documents of a source.
+    a file set without blocks. Pieces of texts whose ids can't be told apart are
+    encoded one by one, texts with other white space whole. Partitions are ranges of doc_id, so none depends on the number of documents of a source.
     """
     ship(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tie"))
@@ -244,22 +253,29 @@ def read_checksums(spark, path: str) -> DataFrame:
 
 
 def _documents(blocks: DataFrame, column: str, value: Callable[[memoryview], object], width: int) -> DataFrame:
-    """The documents of blocks with `value` of each one's ids, as numbers of `width` bytes (0: as written). Ids are widened once for a block."""
+    """The documents of blocks with `value` of each one's ids, as numbers of `width` bytes (0: as written). Ids are widened once for a block, and offsets are selected for HINT_EVERY documents at a time."""
     name, kind = column.split()
     arrow = pa.binary() if kind == "binary" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ends = EliasFano(r["n_docs"], r["universe"], r["low_bits"], r["low"], r["high"], r["hints"]).decode()
-                starts = np.concatenate(([0], ends[:-1]))
+                ends = EliasFano(r["n_docs"], r["universe"], r["low_bits"], r["low"], r["high"], r["hints"])
+                doc_ids = EliasFano(r["n_docs"] - r["n_null"], r["last_id"] - r["first_id"], r["id_bits"], r["id_low"], r["id_high"], r["id_hints"])
                 w = width or r["width"]
                 raw = memoryview(r["ids"] if w == r["width"] else np.frombuffer(r["ids"], f"<u{r['width']}").astype(f"<u{w}").tobytes())
-                got = [value(raw[s * w : e * w]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                doc_ids = np.frombuffer(r["doc_ids"], "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64(), mask=doc_ids == -(1 << 63)), pa.array(starts + r["before"] + r["first"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(got, arrow)],
-                    ["doc_id", "start", "n_tokens", name],
-                )
+                start = 0
+                for at in range(0, ends.n, HINT_EVERY):  # as many documents at a time as share a hint
+                    to = min(at + HINT_EVERY, ends.n)
+                    found = ends.some(at, to).astype(np.int64)
+                    starts = np.concatenate(([start], found[:-1]))
+                    start = int(found[-1])
+                    got = [value(raw[s * w : e * w]) for s, e in zip(starts.tolist(), found.tolist(), strict=True)]
+                    null = max(0, min(to, r["n_null"]) - at)
+                    numbers = doc_ids.some(max(at, r["n_null"]) - r["n_null"], to - r["n_null"]).tolist() if null < to - at else []
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([None] * null + [x + r["first_id"] for x in numbers], pa.int64()), pa.array(starts + r["before"] + r["first"], pa.int64()), pa.array(found - starts, pa.int64()), pa.array(got, arrow)],
+                        ["doc_id", "start", "n_tokens", name],
+                    )
 
     return blocks.join(F.broadcast(_offsets(blocks)), "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
