@@ -10,6 +10,7 @@ assistant's turn answers the turn before it.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -56,15 +57,41 @@ def violations(value: object, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
-def _read(text: str) -> object:
-    """The JSON value; a ValueError for anything else, NaN and infinities included."""
-    def refuse(x: str) -> None:
+def _finite(x: str) -> float:
+    if not math.isfinite(value := float(x)):
         raise ValueError(x)
+    return value
 
+
+def _refuse(x: str) -> None:
+    raise ValueError(x)
+
+
+def _read(text: str) -> dict:
+    """The JSON object; a ValueError for anything else: NaN, infinities, numbers beyond a double, lone surrogates and too deep nesting included."""
     try:
-        return json.loads(text, parse_constant=refuse)
-    except RecursionError as e:
-        raise ValueError("too deep") from e
+        value = json.loads(text, parse_constant=_refuse, parse_float=_finite)
+        canonical(value).encode()
+    except (RecursionError, UnicodeEncodeError) as e:
+        raise ValueError(text[:40]) from e
+    if not isinstance(value, dict):
+        raise ValueError(text[:40])
+    return value
+
+
+def _name(value: object) -> str:
+    """An identifier or name: a string or a whole number, as text."""
+    if isinstance(value, bool) or not isinstance(value, (str, int)):
+        raise ValueError("not a name")
+    return str(value)
+
+
+def _call(body: str) -> tuple[str, str, str, list[str]]:
+    call = _read(body)
+    after = call.get("after")
+    if after is not None and not isinstance(after, list):
+        raise ValueError("after is no list")
+    return _name(call.get("id")), _name(call.get("name")), canonical(call.get("arguments", {})), [_name(x) for x in after or []]
 
 
 def _events(conv: int | None, turn: int | None, role: str | None, text: str | None) -> Iterator[tuple]:
@@ -72,16 +99,15 @@ def _events(conv: int | None, turn: int | None, role: str | None, text: str | No
     found = _CALL.findall(text) if "<tool_call>" in text else []
     for body in found:
         try:
-            call = _read(body)
-            after = call.get("after") or []
-            yield "call", conv, turn, str(call["id"]), str(call["name"]), canonical(call.get("arguments", {})), [str(x) for x in after], None
-        except (ValueError, KeyError, TypeError, AttributeError):
+            call_id, name, arguments, after = _call(body)
+            yield "call", conv, turn, call_id, name, arguments, after, None
+        except ValueError:
             yield "broken", conv, turn, None, None, body, [], None
     if role == "tool":
         try:
             result = _read(text)
-            yield "result", conv, turn, str(result["call_id"]), None, None, [], canonical(result.get("content"))
-        except (ValueError, KeyError, TypeError, AttributeError):
+            yield "result", conv, turn, _name(result.get("call_id")), None, None, [], canonical(result.get("content"))
+        except ValueError:
             yield "broken", conv, turn, None, None, text, [], None
     elif role == "assistant" and not found:
         yield "result", conv, turn, None if turn is None else str(turn - 1), None, None, [], canonical(text)
@@ -91,7 +117,11 @@ def _events(conv: int | None, turn: int | None, role: str | None, text: str | No
 
 
 def events(messages: DataFrame) -> DataFrame:
-    """The calls and results in messages, and what can't be read (`broken`)."""
+    """The calls and results in messages, and what can't be read (`broken`): no JSON object, a number that no double holds, a lone surrogate, an identifier that is neither text nor whole number, an `after` that is no list.
+
+    Null and empty texts of plain roles are exchanges with an empty text; of the role `tool` they are broken. A null
+    turn has no identifier. Repeated rows give repeated events; an empty table gives none; texts are read whole.
+    """
     ship(messages.sparkSession)
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
     names = [x.split()[0] for x in EVENT.split(", ")]
