@@ -1,18 +1,21 @@
 """Personal data: fixed patterns, and spans that weakly supervised labelers agree on, all as DataFrame expressions.
 
-Candidates of other forms (grouped digits, addresses with a spelt-out at sign, IBANs) get votes from labelers: shapes by
-pattern, a gazetteer of mail hosts and number prefixes, and the words just before. The votes of all candidates of a kind
-are counted by pattern; expectation-maximisation over these few counts estimates how reliable each labeler is and the
-posterior of each pattern. The span classifier is a naive Bayes model over votes and the length of the span, trained on
-the candidates weighed by these posteriors, and emitted as one conditional expression.
+Candidates of other forms (grouped digits, accounts, spelt-out mail addresses, streets, names) get votes from labelers:
+the shape of the span, a gazetteer, the words before and after, check digits. Each may say yes or no or abstain. The
+candidates of a kind are counted by votes and features; expectation-maximisation over these counts estimates what each
+labeler's votes are worth. The span classifier is a logistic model over votes and features, trained on the resulting
+posteriors, and emitted as one expression.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
@@ -30,35 +33,61 @@ PATTERNS = {
 #: What a text must hold for a kind's pattern to be tried at all.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
-#: Candidates of the method by kind, and what they must hold.
+#: Candidates of the method by kind, earlier kinds first where they overlap, and what a text must hold for the kind to be looked for.
 MORE = {
+    "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
     "id": (r"(?<![0-9A-Za-z.-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])", r"[0-9]{3}[- ][0-9]{2}[- ][0-9]"),
     "call": (r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[- ./])[0-9]{2,4}[- ./][0-9]{2,5}(?:[- ./][0-9]{2,4})?(?![0-9A-Za-z-])", r"[0-9][)\x20./-]+[0-9]{2,4}[- ./][0-9]"),
-    "iban": (r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
     "spelt": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,40}\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{2,40}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]{2,20}){1,3}", r"[(\[{]at[)\]}]"),
+    "street": (r"(?<![0-9\p{L}.-])(?:[0-9]{1,5}[a-z]?(?:\x20\p{Lu}\p{Ll}+){1,3}\x20(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd|Court|Square|Way)|\p{Lu}\p{Ll}+(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{1,4}[a-z]?|[0-9]{1,4}\x20(?:rue|avenue|boulevard|place)\x20(?:de\x20(?:la\x20)?|du\x20|des\x20)?\p{Lu}\p{L}+|(?:Calle|Avenida|Plaza)\x20(?:de\x20(?:la\x20)?)?\p{Lu}\p{Ll}+,?\x20[0-9]{1,4})(?![0-9\p{L}])", r"[0-9]"),
+    "name": (r"(?<![\p{L}\p{N}'-])\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?(?:\x20\p{Lu}\.)?(?:\x20(?:van|von|de|da|del|la)){0,2}\x20\p{Lu}\p{Ll}+(?:[-']\p{Lu}\p{Ll}+)?(?![\p{L}\p{N}])", r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?(?:\x20\p{Lu}\.)?(?:\x20(?:van|von|de|da|del|la))*\x20\p{Lu}\p{Ll}"),
 }
-#: Labelers: a strict shape, a gazetteer and the words before, each by kind; a vote is 1 (yes), 0 (no).
+#: The gazetteers; callers may pass others. Given names, mail hosts and their endings, countries whose accounts have an IBAN, towns that follow a street, area codes.
+GIVEN = (
+    "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Nancy Matthew Lisa Anthony Betty Mark Margaret "
+    "Paul Sandra Steven Ashley Andrew Emily Kenneth Donna George Michelle Joshua Carol Kevin Amanda Brian Laura Edward Rebecca Peter Anna Hans Klaus Jürgen Wolfgang Stefan Andreas Ursula Monika Petra Sabine "
+    "Jean Pierre Michel André Philippe Alain Marie Nathalie Isabelle Sylvie Catherine Françoise José Antonio Manuel Francisco Juan Carlos Luis Miguel Carmen Ana Isabel Dolores Pilar Giovanni Maria Luigi Ali "
+    "Mohammed Ahmed Fatima Wei Li Yuki Hiroshi Ivan Olga Sergei Anders Lars Ingrid Sven Jan Piotr Katarzyna Alice Bob Emma Noah Olivia Liam Sophie Lucas Julia Max Felix Clara Hugo Lena Paula Diego Lucía Marta"
+)
+HOSTS = r"(?i)(?:gmail|googlemail|outlook|hotmail|yahoo|icloud|proton|gmx|web\.?de|mail|inbox|post|example)|(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|nl|eu)$"
+COUNTRIES = "AD AE AL AT BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT LI LT LU LV MC MT NL NO PL PT RO RS SA SE SI SK SM TN TR"
+TOWNS = r"(?i)^,?\x20?(?:[0-9]{4,5}\x20)?(?:Apt|Suite|Floor|London|Paris|Berlin|Madrid|Rome|Vienna|Wien|München|Munich|Hamburg|Köln|Lyon|Marseille|Barcelona|Sevilla|Boston|Chicago|New\x20York|Springfield|[0-9]{5}\b)"
+#: Labelers: for each kind, patterns for yes and for no (None: never said); what neither matches is abstained from. A
+#: shape and a gazetteer read the span, the contexts the characters before and after it. CHECKED kinds have one more.
 SHAPES = {
-    "id": r"^(?!000|666|9)[0-9]{3}[- ](?!00)[0-9]{2}[- ](?!0000)[0-9]{4}$",
-    "call": r"^(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}$",
-    "iban": r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4})+(?:\x20?[A-Z0-9]{1,3})?$",
-    "spelt": r"^[A-Za-z][A-Za-z0-9._-]+.*(?:\.|dot[)\]}]\x20?)(?:[A-Za-z]{2,6})$",
-}
-GAZETTEER = {
-    "id": r"^[0-8]",
-    "call": r"^\(?0?(?:2|3|4|5|6|7|8|9)",
-    "iban": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|SE)",
-    "spelt": r"(?i)(?:mail|example|proton|inbox|web|post|outlook|yahoo|icloud|com$|org$|net$|de$|fr$|es$|edu$)",
+    "id": (r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^(?:000|666|9)|^.{4}00|0000$"),
+    "call": (r"^(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}$", r"^(?:[12][0-9]{3}|[0-3]?[0-9])[-./][01]?[0-9][-./][0-9]{2,4}$"),
+    "iban": (r"^[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){3,7}(?:\x20[A-Z0-9]{1,3})?$", r"\x20.*[A-Z0-9]{5}"),
+    "spelt": (r"^[A-Za-z][A-Za-z0-9._-]+.*(?:\.|dot[)\]}]\x20?)[A-Za-z]{2,6}$", r"^[0-9]+\x20?[(\[{]"),
+    "street": (r"^[0-9]{1,5}\x20|\x20[0-9]{1,4}[a-z]?$", None),
+    "name": (r"\x20\p{Lu}\.\x20", r"^(?:The|This|That|These|In|On|At|It|We|He|She|They|New|North|South|East|West|United|Der|Die|Das|Ein|Le|La|Les|El|Los|Un|Une)\x20"),
 }
 CONTEXT = {
-    "id": r"(?i)(?:ssn|social security|insurance|id|identity|number)[^\n]{0,12}$",
-    "call": r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|tél|ruf|reach)[^\n]{0,12}$",
-    "iban": r"(?i)(?:iban|account|konto|compte|cuenta|bank)[^\n]{0,12}$",
-    "spelt": r"(?i)(?:mail|contact|write|reach|send|kontakt|correo|courriel)[^\n]{0,12}$",
+    "id": (r"(?i)(?:ssn|social security|insurance|identity|\bid\b|\bno\b|number)[^\n]{0,12}$", r"(?i)(?:version|isbn|issn|part|order|fig|page|§)[^\n]{0,8}$"),
+    "call": (r"(?i)(?:phone|tel|call|mobile|cell|fax|telefon|tél|handy|ruf|reach|móvil|whatsapp)[^\n]{0,12}$", r"(?i)(?:version|isbn|issn|date|on|from|until|page|fig|§|v)[.:]?\x20?$"),
+    "iban": (r"(?i)(?:iban|account|acct|konto|compte|cuenta|bank|transfer)[^\n]{0,12}$", r"(?i)(?:serial|model|part|sku|key)[^\n]{0,8}$"),
+    "spelt": (r"(?i)(?:mail|contact|write|reach|send|kontakt|correo|courriel|address)[^\n]{0,12}$", None),
+    "street": (r"(?i)(?:address|live[sd]?|resid|home|located|adresse|wohn|habite|domicil|dirección|at|in)[^\n]{0,12}$", r"(?i)(?:page|figure|table|chapter|version)\x20$"),
+    "name": (r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\b\.?|(?i:\b(?:name|contact|signed|sincerely|regards|author|nombre|nom|patient|customer|employee|dear)\b)[:,]?)\x20?$", r"(?:^|[.!?:]\x20|\n)$"),
 }
+AFTER = {
+    "id": (None, r"^[-./]?[0-9]"),
+    "call": (r"(?i)^\x20?(?:ext|x[0-9]|\(?(?:home|work|mobile|office|cell))", r"^[-./]?[0-9]|^\x20?(?:%|kg|km|cm|mm|EUR|USD|€|\$)"),
+    "iban": (r"(?i)^[,;\x20]{0,3}(?:bic|swift)", None),
+    "spelt": (None, None),
+    "street": (TOWNS, None),
+    "name": (r"(?i)^(?:,\x20?(?:born|née|geb|aged?|[0-9]{2}\b)|\x20?(?:<|\(?born))", r"^\x20(?:Inc|Ltd|GmbH|Corp|University|Street|Company)"),
+}
+CHECKED = ("iban",)
 CONTEXT_CHARS, ROUNDS, PRIOR, THRESHOLD = 40, 50, 0.3, 0.9
-#: Pseudo-votes for the belief that a labeler is right, so that few candidates don't settle its reliability.
-BELIEF, WEIGHT = 0.8, 20.0
+#: What a labeler that is no better or worse than expected says of true and of false spans (abstains, yes, no), and the pseudo-votes for it.
+EXPECTED, WEIGHT = ((0.35, 0.6, 0.05), (0.55, 0.05, 0.4)), 2.0
+LABELERS = ("shape", "gazetteer", "before", "after", "check")
+#: Features of the span besides the votes: length, share of digits, separators, whether it begins a line; each with so many values.
+FEATURES = {"length": 4, "digits": 3, "separators": 3, "line_start": 2}
+WIDTH = 3 * len(LABELERS) + sum(FEATURES.values())
+#: The classifier's training: steps, and the pull of weights to zero.
+STEPS, PULL = 30, 1.0
 EXTRA = "learnt"
 
 
@@ -134,113 +163,181 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "text", *(_valid_spans(k).alias(k) for k in KINDS))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """docs of base_spans with `more`: the method's candidates (kind, start, end, votes, size) that overlap no base span and no earlier kind's candidate."""
+def gazetteers(given: str = GIVEN, hosts: str = HOSTS, countries: str = COUNTRIES) -> dict[str, tuple[str | None, str | None]]:
+    """Patterns for yes and no of the gazetteer labeler by kind."""
+    return {
+        "id": (None, r"^(?:123[- ]45[- ]6789|078[- ]05[- ]1120|219[- ]09[- ]9999)$"),  # numbers printed as examples
+        "call": (r"^\(?(?:0[1-9]|[2-9][0-9]{2})", r"^\(?[01]{2,3}[^0-9]|555[-.]01[0-9]{2}$"),
+        "iban": (rf"^(?:{'|'.join(countries.split())})", rf"^(?!{'|'.join(countries.split())})"),
+        "spelt": (hosts, None),
+        "street": (r"(?i)(?:Main|High|Church|Park|Oak|Maple|Station|Victoria|Market|Haupt|Bahnhof|Schul|Garten|Kirch|Liberté|République|Mayor)", None),
+        "name": (rf"^(?:{'|'.join(given.split())})(?![\p{{L}}])", None),
+    }
+
+
+def _iban_check(s: Column) -> Column:
+    """Whether an IBAN's digits leave 1 modulo 97: letters count as two digits, the first four characters come last."""
+    solid = F.regexp_replace(s, r"\x20", "")
+    moved = F.concat(F.substring(solid, 5, 40), F.substring(solid, 1, 4))
+    digit = lambda c: F.conv(c, 36, 10).cast("int")
+    rest = F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), lambda a, c: F.pmod(F.when(digit(c) > 9, a * 100).otherwise(a * 10) + digit(c), F.lit(97)))
+    return rest == 1
+
+
+def _vote(text: Column, patterns: tuple[str | None, str | None]) -> Column:
+    """1 (yes), 2 (no) or 0 (abstains)."""
+    yes, no = (F.lit(False) if p is None else text.rlike(p) for p in patterns)
+    return F.when(no, 2).when(yes, 1).otherwise(0)
+
+
+def candidates(docs: DataFrame, gazetteer: dict[str, tuple[str | None, str | None]] | None = None) -> DataFrame:
+    """docs of base_spans with `more`: the candidates (order, kind, start, end, codes) of the method, codes the places of its votes and features among a kind's weights."""
+    gazetteer = gazetteer or gazetteers()
     d = docs.select("*", *(_parts(F.col("text"), p, F.col("text").rlike(hint)).alias(f"m_{k}") for k, (p, hint) in MORE.items()))
     d = d.select(*docs.columns, *(_spans(f"m_{k}").alias(f"m_{k}") for k in MORE))
-    taken = F.concat(*map(_places, KINDS))
-    kinds = []
-    for kind in MORE:
-        kinds.append(_voted(kind, taken))
-        taken = F.concat(taken, _places(f"m_{kind}"))
-    return d.withColumn("more", F.concat(*kinds)).drop(*(f"m_{k}" for k in MORE))
+    return d.withColumn("more", F.concat(*(_coded(i, k, gazetteer[k]) for i, k in enumerate(MORE, 1)))).drop(*(f"m_{k}" for k in MORE))
 
 
 def _places(spans: str) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
-def _voted(kind: str, taken: Column) -> Column:
-    """The candidates of a kind that overlap nothing taken, with their votes."""
-
-    def voted(x: Column) -> Column:
-        before = F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
-        votes = [x["s"].rlike(SHAPES[kind]), x["s"].rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind])]
-        bits = votes[0].cast("int") + 2 * votes[1].cast("int") + 4 * votes[2].cast("int")
-        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), bits.alias("votes"), (F.length(x["s"]) > 12).cast("int").alias("size"))
-
-    return F.transform(F.filter(f"m_{kind}", lambda x: ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (t["end"] > x["start"]))), voted)
+def _coded(order: int, kind: str, gazetteer: tuple[str | None, str | None]) -> Column:
+    """The candidates of a kind with their votes and features."""
+
+    def coded(x: Column) -> Column:
+        s, text = x["s"], F.col("text")
+        before = F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
+        after = F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS))
+        check = F.when(_iban_check(s), 1).otherwise(2) if kind in CHECKED else F.lit(0)
+        votes = [_vote(s, SHAPES[kind]), _vote(s, gazetteer), _vote(before, CONTEXT[kind]), _vote(after, AFTER[kind]), check]
+        size, digits = F.length(s), F.length(_digits(s))
+        features = {
+            "length": F.when(size <= 11, 0).when(size <= 14, 1).when(size <= 20, 2).otherwise(3),
+            "digits": F.when(digits * 10 <= size, 0).when(digits * 10 <= 7 * size, 1).otherwise(2),
+            "separators": F.least(F.length(F.regexp_replace(s, r"[\p{L}\p{N}]+", "")) - 1, F.lit(2)),
+            "line_start": before.rlike(r"(?:^|\n)$").cast("int"),
+        }
+        at, codes = 3 * len(LABELERS), [v + 3 * i for i, v in enumerate(votes)]
+        for name, n in FEATURES.items():
+            codes.append(F.greatest(features[name], F.lit(0)) + at)
+            at += n
+        return F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.array(*codes).alias("codes"))
+
+    return F.transform(f"m_{kind}", coded)
+
+
+def apart(found: DataFrame) -> DataFrame:
+    """(row, order, kind, start, end, codes): the candidates that overlap no base span and no candidate of an earlier kind. found: (row, KINDS, more).
+
+    Spans stand in order of their starts; what overlaps from the left is known by the furthest end so far, from the
+    right by the nearest start to come, for each kind: one pass, however many spans a text has.
+    """
+    base = F.transform(F.concat(*map(_places, KINDS)), lambda x: F.struct(F.lit(0).alias("order"), F.lit("").alias("kind"), x["start"], x["end"], F.array().cast("array<int>").alias("codes")))
+    spans = found.where(F.size("more") > 0).select("row", F.explode(F.concat(base, F.col("more"))).alias("x")).select("row", "x.*")
+    at = W.partitionBy("row").orderBy("start", "end", "order")
+    left, right = at.rowsBetween(W.unboundedPreceding, -1), at.rowsBetween(1, W.unboundedFollowing)
+    last = [F.max(F.when(F.col("order") == i, F.col("end"))).over(left).alias(f"last{i}") for i in range(len(MORE))]
+    soon = [F.min(F.when(F.col("order") == i, F.col("start"))).over(right).alias(f"soon{i}") for i in range(len(MORE))]
+    met = reduce(lambda a, b: a | b, ((F.col("order") > i) & (F.coalesce(F.col(f"last{i}") > F.col("start"), F.lit(False)) | F.coalesce(F.col(f"soon{i}") < F.col("end"), F.lit(False))) for i in range(len(MORE))))
+    return spans.select("*", *last, *soon).where((F.col("order") > 0) & ~met).select(*spans.columns)
 
 
 @dataclass(frozen=True)
 class Labelers:
-    """Of one kind: how often each labeler votes yes on true and on false spans, and the share of true spans."""
+    """Of one kind: how often each labeler abstains, says yes and says no on true and on false spans, and the share of true spans."""
 
-    yes: tuple[float, ...]
-    no: tuple[float, ...]
+    true: tuple[tuple[float, ...], ...]
+    false: tuple[tuple[float, ...], ...]
     prior: float
 
-    def posterior(self, votes: int) -> float:
-        a, b = math.log(self.prior), math.log(1 - self.prior)
-        for i, (y, n) in enumerate(zip(self.yes, self.no, strict=True)):
-            on = votes >> i & 1
-            a += math.log(y if on else 1 - y)
-            b += math.log(n if on else 1 - n)
-        return 1 / (1 + math.exp(b - a))
+    def posterior(self, votes: tuple[int, ...]) -> float:
+        z = math.log((1 - self.prior) / self.prior) + sum(math.log(self.false[i][v] / self.true[i][v]) for i, v in enumerate(votes))
+        return 1 / (1 + math.exp(min(z, 700.0)))
 
 
-def reliabilities(counts: dict[int, int]) -> Labelers:
-    """Expectation-maximisation over the counts of vote patterns (three labelers), started from and drawn to BELIEF."""
-    model = Labelers((BELIEF,) * 3, (1 - BELIEF,) * 3, PRIOR)
+def reliabilities(counts: dict[tuple[int, ...], int]) -> Labelers:
+    """Expectation-maximisation over the counts of vote patterns, started from EXPECTED, which weighs as much as WEIGHT votes; a labeler of which the data say more is what they say."""
+    n = len(next(iter(counts)))
+    model = Labelers((EXPECTED[0],) * n, (EXPECTED[1],) * n, PRIOR)
     for _ in range(ROUNDS):
         p = {v: model.posterior(v) for v in counts}
-        true = sum(n * p[v] for v, n in counts.items())
-        false = sum(n * (1 - p[v]) for v, n in counts.items())
-        rate = lambda i, total, weigh, belief: (sum(n * weigh(p[v]) for v, n in counts.items() if v >> i & 1) + WEIGHT * belief) / (total + WEIGHT)  # noqa: E731, B023
-        model = Labelers(
-            tuple(rate(i, true, lambda x: x, BELIEF) for i in range(3)),
-            tuple(rate(i, false, lambda x: 1 - x, 1 - BELIEF) for i in range(3)),
-            min(0.95, max(0.05, (true + WEIGHT * PRIOR) / (true + false + WEIGHT))),
-        )
+
+        def rates(weight: dict[tuple[int, ...], float], expected: tuple[float, ...]) -> tuple[tuple[float, ...], ...]:
+            total = sum(weight.values())
+            return tuple(tuple((sum(w for v, w in weight.items() if v[i] == x) + WEIGHT * expected[x]) / (total + WEIGHT) for x in range(3)) for i in range(n))
+
+        true, false = {v: k * p[v] for v, k in counts.items()}, {v: k * (1 - p[v]) for v, k in counts.items()}
+        share = (sum(true.values()) + WEIGHT * PRIOR) / (sum(counts.values()) + WEIGHT)
+        model = Labelers(rates(true, EXPECTED[0]), rates(false, EXPECTED[1]), min(0.95, max(0.05, share)))
     return model
 
 
-Classifier = dict[tuple[str, int, int], float]
+def logistic(rows: list[tuple[tuple[int, ...], float, float]]) -> np.ndarray:
+    """Weights, the constant last, of a logistic model of soft labels: rows of (codes, label, times). Newton's steps with PULL to zero."""
+    x = np.zeros((len(rows), WIDTH + 1))
+    for i, (codes, _, _) in enumerate(rows):
+        x[i, list(codes)] = 1
+    x[:, WIDTH] = 1
+    y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], dtype=float)
+    w = np.zeros(WIDTH + 1)
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + PULL * np.eye(WIDTH + 1), x.T @ (n * (y - p)) - PULL * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
 
 
-def train(votes: list[tuple[str, int, int, int]]) -> Classifier:
-    """The probability of each (kind, votes, size), from their counts: naive Bayes over the labelers' votes and the size, with the posteriors as soft labels."""
-    by: dict[str, dict[tuple[int, int], int]] = {}
-    for kind, v, size, n in votes:
-        by.setdefault(kind, {})[v, size] = n
+Classifier = dict[str, list[float]]
+
+
+def train(counted: list[tuple[str, tuple[int, ...], int]]) -> Classifier:
+    """The weights of each kind from its candidates' (kind, codes, times): a logistic model of votes and features, trained on the posteriors of the labelers."""
+    by: dict[str, dict[tuple[int, ...], int]] = {}
+    for kind, codes, n in counted:
+        by.setdefault(kind, {})[tuple(codes)] = n
     out = {}
-    for kind, counts in by.items():
-        merged: dict[int, int] = {}
-        for (v, _), n in counts.items():
-            merged[v] = merged.get(v, 0) + n
-        model = reliabilities(merged)
-        soft = {v: model.posterior(v) for v in merged}
-        long_true = (sum(n * soft[v] for (v, s), n in counts.items() if s) + WEIGHT / 2) / (sum(n * soft[v] for (v, _), n in counts.items()) + WEIGHT)
-        long_false = (sum(n * (1 - soft[v]) for (v, s), n in counts.items() if s) + WEIGHT / 2) / (sum(n * (1 - soft[v]) for (v, _), n in counts.items()) + WEIGHT)
-        for v in range(8):
-            for s in (0, 1):
-                p = model.posterior(v)
-                odds = p / (1 - p) * ((long_true / long_false) if s else (1 - long_true) / (1 - long_false))
-                out[kind, v, s] = odds / (1 + odds)
+    for kind, counts in sorted(by.items()):
+        votes: dict[tuple[int, ...], int] = {}
+        read = lambda codes: tuple(c - 3 * i for i, c in enumerate(codes[: len(LABELERS)]))
+        for codes, n in counts.items():
+            votes[read(codes)] = votes.get(read(codes), 0) + n
+        model = reliabilities(votes)
+        out[kind] = [float(x) for x in logistic([(codes, model.posterior(read(codes)), n) for codes, n in sorted(counts.items())])]
     return out
 
 
 def fit(found: DataFrame) -> Classifier:
-    """The classifier from all candidates of a table; the counts are 16 for each kind at most."""
-    each = found.select(F.explode("more").alias("m")).groupBy("m.kind", "m.votes", "m.size").count()
-    return train([tuple(r) for r in each.collect()])
+    """The classifier from all candidates (kind, codes) of a table. Only counts of codes are gathered, of which there are as many as kinds, votes and features allow, whatever the table's size."""
+    each = found.groupBy("kind", "codes").count()
+    return train([(r["kind"], tuple(r["codes"]), r["count"]) for r in each.collect()])
+
 
+def accepts(model: Classifier) -> Column:
+    """Whether a candidate (kind, codes) has THRESHOLD probability or more, as one expression."""
+    least, out = math.log(THRESHOLD / (1 - THRESHOLD)), F.lit(False)
 
-def accepts(model: Classifier, x: Column) -> Column:
-    """Whether a candidate is accepted, as one condition on kind, votes and size."""
-    codes = [f"{k}:{v}:{s}" for (k, v, s), p in sorted(model.items()) if p >= THRESHOLD]
-    return F.concat_ws(":", x["kind"], x["votes"].cast("string"), x["size"].cast("string")).isin(codes) if codes else F.lit(False)
+    def odds(weights: list[float]) -> Column:
+        each = F.array(*map(F.lit, weights[:WIDTH]))
+        return F.aggregate("codes", F.lit(weights[WIDTH]), lambda a, c: a + F.get(each, c))
+
+    for kind, weights in sorted(model.items()):
+        out = F.when(F.col("kind") == kind, odds(weights) >= least).otherwise(out)
+    return out
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, gazetteer: dict[str, tuple[str | None, str | None]] | None = None) -> DataFrame:
     """One row per row of docs: (doc_id, email, ip, card, phone, learnt), arrays of spans (start, end) in code points, ends exclusive.
 
     Null and empty texts have none; an empty table gives no rows; repeated rows are scanned alike. The spans of a kind
-    don't overlap; those of different base kinds may. Rows with any span or candidate are few next to the texts, and
-    their spans alone are written, so texts are scanned once.
+    don't overlap; those of different base kinds may; learnt spans overlap no base span. Texts are scanned once: their
+    spans alone are written, and rows with candidates, few next to the texts, are the only ones that are dealt anew.
     """
-    found = candidates(base_spans(docs)).select("doc_id", *(_places(k).alias(k) for k in KINDS), "more")
+    found = candidates(base_spans(docs), gazetteer).select(F.monotonically_increasing_id().alias("row"), "doc_id", *(_places(k).alias(k) for k in KINDS), "more")
     found = cut(found, "pii")
-    model = fit(found)
-    learnt = F.array_sort(F.transform(F.filter("more", lambda x: accepts(model, x)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    return found.select("doc_id", *KINDS, learnt.alias(EXTRA))
+    single = cut(apart(found), "pii-apart")
+    kept = single.where(accepts(fit(single))).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(EXTRA))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return found.join(kept, "row", "left").select("doc_id", *KINDS, F.coalesce(EXTRA, none).alias(EXTRA))
