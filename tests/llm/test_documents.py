@@ -215,7 +215,7 @@ def test_examples_drop_only_whole_copies(spark):
 def test_neighbours_are_exact():
     r = random.Random(12)
     # terms 0 to 9 are frequent and have rows, the others postings
-    some = lambda least: sorted({*r.sample(range(10), r.randint(0, 4)), *r.sample(range(10, 300), r.randint(least, 5))})
+    some = lambda least: sorted({*r.sample(range(10), r.randint(1, 6)), *r.sample(range(10, 300), r.randint(least, 5))})
     weight = np.array([0.3] * 10 + [r.uniform(1, 3) for _ in range(290)])
     chosen = [some(0) for _ in range(700)]
     vectors = [toxicity.unit(weight, a, [r.randint(1, 4) for _ in a]) for a in chosen]
