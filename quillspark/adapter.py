@@ -18,7 +18,7 @@ DOC, SRC, K = _id("DOC", "{}"), _id("SRC", "{}"), _id("K", "{}")
 _CATEGORY = "case s_suppkey % 7 when 0 then 'USER_PROVIDED_SOURCE' when 1 then 'LOCAL_SOURCE' when 2 then 'AUTHORIZED_EXTERNAL_SOURCE' when 3 then 'SYSTEM_DERIVED' when 4 then 'USER_STATED' when 5 then 'UNKNOWN_SOURCE' else 'UNAUTHORIZED_SOURCE' end"
 _KIND = "case p_size % 6 when 0 then 'DEFINITION' when 1 then 'PROPERTY' when 2 then 'EQUATION' when 3 then 'RULE' when 4 then 'EXAMPLE' else 'PROCEDURE' end"
 _RUN = "l_suppkey * 10 + 1 + l_orderkey % (1 + l_suppkey % 3)"
-_PLACE = f"{_id('DOC', 'l_suppkey')} as document_id, {_id('SRC', 'l_suppkey')} as source_id, {_id('RUN', _RUN)} as extraction_run_id, cast(l_linenumber as int) as page_number, cast(l_quantity * 10 as int) as char_start, cast(l_quantity * 10 as int) + 20 as char_end, case when l_partkey % 5 = 0 then cast(null as string) else {_id('SEG', 'l_suppkey * 100 + l_linenumber')} end as segment_id, l_returnflag || ' ' || l_linestatus as text"
+_PLACE = f"{_id('DOC', 'l_suppkey')} as document_id, {_id('SRC', 'l_suppkey')} as source_id, {_id('RUN', _RUN)} as extraction_run_id, cast(l_linenumber as int) as page_number, cast(l_quantity * 10 as int) as char_start, cast(l_quantity * 10 as int) + 20 as char_end, case when l_partkey % 5 = 0 then cast(null as string) else {_id('SEG', 'l_suppkey * 100 + l_linenumber')} end as segment_id, l_returnflag || ' ' || l_linestatus as text, case when l_linenumber = 3 then 'deterministic/RuleCandidate@v6+weak' when l_linenumber = 2 then 'deterministic/EquationCandidate@v6+ocr' else 'deterministic/DefinitionCandidate@v6' end as extraction_method"
 
 #: In order: a table may use those before it.
 TABLES: dict[str, str] = {
@@ -34,6 +34,8 @@ TABLES: dict[str, str] = {
         f" union all select {_id('REL', 's_suppkey + 1000')}, 'PARENT_OF', 'EXPLICIT', case when s_suppkey % 9 = 0 then 'INVALID' else 'ACTIVE' end, {_id('CPT', 's_nationkey + 101')}, {_id('CPT', 's_suppkey + 1000')}, cast(null as string) from supplier"
         f" union all select {_id('REL', 's_suppkey + 1000000')}, 'REQUIRES', 'EXPLICIT', 'ACTIVE', {_id('CPT', 's_suppkey + 1000')}, {_id('CPT', 'cast(floor(s_suppkey / 2) as bigint) + 1000')}, cast(null as string) from supplier where s_suppkey > 1"
         f" union all select {_id('REL', 's_suppkey + 2000000')}, 'DEPENDS_ON', 'INFERRED', 'ACTIVE', {_id('CPT', 's_suppkey + 1000')}, {_id('CPT', '(s_suppkey * 7) % 50 + 1001')}, cast(null as string) from supplier where s_suppkey % 10 = 3 and s_suppkey <> (s_suppkey * 7) % 50 + 1"
+        f" union all select {_id('REL', 's_suppkey + 3000000')}, 'EQUIVALENT_TO', 'EXPLICIT', 'ACTIVE', {_id('CPT', 's_suppkey + 1000')}, {_id('CPT', 's_suppkey + 994')}, cast(null as string) from supplier where s_suppkey > 6 and s_suppkey % 17 = 5"
+        f" union all select {_id('REL', 's_suppkey + 4000000')}, 'PART_OF', 'EXPLICIT', 'ACTIVE', {_id('CPT', 's_suppkey + 1000')}, {_id('CPT', 's_suppkey + 1003')}, cast(null as string) from supplier where s_suppkey % 10 in (1, 4)"
         f" union all select {_id('REL', 'l_suppkey * 10000000 + l_partkey')}, case {_KIND} when 'DEFINITION' then 'DEFINED_BY' when 'PROPERTY' then 'HAS_PROPERTY' else 'RELATED_TO' end, 'EXPLICIT', 'ACTIVE', {_id('CPT', 'l_suppkey + 1000')}, cast(null as string), {_id('K', 'l_partkey')} from (select distinct l_suppkey, l_partkey from lineitem where l_linenumber = 1) as l join part on p_partkey = l_partkey"
     ),
     "kb_source_occurrence": f"select {_id('S', 'l_orderkey * 10 + l_linenumber')} as id, {_id('K', 'l_partkey')} as knowledge_id, {_PLACE} from lineitem where l_linenumber <= 3",
@@ -42,6 +44,12 @@ TABLES: dict[str, str] = {
     "kb_basis": f"select {_id('REL', 's_suppkey + 2000000')} as relationship_id, 'R1' as rule, 1 as rule_version, {_id('S', 's_suppkey * 10 + 1')} as basis_occurrence_id, s_name as matched_text from supplier where s_suppkey % 20 = 3",
     "kb_equivalence": f"select {_id('K', 'p_partkey')} as canonical_knowledge_id, {_id('K', 'p_partkey + 1')} as other_knowledge_id, case when p_partkey % 3 = 0 then 'CONTRADICTORY' when p_partkey % 3 = 1 then 'POSSIBLE_DUPLICATE' else 'EXACT_DUPLICATE' end as outcome, 'P8-12' as rule, 1 as rule_version, {_id('RUN', '(p_partkey % 20 + 1) * 10 + 1')} as extraction_run_id from part where p_partkey % 7 = 0",
     "kb_conflict": f"select {_id('CON', 'p_partkey')} as id, {_id('K', 'p_partkey')} as claim_a_id, {_id('K', 'p_partkey + 1')} as claim_b_id, 'UNDETERMINED' as cause, case when p_partkey % 2 = 0 then 'ACTIVE' else 'ARCHIVED' end as lifecycle_status from part where p_partkey % 21 = 0",
+    "kb_equation": f"select {_id('EQN', 'p_partkey')} as id, {_id('K', 'p_partkey')} as knowledge_id, 'x' || cast(p_size as string) || case when p_partkey % 4 = 0 then ' == y' when p_partkey % 4 = 1 then ' = (y + 2' when p_partkey % 4 = 2 then ' = y * ' else ' = y / z' end as expression, 'ACTIVE' as lifecycle_status from part where p_size % 6 = 2",
+    "kb_variable": f"select {_id('VAR', 'p_partkey')} as id, {_id('K', 'p_partkey')} as knowledge_id, 'x' || cast(p_size as string) as symbol, 'ACTIVE' as lifecycle_status from part where p_size % 6 = 1",
+    "kb_rule": f"select {_id('RUL', 'p_partkey')} as id, {_id('K', 'p_partkey')} as knowledge_id, p_name as name, case when p_partkey % 9 = 0 then 'ARCHIVED' else 'ACTIVE' end as lifecycle_status from part where p_size % 6 = 3",
+    "kb_procedure": f"select {_id('PRC', 'p_partkey')} as id, {_id('K', 'p_partkey')} as knowledge_id, p_name as name, 'ACTIVE' as lifecycle_status from part where p_size % 6 = 5",
+    "kb_edition": f"select {_id('EDN', 's_suppkey')} as id, md5(s_name) as file_hash, {_id('WRK', 'cast(floor(s_suppkey / 3) as bigint) + 1')} as work_id, 'edition ' || cast(s_suppkey % 3 + 1 as string) as label from supplier where s_suppkey % 4 <> 0",
+    "kb_structure": f"select {_id('STR', 'l_orderkey')} as id, {_id('DOC', 'l_suppkey')} as document_id, cast(l_orderkey as bigint) as ordinal, 'Section ' || cast(cast(l_quantity as int) as string) as title, cast(l_quantity as int) % 4 + 1 as depth from lineitem where l_linenumber = 6",
     "kb_segment": f"select {_id('SEG', 'doc_id + 1')} as id, {_id('DOC', 'doc_id + 1')} as document_id, text, source, lang from documents",
 }
 

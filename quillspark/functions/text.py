@@ -39,15 +39,16 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
-def normalised(text: Column) -> Column:
-    return _fold(text)
-
-
 def normalised_ascii(text: Column) -> Column:
-    """The same for ASCII texts, within the JVM; null for others."""
+    """The normal form of ASCII texts, within the JVM; null for others."""
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.trim(F.regexp_replace(F.lower(text), r"[\x09-\x0D\x1C-\x1F ]+", " ")))
 
 
+def normalised(text: Column) -> Column:
+    """The one normal form that names and statements are compared in: NFKC, case folded, white space collapsed. Only texts that are not ASCII leave the JVM."""
+    return F.coalesce(normalised_ascii(text), _fold(F.when(~text.rlike(r"^[\x00-\x7F]*$"), text)))
+
+
 def alpha_ratio(text: Column) -> Column:
     """Letters over characters; 0 for the empty text."""
     return F.coalesce(F.try_divide(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.length(text)), F.lit(0.0))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.ids import counter
-from quillspark.operators.graph import reachable
+from quillspark.functions.ids import counter, pair
+from quillspark.operators.graph import connected_components
+from quillspark.storage import written
 
 NUMBER = r"^([+\-−]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+))([.,;:]?)$"
 
@@ -37,18 +40,53 @@ def exact_groups(items: DataFrame) -> DataFrame:
     by_name = keyed.where("knowledge_type = 'DEFINITION' and alias is not null").select("id", "knowledge_type", "norm", F.concat(F.lit("as "), "alias").alias("key"))
     links = by_place.union(by_name)
     hub = links.groupBy("knowledge_type", "norm", "key").agg(F.min("id").alias("hub"))
-    star = links.join(hub, ["knowledge_type", "norm", "key"]).where("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst"))
-    both = star.union(star.select("dst", "src")).distinct()
-    reach = reachable(both, keyed.select(F.col("id").alias("node")))
-    least = reach.groupBy(F.col("seed").alias("id")).agg(F.min(F.struct(counter("node").alias("n"), F.col("node").alias("m"))).alias("x"))
-    own = keyed.select("id").distinct().join(least, "id", "left")
-    canonical = F.when(F.col("x").isNull() | (counter("id") < F.col("x.n")), F.col("id")).otherwise(F.col("x.m"))
-    return plain.union(own.select("id", canonical.alias("canonical_id"))).distinct()
+    star = links.join(hub, ["knowledge_type", "norm", "key"]).where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    root = connected_components(star)
+    canonical = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("first.id"))
+    own = keyed.select("id").distinct().join(root, F.col("id") == F.col("node"), "left").select("id", "root")
+    first = own.where("root is not null").groupBy("root").agg(F.min(F.struct(counter("id").alias("n"), "id")).alias("first"))
+    return plain.union(own.join(first, "root", "left").select("id", canonical.alias("canonical_id"))).distinct()
+
+
+def masked_numbers(norm: Column) -> Column:
+    """A normalised statement with every number as #, the mark behind it kept: statements that contradict one another have this in common."""
+    return F.array_join(F.transform(F.split(norm, " "), lambda t: F.when(t.rlike(NUMBER), F.concat(F.lit("#"), F.regexp_extract(t, NUMBER, 2))).otherwise(t)), " ")
 
 
 def compared(statements: DataFrame, name: str) -> DataFrame:
-    """Pairs of statements (id, norm, name) under the same name with different texts: CONTRADICTORY or POSSIBLE_DUPLICATE, each pair once, by number."""
-    a, b = statements.alias("a"), statements.alias("b")
-    pairs = a.join(b, (F.col(f"a.{name}") == F.col(f"b.{name}")) & (counter("a.id") < counter("b.id")) & (F.col("a.norm") != F.col("b.norm")))
-    outcome = F.when(contradicts(F.col("a.norm"), F.col("b.norm")), "CONTRADICTORY").otherwise("POSSIBLE_DUPLICATE")
+    """Pairs of statements (id, knowledge_type, norm, name) of the same type under the same name with different texts: CONTRADICTORY or POSSIBLE_DUPLICATE, each pair once, by number.
+
+    Numbers are masked once for each statement; only pairs with equal masks are compared token by token.
+    """
+    rows = written(statements.select("id", "knowledge_type", F.col(name).alias("name"), "norm", counter("id").alias("n"), masked_numbers(F.col("norm")).alias("mask")), "statements")
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.knowledge_type") == F.col("b.knowledge_type")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.n") < F.col("b.n")) & (F.col("a.norm") != F.col("b.norm")))
+    outcome = F.when((F.col("a.mask") == F.col("b.mask")) & contradicts(F.col("a.norm"), F.col("b.norm")), "CONTRADICTORY").otherwise("POSSIBLE_DUPLICATE")
     return pairs.select(F.col("a.id").alias("canonical_id"), F.col("b.id").alias("other_id"), outcome.alias("outcome"))
+
+
+def contradictions(statements: DataFrame, name: str) -> DataFrame:
+    """(claim_a_id, claim_b_id) of the contradictory pairs alone, by a join on type, name and masked text: no other pair is ever made."""
+    rows = written(statements.select("id", "knowledge_type", F.col(name).alias("name"), "norm", counter("id").alias("n"), masked_numbers(F.col("norm")).alias("mask")), "statements")
+    a, b = rows.alias("a"), rows.alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("knowledge_type", "name", "mask")))
+    return a.join(b, same & (F.col("a.n") < F.col("b.n"))).where(contradicts(F.col("a.norm"), F.col("b.norm"))).select(F.col("a.id").alias("claim_a_id"), F.col("b.id").alias("claim_b_id"))
+
+
+def decisions(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, decision, target) of items against exact_groups: LINKED to the canonical object of the group, or CREATED, which then is compared with its peers."""
+    return items.select("id").distinct().join(groups, "id").select("id", F.when(F.col("id") == F.col("canonical_id"), "CREATED").otherwise("LINKED").alias("decision"), F.when(F.col("id") != F.col("canonical_id"), F.col("canonical_id")).alias("target"))
+
+
+def statement_peers(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """(canonical_id, other_id): canonical objects with the same type and normalised statement in different groups, such as one equation stated at two places; each pair once, by number."""
+    canonical = items.join(groups, "id").where("id = canonical_id").select("id", "knowledge_type", "norm").distinct()
+    a, b = canonical.alias("a"), canonical.alias("b")
+    same = (F.col("a.knowledge_type") == F.col("b.knowledge_type")) & (F.col("a.norm") == F.col("b.norm"))
+    return a.join(b, same & (counter("a.id") < counter("b.id"))).select(F.col("a.id").alias("canonical_id"), F.col("b.id").alias("other_id"))
+
+
+def unrecorded(pairs: DataFrame, recorded: DataFrame) -> DataFrame:
+    """pairs (concept_a, concept_b) less those that are recorded (a, b) in either order."""
+    lo, hi = pair(F.col("a"), F.col("b"))
+    return pairs.join(recorded.select(lo.alias("concept_a"), hi.alias("concept_b")), ["concept_a", "concept_b"], "left_anti")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions.ids import counter
 from quillspark.storage import written
 
 
@@ -46,58 +48,164 @@ def dependent_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return edges.join(nodes, F.col("src") == F.col("node"), "left_semi")
 
 
+def least_reaching(edges: DataFrame) -> DataFrame:
+    """(node, least) of every node on an edge: the smallest node from which a path leads to it, itself included. Labels move along edges until none changes."""
+    now = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("least", F.col("node")), "labels")
+    while True:
+        came = edges.join(now.select(F.col("node").alias("src"), F.col("least").alias("l")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("l").alias("l"))
+        new = written(now.join(came, "node", "left").select("node", F.least("least", F.coalesce("l", "least")).alias("least"), (F.coalesce("l", "least") < F.col("least")).alias("moved")), "labels")
+        now = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return now
+
+
+def _core(edges: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without an edge in or without one out are peeled off, again and again: what cycles lie on, and paths between them."""
+    now, n = written(edges, "core"), None
+    while True:
+        ends = now.select(F.col("src").alias("x")).distinct().join(now.select(F.col("dst").alias("x")), "x", "left_semi")
+        kept = written(now.join(ends.withColumnRenamed("x", "src"), "src", "left_semi").join(ends.withColumnRenamed("x", "dst"), "dst", "left_semi").select("src", "dst"), "core")
+        n, before = kept.count(), now.count() if n is None else n
+        now = kept
+        if n in (0, before):
+            return now
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node on an edge: strongly connected, named by the smallest node. Two nodes share one if each reaches the other."""
+    """(node, component) of every node on an edge: strongly connected, named by the smallest node.
+
+    What lies on no cycle is peeled off. Each node of the rest takes the smallest node that reaches it as its colour;
+    what reaches that node within the colour is its component. Components are set aside and the rest is coloured anew.
+    """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    r = written(reachable(edges, nodes), "reach")
-    mutual = r.alias("a").join(r.alias("b"), (F.col("a.seed") == F.col("b.node")) & (F.col("a.node") == F.col("b.seed"))).select(F.col("a.seed").alias("node"), F.col("a.node").alias("other"))
-    return nodes.join(mutual, "node", "left").groupBy("node").agg(F.least(F.col("node"), F.min(F.coalesce("other", "node"))).alias("component"))
+    found, left = None, _core(edges)
+    while not left.isEmpty():
+        colour = least_reaching(left)
+        inside = left.join(colour.select(F.col("node").alias("src"), F.col("least").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("least").alias("b")), "dst").where("a = b").select("src", "dst")
+        inside = written(inside, "colours")
+        back = reachable(reverse(inside), colour.where("node = least").select("node"))
+        one = written(back.select(F.col("node"), F.col("seed").alias("component")).union(colour.where("node = least").select("node", "least")).distinct(), "component")
+        found = one if found is None else found.union(one)
+        gone = one.select("node")
+        left = _core(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """(node) of the nodes on a cycle, one that leads to itself included."""
+    together = components(edges)
+    many = together.join(together.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component", "left_semi").select("node")
+    return many.union(edges.where("src = dst").select("src")).distinct()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node that an edge (u, v) names; root is the smallest node of its component.
+
+    Alternating large and small stars; null ends and loops are left out, repeated edges count once, no edges give no rows.
+    """
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("h")).first()
+        if mark["n"] == 0 or mark == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = mark
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        now = written(small.where("u <> v").distinct(), "stars")
+
 
+#: The types that a hierarchy is made of, and whether the parent is where the edge starts.
+HIERARCHY = {"PARENT_OF": True, "COMPOSED_OF": True, "PART_OF": False, "INSTANCE_OF": False}
 
-def hierarchy(edges: DataFrame, most_depth: int = 32) -> DataFrame:
-    """(root, node, depth, path) of every simple path down from a root, which is a parent without a parent. Cycles end a path."""
-    roots = edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")), "src", "left_anti")
-    level = written(roots.select(F.col("src").alias("root"), F.col("src").alias("node"), F.lit(0).alias("depth"), F.array("src").alias("path")), "level")
-    out = level
-    for depth in range(1, most_depth + 1):
+
+def hierarchy_edges(kb: SimpleNamespace) -> DataFrame:
+    """(src, dst) from parent to child of the active edges of the four types, each turned the right way."""
+    parts = [edges_of(kb, t) if down else reverse(edges_of(kb, t)) for t, down in HIERARCHY.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct()
+
+
+def hierarchy(edges: DataFrame) -> DataFrame:
+    """(root, node, depth, path) of every simple path down from a root, however deep. Cycles end a path.
+
+    Roots are parents without a parent; of nodes that no root leads to, the smallest that no smaller one leads to is a
+    root too, so each cycle is shown from its first node.
+    """
+    tops = written(edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")), "src", "left_anti").select(F.col("src").alias("node")), "tops")
+    shown = reachable(edges, tops).select("node").union(tops)
+    rest = edges.join(shown.select(F.col("node").alias("src")), "src", "left_anti")
+    turns = least_reaching(rest).where("node = least").select("node").join(rest.select(F.col("src").alias("node")), "node", "left_semi")
+    level = written(tops.union(turns).select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")), "level")
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
         down = level.join(edges, (F.col("node") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
         level = written(down.select("root", F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("dst")).alias("path")), "level")
-        if level.isEmpty():
-            break
         out = out.union(level)
     return out
 
 
-def states(edges: DataFrame, available: DataFrame) -> DataFrame:
-    """(node, state) of every node on an edge (src requires dst) or available.
+def states(edges: DataFrame, available: DataFrame, conflicting: DataFrame | None = None, lacking: DataFrame | None = None) -> DataFrame:
+    """(node, state, round) of every node on an edge (src requires dst) or available, round the one in which it was settled.
 
-    AVAILABLE as given; BLOCKED on a cycle; MISSING without a requirement; DERIVED when all requirements are available
-    or derived; BLOCKED otherwise. Nodes are settled in rounds, as many as the longest chain of derivations.
+    CONFLICTING as given; then AVAILABLE as given; BLOCKED on a cycle; MISSING without a requirement; BLOCKED if a
+    requirement is missing, blocked or in conflict, or if the node is in `lacking`, whose requirements can't all be
+    used; DERIVED when all requirements are available or derived. Rounds are as many as the longest chain.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(available.select("node")).distinct()
-    cyclic = reachable(edges, nodes).where("seed = node").select("node").distinct().withColumn("cyclic", F.lit(True))
-    first = nodes.join(available.select("node").distinct().withColumn("given", F.lit(True)), "node", "left").join(cyclic, "node", "left").join(edges.select(F.col("src").alias("node")).distinct().withColumn("needs", F.lit(True)), "node", "left")
-    state = F.when(F.col("given"), "AVAILABLE").when(F.col("cyclic"), "BLOCKED").when(F.col("needs").isNull(), "MISSING")
-    now = written(first.select("node", state.alias("state")), "states")
+    first = nodes
+    for name, marked in (("given", available), ("clash", conflicting), ("lacks", lacking), ("circles", cyclic(edges)), ("needs", edges.select(F.col("src").alias("node")))):
+        marked = nodes.limit(0) if marked is None else marked.select("node").distinct()
+        first = first.join(marked.withColumn(name, F.lit(True)), "node", "left")
+    state = F.when(F.col("clash"), "CONFLICTING").when(F.col("given"), "AVAILABLE").when(F.col("circles"), "BLOCKED").when(F.col("lacks"), "BLOCKED").when(F.col("needs").isNull(), "MISSING")
+    now = written(first.select("node", state.alias("state"), F.lit(0).alias("round")), "states")
+    done = 0
     while True:
+        done += 1
         needs = edges.join(now.select(F.col("node").alias("dst"), F.col("state").alias("s")), "dst").groupBy(F.col("src").alias("node")).agg(
-            F.min(F.coalesce(F.col("s").isin("AVAILABLE", "DERIVED"), F.lit(False)).cast("int")).alias("all_there"), F.max(F.coalesce(F.col("s").isin("MISSING", "BLOCKED"), F.lit(False)).cast("int")).alias("one_lacks"))
-        new = now.join(needs, "node", "left").select("node", F.coalesce("state", F.when(F.col("all_there") == 1, "DERIVED").when(F.col("one_lacks") == 1, "BLOCKED")).alias("state"), F.col("state").isNull().alias("was_open"))
+            F.min(F.coalesce(F.col("s").isin("AVAILABLE", "DERIVED"), F.lit(False)).cast("int")).alias("all_there"), F.max(F.coalesce(F.col("s").isin("MISSING", "BLOCKED", "CONFLICTING"), F.lit(False)).cast("int")).alias("one_lacks"))
+        settled = F.coalesce("state", F.when(F.col("one_lacks") == 1, "BLOCKED").when(F.col("all_there") == 1, "DERIVED"))
+        new = now.join(needs, "node", "left").select("node", settled.alias("state"), F.when(F.col("state").isNull() & settled.isNotNull(), F.lit(done)).otherwise(F.col("round")).alias("round"), F.col("state").isNull().alias("was_open"))
         new = written(new, "states")
         now = new.drop("was_open")
         if new.where("was_open and state is not null").isEmpty():
             return now
 
 
+def derivation_steps(found: DataFrame) -> DataFrame:
+    """(step, node) of the derived nodes of states, in an order in which each comes after what it requires: by round, then by number."""
+    rounds = found.where("state = 'DERIVED'").withColumn("n", F.row_number().over(W.partitionBy("round").orderBy(counter("node"), "node")))
+    before = found.where("state = 'DERIVED'").groupBy("round").count().select("round", F.coalesce(F.sum("count").over(W.orderBy("round").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rounds.join(F.broadcast(before), "round").select((F.col("before") + F.col("n")).cast("long").alias("step"), "node")
+
+
+def missing_nodes(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, required_by) of the nodes without a requirement, with the nodes that require them in order of their numbers."""
+    lacking = found.where("state = 'MISSING'").select("node")
+    by = edges.groupBy(F.col("dst").alias("node")).agg(F.sort_array(F.collect_set(F.struct(counter("src").alias("n"), "src"))).alias("x"))
+    return lacking.join(by, "node").select("node", F.array_join(F.col("x.src"), ",").alias("required_by"))
+
+
+def derivable(edges: DataFrame, available: DataFrame) -> DataFrame:
+    """(node) of all that can be derived from the available nodes."""
+    return states(edges, available).where("state = 'DERIVED'").select("node")
+
+
 def chains(edges: DataFrame, available: DataFrame, target: str, limit: int = 1000) -> DataFrame:
-    """(path) of the simple chains from an available node to the target, inputs first, at most `limit`, in order."""
+    """(path, complete) of the simple chains from an available node to the target, inputs first, in order: the first `limit` of them, and whether these are all."""
+    there = available.select(F.col("node").alias("at")).distinct()
     level = edges.where(F.col("src") == target).select(F.array(F.col("dst"), F.col("src")).alias("path"), F.col("dst").alias("at"))
-    out = None
+    out = edges.select(F.array("src").alias("path")).limit(0)
     while not level.isEmpty():
         level = written(level, "chains")
-        done = level.join(available.select(F.col("node").alias("at")).distinct(), "at", "left_semi").select("path")
-        out = done if out is None else out.union(done)
-        more = level.join(available.select(F.col("node").alias("at")).distinct(), "at", "left_anti").join(edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        out = out.union(level.join(there, "at", "left_semi").select("path"))
+        more = level.join(there, "at", "left_anti").join(edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         level = more.select(F.concat(F.array("dst"), "path").alias("path"), F.col("dst").alias("at"))
-    empty = edges.select(F.array("src").alias("path")).limit(0)
-    return (out if out is not None else empty).orderBy("path").limit(limit)
+    n = out.count()
+    return out.orderBy("path").limit(limit).withColumn("complete", F.lit(n <= limit))

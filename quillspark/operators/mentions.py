@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from quillspark.functions.ids import pair
 from quillspark.operators.retrieval import tokens
 
-MOST_WORDS = 6
-
 
 def names(aliases: DataFrame) -> DataFrame:
     """(name, concepts, n_words) from (concept_id, normalized_alias); a name of several concepts is ambiguous."""
@@ -22,8 +20,11 @@ def names(aliases: DataFrame) -> DataFrame:
 
 def mentions(texts: DataFrame, known: DataFrame) -> DataFrame:
     """(text_id, own, name, concepts, start_word, n_words) of the names in texts (text_id, own, text) that survive: longer before shorter, then earlier; what overlaps a chosen span is dropped."""
+    sizes = sorted(r[0] for r in known.select("n_words").distinct().collect())  # the lengths that names have, few whatever their number
+    if not sizes:
+        sizes = [1]
     words = texts.select("text_id", "own", F.split(F.trim(tokens(F.col("text"))), " ").alias("w"))
-    spans = words.select("text_id", "own", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(MOST_WORDS)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("name"), i.alias("i"), n.alias("n")))))).alias("s")).select("text_id", "own", "s.*").distinct()
+    spans = words.select("text_id", "own", F.explode(F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("name"), i.alias("i"), n.alias("n")))))).alias("s")).select("text_id", "own", "s.*").distinct()
     met = spans.join(known.select("name", "concepts", F.col("n_words").alias("k")), "name").where("n = k")
     per = met.groupBy("text_id", "own").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("longest"), "i", "n", "name", "concepts"))).alias("m"))
 

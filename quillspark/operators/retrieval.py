@@ -5,6 +5,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.ids import counter
@@ -38,7 +39,7 @@ def group_of() -> Column:
 def section(kb: SimpleNamespace, concepts: DataFrame) -> DataFrame:
     """(concept_id, group_no, group_name, item_id, n_links, position) of everything that active links attach to concepts (concept_id).
 
-    An item stands once, in its earliest group, by the position of its first evidence.
+    An item stands once, in its earliest group; position counts the items of a group in the order of their first evidence, those without last.
     """
     e = kb.edge.where(F.col("lifecycle_status") == "ACTIVE")
     out = e.select(F.col("from_concept_id").alias("concept_id"), F.lit("FROM").alias("at"), "relation_type", F.coalesce("to_concept_id", "to_knowledge_id").alias("item_id"))
@@ -47,9 +48,10 @@ def section(kb: SimpleNamespace, concepts: DataFrame) -> DataFrame:
     kinds = kb.knowledge.where(E.lifecycle_allows()).select(F.col("id").alias("item_id"), "knowledge_type")
     links = links.join(kinds, "item_id", "left").where(F.startswith("item_id", F.lit("CPT-")) | F.col("knowledge_type").isNotNull())
     items = links.withColumn("g", group_of()).groupBy("concept_id", "item_id").agg(F.min("g").alias("group_no"), F.count("*").alias("n_links"))
-    at = E.position(E.evidence(kb)).select(F.col("subject_id").alias("item_id"), (F.col("document_n") * 1000 + F.least(F.col("page"), F.lit(999))).alias("position"))
+    at = E.position(E.evidence(kb)).select(F.col("subject_id").alias("item_id"), F.struct("document_n", "page", "start", "n").alias("at"))
     names = F.element_at(F.array(*map(F.lit, GROUPS)), F.col("group_no") + 1)
-    return items.join(at, "item_id", "left").select("concept_id", "group_no", names.alias("group_name"), "item_id", "n_links", "position")
+    place = F.row_number().over(W.partitionBy("concept_id", "group_no").orderBy(F.col("at").asc_nulls_last(), F.split_part("item_id", F.lit("-"), F.lit(1)), counter("item_id")))
+    return items.join(at, "item_id", "left").select("concept_id", "group_no", names.alias("group_name"), "item_id", "n_links", place.alias("position"))
 
 
 def tokens(text: Column) -> Column:

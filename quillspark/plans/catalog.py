@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,7 +25,7 @@ from quillspark.operators import mentions as M
 from quillspark.operators import retrieval as R
 from quillspark.operators import structure as S
 from quillspark.session import ship
-from quillspark.sources import readers
+from quillspark.sources import readers, sites
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,12 +135,13 @@ query("g1_ancestors", flat=True, sql=_recursive(("edge", "concept"), f"select ds
 query("g2_dependency_closure", flat=True, sql=_recursive(("edge", "concept"), _NEED, _SEEDS, "select src, dst from edges where src in (select node from reach union select node from seeds)"))(lambda spark, d: (lambda kb: G.dependency_edges(G.edges_of(kb, "REQUIRES", "DEPENDS_ON"), _seeds(kb)))(knowledge_base(spark, d)))
 query("g3_dependent_closure", flat=True, sql=_recursive(("edge", "concept"), f"select dst as src, src as dst from ({_NEED}) p", _SEEDS, "select dst as src, src as dst from edges where dst in (select node from reach union select node from seeds)"))(lambda spark, d: (lambda kb: G.dependent_edges(G.edges_of(kb, "REQUIRES", "DEPENDS_ON"), _seeds(kb)))(knowledge_base(spark, d)))
 query("g4_components", flat=True, sql=_recursive(("edge", "concept"), _NEED, "select src as node from edges union select dst from edges", "select s.node, least(s.node, min(coalesce(r.node, s.node))) as component from seeds s left join (select a.seed, a.node from reach a join reach b on b.seed = a.node and b.node = a.seed) r on r.seed = s.node group by s.node"))(lambda spark, d: (lambda kb: G.components(G.edges_of(kb, "REQUIRES", "DEPENDS_ON")))(knowledge_base(spark, d)))
-query("g6_hierarchy", flat=True, sql=f"{with_tables('edge')}, edges as ({_PARENT}), tree as (select src as root, src as node, 0 as depth from (select distinct src from edges where src not in (select dst from edges)) r union all select t.root, e.dst, t.depth + 1 from tree t join edges e on e.src = t.node) select root, node, depth from tree")(lambda spark, d: (lambda kb: G.hierarchy(G.edges_of(kb, "PARENT_OF")).select("root", "node", "depth"))(knowledge_base(spark, d)))
+_DOWN = "select distinct from_concept_id as src, to_concept_id as dst from kb_edge where lifecycle_status = 'ACTIVE' and to_concept_id is not null and relation_type in ('PARENT_OF', 'COMPOSED_OF') union select to_concept_id, from_concept_id from kb_edge where lifecycle_status = 'ACTIVE' and to_concept_id is not null and relation_type in ('PART_OF', 'INSTANCE_OF')"
+query("g6_hierarchy", flat=True, sql=f"{with_tables('edge')}, edges as ({_DOWN}), tree as (select src as root, src as node, 0 as depth from (select distinct src from edges where src not in (select dst from edges)) r union all select t.root, e.dst, t.depth + 1 from tree t join edges e on e.src = t.node) select root, node, depth from tree")(lambda spark, d: (lambda kb: G.hierarchy(G.hierarchy_edges(kb)).select("root", "node", "depth"))(knowledge_base(spark, d)))
 _AVAILABLE = "select id as node from kb_concept where cast(split_part(id, '-', 2) as bigint) % 3 = 0 and cast(split_part(id, '-', 2) as bigint) > 1000"
 query("r4_derivation_states", flat=True, sql=None)(lambda spark, d: (lambda kb: G.states(G.edges_of(kb, "REQUIRES", "DEPENDS_ON"), kb.concept.where((counter("id") % 3 == 0) & (counter("id") > 1000)).select(F.col("id").alias("node"))))(knowledge_base(spark, d)))
 
-# text preparation over documents, compared where both engines see the same characters
-_ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
+# text preparation over all documents; white space and case of the whole character set
+_BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,12 +150,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return _docs(spark, sf_dir).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.normalised(F.col("text")).alias("normalised"))
+    return _docs(spark, sf_dir).select("doc_id", T.normalised(F.col("text")).alias("normalised"))
 
 
-query("t1_normalised", flat=True, sql=f"select doc_id, trim(regexp_replace(lower(text), '[\\x09-\\x0D\\x1C-\\x1F ]+', ' ', 'g')) as normalised from documents where {_ASCII}")(_normalised)
+query("t1_normalised", flat=True, sql=f"select doc_id, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '{_BLANKS}', ' ', 'g')) as normalised from documents")(_normalised)
 query("t5_page_quality", flat=True, sql="select doc_id, case when length(t) = 0 or length(t) < 24 or length(regexp_replace(t, '[^\\p{L}\\p{N}]+', '', 'g')) / length(t) < 0.35 then 'UNKNOWN' else 'NATIVE_TEXT' end as origin, case when length(t) = 0 then 'empty' when length(t) < 24 then 'too short' when length(regexp_replace(t, '[^\\p{L}\\p{N}]+', '', 'g')) / length(t) < 0.35 then 'too few letters and digits' end as reason from (select doc_id, trim(coalesce(text, '')) as t from documents) x")(lambda spark, d: _docs(spark, d).select("doc_id", T.page_quality(F.col("text")).alias("q")).select("doc_id", "q.*"))
-query("d4_exact_duplicates", flat=True, sql="select d.doc_id, m.first_id, d.doc_id <> m.first_id as superseded from documents d join (select sha256(text) as h, min(doc_id) as first_id from documents group by 1) m on m.h = sha256(d.text)")(lambda spark, d: (lambda docs: docs.join(docs.groupBy("h").agg(F.min("doc_id").alias("first_id")), "h").select("doc_id", "first_id", (F.col("doc_id") != F.col("first_id")).alias("superseded")))(_docs(spark, d).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))))
 
 # statements and their names
 _NORM = "select id, knowledge_type, canonical_name as name, statement as norm from kb_knowledge where lifecycle_status = 'ACTIVE'"
@@ -164,14 +165,15 @@ def _statements(kb) -> DataFrame:
     return kb.knowledge.where("lifecycle_status = 'ACTIVE'").select("id", "knowledge_type", F.col("canonical_name").alias("name"), F.col("statement").alias("norm"))
 
 
-simple("d2_compared_statements", lambda kb: D.compared(_statements(kb), "name"), ("knowledge",), f"select a.id as canonical_id, b.id as other_id, case when regexp_extract(a.norm, 'by (.*)$', 1) = regexp_extract(b.norm, 'by (.*)$', 1) then 'CONTRADICTORY' else 'POSSIBLE_DUPLICATE' end as outcome from ({_NORM}) a join ({_NORM}) b on a.name = b.name and a.norm <> b.norm and {_N.format('a.id')} < {_N.format('b.id')}")
-simple("q8_resolve", lambda kb: R.resolve(kb, "Suppliers 7"), ("alias",), "select concept_id, min(alias) as matched_alias from kb_alias where lifecycle_status = 'ACTIVE' and normalized_alias = 'suppliers 7' group by 1")
-simple("q8_resolve_singular", lambda kb: R.resolve(kb, "  EUROPE "), ("alias",), "select concept_id, min(alias) as matched_alias from kb_alias where lifecycle_status = 'ACTIVE' and normalized_alias = 'europe' group by 1")
+_D2 = f"select a.id as canonical_id, b.id as other_id, case when regexp_extract(a.norm, 'by (.*)$', 1) = regexp_extract(b.norm, 'by (.*)$', 1) then 'CONTRADICTORY' else 'POSSIBLE_DUPLICATE' end as outcome from ({_NORM}) a join ({_NORM}) b on a.knowledge_type = b.knowledge_type and a.name = b.name and a.norm <> b.norm and {_N.format('a.id')} < {_N.format('b.id')}"
+simple("d2_compared_statements", lambda kb: D.compared(_statements(kb), "name"), ("knowledge",), _D2)
+simple("d7_contradictions", lambda kb: D.contradictions(_statements(kb), "name"), ("knowledge",), f"select canonical_id as claim_a_id, other_id as claim_b_id from ({_D2}) x where outcome = 'CONTRADICTORY'")
+simple("q8_resolve", lambda kb: R.resolve(kb, "Supplier 7"), ("alias",), "select concept_id, min(alias) as matched_alias from kb_alias where lifecycle_status = 'ACTIVE' and normalized_alias = 'supplier 7' group by 1")
+simple("q8_resolve_singular", lambda kb: R.resolve(kb, "  Asias "), ("alias",), "select concept_id, min(alias) as matched_alias from kb_alias where lifecycle_status = 'ACTIVE' and normalized_alias = 'asia' group by 1")
 _GROUP = "case when r = 'DEFINED_BY' or kt = 'DEFINITION' then 0 when r = 'HAS_PROPERTY' or kt = 'PROPERTY' then 1 when kt = 'EQUATION' then 2 when kt = 'RULE' then 3 when r = 'PARENT_OF' and side = 'TO' then 4 when r = 'PARENT_OF' then 5 when r = 'REQUIRES' and side = 'FROM' then 6 when r in ('DEPENDS_ON', 'REQUIRES') then 7 else 8 end"
-_SUPPLIERS = "concept_id like 'CPT-0000100%'"
 simple(
-    "q11_concept_sections", lambda kb: R.section(kb, kb.concept.select(F.col("id").alias("concept_id")).where(_SUPPLIERS)).select("concept_id", "group_no", "group_name", "item_id", "n_links"), ("edge", "knowledge"),
-    f"select concept_id, min(g) as group_no, case min(g) when 0 then 'DEFINITIONS' when 1 then 'PROPERTIES' when 2 then 'EQUATIONS' when 3 then 'RULES' when 4 then 'PARENTS' when 5 then 'CHILDREN' when 6 then 'PREREQUISITES' when 7 then 'DEPENDENCIES' else 'RELATED' end as group_name, item_id, count(*) as n_links from (select concept_id, item_id, {_GROUP} as g from (select l.*, k.knowledge_type as kt from (select from_concept_id as concept_id, 'FROM' as side, relation_type as r, coalesce(to_concept_id, to_knowledge_id) as item_id from kb_edge where lifecycle_status = 'ACTIVE' union all select to_concept_id, 'TO', relation_type, from_concept_id from kb_edge where lifecycle_status = 'ACTIVE' and to_concept_id is not null) l left join kb_knowledge k on k.id = l.item_id and k.lifecycle_status not in ('ARCHIVED', 'DELETED', 'SUPERSEDED') where {_SUPPLIERS} and (l.item_id like 'CPT-%' or k.id is not null)) x) y group by concept_id, item_id",
+    "q11_concept_sections", lambda kb: R.section(kb, kb.concept.select(F.col("id").alias("concept_id"))), ("edge", "knowledge", "concept", *_OCC),
+    f"select concept_id, group_no, group_name, item_id, n_links, row_number() over (partition by concept_id, group_no order by d nulls last, p, c, n, split_part(item_id, '-', 1), {_N.format('item_id')}) as position from (select concept_id, min(g) as group_no, case min(g) when 0 then 'DEFINITIONS' when 1 then 'PROPERTIES' when 2 then 'EQUATIONS' when 3 then 'RULES' when 4 then 'PARENTS' when 5 then 'CHILDREN' when 6 then 'PREREQUISITES' when 7 then 'DEPENDENCIES' else 'RELATED' end as group_name, item_id, count(*) as n_links from (select concept_id, item_id, {_GROUP} as g from (select l.*, k.knowledge_type as kt from (select from_concept_id as concept_id, 'FROM' as side, relation_type as r, coalesce(to_concept_id, to_knowledge_id) as item_id from kb_edge where lifecycle_status = 'ACTIVE' union all select to_concept_id, 'TO', relation_type, from_concept_id from kb_edge where lifecycle_status = 'ACTIVE' and to_concept_id is not null) l left join kb_knowledge k on k.id = l.item_id and k.lifecycle_status not in ('ARCHIVED', 'DELETED', 'SUPERSEDED') where l.concept_id in (select id from kb_concept) and (l.item_id like 'CPT-%' or k.id is not null)) x) y group by concept_id, item_id) z left join (select subject_id, d, p, c, n from (select subject_id, {_N.format('document_id')} as d, page_number as p, char_start as c, {_N.format('id')} as n, row_number() over (partition by subject_id order by {_N.format('document_id')}, page_number, char_start, {_N.format('id')}) as r from ({_EVIDENCE}) e) f where r = 1) a on a.subject_id = z.item_id",
 )
 simple(
     "q18_keyword_hits", lambda kb: R.keyword_hits(kb, "is rated 1", prefix=True), (*_OCC, "source", "knowledge", "alias", "segment"),
@@ -193,16 +195,28 @@ query("t9_sentences", flat=True)(lambda spark, d: S.sentences(S.prose_regions(_p
 query("t12_masked_pages", flat=True)(lambda spark, d: S.masked(_pages(spark, d)).select("document_id", F.length("expository").alias("n"), "question_chars"))
 query("t6_lines", flat=True, sql="select cast(doc_id as varchar) as document_id, count(*) as n_lines, cast(sum(length(l)) as bigint) as n_chars from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) x where l <> '' group by 1")(lambda spark, d: S.lines(_pages(spark, d)).where("stripped <> ''").groupBy("document_id").agg(F.count("*").alias("n_lines"), F.sum(F.length(F.rtrim(F.regexp_replace("raw", "\n$", "")))).alias("n_chars")))
 query("e13_candidates", flat=True)(lambda spark, d: X.detect(_pages(spark, d)))
-query("cl2_mentions", flat=True)(lambda spark, d: (lambda kb: M.mentions(kb.knowledge.select(F.col("id").alias("text_id"), F.col("id").alias("own"), F.col("statement").alias("text")), M.names(kb.knowledge.select(F.col("id").alias("concept_id"), F.col("canonical_name").alias("normalized_alias")).dropDuplicates(["normalized_alias"]))).select("text_id", "name", "start_word", "n_words"))(knowledge_base(spark, d)))
-SQL["cl2_mentions"] = f"{with_tables('knowledge')} select id as text_id, canonical_name as name, 1 as start_word, len(string_split(canonical_name, ' ')) as n_words from kb_knowledge"
+_NAMES = "select id as concept_id, canonical_name as normalized_alias from kb_knowledge union all select id, split_part(canonical_name, ' ', 1) || ' ' || split_part(canonical_name, ' ', 2) from kb_knowledge union all select id, 'rated ' || regexp_extract(statement, 'rated ([0-9]+)', 1) from kb_knowledge union all select id, 'is rated' from kb_knowledge where knowledge_type = 'RULE'"
+
+
+def _mentions(kb) -> DataFrame:
+    """Names of three words, shorter ones within them and across their ends, and names of many statements."""
+    k, name = kb.knowledge, F.col("canonical_name")
+    own = lambda c: k.select(F.col("id").alias("concept_id"), c.alias("normalized_alias"))
+    rated = F.concat(F.lit("rated "), F.regexp_extract("statement", "rated ([0-9]+)", 1))
+    known = own(name).union(own(F.substring_index(name, " ", 2))).union(own(rated)).union(k.where("knowledge_type = 'RULE'").select("id", F.lit("is rated")))
+    return M.mentions(k.select(F.col("id").alias("text_id"), F.col("id").alias("own"), F.col("statement").alias("text")), M.names(known)).select("text_id", "name", "start_word", "n_words", F.size("concepts").alias("n_concepts"))
+
+
+simple("cl2_mentions", _mentions, ("knowledge",), f"with_names as (select 1) select id as text_id, n.name, n.at as start_word, n.k as n_words, c.n as n_concepts from (select id, canonical_name as name, 1 as at, len(string_split(canonical_name, ' ')) as k from kb_knowledge union all select id, 'is rated', len(string_split(canonical_name, ' ')) + 1, 2 from kb_knowledge) n join (select normalized_alias as name, cast(count(distinct concept_id) as integer) as n from ({_NAMES}) x group by 1) c on c.name = n.name".replace("with_names as (select 1) ", ""))
 
 # formulas over rows, and pages of markup
 _REVENUE = "revenue = l_extendedprice * (1 - l_discount) * (1 + l_tax) / 2 - -l_quantity ^ 2"
 query("c3_bulk_formula", flat=True, sql="select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) / 2 - -(l_quantity * l_quantity) as revenue from lineitem")(lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", formulas.column(_REVENUE).alias("revenue")))
 query("sv3_isolated_formula", flat=True, sql="select l_orderkey, l_linenumber, l_extendedprice / l_quantity as price from lineitem")(lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", formulas.column(formulas.isolate("l_extendedprice = l_quantity * price", "price")).alias("price")))
 query("s24_page_text", flat=True)(lambda spark, d: readers.html_text(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "title", F.length("text").alias("n_chars")))
-query("s26_within_site", flat=True, sql="select page_id, url, starts_with(url, 'https://') as secure from pages")(lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.startswith("url", F.lit("https://")).alias("secure")))
-query("a17_table_counts", flat=True, sql=" union all ".join(f"select '{t}' as table_name, count(*) as n from {t}" for t in ("region", "nation", "supplier", "part", "orders", "lineitem")))(lambda spark, d: reduce(DataFrame.union, (spark.read.parquet(f"{d}/{t}.parquet").agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in ("region", "nation", "supplier", "part", "orders", "lineitem"))))
+query("s26_within_site", flat=True, sql="select page_id, regexp_matches(url, '(?i)^https?://[^/?#@]+([/?#]|$)') and lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) = s.scheme and lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) = s.host and case when regexp_matches(url, '^[A-Za-z]+://[^/?#:]+:[0-9]+') then cast(regexp_extract(url, '^[A-Za-z]+://[^/?#:]+:([0-9]+)', 1) as integer) when lower(url) like 'http://%' then 80 else 443 end = s.port and starts_with(case when regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) end, s.prefix) as within from pages, (select lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) as scheme, lower(regexp_extract(u, '^[A-Za-z]+://([^/?#:]+)', 1)) as host, case when lower(u) like 'http://%' then 80 else 443 end as port, regexp_extract(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^(.*/)', 1) as prefix from (select min(url) as u from pages) m) s")(lambda spark, d: sites.within_first(spark.read.parquet(f"{d}/pages.parquet")))
+_ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+query("a17_table_counts", flat=True, sql=" union all ".join(f"select '{t}' as table_name, count(*) as n from {t}" for t in _ALL))(lambda spark, d: reduce(DataFrame.union, (spark.read.parquet(f"{d}/{t}.parquet").agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in _ALL)))
 
 # answers in scope
 _SEEN = f"select e.* from ({_EVIDENCE}) e join kb_source s on s.id = e.source_id where not ({_DENIED})"
@@ -221,7 +235,17 @@ simple(
 simple("q25_provenance", lambda kb: A.provenance(kb, kb.knowledge.where("knowledge_type = 'RULE'").select(F.col("id").alias("subject_id"))), (*_OCC, "run", "knowledge"), f"select r.id, r.document_id, u.n as n_evidence, concat_ws('; ', case when r.status = 'PARTIAL' then 'partial run' end, case when r.extractor_version < 4 then 'old extractor' end) as notes from kb_run r join (select extraction_run_id, count(*) as n from ({_EVIDENCE}) e where subject_id in (select id from kb_knowledge where knowledge_type = 'RULE') group by 1) u on u.extraction_run_id = r.id")
 simple("d9_merged_statements", lambda kb: A.merged(kb.knowledge.select("id", "lifecycle_status"), C.exact_duplicate_groups(kb.knowledge.where("lifecycle_status = 'ACTIVE'").select("id", "canonical_name"), F.col("canonical_name")).select("id", "canonical_id")), ("knowledge",), f"select k.id, case when k.lifecycle_status = 'ACTIVE' and k.id <> m.first_id then 'SUPERSEDED' else k.lifecycle_status end as lifecycle_status, case when k.lifecycle_status = 'ACTIVE' and k.id <> m.first_id then m.first_id end as superseded_by from kb_knowledge k left join (select canonical_name, arg_min(id, {_N.format('id')}) as first_id from kb_knowledge where lifecycle_status = 'ACTIVE' group by 1) m on m.canonical_name = k.canonical_name")
 simple("h7_superseded_pointers", A.superseded_pointers, ("equivalence",), f"select other_knowledge_id as id, arg_min(canonical_knowledge_id, {_N.format('canonical_knowledge_id')}) as canonical_id from kb_equivalence where outcome = 'EXACT_DUPLICATE' group by 1")
-simple("q23_index_status", lambda kb: A.index_status(C.state_marker(kb), C.state_marker(kb).where("table_name <> 'alias'").withColumn("n_rows", F.col("n_rows") + (F.col("table_name") == "segment").cast("long"))), ("alias",), "select * from (values ('knowledge', 'FRESH'), ('source_occurrence', 'FRESH'), ('concept_occurrence', 'FRESH'), ('alias', 'MISSING'), ('segment', 'STALE')) t (table_name, status)")
+_MARK = "select '{t}' as table_name, count(*) as n, coalesce(max({c}), 0) as m from kb_{t}{w}"
+_MARKED = {"knowledge": "", "source_occurrence": " where page_number = 1", "concept_occurrence": "", "segment": " where lang = 'en'"}
+
+
+def _index_states(kb) -> DataFrame:
+    """What is stored now against what an index holds that was built of some of the rows, and of no aliases."""
+    built = SimpleNamespace(**vars(kb) | {"source_occurrence": kb.source_occurrence.where("page_number = 1"), "segment": kb.segment.where("lang = 'en'")})
+    return A.index_status(C.state_marker(kb), C.state_marker(built).where("table_name <> 'alias'"))
+
+
+simple("q23_index_status", _index_states, ("knowledge", "source_occurrence", "concept_occurrence", "alias", "segment"), "select a.table_name, case when a.n = b.n and a.m = b.m then 'FRESH' else 'STALE' end as status from (" + " union all ".join(_MARK.format(t=t, c=_N.format("id"), w="") for t in _MARKED) + ") a join (" + " union all ".join(_MARK.format(t=t, c=_N.format("id"), w=w) for t, w in _MARKED.items()) + ") b on b.table_name = a.table_name union all select 'alias', 'MISSING'")
 simple("l13_recorded_bases", lambda kb: kb.edge.where("origin = 'INFERRED'").join(kb.basis, F.col("id").eqNullSafe(F.col("relationship_id")), "left_semi").select("id"), ("edge", "basis"), "select id from kb_edge where origin = 'INFERRED' and exists (select 1 from kb_basis b where b.relationship_id is not distinct from id)")
 simple("l17_equivalences_of", lambda kb: kb.equivalence.where("canonical_knowledge_id = 'K-00000014' or other_knowledge_id = 'K-00000015'").select("canonical_knowledge_id", "other_knowledge_id", "outcome"), ("equivalence",), "select canonical_knowledge_id, other_knowledge_id, outcome from kb_equivalence where canonical_knowledge_id = 'K-00000014' or other_knowledge_id = 'K-00000015'")
 simple("l1_document_by_hash", lambda kb: kb.document.where(F.col("file_hash") == F.md5(F.lit("Supplier#000000002"))).select("id", "filename"), ("document",), "select id, filename from kb_document where file_hash = md5('Supplier#000000002')")
@@ -230,26 +254,14 @@ simple("s29_next_ids", lambda kb: kb.run.select("id", N.next_ids("RUN", F.lit(10
 # further views and text columns
 _VIEW = {"PREREQUISITES": ("PREREQUISITE_OF", "REQUIRES"), "DEPENDENCIES": ("DEPENDS_ON", "DERIVED_FROM"), "RELATED": ("RELATED_TO", "SIMILAR_TO", "EQUIVALENT_TO", "ALTERNATIVE_TO"), "APPLICATIONS": ("USES", "APPLIES_TO", "PRODUCES")}
 simple("g7_organisation", lambda kb: kb.edge.where("lifecycle_status = 'ACTIVE'").withColumn("view", reduce(lambda c, v: c.when(F.col("relation_type").isin(*_VIEW[v]), v), _VIEW, F)).where("view is not null").groupBy("view", "relation_type", "origin").agg(F.count("*").alias("n")), ("edge",), "select view, relation_type, origin, count(*) as n from (select *, case " + " ".join(f"when relation_type in ({', '.join(repr(x) for x in t)}) then '{v}'" for v, t in _VIEW.items()) + " end as view from kb_edge where lifecycle_status = 'ACTIVE') x where view is not null group by 1, 2, 3")
-simple("q14_equivalents", lambda kb: R.one_hop_equivalents(kb, kb.alias.alias("a").join(kb.alias.alias("b"), (F.col("a.normalized_alias") == F.col("b.normalized_alias")) & (F.col("a.concept_id") < F.col("b.concept_id"))).select(F.col("a.concept_id").alias("concept_a"), F.col("b.concept_id").alias("concept_b")), kb.concept.where("canonical_name like '%7'").select(F.col("id").alias("concept_id"))), ("alias", "concept"), "select distinct p.x as concept_id, p.y as other_id from (select a.concept_id as x, b.concept_id as y from kb_alias a join kb_alias b on a.normalized_alias = b.normalized_alias and a.concept_id <> b.concept_id) p where p.x in (select id from kb_concept where canonical_name like '%7') and (p.y not in (select id from kb_concept where canonical_name like '%7') or p.x < p.y)")
+simple("q14_equivalents", lambda kb: R.one_hop_equivalents(kb, kb.alias.alias("a").join(kb.alias.alias("b"), (F.col("a.normalized_alias") == F.col("b.normalized_alias")) & (F.col("a.concept_id") < F.col("b.concept_id"))).select(F.col("a.concept_id").alias("concept_a"), F.col("b.concept_id").alias("concept_b")), kb.concept.select(F.col("id").alias("concept_id"))), ("alias", "concept"), "select distinct a.concept_id, b.concept_id as other_id from kb_alias a join kb_alias b on a.normalized_alias = b.normalized_alias and a.concept_id < b.concept_id where a.concept_id in (select id from kb_concept)")
 simple("l2_sources_of_documents", lambda kb: kb.document.join(kb.source.select(F.col("id").alias("source_id"), F.col("document_id").alias("id"), "authorization"), "id").select(F.col("id").alias("document_id"), "source_id", "authorization"), ("document", "source"), "select d.id as document_id, s.id as source_id, s.authorization from kb_document d join kb_source s on s.document_id = d.id")
 simple("l6_occurrences_of_concepts", lambda kb: kb.concept_occurrence.groupBy("concept_id", "document_id").agg(F.count("*").alias("n"), F.min("page_number").alias("first_page"), F.max("char_end").alias("last_end")), ("concept_occurrence",), "select concept_id, document_id, count(*) as n, min(page_number) as first_page, max(char_end) as last_end from kb_concept_occurrence group by 1, 2")
 simple("l9_prerequisites_of_concepts", lambda kb: kb.edge.where("relation_type = 'REQUIRES' and lifecycle_status = 'ACTIVE'").select(F.col("from_concept_id").alias("concept_id"), F.col("to_concept_id").alias("required_id"), counter("to_concept_id").alias("required_n")), ("edge",), f"select from_concept_id as concept_id, to_concept_id as required_id, {_N.format('to_concept_id')} as required_n from kb_edge where relation_type = 'REQUIRES' and lifecycle_status = 'ACTIVE'")
 simple("l14_owners", lambda kb: kb.edge.where("to_knowledge_id is not null").groupBy(F.col("to_knowledge_id").alias("knowledge_id"), "relation_type").agg(F.countDistinct("from_concept_id").alias("n_owners"), F.min("from_concept_id").alias("first_owner")), ("edge",), "select to_knowledge_id as knowledge_id, relation_type, count(distinct from_concept_id) as n_owners, min(from_concept_id) as first_owner from kb_edge where to_knowledge_id is not null group by 1, 2")
 simple("l24_statements_by_prefix", lambda kb: kb.knowledge.where(F.startswith("canonical_name", F.lit("standard"))).select("id", "canonical_name"), ("knowledge",), "select id, canonical_name from kb_knowledge where starts_with(canonical_name, 'standard')")
 simple("u2_concepts_without_edges", lambda kb: kb.concept.select("id").join(kb.edge.select(F.col("from_concept_id").alias("id")).union(kb.edge.select("to_concept_id")), "id", "left_anti"), ("concept", "edge"), "select id from kb_concept where id not in (select from_concept_id from kb_edge union all select to_concept_id from kb_edge where to_concept_id is not null)")
-_FLAT = "trim(regexp_replace(text, '[\\x09-\\x0D\\x1C-\\x1F ]+', ' ', 'g'))"
-query("t2_collapsed", flat=True, sql=f"select doc_id, {_FLAT} as flat from documents where {_ASCII}")(lambda spark, d: _docs(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.collapse(F.col("text")).alias("flat")))
-query("t4_labels", flat=True, sql=f"select doc_id, 'Note: ' || case when length(f) <= 60 then f else rtrim(substring(f, 1, 60)) || '…' end as label from (select doc_id, {_FLAT} as f from documents where {_ASCII}) x")(lambda spark, d: _docs(spark, d).where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.label("Note", F.col("text")).alias("label")))
+_FLAT = f"trim(regexp_replace(text, '{_BLANKS}', ' ', 'g'))"
+query("t2_collapsed", flat=True, sql=f"select doc_id, {_FLAT} as flat from documents")(lambda spark, d: _docs(spark, d).select("doc_id", T.collapse(F.col("text")).alias("flat")))
+query("t4_labels", flat=True, sql=f"select doc_id, 'Note: ' || case when length(f) <= 60 then f else rtrim(substring(f, 1, 60)) || '…' end as label from (select doc_id, {_FLAT} as f from documents) x")(lambda spark, d: _docs(spark, d).select("doc_id", T.label("Note", F.col("text")).alias("label")))
 query("t10_letters", flat=True, sql="select doc_id, case when length(text) = 0 then 0.0 else cast(length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) as double) / length(text) end as share from documents")(lambda spark, d: _docs(spark, d).select("doc_id", T.alpha_ratio(F.col("text")).alias("share")))
-
-# whole tables, where the queries above keep to the rows that their SQL covers; without SQL, held against plain versions
-
-
-def _normalised_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
-    return _docs(spark, sf_dir).select("doc_id", T.normalised(F.col("text")).alias("normalised"))
-
-
-query("t1_normalised_all", flat=True)(_normalised_all)
-query("t2_collapsed_all", flat=True)(lambda spark, d: _docs(spark, d).select("doc_id", T.collapse(F.col("text")).alias("flat")))
-query("t4_labels_all", flat=True)(lambda spark, d: _docs(spark, d).select("doc_id", T.label("Note", F.col("text")).alias("label")))
