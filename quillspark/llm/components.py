@@ -1,39 +1,5 @@
-"""Connected components by alternating large and small stars; every round is written to the shared folder."""
+"""Connected components of links, as the library has them."""
 
-from __future__ import annotations
+from quillspark.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quillspark.llm.common import cut
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node links its larger neighbours to the smallest node near it."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node links itself and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
-
-
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node that an edge (u, v) names; root is the smallest node of its component.
-
-    Null ends and loops are left out; repeated edges count once; no edges give no rows.
-    """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("h")).first()
-        if mark["n"] == 0 or mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = mark
-        now = cut(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct(), "stars")
-    raise RuntimeError("components did not settle")
+__all__ = ["connected_components"]

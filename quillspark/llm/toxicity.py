@@ -210,29 +210,36 @@ class Reader:
         return at, [found[i] for i in at]
 
 
-def document_frequencies(docs: DataFrame, number: dict[str, int]) -> tuple[int, np.ndarray]:
-    """How many documents there are, and how many hold each numbered term."""
+def featurised(docs: DataFrame, number: dict[str, int]) -> DataFrame:
+    """(doc_id, at, counts) of each row of docs: the numbers of the terms in its whole text, ascending, and how often each occurs."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, reader = np.zeros(len(shared.value), np.int64), 0, Reader(shared.value)
+        reader = Reader(shared.value)
         for b in batches:
-            n += b.num_rows
-            for text in b.column(0).to_pylist():
-                seen[reader.counted(text)[0]] += 1
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([n, *seen[some]], pa.int64())], ["t", "n"])
+            ends, at, counts = [0], [], []
+            for text in b.column(1).to_pylist():
+                t, n = reader.counted(text)
+                at += t
+                counts += n
+                ends.append(len(at))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (at, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc_id", "at", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, at array<int>, counts array<int>")
 
-    rows = docs.select("text").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
-    t, n = rows.column("t").to_numpy(), rows.column("n").to_numpy()
-    df = np.zeros(len(number), np.int64)
-    df[t[t >= 0]] = n[t >= 0]
-    return int(n[t < 0].sum()), df
 
+def document_frequencies(rows: DataFrame, terms: int) -> tuple[int, np.ndarray]:
+    """How many rows there are, and how many hold each of so many terms."""
+    found = rows.select(F.explode("at").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow()
+    df = np.zeros(terms, np.int64)
+    df[found.column("t").to_numpy()] = found.column("n").to_numpy()
+    return rows.count(), df
 
-def build(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], Index]:
-    """The numbers of the terms and the calibrated index; the examples, bounded in number, are gathered on the driver as Arrow columns."""
+
+def build(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Index]:
+    """The featurised rows of docs and the calibrated index; the examples, bounded in number, are gathered on the driver as Arrow columns."""
     known = cut(examples(docs, labels), "examples").toArrow().sort_by("doc_id")
     ids, toxic = known.column("doc_id").to_pylist(), known.column("toxic").to_numpy().astype(np.int64)
     lists = known.column("terms").combine_chunks()
@@ -247,13 +254,14 @@ def build(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], Index]:
     term = place[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
     hashes = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in order), np.uint64, len(order))
     del known, lists, coded, words
-    n, df = document_frequencies(docs, number)
+    rows = cut(featurised(docs, number), "features")
+    n, df = document_frequencies(rows, len(number))
     weight = np.log((n + 1) / (df + 1)) * relevance(shares(hashes[term], toxic, sizes), toxic, term, sizes, len(number))
     ends = np.cumsum(sizes)[:-1]
     vectors = [unit(weight, t, c) for t, c in zip(np.split(term, ends), np.split(counts, ends), strict=True)] if ids else []
     index = Index(weight, ids, toxic.tolist(), vectors)
     index.calibrate([index.vote(index.neighbours(*v, but=i)) for i, v in zip(ids, vectors, strict=True)], toxic.tolist())
-    return number, index
+    return rows, index
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -261,20 +269,23 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     labels: the rows to learn from. Null and empty texts, and texts without a term of the examples, have no neighbours
     and get the score of the prior. No labels, or clean ones alone, give score 0 to all; toxic ones alone give 1.
-    Repeated rows are scored alike; an empty table gives no rows. Texts are read whole, in two passes.
+    Repeated rows are scored alike; an empty table gives no rows. Texts are read once, whole; their term counts are
+    written, and frequencies and scores come from these.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(build(docs, labels))
+    rows, index = build(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, model = shared.value
-        reader = Reader(number)
+        model = shared.value
         for b in batches:
             scores, evidence = [], []
-            for text in b.column(1).to_pylist():
-                near = model.neighbours(*model.vector(*reader.counted(text)))
+            ends = b.column(1).offsets.to_numpy().tolist()
+            at, counts = b.column(1).values.to_numpy(), b.column(2).values.to_numpy()
+            for first, last in zip(ends, ends[1:], strict=False):
+                near = model.neighbours(*model.vector(at[first:last], counts[first:last]))
                 scores.append(model.score(near))
                 evidence.append(" ".join(f"{i}:{s:.4f}:{y}" for s, i, y in near))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], ["doc_id", "score", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, evidence string")
+    return rows.mapInArrow(run, "doc_id long, score double, evidence string")
