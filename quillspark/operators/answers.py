@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.ids import counter
 from quillspark.operators import evidence as E
+from quillspark.functions.text import normalised
 from quillspark.operators.graph import reachable
+from quillspark.operators.validation import equation_problem
 
 Base = SimpleNamespace
 
@@ -90,25 +92,13 @@ def superseded_pointers(kb: Base) -> DataFrame:
 
 def endpoints_known(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """candidates (document_id, subject, object) with `broken`: whether one of the two is no concept that the document defines (document_id, name), as names are compared."""
-    k = known.select("document_id", F.lower("name").alias("name")).distinct()
+    k = known.select("document_id", normalised(F.col("name")).alias("name")).distinct()
     one = lambda c: k.select("document_id", F.col("name").alias(f"_{c}"), F.lit(True).alias(f"_has_{c}"))
-    d = candidates.withColumn("_subject", F.lower("subject")).withColumn("_object", F.lower("object"))
+    d = candidates.withColumn("_subject", normalised(F.col("subject"))).withColumn("_object", normalised(F.col("object")))
     d = d.join(one("subject"), ["document_id", "_subject"], "left").join(one("object"), ["document_id", "_object"], "left")
     return d.select(*candidates.columns, (F.col("_has_subject").isNull() | F.col("_has_object").isNull()).alias("broken"))
 
 
-def equation_problem(expression: Column) -> Column:
-    """Why an equation's text can't be one, by the first reason that holds; null if none does."""
-    e = F.trim(expression)
-    n = lambda x: F.length(e) - F.length(F.replace(e, F.lit(x), F.lit("")))
-    return (
-        F.when(F.length(e) == 0, "empty").when(n("(") != n(")"), "unbalanced parentheses").when(n("[") != n("]"), "unbalanced brackets").when(n("{") != n("}"), "unbalanced braces")
-        .when(e.rlike(r"==|=\s*="), "two equality signs in a row").when(e.rlike(r"\(\s*\)"), "empty parentheses").when(~e.rlike("[=≅≈∝]"), "no equality")
-        .when(e.rlike(r"^\s*[=≅≈∝]"), "nothing on the left").when(e.rlike(r"[=≅≈∝]\s*$"), "nothing on the right").when(e.rlike(r"[+*/^×·−-]\s*$"), "an operator at the end")
-        .when(e.rlike(r"[=(]\s*[*/^×·]"), "an operator without a left side").when(e.rlike(r"[+*/^×·]\s*[*/×·]"), "two operators in a row")
-    )
-
-
 def readiness(equations: DataFrame, top: int = 6) -> DataFrame:
     """The most frequent reasons why equations (expression) are unreadable, with counts, ties by reason."""
     found = equations.select(equation_problem(F.col("expression")).alias("reason")).where("reason is not null")
@@ -116,8 +106,8 @@ def readiness(equations: DataFrame, top: int = 6) -> DataFrame:
 
 
 def unknown_symbols(equations: DataFrame, introduced: DataFrame) -> DataFrame:
-    """Left-hand symbols of a document (document_id, page_number, symbol) that nothing introduces (document_id, symbol), once each by lower case, where they first stand."""
-    left = equations.withColumn("key", F.lower("symbol")).join(introduced.select("document_id", F.lower("symbol").alias("key")).distinct(), ["document_id", "key"], "left_anti")
+    """Left-hand symbols of a document (document_id, page_number, symbol) that nothing introduces (document_id, symbol), once each by normal form, where they first stand."""
+    left = equations.withColumn("key", normalised(F.col("symbol"))).join(introduced.select("document_id", normalised(F.col("symbol")).alias("key")).distinct(), ["document_id", "key"], "left_anti")
     w = W.partitionBy("document_id", "key").orderBy("page_number", "symbol")
     return left.withColumn("r", F.row_number().over(w)).where("r = 1").select("document_id", "page_number", "symbol")
 

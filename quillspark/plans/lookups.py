@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions.ids import counter
-from quillspark.operators import catalogue as C
+from quillspark.operators import answers as A
+from quillspark.operators import detectors as X
 from quillspark.operators import evidence as E
 from quillspark.operators import lookups as L
+from quillspark.operators import manuals as M
+from quillspark.operators import validation as V
+from quillspark.operators import writer as W
 from quillspark.plans.catalog import _DENIED, _EVIDENCE, _ITEMS, _N, _OCC, _items, query, simple
 
 _LIST = "string_agg({v}, ',' order by {o})"
@@ -48,3 +52,43 @@ simple("o5_capped_items", lambda kb: L.capped(kb.knowledge.select("knowledge_typ
 simple("o7_sources_of_items", lambda kb: L.capped(kb.source_occurrence.select("knowledge_id", "source_id").distinct(), "knowledge_id", L.MAX_SOURCES, counter("source_id")).select("knowledge_id", "source_id", "place", "truncated"), ("source_occurrence",), f"select knowledge_id, source_id, place, n > {L.MAX_SOURCES} as truncated from (select knowledge_id, source_id, row_number() over (partition by knowledge_id order by {_N.format('source_id')}) as place, count(*) over (partition by knowledge_id) as n from (select distinct knowledge_id, source_id from kb_source_occurrence) y) x where place <= {L.MAX_SOURCES}")
 simple("o8_words_in_order", lambda kb: kb.knowledge.select("id", F.array_join(L.distinct_in_order(F.split("statement", " ")), " ").alias("words")), ("knowledge",), "select id, (select string_agg(w, ' ' order by i) from (select w, min(i) as i from (select unnest(string_split(statement, ' ')) as w, generate_subscripts(string_split(statement, ' '), 1) as i) a group by w) b) as words from kb_knowledge")
 simple("s30_items_as_json", lambda kb: L.as_json(kb.knowledge.select("id", "knowledge_type", "statement")), ("knowledge",), "select '{\"id\":\"' || id || '\",\"knowledge_type\":\"' || knowledge_type || '\",\"statement\":\"' || statement || '\"}' as json from kb_knowledge")
+
+# validation, steps and menus
+_PROBLEM = "case when contains(expression, '==') then 'two equality signs run together' when contains(expression, '(') then 'unbalanced parentheses' when regexp_matches(expression, '[*] *$') then 'the right-hand side ends in an operator' end"
+simple("v3_equation_problems", lambda kb: kb.equation.select("id", V.equation_problem(F.col("expression")).alias("problem")), ("equation",), f"select id, {_PROBLEM} as problem from kb_equation")
+simple("a14_readiness", lambda kb: A.readiness(kb.equation), ("equation",), f"select * from (select {_PROBLEM} as reason, count(*) as n from kb_equation group by 1) x where reason is not null order by n desc, reason limit 6")
+_SIGNS = {"a Unicode replacement character": "contains(text, chr(65533))", "an empty box where a symbol (typically Ω) was": "contains(text, '□')", "a backslash where a mathematical sign (typically ∴) was": r"regexp_matches(text, '\\([^A-Za-z{},;:!\\]|[A-Za-z]([^A-Za-z]|$)|$)')", "'a' between two symbols, where ∝ was": r"regexp_matches(text, '\b[A-Z]\s+a\s+[A-Z]\b')"}
+_pages = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(1).alias("page_number"), "text")
+query("v2_page_signs", flat=True, sql=" union all ".join("select cast(doc_id as varchar) as document_id, '{}' as sign from documents where {}".format(s.replace("'", "''"), w) for s, w in _SIGNS.items()))(lambda spark, d: V.page_glyph_loss(_pages(spark, d)).select("document_id", "sign"))
+_part = lambda spark, d: spark.read.parquet(f"{d}/part.parquet")
+query("t19_step_checks", flat=True, sql="select p_partkey, case when p_size % 3 = 0 then 'the steps and the quote disagree' when p_size % 3 = 1 then 'the quote does not split into steps' end as problem from part")(
+    lambda spark, d: _part(spark, d).select("p_partkey", M.step_problem(F.concat(F.lit("Open "), F.col("p_type"), F.lit(" / Save it")), F.when(F.col("p_size") % 3 == 1, F.lit("Open and save it")).otherwise(F.concat(F.lit("Step 1: Open "), F.col("p_type"), F.lit("\n Step 2. Save "), F.when(F.col("p_size") % 3 == 0, "them").otherwise("it")))).alias("problem")))
+query("t20_menu_elements", flat=True, sql="select p_partkey, case when p_size % 2 = 0 then 'File|Save as...|Size ' || cast(p_size as varchar) end as path from part")(
+    lambda spark, d: _part(spark, d).select("p_partkey", F.when(M.menu_elements(F.concat(F.when(F.col("p_size") % 2 == 0, "File -> Save as... → Size ").otherwise("File -> save it now -> Size "), F.col("p_size").cast("string"))).isNotNull(), F.array_join(M.menu_elements(F.concat(F.lit("File -> Save as... → Size "), F.col("p_size").cast("string"))), "|")).alias("path")))
+query("t21_combos", flat=True, sql="select p_partkey, 'Ctrl+Shift+' || case when p_size % 2 = 0 then 'F' || cast(p_size % 12 + 1 as varchar) else 'PageUp' end as combo from part")(lambda spark, d: _part(spark, d).select("p_partkey", M.combo(F.concat(F.lit(" control + shift+ "), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("f"), (F.col("p_size") % 12 + 1).cast("string"))).otherwise("pgup"))).alias("combo")))
+query("t22_parameters", flat=True, sql="select p_partkey, 'File Name,size' as names, 'Save part ' || cast(p_partkey as varchar) || ' as <size>' as done from part")(
+    lambda spark, d: _part(spark, d).select("p_partkey", F.array_join(M.parameters(F.array(F.lit("Save <File  Name> as <size>"), F.lit("Close <file name>"))), ",").alias("names"), M.substituted(F.lit("Save <File  Name> as <size>"), F.create_map(F.lit("file name"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")))).alias("done")))
+query("e14_menu_paths", flat=True, sql="select r_regionkey as page_number, 'Menu ' || cast(r_regionkey as varchar) || '|' || string_agg('Item ' || cast(n_nationkey as varchar), '|' order by n_nationkey) as path from region join nation on n_regionkey = r_regionkey group by r_regionkey")(lambda spark, d: _menus(spark, d))
+query("e15_sentence_items", flat=True, sql="select p_partkey as page_number, unnest(['CONSTRAINT', 'FILE_FORMAT', 'SHORTCUT']) as kind, unnest(['The size must not exceed ' || cast(p_size as varchar) || ' units.', 'File format .csv, .txt', 'Press Ctrl+S']) as statement from part")(
+    lambda spark, d: M.sentence_items(_part(spark, d).select(F.lit("p").alias("document_id"), F.col("p_partkey").alias("page_number"), F.concat(F.lit("Use CTRL + s  to keep it. The size must not\nexceed "), F.col("p_size").cast("string"), F.lit(" units. It saves *.txt and .CSV files.")).alias("text"))).select("page_number", "kind", "statement"))
+query("e16_step_inputs", flat=True, sql="select p_partkey, case when p_size % 2 = 0 then lower(p_type) end as input from part")(lambda spark, d: _part(spark, d).select("p_partkey", M.step_input(F.concat(F.when(F.col("p_size") % 2 == 0, " Select the ").otherwise("Look at the "), F.col("p_type"), F.lit("."))).alias("input")))
+
+
+def _menus(spark, d):
+    """Pages whose first line heads the lines below it."""
+    region, nation = spark.read.parquet(f"{d}/region.parquet"), spark.read.parquet(f"{d}/nation.parquet")
+    page = [F.lit("m").alias("document_id"), F.col("r").cast("int").alias("page_number")]
+    head = region.select(F.col("r_regionkey").alias("r"), F.lit(-1).cast("long").alias("line"), F.concat(F.lit(" Menu "), F.col("r_regionkey").cast("string")).alias("text"))
+    lines = head.union(nation.select("n_regionkey", F.col("n_nationkey").cast("long"), F.concat(F.lit("  -> Item "), F.col("n_nationkey").cast("string"))))
+    return M.menu_paths(lines.select(*page, "line", "text")).select(F.col("page_number").cast("long").alias("page_number"), F.array_join("elements", "|").alias("path"))
+
+
+def _written(spark, d):
+    """What the detectors find in the documents, stored."""
+    pages = _pages(spark, d)
+    return W.write(X.detect(pages), pages)
+
+
+query("v8_run_report", flat=True)(lambda spark, d: W.report(_written(spark, d)))
+query("v10_written_knowledge", flat=True)(lambda spark, d: _written(spark, d).knowledge)
+query("v12_written_edges", flat=True)(lambda spark, d: _written(spark, d).edge)
