@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.adapter import knowledge_base
 from quillspark.functions.ids import counter
 from quillspark.operators import answers as A
+from quillspark.operators import calculation as K
 from quillspark.operators import detectors as X
 from quillspark.operators import evidence as E
+from quillspark.operators import graph as G
 from quillspark.operators import lookups as L
 from quillspark.operators import manuals as M
+from quillspark.operators import reasoning as R
 from quillspark.operators import validation as V
 from quillspark.operators import writer as W
-from quillspark.plans.catalog import _DENIED, _EVIDENCE, _ITEMS, _N, _OCC, _items, query, simple
+from quillspark.plans.catalog import _DENIED, _EDGE_TABLES, _EVIDENCE, _ITEMS, _N, _OCC, _VISIBLE, _items, query, simple
 
 _LIST = "string_agg({v}, ',' order by {o})"
 _ORDERED = f"{_N.format('document_id')}, coalesce(page_number, 1073741824), coalesce(char_start, 1073741824), {_N.format('id')}"
@@ -92,3 +96,42 @@ def _written(spark, d):
 query("v8_run_report", flat=True)(lambda spark, d: W.report(_written(spark, d)))
 query("v10_written_knowledge", flat=True)(lambda spark, d: _written(spark, d).knowledge)
 query("v12_written_edges", flat=True)(lambda spark, d: _written(spark, d).edge)
+
+# derivations
+_K_ROWS = f"select subject_id, sum(case when v = 'IN_SCOPE' then 1 else 0 end) as seen, sum(case when v = 'OUT_OF_SCOPE' then 1 else 0 end) as out from (select e.subject_id, case when {_DENIED} then 'NOT_AUTHORIZED' when s.source_category not in ('USER_PROVIDED_SOURCE', 'LOCAL_SOURCE') then 'OUT_OF_SCOPE' else 'IN_SCOPE' end as v from ({_EVIDENCE}) e left join kb_source s on s.id = e.source_id where e.subject_kind = 'KNOWLEDGE') x group by 1"
+simple("r2_availability", lambda kb: R.availability(kb, own_books=True), (*_OCC, "source", "knowledge"), f"select k.id, case when r.seen is null then 'NO_EVIDENCE' when r.seen = 0 and r.out > 0 then 'OUT_OF_SCOPE' when r.seen = 0 then 'NOT_AUTHORIZED' when k.lifecycle_status in ('ARCHIVED', 'DELETED') then 'EXCLUDED_BY_LIFECYCLE' else 'AVAILABLE' end as status, cast(coalesce(r.seen, 0) as bigint) as n_in_scope from kb_knowledge k left join ({_K_ROWS}) r on r.subject_id = k.id")
+simple("r3_requirement_counts", R.requirement_counts, _EDGE_TABLES, f"select e.from_concept_id as node, count(*) filter (e.lifecycle_status = 'ACTIVE' and v.id is not null) as n_usable, count(*) filter (e.lifecycle_status = 'ACTIVE' and v.id is null) as n_withheld, count(*) filter (e.lifecycle_status <> 'ACTIVE') as n_excluded from kb_edge e left join ({_VISIBLE}) v on v.id = e.id where e.relation_type in ('REQUIRES', 'DEPENDS_ON') group by 1")
+_given = lambda kb: kb.concept.where((counter("id") % 3 == 0) & (counter("id") > 1000)).select(F.col("id").alias("node"))
+_all_edges = lambda kb: G.edges_of(kb, "REQUIRES", "DEPENDS_ON")
+_NEEDS = "select distinct from_concept_id as src, to_concept_id as dst from kb_edge where lifecycle_status = 'ACTIVE' and to_concept_id is not null and relation_type in ('REQUIRES', 'DEPENDS_ON')"
+simple("r5_missing", lambda kb: G.missing_nodes(G.states(_all_edges(kb), _given(kb)), _all_edges(kb)), ("edge", "concept"), f"select dst as node, {_LIST.format(v='src', o=_N.format('src'))} as required_by from ({_NEEDS}) e where dst not in (select src from ({_NEEDS}) x) and not ({_N.format('dst')} % 3 = 0 and {_N.format('dst')} > 1000 and dst in (select id from kb_concept)) group by dst")
+query("r5_steps", flat=True)(lambda spark, d: (lambda kb: G.derivation_steps(G.states(_all_edges(kb), _given(kb))))(knowledge_base(spark, d)))
+query("r7_derivable", flat=True)(lambda spark, d: (lambda kb: G.derivable(_all_edges(kb), _given(kb)))(knowledge_base(spark, d)))
+query("r1_evaluated", flat=True)(lambda spark, d: (lambda kb: R.evaluated(kb, _given(kb)))(knowledge_base(spark, d)))
+
+# values of symbols: each order line is a problem with its own known values
+_EQUATIONS = (("E1", "gross", "gross = quantity * price", ["quantity", "price"]), ("E2", "net", "net = gross * (1 - discount)", ["gross", "discount"]), ("E3", "net", "net = gross - gross * discount", ["gross", "discount"]), ("E4", "margin", "margin = net - cost", ["net", "cost"]), ("E5", "a", "a = b + 1", ["b"]), ("E6", "b", "b = a - 1", ["a"]))
+
+
+def _equations(spark):
+    return spark.createDataFrame([list(e) for e in _EQUATIONS], "equation_id string, target string, formula string, needs array<string>")
+
+
+def _solved(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("problem_id"))
+    one = lambda s, v: o.select("problem_id", F.lit(s).alias("symbol"), v.cast("string").alias("value"), F.lit(None).cast("array<int>").alias("dimension"))
+    known = one("quantity", F.col("problem_id") % 7 + 1).union(one("price", F.col("problem_id") % 11)).union(one("discount", F.lit("1/4")))
+    return K.solved(_equations(spark), known).select("problem_id", "symbol", "state", F.when(F.col("state") == "DERIVED", F.col("value")).alias("value"), "n_methods")
+
+
+_KNOWN_SYMBOLS = "union all select o_orderkey, 'quantity', 'AVAILABLE', null, 0 from orders union all select o_orderkey, 'price', 'AVAILABLE', null, 0 from orders union all select o_orderkey, 'discount', 'AVAILABLE', null, 0 from orders union all select o_orderkey, 'cost', 'MISSING', null, 0 from orders union all select o_orderkey, 'margin', 'BLOCKED', null, 0 from orders union all select o_orderkey, 'a', 'BLOCKED', null, 0 from orders union all select o_orderkey, 'b', 'BLOCKED', null, 0 from orders"
+query("c7_solved_symbols", flat=True, sql=f"select o_orderkey as problem_id, 'gross' as symbol, 'DERIVED' as state, cast((o_orderkey % 7 + 1) * (o_orderkey % 11) as varchar) as value, cast(1 as bigint) as n_methods from orders union all select o_orderkey, 'net', 'DERIVED', case when n % 4 = 0 then cast(n // 4 as varchar) when n % 2 = 0 then cast(n // 2 as varchar) || '/2' else cast(n as varchar) || '/4' end, 2 from (select o_orderkey, 3 * (o_orderkey % 7 + 1) * (o_orderkey % 11) as n from orders) x {_KNOWN_SYMBOLS}")(_solved)
+query("c8_symbol_cycles", flat=True, sql="select unnest(['a', 'b']) as node, 'a' as component from (select min(r_regionkey) from region) x")(lambda spark, d: K.symbol_cycles(_equations(spark)))
+query("c5_coherent_units", flat=True, sql="select p_partkey, case p_size % 3 when 0 then 'V' when 1 then 'm·s^-1' else '' end as unit from part")(lambda spark, d: _part(spark, d).select("p_partkey", K.coherent_unit(F.when(F.col("p_size") % 3 == 0, F.array(*map(F.lit, (2, 1, -3, -1, 0, 0, 0)))).when(F.col("p_size") % 3 == 1, F.array(*map(F.lit, (1, 0, -1, 0, 0, 0, 0)))).otherwise(F.array(*map(F.lit, (0,) * 7)))).alias("unit")))
+_DIVIDED = "value = (a + b) / (a - b)"
+query("c3_exact_values", flat=True, sql="select p_partkey, case when a = b then null when (a + b) % (a - b) = 0 then cast((a + b) // (a - b) as varchar) else cast((a + b) // gcd(a + b, a - b) * sign(a - b) as bigint) || '/' || cast(abs((a - b) // gcd(a + b, a - b)) as bigint) end as value, case when a = b then 'DIVISION_BY_ZERO' end as problem from (select p_partkey, cast(p_size as bigint) as a, cast(p_partkey % 10 as bigint) as b from part) x")(
+    lambda spark, d: K.evaluated(_part(spark, d).select("p_partkey", F.lit(_DIVIDED).alias("formula"), F.create_map(F.lit("a"), _exact(F.col("p_size")), F.lit("b"), _exact(F.col("p_partkey") % 10)).alias("bound"))).select("p_partkey", "value", "problem"))
+
+
+def _exact(c):
+    return F.struct(c.cast("string").alias("value"), F.lit(None).cast("array<int>").alias("dimension"))
