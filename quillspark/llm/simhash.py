@@ -8,9 +8,9 @@ number of differing bits and a block of coordinates is a bit mask.
 Grid: the coordinates are split into `blocks` groups. Vectors at distance 2 or less agree on all groups but two, so
 they share the cell of at least one choice of groups left out. Cells with few fingerprints give pairs, checked by
 Manhattan and then by Hamming distance. Fuller cells (groups of near copies) are split by a finer grid: of the segments
-left out, all but two must agree too, for each choice of two. Counts can't tell 01 from 10, so a cell of the finer grid
-may still be full; the fingerprints there list the 65 values within one bit of them, and two fingerprints within two
-bits always list a common value, which at most 65 different fingerprints can do.
+left out, made into four parts, all parts but two must agree too, for each choice of two. Counts can't tell 01 from 10,
+so a cell of the finer grid may still be full; the fingerprints there list the 65 values within one bit of them, and two
+fingerprints within two bits always list a common value, which at most 65 different fingerprints can do.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ RADIUS = 2
 SHINGLE = 3
 #: Cells with more fingerprints than PAIRED_CELL are split further; cells of the finer grid with more than FINER_CELL are linked through common values.
 PAIRED_CELL, FINER_CELL = 16, 64
+#: Parts that the segments left out are split in by the finer grid.
+FINER = 4
 _EVEN = 0x5555555555555555
 _CHUNK = 1 << 16
 
@@ -78,17 +80,25 @@ def _signed(m: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _masks(blocks: int) -> list[tuple[int, list[int]]]:
-    """For each choice of RADIUS blocks left out, the bits of the others as a signed number; and for each choice of RADIUS segments of the blocks left out, the bits of all others."""
-    edges = [round(32 * i / blocks) for i in range(blocks + 1)]
-    bits = lambda segments: sum(3 << (2 * i) for i in segments)
+def _left(parts: list[list[int]]) -> list[tuple[list[int], int]]:
+    """For each choice of RADIUS parts of segments left out: these segments, and the bits of all others as a signed number."""
     out = []
-    for left in combinations(range(blocks), RADIUS):
-        free = [i for x in left for i in range(edges[x], edges[x + 1])]
-        out.append((_signed(bits(i for i in range(32) if i not in free)), [_signed(bits(i for i in range(32) if i not in two)) for two in combinations(free, RADIUS)]))
+    for some in combinations(parts, RADIUS):
+        free = [i for part in some for i in part]
+        out.append((free, _signed(sum(3 << (2 * i) for i in range(32) if i not in free))))
     return out
 
 
+def _parted(segments: list[int], n: int) -> list[list[int]]:
+    edges = [round(len(segments) * i / n) for i in range(n + 1)]
+    return [segments[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _masks(blocks: int) -> list[tuple[int, list[int]]]:
+    """For each choice of RADIUS blocks left out, the bits that must agree; and the same for each choice of RADIUS of FINER parts of what is left out."""
+    return [(mask, [m for _, m in _left(_parted(free, FINER))]) for free, mask in _left(_parted(list(range(32)), blocks))]
+
+
 def blocks_for(n: int) -> int:
     """As many blocks as give a cell enough bits (1.5 for each two-bit segment) to tell n fingerprints apart, and four more."""
     need = max(n, 2).bit_length() + 4
