@@ -71,7 +71,7 @@ def value_of(tree: ast.expr, bound: dict[str, tuple[Fraction, tuple[int, ...]]])
         return (-v if isinstance(tree.op, ast.USub) else v), d
     a, da = value_of(tree.left, bound)
     if isinstance(tree.op, ast.Pow):
-        n = tree.right.value
+        n = formulas.power(tree)
         if n < 0 and a == 0:
             raise NoValue("ZERO_TO_NEGATIVE_POWER")
         out, d = a**n, tuple(x * n for x in da)

@@ -192,7 +192,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("t8_prose_regions", flat=True)(lambda spark, d: S.prose_regions(_pages(spark, d)).select("document_id", "start", "end"))
 query("t9_sentences", flat=True)(lambda spark, d: S.sentences(S.prose_regions(_pages(spark, d))).select("document_id", "start", "end", "flat"))
-query("t12_masked_pages", flat=True)(lambda spark, d: S.masked(_pages(spark, d)).select("document_id", F.length("expository").alias("n"), "question_chars"))
+query("t12_masked_pages", flat=True)(lambda spark, d: S.masked(_pages(spark, d)).select("document_id", "expository", "instructional", "question_chars"))
 query("t6_lines", flat=True, sql="select cast(doc_id as varchar) as document_id, count(*) as n_lines, cast(sum(length(l)) as bigint) as n_chars from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) x where l <> '' group by 1")(lambda spark, d: S.lines(_pages(spark, d)).where("stripped <> ''").groupBy("document_id").agg(F.count("*").alias("n_lines"), F.sum(F.length(F.rtrim(F.regexp_replace("raw", "\n$", "")))).alias("n_chars")))
 query("e13_candidates", flat=True)(lambda spark, d: X.detect(_pages(spark, d)))
 _NAMES = "select id as concept_id, canonical_name as normalized_alias from kb_knowledge union all select id, split_part(canonical_name, ' ', 1) || ' ' || split_part(canonical_name, ' ', 2) from kb_knowledge union all select id, 'rated ' || regexp_extract(statement, 'rated ([0-9]+)', 1) from kb_knowledge union all select id, 'is rated' from kb_knowledge where knowledge_type = 'RULE'"
@@ -213,7 +213,7 @@ simple("cl2_mentions", _mentions, ("knowledge",), f"with_names as (select 1) sel
 _REVENUE = "revenue = l_extendedprice * (1 - l_discount) * (1 + l_tax) / 2 - -l_quantity ^ 2"
 query("c3_bulk_formula", flat=True, sql="select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) / 2 - -(l_quantity * l_quantity) as revenue from lineitem")(lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", formulas.column(_REVENUE).alias("revenue")))
 query("sv3_isolated_formula", flat=True, sql="select l_orderkey, l_linenumber, l_extendedprice / l_quantity as price from lineitem")(lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", formulas.column(formulas.isolate("l_extendedprice = l_quantity * price", "price")).alias("price")))
-query("s24_page_text", flat=True)(lambda spark, d: readers.html_text(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "title", F.length("text").alias("n_chars")))
+query("s24_page_text", flat=True)(lambda spark, d: readers.html_text(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "title", "text"))
 query("s26_within_site", flat=True, sql="select page_id, regexp_matches(url, '(?i)^https?://[^/?#@]+([/?#]|$)') and lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) = s.scheme and lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) = s.host and case when regexp_matches(url, '^[A-Za-z]+://[^/?#:]+:[0-9]+') then cast(regexp_extract(url, '^[A-Za-z]+://[^/?#:]+:([0-9]+)', 1) as integer) when lower(url) like 'http://%' then 80 else 443 end = s.port and starts_with(case when regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) end, s.prefix) as within from pages, (select lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) as scheme, lower(regexp_extract(u, '^[A-Za-z]+://([^/?#:]+)', 1)) as host, case when lower(u) like 'http://%' then 80 else 443 end as port, regexp_extract(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^(.*/)', 1) as prefix from (select min(url) as u from pages) m) s")(lambda spark, d: sites.within_first(spark.read.parquet(f"{d}/pages.parquet")))
 _ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 query("a17_table_counts", flat=True, sql=" union all ".join(f"select '{t}' as table_name, count(*) as n from {t}" for t in _ALL))(lambda spark, d: reduce(DataFrame.union, (spark.read.parquet(f"{d}/{t}.parquet").agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in _ALL)))

@@ -37,6 +37,11 @@ FILES = {
     "k.json": b"{}",
     "l.docx": b"PK\x03\x04broken",
     "m.txt": "é windows".encode("cp1252"),
+    "o.png": bytes.fromhex("89504E470D0A1A0A") + b"pixels",
+    "p.xlsx": archive(xl__workbook_dot_xml='<w><sheet name="Prices"/></w>', xl__sharedStrings_dot_xml="<sst><si><t>name</t></si></sst>", xl__worksheets__sheet1_dot_xml='<s><row><c r="A1" t="s"><v>9</v></c><c r="C1"><v>5</v></c></row></s>'),
+    "q.epub": archive(o__x_dot_html="<p>alone</p>"),
+    "r.rtf": rb"{\rtf1 a\u-9999?b}",
+    "s.docx": archive(word__document_dot_xml=f'<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Part</w:t></w:r></w:p><w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>point</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>Term</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>body</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>', word__footnotes_dot_xml=f"<w:footnotes {W}><w:footnote><w:p><w:r><w:t>below</w:t></w:r></w:p></w:footnote></w:footnotes>"),
     "n.doc": bytes.fromhex("D0CF11E0A1B11AE1"),
 }
 
@@ -60,9 +65,12 @@ def test_readers(spark, folder):
     texts, problems = {}, {}
     for x in readers.parts(once).orderBy("n").collect():
         (problems if x["problem"] else texts).setdefault(name[x["document_id"]], []).append(x["problem"] or x["text"])
-    assert texts["a.docx"] == ["Head", "Body"] and texts["b.pptx"] == ["one", "two"] and texts["c.xlsx"] == ["name\t5\tTRUE"] and texts["d.epub"] == ["Cap\nText"]
-    assert texts["e.csv"] == ["a\tb\n1\t2"] and texts["f.rtf"] == ["Hello\nWé é"] and texts["g.md"] == ["Title", "Some bold link\n"] and texts["h.html"] == ["n\nab\nc"] and texts["i.txt"] == ["é windows"]
-    assert "BadZipFile" in problems["l.docx"][0]
+    assert texts["a.docx"] == ["Head", "Body"] and texts["b.pptx"] == ["one", "two"] and texts["c.xlsx"] == ["name\t5\tTRUE"] and texts["d.epub"] == ["Cap", "Text"]
+    assert texts["e.csv"] == ["a\tb\n1\t2"] and texts["f.rtf"] == ["Hello\nWé é"] and texts["g.md"] == ["Title", "Some bold link\n"] and texts["h.html"] == ["n", "ab", "c"] and texts["i.txt"] == ["é windows"]
+    assert "BadZipFile" in problems["l.docx"][0] and "no reader for png" in problems["o.png"][0] and "no package file" in problems["q.epub"][0]
+    assert texts["p.xlsx"] == ["Prices", "\t\t5"] and texts["r.rtf"] == ["a?b"]
+    blocks = [(x["kind"], x["level"], x["text"]) for x in readers.parts(once).orderBy("n").collect() if name[x["document_id"]] == "s.docx"]
+    assert blocks == [("heading", 2, "Part"), ("item", None, "point"), ("row", None, "Term: body"), ("note", None, "below")]
     assert formats.ingested(found, once).count() == 0
     assert readers.segments(once).where(F.col("text").isNull()).count() == 0
 
@@ -84,11 +92,15 @@ def test_streams(spark, tmp_path):
 
 
 def test_answer_columns(spark):
-    texts = ["V = IR", "V = (I", "= 2", "V == 2", "V = ()", "no equality", "V =", "V = 2 +", "V = * 2", "", "V = 2 * / 3"]
-    got = [x["p"] for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(answers.equation_problem(F.col("t")).alias("p")).collect()]
-    assert got[0] is None and all(got[1:]) and got[1] == "unbalanced parentheses" and got[9] == "empty" and got[10] == "two operators in a row"
-    top = answers.readiness(spark.createDataFrame([(t,) for t in ["V = (I", "W = (I", "x", "V = 2"]], "expression string")).collect()
-    assert [tuple(x) for x in top] == [("unbalanced parentheses", 2), ("no equality", 1)]
+    # each text with the first of the reasons that holds for it
+    cases = {
+        "V = IR": None, "V = \ufffd": "contains a Unicode replacement character", "V = {2": "unbalanced braces", "V == 2": "two equality signs run together", "V = (I": "unbalanced parentheses", "V = [I": "unbalanced brackets", "V = f()": "empty parentheses",
+        "V = 2 + - 3": "two operators in a row", "V = 2. Then it ": "a sentence runs on", "no equality": "nothing on the right-hand side", "V =": "nothing on the right-hand side", "V = * 2": "the right-hand side opens with an operator",
+        "V = 2 +": "the right-hand side ends in an operator", "V = 2 where": "the line ends mid-clause", "V = L di dt": "a differential without a denominator or an integral sign", "V = L di/dt": None, "V = d": "the right-hand side is a lone d", "dV = dt": None,
+        "W = Pd t": "a split differential without a denominator or an integral sign", "P = Energy": "the right-hand side is a single word",
+    }
+    got = {x["t"]: x["p"] for x in spark.createDataFrame([(t,) for t in cases], "t string").select("t", answers.equation_problem(F.col("t")).alias("p")).collect()}
+    assert got == cases
     r = spark.createDataFrame([("Open A / Press <key> Step 2: Save  <file name> as <key>", "the voltage is 10 volts")], "s string, q string").select(answers.steps(F.col("s")).alias("s"), answers.parameters(F.col("s")).alias("p"), answers.quantity(F.col("q")).alias("q")).first()
     assert r["s"] == ["Open A", "Press <key>", "Save <file name> as <key>"] and r["p"] == ["key", "file name"] and tuple(r["q"]) == ("voltage", "10", "volts")
     c = spark.createDataFrame([("d", "A", "b"), ("d", "A", "z"), ("e", "A", "B")], "document_id string, subject string, object string")
