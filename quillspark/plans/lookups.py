@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.adapter import knowledge_base
+from quillspark.adapter import knowledge_base, with_tables
 from quillspark.functions.ids import counter
 from quillspark.operators import answers as A
 from quillspark.operators import calculation as K
+from quillspark.operators import catalogue as C
+from quillspark.operators import dedup as D
 from quillspark.operators import detectors as X
 from quillspark.operators import evidence as E
 from quillspark.operators import graph as G
@@ -130,8 +132,23 @@ query("c8_symbol_cycles", flat=True, sql="select unnest(['a', 'b']) as node, 'a'
 query("c5_coherent_units", flat=True, sql="select p_partkey, case p_size % 3 when 0 then 'V' when 1 then 'm·s^-1' else '' end as unit from part")(lambda spark, d: _part(spark, d).select("p_partkey", K.coherent_unit(F.when(F.col("p_size") % 3 == 0, F.array(*map(F.lit, (2, 1, -3, -1, 0, 0, 0)))).when(F.col("p_size") % 3 == 1, F.array(*map(F.lit, (1, 0, -1, 0, 0, 0, 0)))).otherwise(F.array(*map(F.lit, (0,) * 7)))).alias("unit")))
 _DIVIDED = "value = (a + b) / (a - b)"
 query("c3_exact_values", flat=True, sql="select p_partkey, case when a = b then null when (a + b) % (a - b) = 0 then cast((a + b) // (a - b) as varchar) else cast((a + b) // gcd(a + b, a - b) * sign(a - b) as bigint) || '/' || cast(abs((a - b) // gcd(a + b, a - b)) as bigint) end as value, case when a = b then 'DIVISION_BY_ZERO' end as problem from (select p_partkey, cast(p_size as bigint) as a, cast(p_partkey % 10 as bigint) as b from part) x")(
-    lambda spark, d: K.evaluated(_part(spark, d).select("p_partkey", F.lit(_DIVIDED).alias("formula"), F.create_map(F.lit("a"), _exact(F.col("p_size")), F.lit("b"), _exact(F.col("p_partkey") % 10)).alias("bound"))).select("p_partkey", "value", "problem"))
+    lambda spark, d: K.evaluated(_part(spark, d).select("p_partkey", F.lit(_DIVIDED).alias("formula"), F.create_map(F.lit("a"), _fraction(F.col("p_size")), F.lit("b"), _fraction(F.col("p_partkey") % 10)).alias("bound"))).select("p_partkey", "value", "problem"))
 
 
-def _exact(c):
+def _fraction(c):
     return F.struct(c.cast("string").alias("value"), F.lit(None).cast("array<int>").alias("dimension"))
+
+# exact duplicates: statements without their brand, places and names by number
+_ITEM = f"select id, {_N.format('id')} as n, knowledge_type as kt, regexp_replace(statement, ' by .*$', '') as norm, 'p' || cast({_N.format('id')} % 3 as varchar) as loc, case when knowledge_type = 'DEFINITION' then 'a' || cast({_N.format('id')} % 2 as varchar) end as al from kb_knowledge"
+
+
+def _exact(kb):
+    n = counter("id")
+    items = kb.knowledge.select("id", "knowledge_type", F.regexp_replace("statement", " by .*$", "").alias("norm"), F.concat(F.lit("p"), (n % 3).cast("string")).alias("location"), F.when(F.col("knowledge_type") == "DEFINITION", F.concat(F.lit("a"), (n % 2).cast("string"))).alias("alias"))
+    return items, D.exact_groups(items)
+
+
+query("d4_exact_groups", flat=True, sql=f"{with_tables('knowledge')}, items as ({_ITEM}), links as (select a.n as a, b.n as b from items a join items b on a.kt = b.kt and a.norm = b.norm and (a.kt not in ('EQUATION', 'DEFINITION') or a.loc = b.loc or coalesce(a.al = b.al, false))), reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b) select i.id, j.id as canonical_id from items i join (select a, min(b) as b from reach group by a) m on m.a = i.n join items j on j.n = m.b")(lambda spark, d: _exact(knowledge_base(spark, d))[1])
+query("d5_decisions", flat=True)(lambda spark, d: D.decisions(*_exact(knowledge_base(spark, d))))
+query("d6_statement_peers", flat=True)(lambda spark, d: D.statement_peers(*_exact(knowledge_base(spark, d))))
+query("d10_unrecorded_pairs", flat=True)(lambda spark, d: (lambda kb: D.unrecorded(C.equivalent_pairs(kb), kb.edge.where("relation_type = 'EQUIVALENT_TO'").select(F.col("from_concept_id").alias("a"), F.col("to_concept_id").alias("b"))).select("concept_a", "concept_b"))(knowledge_base(spark, d)))

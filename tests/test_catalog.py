@@ -7,6 +7,7 @@ import unicodedata
 import duckdb
 import pytest
 
+from quillspark.plans import lookups  # noqa: F401, queries register on import
 from quillspark.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -50,8 +51,8 @@ def test_core_needs_no_llm():
 def test_texts_of_all_documents(spark, tmp_path):
     texts = ["Plain  text\t here ", "ﬁne\u00a0 Straße\u2003ÉCOLE ", "\u3000Ｆｕｌｌ　width\u2028é", "日本 語" * 30, "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {n: {r[0]: r[1] for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("t1_normalised_all", "t2_collapsed_all", "t4_labels_all")}
+    got = {n: {r[0]: r[1] for r in QUERIES[n](spark, str(tmp_path)).collect()} for n in ("t1_normalised", "t2_collapsed", "t4_labels")}
     flat = [t if t is None else " ".join(t.split()) for t in texts]
-    assert got["t1_normalised_all"] == {i: t if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for i, t in enumerate(texts)}
-    assert got["t2_collapsed_all"] == dict(enumerate(flat))
-    assert got["t4_labels_all"] == {i: f if f is None else "Note: " + (f if len(f) <= 60 else f[:60].rstrip() + "…") for i, f in enumerate(flat)}
+    assert got["t1_normalised"] == {i: t if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for i, t in enumerate(texts)}
+    assert got["t2_collapsed"] == dict(enumerate(flat))
+    assert got["t4_labels"] == {i: f if f is None else "Note: " + (f if len(f) <= 60 else f[:60].rstrip() + "…") for i, f in enumerate(flat)}
