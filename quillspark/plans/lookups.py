@@ -16,6 +16,7 @@ from quillspark.operators import graph as G
 from quillspark.operators import lookups as L
 from quillspark.operators import manuals as M
 from quillspark.operators import reasoning as R
+from quillspark.operators import requests as Q
 from quillspark.operators import validation as V
 from quillspark.operators import writer as W
 from quillspark.plans.catalog import _DENIED, _EDGE_TABLES, _EVIDENCE, _ITEMS, _N, _OCC, _VISIBLE, _items, query, simple
@@ -152,3 +153,28 @@ query("d4_exact_groups", flat=True, sql=f"{with_tables('knowledge')}, items as (
 query("d5_decisions", flat=True)(lambda spark, d: D.decisions(*_exact(knowledge_base(spark, d))))
 query("d6_statement_peers", flat=True)(lambda spark, d: D.statement_peers(*_exact(knowledge_base(spark, d))))
 query("d10_unrecorded_pairs", flat=True)(lambda spark, d: (lambda kb: D.unrecorded(C.equivalent_pairs(kb), kb.edge.where("relation_type = 'EQUIVALENT_TO'").select(F.col("from_concept_id").alias("a"), F.col("to_concept_id").alias("b"))).select("concept_a", "concept_b"))(knowledge_base(spark, d)))
+
+# requests in words
+
+
+def _requests(spark, d):
+    p, t = _part(spark, d), F.col("p_type")
+    text = F.element_at(F.array(F.concat(F.lit("Please,  what is the "), t, F.lit("?")), F.concat(F.lit("What does "), t, F.lit(" require in my books?")), F.concat(F.lit("search my books for "), t), F.concat(F.lit("sing of "), t), F.concat(F.lit("what are the prerequisites of "), t, F.lit(" and then find everything about "), t)), (F.col("p_size") % 5 + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("request_id"), text.alias("text"))
+
+
+_ASKED = "select p_partkey as request_id, {c} as clause, '{i}' as intent, '{r}' as rule, '{s}' as status, p_type as target, {o} as scope from part where p_size % 5 = {k}"
+query("n1_interpreted", flat=True, sql=" union all ".join([
+    _ASKED.format(c=0, i="QUERY_CONCEPT", r="query.what_is", s="INTERPRETED", o="null", k=0), _ASKED.format(c=0, i="REASON", r="reason.requires", s="INTERPRETED", o="null", k=1), _ASKED.format(c=0, i="KEYWORD_SEARCH", r="query.keyword", s="INTERPRETED", o="null", k=2),
+    "select p_partkey, 0, null, '', 'UNRECOGNIZED', null, null from part where p_size % 5 = 3", _ASKED.format(c=0, i="QUERY_CONCEPT", r="query.prerequisites", s="INTERPRETED", o="null", k=4), _ASKED.format(c=1, i="QUERY_CONCEPT", r="query.everything", s="INTERPRETED", o="null", k=4)]))(
+    lambda spark, d: Q.interpreted(_requests(spark, d).withColumn("text", F.regexp_replace("text", " in my books\\?$", "?"))).select("request_id", "clause", "intent", "rule", "status", "target", "scope"))
+query("n3_scopes", flat=True, sql="select p_partkey as request_id, case p_size % 3 when 0 then 'MY_BOOKS' when 1 then 'AUTHORIZED' end as scope, p_type as target from part")(
+    lambda spark, d: Q.interpreted(_part(spark, d).select(F.col("p_partkey").alias("request_id"), F.concat(F.lit("Explain the "), F.col("p_type"), F.when(F.col("p_size") % 3 == 0, " according to my books").when(F.col("p_size") % 3 == 1, " from authorised sources").otherwise(""), F.lit(" please.")).alias("text"))).select("request_id", "scope", "target"))
+
+
+def _concept_requests(kb):
+    n = counter("id")
+    return kb.concept.select(n.alias("request_id"), F.concat(F.when(n % 2 == 0, "Show everything about ").otherwise("What are the prerequisites of "), F.col("canonical_name")).alias("text"))
+
+
+query("an1_answers", flat=True)(lambda spark, d: (lambda kb: Q.answers(kb, _concept_requests(kb)))(knowledge_base(spark, d)))
