@@ -139,3 +139,21 @@ def test_values(spark):
 @pytest.mark.parametrize(("url", "inside"), [("https://A.org/x/y?q#f", True), ("https://a.org:443/x/z", True), ("http://a.org/x/z", False), ("https://a.org:8443/x/", False), ("https://b.org/x/", False), ("https://a.org/y", False), ("https://u:p@a.org/x/y", False), ("ftp://a.org/x/", False), ("https:///x/", False), (None, False)])
 def test_sites(spark, url, inside):
     assert spark.range(1).select(sites.within(F.lit("https://a.org/x/page"), F.lit(url).cast("string"))).first()[0] is inside
+
+
+def test_requests(spark):
+    from quillspark.operators import requests
+
+    cases = {
+        "Could you please tell me about the  Voltage?": [("QUERY_CONCEPT", "query.what_is", "INTERPRETED", "Voltage", None)],
+        "What is it?": [("QUERY_CONCEPT", "query.what_is", "INCOMPLETE", "it", None)],
+        "calculate power and then search for ohm": [("CALCULATE", "calculate.verb", "INTERPRETED", "power", None), ("KEYWORD_SEARCH", "query.keyword", "INTERPRETED", "ohm", None)],
+        "what is salt and pepper": [("QUERY_CONCEPT", "query.what_is", "INTERPRETED", "salt and pepper", None)],
+        "which equations are given for current using all authorized sources": [("QUERY_CONCEPT", "query.equations_given", "INTERPRETED", "current", "AUTHORIZED")],
+        "hello": [(None, "", "UNRECOGNIZED", None, None)], "": [(None, "", "UNRECOGNIZED", None, None)],
+    }
+    d = spark.createDataFrame([*enumerate(cases), (99, None)], "request_id int, text string")
+    got = {}
+    for x in requests.interpreted(d).orderBy("request_id", "clause").collect():
+        got.setdefault(x["request_id"], []).append((x["intent"], x["rule"], x["status"], x["target"], x["scope"]))
+    assert [got[i] for i in range(len(cases))] == list(cases.values()) and got[99] == [(None, "", "UNRECOGNIZED", None, None)]
