@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, decontam, langid, mixing, pii, quality, secrets, simhash, tokens, toxicity
+from quillspark.llm import bpe, chat, decontam, langid, mixing, pii, quality, secrets, simhash, tokens, toxicity
 from quillspark.llm.common import crc_mod, new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = str(Path(__file__).resolve().parents[2])
     if root not in sys.path:
@@ -94,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_secret_scan, op2_simhash_neardup, op3_quality_rules, op4_token_files, op5_toxicity, op6_tool_calls, op7_personal_data, op8_language_id, op9_source_mix, op10_decontamination, pipeline]
+    found = [op1_secret_scan, op2_simhash_neardup, op3_quality_rules, op4_token_files, op5_toxicity, op6_tool_calls, op7_personal_data, op8_language_id, op9_source_mix, op10_decontamination, op11_bpe_words, pipeline]
     return {q.__name__: q for q in found}
 
 

@@ -268,3 +268,14 @@ def test_empty_tables(spark, tables, tmp_path, name):
     for t in ("documents", "labels", "benchmark", "conversations"):
         spark.read.parquet(f"{tables[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).collect() == []
+
+
+def test_bpe_words(spark, tables):
+    from tokenizers import Tokenizer
+
+    got = by_id(run(spark, tables, "op11_bpe_words"), tables[1])
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, text, *_ in tables[1]:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
