@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, decontam, langid, mixing, pii, quality, secrets, simhash, tokens, toxicity
+from quillspark.llm import bpe, chat, decontam, langid, mixing, pii, quality, secrets, simhash, tokens, toxicity, trie
 from quillspark.llm.common import crc_mod, new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,10 @@ def op11_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_prefixes(table(spark, sf_dir, "conversations")).drop("digest")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = str(Path(__file__).resolve().parents[2])
     if root not in sys.path:
@@ -101,10 +105,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_secret_scan, op2_simhash_neardup, op3_quality_rules, op4_token_files, op5_toxicity, op6_tool_calls, op7_personal_data, op8_language_id, op9_source_mix, op10_decontamination, op11_bpe_words, pipeline]
+    found = [op1_secret_scan, op2_simhash_neardup, op3_quality_rules, op4_token_files, op5_toxicity, op6_tool_calls, op7_personal_data, op8_language_id, op9_source_mix, op10_decontamination, op11_bpe_words, op13_prefix_trie, pipeline]
     return {q.__name__: q for q in found}
 
 
+#: crc32 of an id written in decimal, bit by bit.
+_CRC = "xor(list_reduce([4294967295::bigint] || list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i::bigint, 1))::bigint), lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)"
+OP13_SQL = f"""
+with turns as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as place from conversations where conv_id is not null),
+every_id as (select conv_id, conv_id - conv_id % 5 as base, {_CRC} % 9 as h from (select distinct conv_id from turns)),
+rebuilt as (
+  select e.conv_id, 0 as part, t.place, t.role, t.text from every_id e join turns t on t.conv_id = e.base and t.place <= e.h
+  union all select e.conv_id, 1, t.place, t.role, t.text from every_id e join turns t on t.conv_id = e.conv_id and t.place > e.h),
+paths as (select e.conv_id, coalesce(p.path, []) as path from every_id e left join (select conv_id, list(struct_pack(r := role, t := text) order by part, place) as path from rebuilt group by conv_id) p using (conv_id)),
+prefixes as (select conv_id, d as depth, path[1:d] as node, len(path) = d as ends from (select conv_id, path, unnest(range(0, len(path) + 1)) as d from paths)),
+nodes as (select depth, node, min(conv_id) as conv_id, count(*) as n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '') as ids from prefixes group by depth, node),
+valued as (select n.*, (select count(*) from nodes c where c.depth = n.depth + 1 and c.node[1:n.depth] = n.node) as n_children, case when depth = 0 then 0 else (n_convs - 1) * strlen(node[depth].t) end as saved from nodes n),
+sums as (select a.depth, a.node, sum((b.n_children = 0)::int) as n_leaves, sum(b.saved) as saved_tokens from valued a join valued b on b.depth >= a.depth and b.node[1:a.depth] = a.node group by a.depth, a.node)
+select v.conv_id, v.depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(v.ids) as ends_sha256
+from valued v join sums s on s.depth = v.depth and s.node = v.node left join nodes p on p.depth = v.depth - 1 and p.node = v.node[1:v.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL cannot express these operators (hash functions, learned models, token files); tests hold them against brute force."""
-    return {}
+    """SQL cannot express the others (hash functions, learned models, token files); tests hold them against brute force."""
+    return {"op13_prefix_trie": OP13_SQL}
