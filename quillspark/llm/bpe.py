@@ -1,6 +1,6 @@
 """Byte-pair encoding through a table of distinct words, and decoding through the pieces of ids.
 
-Spark splits texts into words at places where the file's pre-tokenizer always divides them, so the ids of a text are
+Texts are split into words where the file's pre-tokenizer always divides them, so the ids of a text are
 those of its words one after another. Each distinct word of the whole table is encoded once, in the task that its hash
 falls to, and its ids return to the places of the word by position (see wordtable). Decoding looks at ids alone: id i
 meets piece i of the vocabulary, and the pieces' bytes make the text.
@@ -14,24 +14,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark.llm import wordtable
 from quillspark.llm.common import resident, ship
 
-#: What some engine may take for white space or ignore; no text is divided after one of these.
-_MAYBE_SPACE = r"\x00-\x20\x7F-\xA0\xAD\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}"
-#: A word ends where a character that is surely not white space comes before one of these, which the pre-tokenizer never joins to what is left of it.
-BOUNDARY = rf"(?<=[^{_MAYBE_SPACE}])(?=[\x20\x09\x0A\x0D])"
+#: Bytes before which a text is divided, if the character before is surely not white space: the pre-tokenizer never joins them to it.
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
+#: ASCII characters that are not white space to any engine, and the first two bytes of longer characters that some engine may take for white space or ignore.
+_SURE = np.zeros(256, bool)
+_SURE[0x21:0x7F] = True
+_UNSURE = [(0xE1, 0x9A), (0xE1, 0xA0), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80), (0xEF, 0xBB)]
 #: Words that the library gets at a time.
 TOGETHER = 20_000
 
 
-def words(text: Column) -> Column:
-    """The words of a text with the white space before them; null and empty texts have none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BOUNDARY), "")
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
+    """Where words begin in the bytes of texts: at white space after a character that is surely none. See wordtable.Split."""
+    starts = np.zeros(len(data), bool)
+    starts[1:] = _SPACE[data[1:]]
+    at = np.flatnonzero(starts)
+    last = data[at - 1]
+    sure = _SURE[last]
+    wide = np.flatnonzero(last >= 0x80)  # the last byte of a longer character
+    second, third = data[np.maximum(at[wide] - 2, 0)], data[np.maximum(at[wide] - 3, 0)]
+    two = (second >= 0xC3) & (second <= 0xDF)
+    three = (third >= 0xE0) & (third <= 0xEF)
+    for a, b in _UNSURE:
+        three &= (third != a) | (second != b)
+    four = (second >= 0x80) & (second < 0xC0) & (third >= 0x80) & (third < 0xC0)
+    sure[wide] = np.where(second >= 0xC0, two, np.where(third >= 0xC0, three, four))
+    starts[at[~sure]] = False
+    return data, starts, None
 
 
 def _tokenizer(path: str):
@@ -64,12 +81,12 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    table = wordtable.blocks(docs.select(F.col("doc_id").cast("long").alias("id"), F.lit("").alias("realm"), words(F.col("text")).alias("words")))
+    table = wordtable.blocks(docs.select(F.col("doc_id").cast("long").alias("id"), F.lit("").alias("realm"), F.col("text").alias("text")), words)
 
     def distinct(group: pa.Table) -> pa.Table:
-        coded = group["words"].combine_chunks()
-        sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(coded).to_numpy())))
-        coded = pc.list_flatten(coded).dictionary_encode()
+        found, sizes = wordtable.unpack_words(group["words"].to_pylist())
+        coded = found.dictionary_encode()
+        sizes = np.concatenate(([0], np.cumsum(sizes)))
         encoder = resident(("bpe", tokenizer), lambda: _tokenizer(tokenizer))
         flat, lengths = [], []
         for at in range(0, len(coded.dictionary), TOGETHER):
@@ -77,7 +94,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             lengths += map(len, found)
             flat.append(np.array([i for ids in found for i in ids], np.uint32))
         lengths = np.array(lengths, np.int64)
-        ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths)))), pa.array(np.concatenate(flat)))
+        ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths)))), pa.array(np.concatenate([np.zeros(0, np.uint32), *flat])))
         codes, out = coded.indices.to_numpy(), ([], [])
         for a, b in zip(sizes[:-1], sizes[1:], strict=True):
             out[0].append(wordtable.pack(lengths[codes[a:b]]))

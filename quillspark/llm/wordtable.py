@@ -10,7 +10,7 @@ position. A word has a realm (such as a language) that keeps words of the same s
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import cut, ship
 
 #: Words after which a block is closed; a longer row has a block of its own.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 3_000_000
 #: Buckets of words for each shuffle partition, so that a bucket stays small as input and partitions grow.
 BUCKETS = 4
-SCHEMA = "block long, realm string, bucket int, words array<string>, counts binary, ids array<long>, sizes array<int>, codes binary, buckets binary"
+SCHEMA = "block long, realm string, bucket int, words binary, counts binary, ids array<long>, sizes array<int>, codes binary, buckets binary"
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -43,23 +43,54 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _flat(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
-    """All words of the lists, without empty ones, and how many each list has."""
-    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = pc.list_flatten(words)
-    kept = pc.fill_null(pc.greater(pc.binary_length(flat), 0), False)
-    if pc.all(kept, min_count=0).as_py():
-        return flat, sizes
-    ends = np.concatenate(([0], np.cumsum(kept.to_numpy(zero_copy_only=False))))
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    return flat.filter(kept), ends[at[1:]] - ends[at[:-1]]
-
-
-def _rows(block: int, realm: str | None, ids: list[pa.Array], sizes: list[np.ndarray], words: list[pa.Array], n_buckets: int) -> Iterator[pa.RecordBatch]:
+def pack_words(words: pa.Array) -> bytes:
+    """Words as lengths in bytes and all their bytes, compressed."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = bytes(memoryview(words.buffers()[2] or b"")[ends[0] : ends[-1]])
+    lengths = pack(np.diff(ends))
+    return b"".join((len(lengths).to_bytes(8, "little"), lengths, len(data).to_bytes(8, "little"), _ZSTD.compress(data, asbytes=True)))
+
+
+def unpack_words(packed: list[bytes]) -> tuple[pa.Array, list[int]]:
+    """The words of all, one after another, and how many each has."""
+    lengths, data = [], []
+    for raw in packed:
+        n = 8 + int.from_bytes(raw[:8], "little")
+        lengths.append(unpack(raw[8:n]))
+        data.append(_ZSTD.decompress(raw[n + 8 :], int.from_bytes(raw[n : n + 8], "little"), asbytes=True))
+    ends = np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))))
+    words = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join(data)))
+    return words, [len(x) for x in lengths]
+
+
+#: Takes the bytes of texts that stand one after another, and gives them as they are to count, where a word begins, and which of the words are kept (None: all).
+Split = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
+
+
+def _words(texts: pa.Array, split: Split) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, and how many each text has. Words are views of the texts' bytes."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    data, starts, kept = split(data)
+    starts = starts.copy()
+    starts[ends[:-1][ends[:-1] < len(data)]] = True
+    at = np.flatnonzero(starts)
+    offsets = np.append(at, len(data)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+    if kept is not None:
+        keep = kept[at]
+        words, at = words.filter(pa.array(keep)), at[keep]
+    return words, np.diff(np.searchsorted(at, ends))
+
+
+def _rows(block: int, realm: str | None, ids: list[pa.Array], sizes: list[np.ndarray], words: list[pa.Array], n_buckets: int, counted: bool) -> Iterator[pa.RecordBatch]:
     """The rows of a block: one that holds its rows as numbers, and one for each bucket that gets words."""
-    coded = pa.chunked_array(words, pa.string()).dictionary_encode().combine_chunks()
-    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-    distinct, codes = coded.dictionary, coded.indices.to_numpy()
+    coded = pa.chunked_array(words, pa.string()).dictionary_encode().unify_dictionaries()
+    distinct = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
+    codes = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in coded.chunks)])
+    words.clear()
     counts = np.bincount(codes, minlength=len(distinct))
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(order), np.uint32)
@@ -68,27 +99,29 @@ def _rows(block: int, realm: str | None, ids: list[pa.Array], sizes: list[np.nda
     buckets = np.fromiter(map(zlib.crc32, distinct.cast(pa.binary()).to_pylist()), np.uint32, len(distinct)) % n_buckets
     by_bucket = np.argsort(buckets, kind="stable")
     ends = np.searchsorted(buckets[by_bucket], np.arange(n_buckets + 1))
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def batch(*columns: list) -> pa.RecordBatch:
+    def batch(*columns: list | pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     yield batch([block], [realm], [None], [None], [None], one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(sizes), pa.int32())), [pack(rank[codes])], [pack(buckets)])
+    del codes
     full = np.flatnonzero(np.diff(ends))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((ends[full], ends[-1:])), pa.int32()), distinct.take(pa.array(by_bucket)))
-    sent = [pack(counts[by_bucket[ends[b] : ends[b + 1]]]) for b in full]
+    distinct = distinct.take(pa.array(by_bucket))
+    sent = [pack_words(distinct.slice(ends[b], ends[b + 1] - ends[b])) for b in full]
+    often = [pack(counts[by_bucket[ends[b] : ends[b + 1]]]) if counted else None for b in full]
     n = len(full)
-    yield batch([block] * n, [realm] * n, full.tolist(), lists, sent, [None] * n, [None] * n, [None] * n, [None] * n)
+    yield batch([block] * n, [realm] * n, full.tolist(), sent, often, *[[None] * n] * 4)
 
 
-def blocks(rows: DataFrame, fold: bool = False) -> DataFrame:
-    """Blocks of rows (id long, realm string, words array<string>), written to the shared folder: see SCHEMA.
+def blocks(rows: DataFrame, split: Split, counted: bool = False) -> DataFrame:
+    """Blocks of rows (id long, realm string, text string), written to the shared folder: see SCHEMA.
 
     A row with `bucket` null holds rows of the table: their ids, numbers of words, and all their words as ranks; others
-    hold the words of a bucket in order of rank, with counts. Empty words are left out, null lists have no word, a null
-    realm is a realm of its own. With `fold`, A to Z count as a to z. A table without rows has no blocks.
+    hold the words of a bucket in order of rank, and with `counted` how often each occurs in the block. Null and empty
+    texts have no word, a null realm is a realm of its own. A table without rows has no blocks.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -102,22 +135,22 @@ def blocks(rows: DataFrame, fold: bool = False) -> DataFrame:
             realms = b.column(1).dictionary_encode(null_encoding="encode")
             for code, realm in enumerate(realms.dictionary.to_pylist()):
                 few = b.filter(pc.equal(realms.indices, code)) if len(realms.dictionary) > 1 else b
-                words, sizes = _flat(few.column(2))
+                words, sizes = _words(pc.fill_null(few.column(2), ""), split)
                 ids, all_sizes, all_words = held.setdefault(realm, ([], [], []))
                 ids.append(few.column(0))
                 all_sizes.append(sizes)
-                all_words.append(pc.ascii_lower(words) if fold else words)
+                all_words.append(words)
                 size += len(words)
             if size >= BLOCK_WORDS:
                 for realm, parts in held.items():
-                    yield from _rows(at, realm, *parts, n_buckets)
+                    yield from _rows(at, realm, *parts, n_buckets, counted)
                     at += 1
                 held, size = {}, 0
         for realm, parts in held.items():
-            yield from _rows(at, realm, *parts, n_buckets)
+            yield from _rows(at, realm, *parts, n_buckets, counted)
             at += 1
 
-    return cut(rows.select("id", "realm", "words").mapInArrow(run, SCHEMA), "blocks")
+    return cut(rows.select("id", "realm", "text").mapInArrow(run, SCHEMA), "blocks")
 
 
 def in_order(buckets: np.ndarray) -> np.ndarray:
