@@ -30,6 +30,8 @@ _SURE[0x21:0x7F] = True
 _UNSURE = [(0xE1, 0x9A), (0xE1, 0xA0), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80), (0xEF, 0xBB)]
 #: Words that the library gets at a time.
 TOGETHER = 20_000
+#: Words whose ids a task puts together at a time, but at least one text's.
+SLICE = 1 << 17
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
@@ -77,11 +79,12 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Special tokens written out in a text get their ids, as in the library. Null and empty texts have no ids; repeated
     rows come as often as they are there; a null doc_id stays null; other columns are not looked at; an empty table
-    gives no rows. A text of any length is one row of one block.
+    gives no rows. A text of any length is one row of one block. docs are read twice and must come in the same partitions
+    and order, as files do; if they don't, an error says so.
     """
     spark = docs.sparkSession
     ship(spark)
-    table = wordtable.blocks(docs.select(F.col("doc_id").cast("long").alias("id"), F.lit("").alias("realm"), F.col("text").alias("text")), words)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.lit("").alias("realm"), F.col("text").alias("text"))
 
     def distinct(group: pa.Table) -> pa.Table:
         found, sizes = wordtable.unpack_words(group["words"].to_pylist())
@@ -99,23 +102,29 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         for a, b in zip(sizes[:-1], sizes[1:], strict=True):
             out[0].append(wordtable.pack(lengths[codes[a:b]]))
             out[1].append(wordtable.pack(ids.take(pa.array(codes[a:b])).flatten().to_numpy()))
-        return pa.table({"block": group["block"], "bucket": group["bucket"], "lengths": pa.array(out[0], pa.binary()), "word_ids": pa.array(out[1], pa.binary())})
+        return pa.table({"block": group["block"], "mark": group["mark"], "bucket": group["bucket"], "lengths": pa.array(out[0], pa.binary()), "word_ids": pa.array(out[1], pa.binary())})
 
     def back(rows: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("bucket")
-        lengths = np.concatenate([np.zeros(0, np.int64), *map(wordtable.unpack, found["lengths"].to_pylist())]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *map(wordtable.unpack, found["word_ids"].to_pylist())]).astype(np.int32)
-        row = rows.to_pylist()[0] if rows.num_rows == 1 else None
-        if row is None:
-            raise RuntimeError("words of a block without its rows")
-        places = wordtable.in_order(wordtable.unpack(row["buckets"]))[wordtable.unpack(row["codes"])]
-        table = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths)))), pa.array(flat))
-        ids = table.take(pa.array(places)).flatten()
-        ends = np.concatenate(([0], np.cumsum(lengths[places])))[np.concatenate(([0], np.cumsum(np.array(row["sizes"], np.int64))))]
-        return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)})
-
-    known = wordtable.sent(table).select("block", "bucket", "words").groupBy("bucket").applyInArrow(distinct, "block long, bucket int, lengths binary, word_ids binary")
-    rows = wordtable.held(table).select("block", "ids", "sizes", "codes", "buckets")
+        row = rows.to_pylist()[0] if rows.num_rows == 1 else {}
+        if {*found["mark"].to_pylist()} - {row.get("mark")}:
+            raise RuntimeError("docs came in other partitions or another order when they were read again; write them to files first")
+        lengths = np.concatenate([np.zeros(0, np.uint32), *map(wordtable.unpack, found["lengths"].to_pylist())])
+        flat = np.concatenate([np.zeros(0, np.uint32), *map(wordtable.unpack, found["word_ids"].to_pylist())]).view(np.int32)
+        table = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))), pa.array(flat))
+        codes, place = wordtable.unpack(row["codes"]), wordtable.in_order(wordtable.unpack(row["buckets"]))
+        ends = np.concatenate(([0], np.cumsum(np.array(row["sizes"], np.int64))))
+        out, at = [], 0
+        while at < len(row["ids"]):  # a few rows at a time
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+            places = place[codes[ends[at] : ends[to]]]
+            counts = np.concatenate(([0], np.cumsum(lengths[places], dtype=np.int64)))[ends[at : to + 1] - ends[at]]
+            out.append(pa.RecordBatch.from_arrays([pa.array(row["ids"][at:to], pa.int64()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), table.take(pa.array(places)).flatten())], ["doc_id", "ids"]))
+            at = to
+        return pa.Table.from_batches(out)
+
+    known = wordtable.sent(wordtable.blocks(texts, words, "sent")).select("block", "mark", "bucket", "words").groupBy("bucket").applyInArrow(distinct, "block long, mark long, bucket int, lengths binary, word_ids binary")
+    rows = wordtable.held(wordtable.blocks(texts, words, "held")).select("block", "mark", "ids", "sizes", "codes", "buckets")
     return rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(back, "doc_id long, ids array<int>")
 
 

@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, ship
+from quillspark.llm.common import ship
 
 #: Words after which a block is closed; a longer row has a block of its own.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 2_000_000
 #: Buckets of words for each shuffle partition, so that a bucket stays small as input and partitions grow.
 BUCKETS = 4
-SCHEMA = "block long, realm string, bucket int, words binary, counts binary, ids array<long>, sizes array<int>, codes binary, buckets binary"
+SCHEMA = "block long, realm string, mark long, bucket int, words binary, counts binary, ids array<long>, sizes array<int>, codes binary, buckets binary"
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -85,7 +85,7 @@ def _words(texts: pa.Array, split: Split) -> tuple[pa.Array, np.ndarray]:
     return words, np.diff(np.searchsorted(at, ends))
 
 
-def _rows(block: int, realm: str | None, ids: list[pa.Array], sizes: list[np.ndarray], words: list[pa.Array], n_buckets: int, counted: bool) -> Iterator[pa.RecordBatch]:
+def _rows(block: int, realm: str | None, ids: list[pa.Array], sizes: list[np.ndarray], words: list[pa.Array], n_buckets: int, parts: str) -> Iterator[pa.RecordBatch]:
     """The rows of a block: one that holds its rows as numbers, and one for each bucket that gets words."""
     coded = pa.chunked_array(words, pa.string()).dictionary_encode().unify_dictionaries()
     distinct = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.string())
@@ -99,29 +99,33 @@ def _rows(block: int, realm: str | None, ids: list[pa.Array], sizes: list[np.nda
     buckets = np.fromiter(map(zlib.crc32, distinct.cast(pa.binary()).to_pylist()), np.uint32, len(distinct)) % n_buckets
     by_bucket = np.argsort(buckets, kind="stable")
     ends = np.searchsorted(buckets[by_bucket], np.arange(n_buckets + 1))
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    mark = zlib.crc32(distinct.buffers()[2] or b"", len(codes))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def batch(*columns: list | pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    yield batch([block], [realm], [None], [None], [None], one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(sizes), pa.int32())), [pack(rank[codes])], [pack(buckets)])
-    del codes
-    full = np.flatnonzero(np.diff(ends))
-    distinct = distinct.take(pa.array(by_bucket))
-    sent = [pack_words(distinct.slice(ends[b], ends[b + 1] - ends[b])) for b in full]
-    often = [pack(counts[by_bucket[ends[b] : ends[b + 1]]]) if counted else None for b in full]
-    n = len(full)
-    yield batch([block] * n, [realm] * n, full.tolist(), sent, often, *[[None] * n] * 4)
+    if "held" in parts:
+        yield batch([block], [realm], [mark], [None], [None], [None], one(pa.concat_arrays(ids)), one(pa.array(np.concatenate(sizes), pa.int32())), [pack(rank[codes])], [pack(buckets)])
+    if "sent" in parts:
+        full = np.flatnonzero(np.diff(ends))
+        distinct = distinct.take(pa.array(by_bucket))
+        words = [pack_words(distinct.slice(ends[b], ends[b + 1] - ends[b])) for b in full]
+        often = [pack(counts[by_bucket[ends[b] : ends[b + 1]]]) if "counts" in parts else None for b in full]
+        n = len(full)
+        yield batch([block] * n, [realm] * n, [mark] * n, full.tolist(), words, often, *[[None] * n] * 4)
 
 
-def blocks(rows: DataFrame, split: Split, counted: bool = False) -> DataFrame:
-    """Blocks of rows (id long, realm string, text string), written to the shared folder: see SCHEMA.
+def blocks(rows: DataFrame, split: Split, parts: str = "held sent counts") -> DataFrame:
+    """Blocks of rows (id long, realm string, text string): see SCHEMA.
 
     A row with `bucket` null holds rows of the table: their ids, numbers of words, and all their words as ranks; others
-    hold the words of a bucket in order of rank, and with `counted` how often each occurs in the block. Null and empty
-    texts have no word, a null realm is a realm of its own. A table without rows has no blocks.
+    hold the words of a bucket in order of rank, and how often each occurs in the block. `parts` names what is wanted of
+    these; the blocks are the same whatever is wanted, if the rows come in the same partitions and order, as they do
+    from files. `mark` is a checksum of the block's words, by which blocks of two readings that differ are found out.
+    Null and empty texts have no word, a null realm is a realm of its own. A table without rows has no blocks.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -142,15 +146,15 @@ def blocks(rows: DataFrame, split: Split, counted: bool = False) -> DataFrame:
                 all_words.append(words)
                 size += len(words)
             if size >= BLOCK_WORDS:
-                for realm, parts in held.items():
-                    yield from _rows(at, realm, *parts, n_buckets, counted)
+                for realm, of in held.items():
+                    yield from _rows(at, realm, *of, n_buckets, parts)
                     at += 1
                 held, size = {}, 0
-        for realm, parts in held.items():
-            yield from _rows(at, realm, *parts, n_buckets, counted)
+        for realm, of in held.items():
+            yield from _rows(at, realm, *of, n_buckets, parts)
             at += 1
 
-    return cut(rows.select("id", "realm", "text").mapInArrow(run, SCHEMA), "blocks")
+    return rows.select("id", "realm", "text").mapInArrow(run, SCHEMA)
 
 
 def in_order(buckets: np.ndarray) -> np.ndarray:
@@ -161,10 +165,10 @@ def in_order(buckets: np.ndarray) -> np.ndarray:
 
 
 def sent(table: DataFrame) -> DataFrame:
-    """(block, realm, bucket, words, counts): the words of the blocks by bucket."""
-    return table.where(F.col("bucket").isNotNull()).select("block", "realm", "bucket", "words", "counts")
+    """(block, realm, mark, bucket, words, counts): the words of the blocks by bucket."""
+    return table.where(F.col("bucket").isNotNull()).select("block", "realm", "mark", "bucket", "words", "counts")
 
 
 def held(table: DataFrame) -> DataFrame:
-    """(block, realm, ids, sizes, codes, buckets): the rows of the blocks."""
-    return table.where(F.col("bucket").isNull()).select("block", "realm", "ids", "sizes", "codes", "buckets")
+    """(block, realm, mark, ids, sizes, codes, buckets): the rows of the blocks."""
+    return table.where(F.col("bucket").isNull()).select("block", "realm", "mark", "ids", "sizes", "codes", "buckets")

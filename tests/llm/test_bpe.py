@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from quillspark.llm import bpe, wordtable
 from tokenizers import Tokenizer
 
@@ -73,3 +74,11 @@ def test_pack():
     r = np.random.default_rng(1)
     for x in (np.zeros(0, int), r.integers(0, 2**32, 1000), np.zeros(7, int)):
         assert wordtable.unpack(wordtable.pack(x)).tolist() == x.tolist()
+
+
+def test_other_texts_are_found_out(spark):
+    """Texts that are others when they are read again end in an error, never in wrong ids."""
+    stamp = F.udf(lambda x: f"{x} {random.random()}").asNondeterministic()
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(40)], "doc_id long, text string").withColumn("text", stamp("text"))
+    with pytest.raises(Exception, match="read again"):
+        bpe.encode(docs, PATH).collect()
