@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import ship
 
 #: Words after which a block is closed; a longer row has a block of its own.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
+#: Rows whose words a task finds at a time.
+TOGETHER = 256
 #: Buckets of words for each shuffle partition, so that a bucket stays small as input and partitions grow.
 BUCKETS = 4
 SCHEMA = "block long, realm string, mark long, bucket int, words binary, counts binary, ids array<long>, sizes array<int>, codes binary, buckets binary"
@@ -135,7 +137,7 @@ def blocks(rows: DataFrame, split: Split, parts: str = "held sent counts") -> Da
         at = TaskContext.get().partitionId() << 32
         held: dict[str | None, tuple[list, list, list]] = {}
         size = 0
-        for b in batches:
+        for b in (whole.slice(i, TOGETHER) for whole in batches for i in range(0, whole.num_rows, TOGETHER)):
             realms = b.column(1).dictionary_encode(null_encoding="encode")
             for code, realm in enumerate(realms.dictionary.to_pylist()):
                 few = b.filter(pc.equal(realms.indices, code)) if len(realms.dictionary) > 1 else b
