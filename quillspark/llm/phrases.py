@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import wordtable
 from quillspark.llm.common import cut, ship
-from quillspark.llm.mixing import running
 from quillspark.llm.slots import CHUNK, PerfectHash, chunks_of, mixed, tree_sum, unsqueeze
 
 #: Fixed values of the report: least count of a phrase, phrases of a language, share of a phrase's count at which a longer one replaces it, scale of scores.
@@ -56,56 +56,56 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def numbered(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts as word numbers (codes binary), the frequent words (id, lang, word, f) and all words counted (lang, n).
 
-    Frequent words have numbers from 1, other words, marks and the ends of texts are 0. Words of different languages are different.
+    Frequent words have numbers from 1 (by their bucket, so not all are in use); other words, marks and the ends of texts
+    are 0. Words of different languages are different. docs are read twice, as in bpe.encode.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.lit(0).cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("realm"), F.col("text").alias("text"))
-    table = cut(wordtable.blocks(rows, words), "blocks")
+    n_buckets = wordtable.n_buckets(spark)
 
     def frequent(group: pa.Table) -> pa.Table:
-        found, sizes = wordtable.unpack_words(group["words"].to_pylist())
-        coded = found.dictionary_encode()
-        distinct, codes = coded.dictionary, coded.indices.to_numpy()
-        counts = np.zeros(len(distinct), np.int64)
-        np.add.at(counts, codes, np.concatenate([*map(wordtable.unpack, group["counts"].to_pylist())]).astype(np.int64))
-        ends = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct)]
-        real = _KIND[np.frombuffer(distinct.buffers()[2], np.uint8)[ends]] == 0
-        kept = real & (counts >= least)
-        no = np.where(kept, np.cumsum(kept), 0).astype(np.uint32)[codes]
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        blocks = [*group["block"].to_pylist(), None]
-        packed = [*(wordtable.pack(no[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), None]
-        few = lambda values: [*[None] * (len(blocks) - 1), values]
-        realm, bucket = group["realm"][0].as_py(), group["bucket"][0].as_py()
-        return pa.table(
-            {
-                "block": pa.array(blocks, pa.int64()), "realm": pa.array([realm] * len(blocks), pa.string()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "numbers": pa.array(packed, pa.binary()),
-                "words": pa.array(few(distinct.filter(pa.array(kept)).to_pylist()), pa.list_(pa.string())), "counts": pa.array(few(counts[kept].tolist()), pa.list_(pa.int64())), "n": pa.array(few(int(counts[real].sum())), pa.int64()),
-            }
-        )
-
-    schema = "block long, realm string, bucket int, numbers binary, words array<string>, counts array<long>, n long"
-    met = cut(wordtable.sent(table).groupBy("realm", "bucket").applyInArrow(frequent, schema), "words")
-    buckets = met.where("block is null")
-    first = running(buckets.select("realm", "bucket", F.size("words").alias("k")), [F.col("realm"), F.col("bucket")], first=F.col("k")).drop("k")
-    known = buckets.join(first, ["realm", "bucket"]).select("first", F.col("realm").alias("lang"), F.posexplode(F.arrays_zip("words", "counts")).alias("i", "w"))
-    known = cut(known.select((F.col("first") + F.col("i") + 1).alias("id"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("f")), "known")
-    totals = buckets.groupBy(F.col("realm").alias("lang")).agg(F.sum("n").alias("n"))
+        realms = pc.fill_null(group["realm"], UNKNOWN).to_pylist()
+        out, next_no = [], 0
+        for realm in sorted(set(realms)):
+            few = group.filter(pa.array([x == realm for x in realms]))
+            found, sizes = wordtable.unpack_words(few["words"].to_pylist())
+            coded = found.dictionary_encode()
+            distinct, codes = coded.dictionary, coded.indices.to_numpy()
+            counts = np.zeros(len(distinct), np.int64)
+            np.add.at(counts, codes, np.concatenate([*map(wordtable.unpack, few["counts"].to_pylist())]).astype(np.int64))
+            ends = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct)]
+            real = _KIND[np.frombuffer(distinct.buffers()[2], np.uint8)[ends]] == 0
+            kept = real & (counts >= least)
+            ids = (next_no + np.cumsum(kept) - 1) * n_buckets + group["bucket"][0].as_py() + 1
+            next_no += int(kept.sum())
+            if next_no * n_buckets >= 1 << 32:
+                raise OverflowError("more frequent words than 32-bit numbers")
+            numbers = np.where(kept, ids, 0)[codes]
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            out += [(block, mark, realm, wordtable.pack(numbers[a:b]), None, None, None, None) for block, mark, a, b in zip(few["block"].to_pylist(), few["mark"].to_pylist(), at[:-1], at[1:], strict=True)]
+            out.append((None, None, realm, None, ids[kept].tolist(), distinct.filter(pa.array(kept)).to_pylist(), counts[kept].tolist(), int(counts[real].sum())))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
+        found = {name: pa.array(x, k) for name, x, k in zip(("block", "mark", "realm", "numbers", "ids", "words", "counts", "n"), zip(*out, strict=True), kinds, strict=True)}
+        return pa.table(found | {"bucket": pa.array([group["bucket"][0].as_py()] * len(out), pa.int32())})
+
+    schema = "block long, mark long, realm string, numbers binary, ids array<long>, words array<string>, counts array<long>, n long, bucket int"
+    met = cut(wordtable.sent(wordtable.blocks(rows, words, "sent counts")).groupBy("bucket").applyInArrow(frequent, schema), "words")
+    per = met.where("block is null").withColumnRenamed("realm", "lang")
+    known = per.select("lang", F.explode(F.arrays_zip("ids", "words", "counts")).alias("w")).select(F.col("w.ids").alias("id"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("f"))
+    totals = per.groupBy("lang").agg(F.sum("n").alias("n"))
 
     def back(rows: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("bucket")
-        parts = [np.zeros(0, np.uint32)]
-        for raw, before in zip(found["numbers"].to_pylist(), found["first"].to_pylist(), strict=True):
-            no = wordtable.unpack(raw).astype(np.int64)
-            parts.append(np.where(no > 0, no + before, 0))
-        row = rows.to_pylist()[0]
-        numbers = np.concatenate(parts)[wordtable.in_order(wordtable.unpack(row["buckets"]))[wordtable.unpack(row["codes"])]]
+        row = rows.to_pylist()[0] if rows.num_rows == 1 else {}
+        wordtable.same(found, row)
+        numbers = np.concatenate([np.zeros(0, np.uint32), *map(wordtable.unpack, found["numbers"].to_pylist())])
+        numbers = numbers[wordtable.in_order(wordtable.unpack(row["buckets"]))[wordtable.unpack(row["codes"])]]
         ends = np.cumsum(np.array(row["sizes"], np.int64))
         return pa.table({"codes": pa.array([wordtable.pack(np.insert(numbers, ends, 0))], pa.binary())})
 
-    sent = met.where("block is not null").join(first, ["realm", "bucket"]).select("block", "bucket", "numbers", "first")
-    held = wordtable.held(table).select("block", "sizes", "codes", "buckets")
+    sent = met.where("block is not null").select("block", "mark", "bucket", "numbers")
+    held = wordtable.held(wordtable.blocks(rows, words, "held")).select("block", "mark", "sizes", "codes", "buckets")
     return cut(held.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(back, "codes binary"), "numbers"), known, totals
 
 
@@ -119,7 +119,7 @@ def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def candidates(numbers: DataFrame, least: int = LEAST) -> DataFrame:
     """(bucket, n, keys binary): the pairs of neighbours that come at least `least` times, by the bucket of their hash; numbers: (codes)."""
     spark = numbers.sparkSession
-    n_buckets = wordtable.BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = wordtable.n_buckets(spark)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +176,7 @@ def paired(numbers: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame
         arrays = tree_sum(done.where("task is not null").select("task", "chunk", "data"))
         grams = grams.union(_grams(arrays, table, before))
         rows, before = done.where("task is null").select("codes", "slots"), before + row["n"]
-    return cut(grams, "grams"), rows.where("slots is not null").select(F.col("slots").alias("codes"))
+    return grams, rows.where("slots is not null").select(F.col("slots").alias("codes"))
 
 
 def _count(rows: DataFrame, table, before: int) -> DataFrame:
@@ -242,7 +242,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int | None = TOP) ->
     phrase counts wherever it stands within a piece, overlaps included. a is its count, l and r those of the two parts
     of its worst cut, n all words of the language. A phrase of two words that a longer one with at least half its count
     holds is left out. Null texts are empty, a null language is `und`, other columns are not looked at, repeated rows
-    count as often as they are there, an empty table has no phrases.
+    count as often as they are there, an empty table has no phrases. docs are read twice and must come in the same
+    partitions and order, as files do; if they don't, an error says so.
     """
     numbers, known, totals = numbered(docs, least)
     two, slots = paired(numbers, least)

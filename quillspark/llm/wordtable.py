@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import ship
@@ -98,7 +98,8 @@ def _rows(block: int, realm: str | None, ids: list[pa.Array], sizes: list[np.nda
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     distinct, counts = distinct.take(pa.array(order)), counts[order]
-    buckets = np.fromiter(map(zlib.crc32, distinct.cast(pa.binary()).to_pylist()), np.uint32, len(distinct)) % n_buckets
+    salt = zlib.crc32((realm or "").encode())
+    buckets = np.fromiter((zlib.crc32(w, salt) for w in distinct.cast(pa.binary()).to_pylist()), np.uint32, len(distinct)) % n_buckets
     by_bucket = np.argsort(buckets, kind="stable")
     ends = np.searchsorted(buckets[by_bucket], np.arange(n_buckets + 1))
     mark = zlib.crc32(distinct.buffers()[2] or b"", len(codes))
@@ -131,7 +132,7 @@ def blocks(rows: DataFrame, split: Split, parts: str = "held sent counts") -> Da
     """
     spark = rows.sparkSession
     ship(spark)
-    n_buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = n_buckets(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
@@ -149,16 +150,26 @@ def blocks(rows: DataFrame, split: Split, parts: str = "held sent counts") -> Da
                 size += len(words)
             if size >= BLOCK_WORDS:
                 for realm, of in held.items():
-                    yield from _rows(at, realm, *of, n_buckets, parts)
+                    yield from _rows(at, realm, *of, buckets, parts)
                     at += 1
                 held, size = {}, 0
         for realm, of in held.items():
-            yield from _rows(at, realm, *of, n_buckets, parts)
+            yield from _rows(at, realm, *of, buckets, parts)
             at += 1
 
     return rows.select("id", "realm", "text").mapInArrow(run, SCHEMA)
 
 
+def n_buckets(spark: SparkSession) -> int:
+    return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def same(found: pa.Table, row: dict) -> None:
+    """Raise if what came back belongs to a block that had other words when the rows were read again."""
+    if {*found["mark"].to_pylist()} - {row.get("mark")}:
+        raise RuntimeError("docs came in other partitions or another order when they were read again; write them to files first")
+
+
 def in_order(buckets: np.ndarray) -> np.ndarray:
     """For each rank of a block, the place of its word when the words of all buckets stand one after another."""
     place = np.empty(len(buckets), np.int64)
