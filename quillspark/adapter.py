@@ -20,6 +20,16 @@ _KIND = "case p_size % 6 when 0 then 'DEFINITION' when 1 then 'PROPERTY' when 2
 _RUN = "l_suppkey * 10 + 1 + l_orderkey % (1 + l_suppkey % 3)"
 _PLACE = f"{_id('DOC', 'l_suppkey')} as document_id, {_id('SRC', 'l_suppkey')} as source_id, {_id('RUN', _RUN)} as extraction_run_id, cast(l_linenumber as int) as page_number, cast(l_quantity * 10 as int) as char_start, cast(l_quantity * 10 as int) + 20 as char_end, case when l_partkey % 5 = 0 then cast(null as string) else {_id('SEG', 'l_suppkey * 100 + l_linenumber')} end as segment_id, l_returnflag || ' ' || l_linestatus as text, case when l_linenumber = 3 then 'deterministic/RuleCandidate@v6+weak' when l_linenumber = 2 then 'deterministic/EquationCandidate@v6+ocr' else 'deterministic/DefinitionCandidate@v6' end as extraction_method"
 
+
+
+def _braced(text: str) -> str:
+    """The text between braces, which stand as numbers so that no format string takes them for names."""
+    return f"chr(123) || {text} || chr(125)"
+
+
+_S_HALF = "'S_' || " + _braced("cast(cast(floor(p_partkey / 2) as bigint) as string)")
+_K_SEVENTH = "'K_' || " + _braced("cast(p_partkey % 7 as string)")
+
 #: In order: a table may use those before it.
 TABLES: dict[str, str] = {
     "kb_document": f"select {_id('DOC', 's_suppkey')} as id, s_name || '.pdf' as filename, md5(s_name) as file_hash, case when s_suppkey % 4 = 0 then 'PARTIALLY_PROCESSED' else 'PROCESSED' end as processing_status, 'PDF' as source_type from supplier",
@@ -50,6 +60,10 @@ TABLES: dict[str, str] = {
     "kb_procedure": f"select {_id('PRC', 'p_partkey')} as id, {_id('K', 'p_partkey')} as knowledge_id, p_name as name, 'ACTIVE' as lifecycle_status from part where p_size % 6 = 5",
     "kb_edition": f"select {_id('EDN', 's_suppkey')} as id, md5(s_name) as file_hash, {_id('WRK', 'cast(floor(s_suppkey / 3) as bigint) + 1')} as work_id, 'edition ' || cast(s_suppkey % 3 + 1 as string) as label from supplier where s_suppkey % 4 <> 0",
     "kb_structure": f"select {_id('STR', 'l_orderkey')} as id, {_id('DOC', 'l_suppkey')} as document_id, cast(l_orderkey as bigint) as ordinal, 'Section ' || cast(cast(l_quantity as int) as string) as title, cast(l_quantity as int) % 4 + 1 as depth from lineitem where l_linenumber = 6",
+    "kb_law": (
+        f"select {_id('K', 'p_partkey')} as id, cast(p_partkey as bigint) as n, cast(floor(p_partkey / 2) as bigint) as m, cast(p_partkey % 7 as bigint) as q, 'S_' || {_braced('cast(p_partkey as string)')} ||"
+        f" case p_partkey % 5 when 0 then ' = ' || chr(92) || 'frac' || {_braced(_S_HALF)} || {_braced(_K_SEVENTH)} when 1 then ' = ' || {_S_HALF} || ' + 2 W' when 2 then ' = ' || {_S_HALF} || {_K_SEVENTH} when 3 then '^' || {_braced("'2'")} || ' = ' || {_S_HALF} else ' = ' || chr(92) || 'int ' || {_S_HALF} || ' dt' end as expression from part where p_partkey > 0"
+    ),
     "kb_segment": f"select {_id('SEG', 'doc_id + 1')} as id, {_id('DOC', 'doc_id + 1')} as document_id, text, source, lang from documents",
 }
 

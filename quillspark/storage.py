@@ -31,4 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once, written to the shared folder and read back: what comes before is never computed again, also not after a lost executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def forget(df: DataFrame | None) -> None:
+    """Delete what `written` made of df, once nothing reads it any more: a round, when the next one is written."""
+    path = getattr(df, "_written", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
