@@ -16,7 +16,7 @@ def _id(prefix: str, n: str) -> str:
 
 DOC, SRC, K = _id("DOC", "{}"), _id("SRC", "{}"), _id("K", "{}")
 _CATEGORY = "case s_suppkey % 7 when 0 then 'USER_PROVIDED_SOURCE' when 1 then 'LOCAL_SOURCE' when 2 then 'AUTHORIZED_EXTERNAL_SOURCE' when 3 then 'SYSTEM_DERIVED' when 4 then 'USER_STATED' when 5 then 'UNKNOWN_SOURCE' else 'UNAUTHORIZED_SOURCE' end"
-_KIND = "case p_size % 6 when 0 then 'DEFINITION' when 1 then 'PROPERTY' when 2 then 'EQUATION' when 3 then 'RULE' when 4 then 'EXAMPLE' else 'PROCEDURE' end"
+_KIND = "case p_size % 6 when 0 then 'DEFINITION' when 1 then 'PROPERTY' when 2 then 'EQUATION' when 3 then 'RULE' when 4 then 'EXAMPLE' else case when p_partkey % 2 = 0 then 'VARIABLE' else 'PROCEDURE' end end"
 _RUN = "l_suppkey * 10 + 1 + l_orderkey % (1 + l_suppkey % 3)"
 _PLACE = f"{_id('DOC', 'l_suppkey')} as document_id, {_id('SRC', 'l_suppkey')} as source_id, {_id('RUN', _RUN)} as extraction_run_id, cast(l_linenumber as int) as page_number, cast(l_quantity * 10 as int) as char_start, cast(l_quantity * 10 as int) + 20 as char_end, case when l_partkey % 5 = 0 then cast(null as string) else {_id('SEG', 'l_suppkey * 100 + l_linenumber')} end as segment_id, l_returnflag || ' ' || l_linestatus as text, case when l_linenumber = 3 then 'deterministic/RuleCandidate@v6+weak' when l_linenumber = 2 then 'deterministic/EquationCandidate@v6+ocr' else 'deterministic/DefinitionCandidate@v6' end as extraction_method"
 
@@ -46,7 +46,8 @@ TABLES: dict[str, str] = {
         f" union all select {_id('REL', 's_suppkey + 2000000')}, 'DEPENDS_ON', 'INFERRED', 'ACTIVE', {_id('CPT', 's_suppkey + 1000')}, {_id('CPT', '(s_suppkey * 7) % 50 + 1001')}, cast(null as string) from supplier where s_suppkey % 10 = 3 and s_suppkey <> (s_suppkey * 7) % 50 + 1"
         f" union all select {_id('REL', 's_suppkey + 3000000')}, 'EQUIVALENT_TO', 'EXPLICIT', 'ACTIVE', {_id('CPT', 's_suppkey + 1000')}, {_id('CPT', 's_suppkey + 994')}, cast(null as string) from supplier where s_suppkey > 6 and s_suppkey % 17 = 5"
         f" union all select {_id('REL', 's_suppkey + 4000000')}, 'PART_OF', 'EXPLICIT', 'ACTIVE', {_id('CPT', 's_suppkey + 1000')}, {_id('CPT', 's_suppkey + 1003')}, cast(null as string) from supplier where s_suppkey % 10 in (1, 4)"
-        f" union all select {_id('REL', 'l_suppkey * 10000000 + l_partkey')}, case {_KIND} when 'DEFINITION' then 'DEFINED_BY' when 'PROPERTY' then 'HAS_PROPERTY' else 'RELATED_TO' end, 'EXPLICIT', 'ACTIVE', {_id('CPT', 'l_suppkey + 1000')}, cast(null as string), {_id('K', 'l_partkey')} from (select distinct l_suppkey, l_partkey from lineitem where l_linenumber = 1) as l join part on p_partkey = l_partkey"
+        f" union all select {_id('REL', 's_suppkey + 5000000')}, 'PREREQUISITE_OF', 'EXPLICIT', 'ACTIVE', {_id('CPT', 's_suppkey + 1000')}, {_id('CPT', '(s_suppkey * 3) % 60 + 1001')}, cast(null as string) from supplier where s_suppkey % 6 = 2"
+        f" union all select {_id('REL', 'l_suppkey * 10000000 + l_partkey')}, case {_KIND} when 'DEFINITION' then 'DEFINED_BY' when 'PROPERTY' then 'HAS_PROPERTY' when 'RULE' then 'APPLIES_TO' when 'PROCEDURE' then 'USES' else 'RELATED_TO' end, 'EXPLICIT', 'ACTIVE', {_id('CPT', 'l_suppkey + 1000')}, cast(null as string), {_id('K', 'l_partkey')} from (select distinct l_suppkey, l_partkey from lineitem where l_linenumber = 1) as l join part on p_partkey = l_partkey"
     ),
     "kb_source_occurrence": f"select {_id('S', 'l_orderkey * 10 + l_linenumber')} as id, {_id('K', 'l_partkey')} as knowledge_id, {_PLACE} from lineitem where l_linenumber <= 3",
     "kb_concept_occurrence": f"select {_id('CO', 'l_orderkey * 10 + l_linenumber')} as id, {_id('CPT', 'l_suppkey + 1000')} as concept_id, {_PLACE} from lineitem where l_linenumber = 4",

@@ -77,7 +77,10 @@ def run_states(kb: Base) -> DataFrame:
 
 def why_uncertain(method: Column) -> Column:
     """What makes a claim uncertain by the tags of its method; null if nothing does."""
-    return F.when(method.contains("+layout?"), "rebuilt from the layout of a page, with a doubt").when(method.contains("+ocr"), "recognised from an image").when(method.contains("+weak"), "a general sentence shape, no defining verb")
+    return (
+        F.when(method.contains("+ocr"), "recognised from an image").when(method.contains("+weak"), "a general sentence shape, no defining verb").when(method.contains("+layout?"), "rebuilt from the layout of a page, with a doubt")
+        .when(method.contains("EquationCandidate"), "a text layer can lose the layout of an equation")
+    )
 
 
 def withheld_status(items: DataFrame, group: str) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from quillspark.functions.ids import counter
 from quillspark.functions.text import normalised, singular
 from quillspark.operators import evidence as E
-from quillspark.operators.retrieval import GROUPS, section, tokens
+from quillspark.operators.catalogue import concept_conflicts
+from quillspark.operators.lookups import why_uncertain
+from quillspark.operators.retrieval import GROUPS, links, placed, section, tokens
 from quillspark.storage import written
 
 Base = SimpleNamespace
@@ -49,9 +51,12 @@ POLITE = r"(?i)^(?:(?:please|kindly|can you|could you|would you)[,\s]+)+"
 SCOPES = {"AUTHORIZED": r"(?i)\s+(?:in|from|using) (?:all )?authori[sz]ed sources$", "MY_BOOKS": r"(?i)\s+(?:in|from|using|according to|based on|with) my (?:books|documents|notes|files|sources)$"}
 CLAUSES = r"(?i)\s*(?:,\s*)?\b(?:and then|and|then)\s+(?=(?:calculate|compute|evaluate|determine|search|find|what|where)\b)"
 REFERENCES = r"(?i)^(?:it|this|that|these|those|them|(?:the|that|this|my) (?:project|file|document|folder|answer|result))$"
-#: The groups of a concept's section that each part of an answer shows, the most lines of a part.
-PARTS = {"definition": (0,), "explanation": (0, 1, 3), "equations": (2,), "prerequisites": (6,), "everything": tuple(range(9)), "summary": tuple(range(9)), "applications": (8,), "variables": (2, 8), "dependencies": (6, 7)}
-MOST_LINES, MOST_MENTIONS = 5000, 8
+#: The groups that each part of an answer shows, the most lines, mentions and sources of a part.
+PARTS = {
+    "definition": ("Definitions",), "explanation": ("Definitions", "Properties", "Relationships", "Dependencies"), "equations": ("Equations", "Variables"), "variables": ("Variables", "Equations"), "properties": ("Properties",), "applications": ("Applications",), "definitions_all": ("Definitions",),
+    "summary": ("Definitions", "Properties", "Equations", "Variables", "Applications", "Examples", "Prerequisites", "Dependencies", "Relationships"), "locations": ("Definitions", "Properties", "Equations", "Variables", "Examples", "Applications"), "prerequisites": ("Prerequisites",), "everything": GROUPS, "dependencies": ("Prerequisites", "Dependencies"),
+}
+MOST_LINES, MOST_MENTIONS, MOST_SOURCES = 5000, 8, 5
 
 
 def cleaned(text: Column) -> Column:
@@ -100,25 +105,59 @@ def resolved(kb: Base, asked: DataFrame) -> DataFrame:
     return direct.where("concept_id is not null").select(*asked.columns, "concept_id").union(unknown.select(*asked.columns, "concept_id"))
 
 
-def answers(kb: Base, requests: DataFrame) -> DataFrame:
-    """(request_id, clause, status, line, group_name, item_id, text) of the requests about concepts and what they require: FOUND lines in the order of groups and first evidence, MENTIONED statements that hold the name where the concept has nothing to show, one UNKNOWN row where there is none."""
-    asked = interpreted(requests).where("status = 'INTERPRETED' and intent in ('QUERY_CONCEPT', 'REASON')").select("request_id", "clause", "target", "part")
-    known = resolved(kb, asked)
+def _asked(kb: Base, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The clauses about concepts and what they require, and the concepts that each resolves to, as members of a section for each clause."""
+    asked = written(interpreted(requests).where("status = 'INTERPRETED' and intent in ('QUERY_CONCEPT', 'REASON')").select("request_id", "clause", "target", "part", F.struct("request_id", "clause").alias("section_id")), "asked")
+    return asked, written(resolved(kb, asked).where("concept_id is not null").select("section_id", "concept_id").distinct(), "members")
+
+
+def answers(kb: Base, requests: DataFrame, own_books: bool | None = None) -> DataFrame:
+    """(request_id, clause, status, line, group_name, item_id, text, uncertain) of the requests about concepts and what they require.
+
+    FOUND lines show the groups that the request asks for in their order: a statement after the group's name without its
+    last letter s, or a relation with the names of the concepts at its other end. `uncertain` says why a statement is.
+    Where nothing is found, MENTIONED statements hold the name, and one UNKNOWN row stands where there is none.
+    """
+    asked, members = _asked(kb, requests)
     shown = F.create_map(*(x for p, g in PARTS.items() for x in (F.lit(p), F.array(*map(F.lit, g)))))
-    lines = section(kb, known.where("concept_id is not null").select("concept_id").distinct())
-    texts = kb.knowledge.select(F.col("id").alias("item_id"), F.col("statement").alias("text")).union(kb.concept.select("id", "canonical_name"))
-    found = known.join(lines, "concept_id").where(F.array_contains(F.element_at(shown, F.col("part")), F.col("group_no"))).join(texts, "item_id")
-    place = F.row_number().over(W.partitionBy("request_id", "clause").orderBy("group_no", "position", counter("item_id"), "item_id"))
-    found = found.select("request_id", "clause", F.lit("FOUND").alias("status"), place.alias("line"), "group_name", "item_id", "text").where(F.col("line") <= MOST_LINES)
+    lines = section(kb, members, own_books).join(asked.select("section_id", "part"), "section_id").where(F.array_contains(F.element_at(shown, F.col("part")), F.col("group_name")))
+    methods = kb.source_occurrence.groupBy(F.col("knowledge_id").alias("item_id")).agg(F.array_join(F.sort_array(F.collect_set("extraction_method")), " ").alias("methods"))
+    said = kb.knowledge.select(F.col("id").alias("item_id"), "statement", (F.col("certainty") == "UNCERTAIN").alias("doubt"))
+    # names at the other end of an edge, those that the request itself resolves to left out
+    others = links(kb, members, own_books).where("knowledge_id is null").join(members.select("section_id", F.col("concept_id").alias("neighbour_id")), ["section_id", "neighbour_id"], "left_anti")
+    named = others.join(kb.concept.select(F.col("id").alias("neighbour_id"), "canonical_name"), "neighbour_id").groupBy("section_id", "item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(counter("neighbour_id").alias("n"), F.col("canonical_name").alias("name")))), lambda x: x["name"]), ", ").alias("names"))
+    types = kb.edge.select(F.col("id").alias("item_id"), "relation_type")
+    found = lines.join(said, "item_id", "left").join(methods, "item_id", "left").join(types, "item_id", "left").join(named, ["section_id", "item_id"], "left")
+    flat = F.trim(F.regexp_replace("statement", r"(?U)\s+", " "))
+    text = F.when(F.col("statement").isNotNull(), F.concat(F.regexp_replace("group_name", "s$", ""), F.lit(": "), flat)).otherwise(F.concat("relation_type", F.lit(": "), F.coalesce("names", F.lit(""))))
+    place = F.row_number().over(W.partitionBy("section_id").orderBy("group_no", "position", counter("item_id"), "item_id"))
+    reason = F.when(F.col("doubt"), F.coalesce(why_uncertain(F.coalesce("methods", F.lit(""))), F.lit("stored as uncertain")))
+    found = found.select("section_id.*", F.lit("FOUND").alias("status"), place.alias("line"), "group_name", "item_id", text.alias("text"), reason.alias("uncertain")).where(F.col("line") <= MOST_LINES)
     silent = asked.join(found.select("request_id", "clause").distinct(), ["request_id", "clause"], "left_anti").withColumn("wanted", F.trim(tokens(F.col("target"))))
     # names without an answer are few and met by their first word, then checked as a phrase
-    said = kb.knowledge.where(E.lifecycle_allows()).select(F.col("id").alias("item_id"), F.col("statement").alias("text"), tokens(F.col("statement")).alias("t"))
-    words = said.select("item_id", "text", "t", F.explode(F.array_distinct(F.split(F.trim("t"), " "))).alias("first"))
+    words = kb.knowledge.where(E.lifecycle_allows()).select(F.col("id").alias("item_id"), F.col("statement").alias("text"), tokens(F.col("statement")).alias("t"))
+    words = words.select("item_id", "text", "t", F.explode(F.array_distinct(F.split(F.trim("t"), " "))).alias("first"))
     met = silent.withColumn("first", F.substring_index("wanted", " ", 1)).join(words, "first").where(F.expr("contains(t, concat(' ', wanted, ' '))"))
     nth = F.row_number().over(W.partitionBy("request_id", "clause").orderBy(counter("item_id"), "item_id"))
-    mentioned = met.select("request_id", "clause", F.lit("MENTIONED").alias("status"), nth.alias("line"), F.lit("MENTIONS").alias("group_name"), "item_id", "text").where(F.col("line") <= MOST_MENTIONS)
-    none = silent.join(mentioned.select("request_id", "clause").distinct(), ["request_id", "clause"], "left_anti").select("request_id", "clause", F.lit("UNKNOWN").alias("status"), F.lit(0).alias("line"), F.lit(None).cast("string").alias("group_name"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("string").alias("text"))
-    return found.union(mentioned).union(none)
+    none = F.lit(None).cast("string")
+    mentioned = met.select("request_id", "clause", F.lit("MENTIONED").alias("status"), nth.alias("line"), F.lit("Mentions").alias("group_name"), "item_id", "text", none.alias("uncertain")).where(F.col("line") <= MOST_MENTIONS)
+    unknown = silent.join(mentioned.select("request_id", "clause").distinct(), ["request_id", "clause"], "left_anti").select("request_id", "clause", F.lit("UNKNOWN").alias("status"), F.lit(0).alias("line"), none.alias("group_name"), none.alias("item_id"), none.alias("text"), none.alias("uncertain"))
+    return found.union(mentioned).union(unknown)
+
+
+def answer_sources(kb: Base, lines: DataFrame, own_books: bool | None = None) -> DataFrame:
+    """(request_id, clause, place, document_id, page_number, text): the first MOST_SOURCES places that the lines of each answer come from, each once, in the order of the lines and of the evidence."""
+    rows = placed(kb, own_books).select(F.col("subject_id").alias("item_id"), "document_id", "page_number", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("text"), F.struct(counter("document_id").alias("d"), F.col("page_number").alias("p"), F.col("char_start").alias("c"), counter("id").alias("n")).alias("at"))
+    met = lines.where("item_id is not null").select("request_id", "clause", "line", "item_id").join(rows, "item_id")
+    first = met.groupBy("request_id", "clause", "document_id", "page_number", "text").agg(F.min(F.struct("line", "at")).alias("first"))
+    place = F.row_number().over(W.partitionBy("request_id", "clause").orderBy("first")).alias("place")
+    return first.select("request_id", "clause", place, "document_id", "page_number", "text").where(F.col("place") <= MOST_SOURCES)
+
+
+def answer_conflicts(kb: Base, requests: DataFrame) -> DataFrame:
+    """(request_id, clause, conflict_id, claim_a_id, claim_a, claim_b_id, claim_b): the conflicts in force about what the asked concepts' edges lead to, each once for a clause; none is resolved."""
+    _, members = _asked(kb, requests)
+    return members.join(concept_conflicts(kb), "concept_id").select("section_id.*", "conflict_id", "claim_a_id", "claim_a", "claim_b_id", "claim_b").distinct()
 
 
-__all__ = ["GROUPS", "RULES", "answers", "cleaned", "interpreted", "resolved", "scope_of"]
+__all__ = ["GROUPS", "RULES", "answer_conflicts", "answer_sources", "answers", "cleaned", "interpreted", "resolved", "scope_of"]

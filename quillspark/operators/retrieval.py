@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from quillspark.functions.ids import counter
 from quillspark.functions.text import fold, singular
 from quillspark.operators import evidence as E
+from quillspark.operators.answers import visible_edges
 
-#: The groups of a concept's section, in order.
-GROUPS = ("DEFINITIONS", "PROPERTIES", "EQUATIONS", "RULES", "PARENTS", "CHILDREN", "PREREQUISITES", "DEPENDENCIES", "RELATED")
+#: The groups of a concept's section, in order, and the types of statements that have a group of their own.
+GROUPS = ("Definitions", "Properties", "Prerequisites", "Dependencies", "Applications", "Relationships", "Equations", "Variables", "Examples")
+OWN_GROUP = {"EQUATION": "Equations", "VARIABLE": "Variables", "EXAMPLE": "Examples"}
 
 
 def resolve(kb: SimpleNamespace, name: str) -> DataFrame:
@@ -27,31 +29,73 @@ def resolve(kb: SimpleNamespace, name: str) -> DataFrame:
 
 
 def group_of() -> Column:
-    """The group of a link by its type, the end of the concept and the type of what it leads to."""
-    r, end, kind = F.col("relation_type"), F.col("at"), F.col("knowledge_type")
+    """The number of a link's group: by the type of a statement that has its own, else by the relation as seen from the concept, which starts (FROM) or ends (TO) the edge."""
+    r, kind = F.col("relation_type"), F.col("knowledge_type")
+    out, stated = F.col("at") == "FROM", F.col("knowledge_id").isNotNull()
+    found = F
+    for name, group in OWN_GROUP.items():
+        found = found.when(kind == name, GROUPS.index(group))
     return (
-        F.when((r == "DEFINED_BY") | (kind == "DEFINITION"), 0).when((r == "HAS_PROPERTY") | (kind == "PROPERTY"), 1).when(kind == "EQUATION", 2).when(kind == "RULE", 3)
-        .when((r == "PARENT_OF") & (end == "TO"), 4).when((r == "PARENT_OF") & (end == "FROM"), 5).when((r == "PREREQUISITE_OF") & (end == "TO") | (r == "REQUIRES") & (end == "FROM"), 6)
-        .when(r.isin("DEPENDS_ON", "REQUIRES"), 7).otherwise(8)
+        found.when(stated & out & (r == "DEFINED_BY"), 0).when(stated & out & (r == "HAS_PROPERTY"), 1).when(~out & (r == "PREREQUISITE_OF"), 2)
+        .when(out & r.isin("DEPENDS_ON", "REQUIRES"), 3).when(out & r.isin("APPLIES_TO", "USES"), 4).otherwise(5)
     )
 
 
-def section(kb: SimpleNamespace, concepts: DataFrame) -> DataFrame:
-    """(concept_id, group_no, group_name, item_id, n_links, position) of everything that active links attach to concepts (concept_id).
+def links(kb: SimpleNamespace, members: DataFrame, own_books: bool | None = None) -> DataFrame:
+    """(section_id, concept_id, at, edge_id, relation_type, item_id, knowledge_id, neighbour_id) of the active edges at the concepts of sections (section_id, concept_id).
 
-    An item stands once, in its earliest group; position counts the items of a group in the order of their first evidence, those without last.
+    An item is the statement that an edge leads to, or the edge itself where it leads to another concept. Statements
+    that are archived, deleted or superseded are left out. With a scope (own_books given), edges and statements without
+    evidence in it are left out too.
     """
     e = kb.edge.where(F.col("lifecycle_status") == "ACTIVE")
-    out = e.select(F.col("from_concept_id").alias("concept_id"), F.lit("FROM").alias("at"), "relation_type", F.coalesce("to_concept_id", "to_knowledge_id").alias("item_id"))
-    back = e.where("to_concept_id is not null").select(F.col("to_concept_id").alias("concept_id"), F.lit("TO").alias("at"), "relation_type", F.col("from_concept_id").alias("item_id"))
-    links = out.union(back).join(concepts.select("concept_id").distinct(), "concept_id", "left_semi")
-    kinds = kb.knowledge.where(E.lifecycle_allows()).select(F.col("id").alias("item_id"), "knowledge_type")
-    links = links.join(kinds, "item_id", "left").where(F.startswith("item_id", F.lit("CPT-")) | F.col("knowledge_type").isNotNull())
-    items = links.withColumn("g", group_of()).groupBy("concept_id", "item_id").agg(F.min("g").alias("group_no"), F.count("*").alias("n_links"))
-    at = E.position(E.evidence(kb)).select(F.col("subject_id").alias("item_id"), F.struct("document_n", "page", "start", "n").alias("at"))
+    if own_books is not None:
+        e = e.join(visible_edges(kb, own_books).select("id"), "id", "left_semi")
+    out = e.select(F.col("from_concept_id").alias("concept_id"), F.lit("FROM").alias("at"), F.col("id").alias("edge_id"), "relation_type", F.col("to_knowledge_id").alias("knowledge_id"), F.col("to_concept_id").alias("neighbour_id"))
+    back = e.where("to_concept_id is not null and to_concept_id <> from_concept_id").select(F.col("to_concept_id"), F.lit("TO"), F.col("id"), "relation_type", F.lit(None).cast("string"), F.col("from_concept_id"))
+    known = kb.knowledge.where(E.lifecycle_allows()).select(F.col("id").alias("knowledge_id"), "knowledge_type")
+    if own_books is not None:
+        known = known.join(placed(kb, own_books).select(F.col("subject_id").alias("knowledge_id")).distinct(), "knowledge_id", "left_semi")
+    found = out.union(back).join(members.select("section_id", "concept_id").distinct(), "concept_id").join(known, "knowledge_id", "left")
+    return found.where("knowledge_id is null or knowledge_type is not null").withColumn("item_id", F.coalesce("knowledge_id", "edge_id"))
+
+
+def placed(kb: SimpleNamespace, own_books: bool | None = None) -> DataFrame:
+    """Evidence rows by subject, those that an edge rests on counted as its own; with a scope only what is in it."""
+    rows = E.evidence(kb)
+    based = kb.basis.select(F.col("relationship_id").alias("to"), F.col("basis_occurrence_id").alias("id")).join(rows.where("subject_kind = 'KNOWLEDGE'"), "id").withColumn("subject_id", F.col("to")).drop("to")
+    rows = rows.unionByName(based.withColumn("subject_kind", F.lit("RELATIONSHIP")))
+    return rows if own_books is None else E.judged(kb, rows, own_books).where(F.col("verdict") == E.IN_SCOPE)
+
+
+def section(kb: SimpleNamespace, members: DataFrame, own_books: bool | None = None) -> DataFrame:
+    """(section_id, group_no, group_name, item_id, n_links, position) of all that is linked to the concepts of each section (section_id, concept_id); see links.
+
+    An item stands once, in the earliest of its groups; position counts the items of a group in the order of their first
+    evidence, those without last, then by kind and number.
+    """
+    found = links(kb, members, own_books).withColumn("g", group_of())
+    items = found.groupBy("section_id", "item_id").agg(F.min("g").alias("group_no"), F.count("*").alias("n_links"))
+    at = E.position(placed(kb, own_books)).select(F.col("subject_id").alias("item_id"), F.struct("document_n", "page", "start", "n").alias("at"))
     names = F.element_at(F.array(*map(F.lit, GROUPS)), F.col("group_no") + 1)
-    place = F.row_number().over(W.partitionBy("concept_id", "group_no").orderBy(F.col("at").asc_nulls_last(), F.split_part("item_id", F.lit("-"), F.lit(1)), counter("item_id")))
-    return items.join(at, "item_id", "left").select("concept_id", "group_no", names.alias("group_name"), "item_id", "n_links", place.alias("position"))
+    place = F.row_number().over(W.partitionBy("section_id", "group_no").orderBy(F.col("at").asc_nulls_last(), F.split_part("item_id", F.lit("-"), F.lit(1)), counter("item_id")))
+    return items.join(at, "item_id", "left").select("section_id", "group_no", names.alias("group_name"), "item_id", "n_links", place.alias("position"))
+
+
+def groups(kb: SimpleNamespace, members: DataFrame, own_books: bool | None = None) -> DataFrame:
+    """(section_id, group_no, group_name, n_items, note): every group of each section, empty ones too.
+
+    The note says what an empty group means: nothing stored, or, for types of statements with a group of their own, that
+    no edge links any statement of the type to any concept; a filled one of these lists only what an edge links.
+    """
+    every = F.explode(F.array(*(F.struct(F.lit(i).alias("group_no"), F.lit(g).alias("group_name")) for i, g in enumerate(GROUPS))))
+    frame = members.select("section_id").distinct().select("section_id", every.alias("g")).select("section_id", "g.*")
+    n = section(kb, members, own_books).groupBy("section_id", "group_no").agg(F.count("*").alias("n_items"))
+    linked = kb.edge.join(kb.knowledge.select(F.col("id").alias("to_knowledge_id"), "knowledge_type"), "to_knowledge_id").select(F.element_at(F.create_map(*(F.lit(x) for pair in OWN_GROUP.items() for x in pair)), F.col("knowledge_type")).alias("group_name")).where("group_name is not null").distinct().withColumn("linked", F.lit(True))
+    filled, own = F.col("n_items") > 0, F.col("group_name").isin(*OWN_GROUP.values())
+    note = F.when(own & filled, "LINKED_ONLY").when(own & F.col("linked").isNull(), "TYPE_NEVER_LINKED").when(~filled & (F.col("group_name") == "Applications"), "ONLY_STATED_EDGES").when(~filled, "NOTHING_STORED")
+    found = frame.join(n, ["section_id", "group_no"], "left").withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long"))).join(F.broadcast(linked), "group_name", "left")
+    return found.select("section_id", "group_no", "group_name", "n_items", note.alias("note"))
 
 
 def tokens(text: Column) -> Column:

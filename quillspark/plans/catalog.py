@@ -170,10 +170,29 @@ simple("d2_compared_statements", lambda kb: D.compared(_statements(kb), "name"),
 simple("d7_contradictions", lambda kb: D.contradictions(_statements(kb), "name"), ("knowledge",), f"select canonical_id as claim_a_id, other_id as claim_b_id from ({_D2}) x where outcome = 'CONTRADICTORY'")
 simple("q8_resolve", lambda kb: R.resolve(kb, "Supplier 7"), ("alias",), "select concept_id, min(alias) as matched_alias from kb_alias where lifecycle_status = 'ACTIVE' and normalized_alias = 'supplier 7' group by 1")
 simple("q8_resolve_singular", lambda kb: R.resolve(kb, "  Asias "), ("alias",), "select concept_id, min(alias) as matched_alias from kb_alias where lifecycle_status = 'ACTIVE' and normalized_alias = 'asia' group by 1")
-_GROUP = "case when r = 'DEFINED_BY' or kt = 'DEFINITION' then 0 when r = 'HAS_PROPERTY' or kt = 'PROPERTY' then 1 when kt = 'EQUATION' then 2 when kt = 'RULE' then 3 when r = 'PARENT_OF' and side = 'TO' then 4 when r = 'PARENT_OF' then 5 when r = 'REQUIRES' and side = 'FROM' then 6 when r in ('DEPENDS_ON', 'REQUIRES') then 7 else 8 end"
+_LINKS = "select from_concept_id as section_id, 'FROM' as side, id as edge_id, relation_type as r, to_knowledge_id as k, to_concept_id as other from kb_edge where lifecycle_status = 'ACTIVE' union all select to_concept_id, 'TO', id, relation_type, null, from_concept_id from kb_edge where lifecycle_status = 'ACTIVE' and to_concept_id is not null and to_concept_id <> from_concept_id"
+_GROUP = "case when kt = 'EQUATION' then 6 when kt = 'VARIABLE' then 7 when kt = 'EXAMPLE' then 8 when k is not null and side = 'FROM' and r = 'DEFINED_BY' then 0 when k is not null and side = 'FROM' and r = 'HAS_PROPERTY' then 1 when side = 'TO' and r = 'PREREQUISITE_OF' then 2 when side = 'FROM' and r in ('DEPENDS_ON', 'REQUIRES') then 3 when side = 'FROM' and r in ('APPLIES_TO', 'USES') then 4 else 5 end"
+_PLACED = f"select subject_id, document_id, source_id, page_number, char_start, id from ({_EVIDENCE}) e union all select b.relationship_id, o.document_id, o.source_id, o.page_number, o.char_start, o.id from kb_basis b join kb_source_occurrence o on o.id = b.basis_occurrence_id"
+
+
+def _section_sql(scoped: bool) -> str:
+    """The rows of sections, one for each concept, from the tables; with a scope, of what authorised sources show."""
+    rows = f"select p.* from ({_PLACED}) p left join kb_source s on s.id = p.source_id where not ({_DENIED})" if scoped else _PLACED
+    seen = f" and (k.id is null or k.id in (select subject_id from ({rows}) x1)) and l.edge_id in (select subject_id from ({rows}) x2)" if scoped else ""
+    names = " ".join(f"when {i} then '{g}'" for i, g in enumerate(R.GROUPS))
+    links = f"select l.section_id, coalesce(l.k, l.edge_id) as item_id, {_GROUP} as g from (select l.*, k.knowledge_type as kt from ({_LINKS}) l left join kb_knowledge k on k.id = l.k and k.lifecycle_status not in ('ARCHIVED', 'DELETED', 'SUPERSEDED') where (l.k is null or k.id is not null) and l.section_id in (select id from kb_concept){seen}) l"
+    at = f"select subject_id, min(row({_N.format('document_id')}, coalesce(page_number, 1099511627776), coalesce(char_start, 1099511627776), {_N.format('id')})) as first_at from ({rows}) r group by subject_id"
+    return f"select section_id, group_no, case group_no {names} end as group_name, item_id, n_links, row_number() over (partition by section_id, group_no order by first_at nulls last, split_part(item_id, '-', 1), {_N.format('item_id')}) as position from (select section_id, item_id, min(g) as group_no, count(*) as n_links from ({links}) y group by 1, 2) i left join ({at}) a on a.subject_id = i.item_id"
+
+
+_SECTION_TABLES = ("edge", "knowledge", "concept", "basis", "source", *_OCC)
+_each = lambda kb: kb.concept.select(F.col("id").alias("section_id"), F.col("id").alias("concept_id"))
+simple("q11_concept_sections", lambda kb: R.section(kb, _each(kb)), _SECTION_TABLES, _section_sql(False))
+simple("q11_sections_in_scope", lambda kb: R.section(kb, _each(kb), own_books=False), _SECTION_TABLES, _section_sql(True))
+_NEVER = " ".join(f"when '{g}' then not exists (select 1 from kb_edge e join kb_knowledge k on k.id = e.to_knowledge_id where k.knowledge_type = '{t}')" for t, g in R.OWN_GROUP.items())
 simple(
-    "q11_concept_sections", lambda kb: R.section(kb, kb.concept.select(F.col("id").alias("concept_id"))), ("edge", "knowledge", "concept", *_OCC),
-    f"select concept_id, group_no, group_name, item_id, n_links, row_number() over (partition by concept_id, group_no order by d nulls last, p, c, n, split_part(item_id, '-', 1), {_N.format('item_id')}) as position from (select concept_id, min(g) as group_no, case min(g) when 0 then 'DEFINITIONS' when 1 then 'PROPERTIES' when 2 then 'EQUATIONS' when 3 then 'RULES' when 4 then 'PARENTS' when 5 then 'CHILDREN' when 6 then 'PREREQUISITES' when 7 then 'DEPENDENCIES' else 'RELATED' end as group_name, item_id, count(*) as n_links from (select concept_id, item_id, {_GROUP} as g from (select l.*, k.knowledge_type as kt from (select from_concept_id as concept_id, 'FROM' as side, relation_type as r, coalesce(to_concept_id, to_knowledge_id) as item_id from kb_edge where lifecycle_status = 'ACTIVE' union all select to_concept_id, 'TO', relation_type, from_concept_id from kb_edge where lifecycle_status = 'ACTIVE' and to_concept_id is not null) l left join kb_knowledge k on k.id = l.item_id and k.lifecycle_status not in ('ARCHIVED', 'DELETED', 'SUPERSEDED') where l.concept_id in (select id from kb_concept) and (l.item_id like 'CPT-%' or k.id is not null)) x) y group by concept_id, item_id) z left join (select subject_id, d, p, c, n from (select subject_id, {_N.format('document_id')} as d, page_number as p, char_start as c, {_N.format('id')} as n, row_number() over (partition by subject_id order by {_N.format('document_id')}, page_number, char_start, {_N.format('id')}) as r from ({_EVIDENCE}) e) f where r = 1) a on a.subject_id = z.item_id",
+    "q10_groups", lambda kb: R.groups(kb, _each(kb)), _SECTION_TABLES,
+    f"select c.id as section_id, g.group_no, g.group_name, coalesce(n.n, 0) as n_items, case when g.group_no >= 6 and coalesce(n.n, 0) > 0 then 'LINKED_ONLY' when g.group_no >= 6 and case g.group_name {_NEVER} end then 'TYPE_NEVER_LINKED' when coalesce(n.n, 0) > 0 then null when g.group_name = 'Applications' then 'ONLY_STATED_EDGES' else 'NOTHING_STORED' end as note from kb_concept c cross join (values {', '.join(f"({i}, '{g}')" for i, g in enumerate(R.GROUPS))}) g(group_no, group_name) left join (select section_id, group_no, count(*) as n from ({_section_sql(False)}) s group by 1, 2) n on n.section_id = c.id and n.group_no = g.group_no",
 )
 simple(
     "q18_keyword_hits", lambda kb: R.keyword_hits(kb, "is rated 1", prefix=True), (*_OCC, "source", "knowledge", "alias", "segment"),

@@ -19,7 +19,7 @@ from quillspark.operators import reasoning as R
 from quillspark.operators import requests as Q
 from quillspark.operators import validation as V
 from quillspark.operators import writer as W
-from quillspark.plans.catalog import _DENIED, _EDGE_TABLES, _EVIDENCE, _ITEMS, _N, _OCC, _VISIBLE, _items, query, simple
+from quillspark.plans.catalog import _DENIED, _EDGE_TABLES, _EVIDENCE, _ITEMS, _N, _LINKS, _OCC, _SECTION_TABLES, _VISIBLE, _items, _section_sql, query, simple
 
 _LIST = "string_agg({v}, ',' order by {o})"
 _ORDERED = f"{_N.format('document_id')}, coalesce(page_number, 1073741824), coalesce(char_start, 1073741824), {_N.format('id')}"
@@ -44,7 +44,8 @@ simple(
     "v7_run_states", L.run_states, ("run", "issue", "document"),
     f"select r.id as run_id, r.document_id, coalesce(i.n, 0) as n_issues, coalesce(i.p, false) as partial, case when r.status = 'COMPLETED' and coalesce(i.p, false) then 'PARTIAL' else r.status end as run_state, case when d.processing_status = 'PROCESSED' and m.p then 'PARTIALLY_PROCESSED' else d.processing_status end as document_state from kb_run r left join (select extraction_run_id, count(*) as n, bool_or(issue_type in ({_DISCARDING})) as p from kb_issue group by 1) i on i.extraction_run_id = r.id left join kb_document d on d.id = r.document_id left join (select x.document_id, bool_or(coalesce(y.p, false)) as p from kb_run x left join (select extraction_run_id, bool_or(issue_type in ({_DISCARDING})) as p from kb_issue group by 1) y on y.extraction_run_id = x.id group by 1) m on m.document_id = r.document_id",
 )
-simple("an4_why_uncertain", lambda kb: kb.source_occurrence.select("id", L.why_uncertain(F.col("extraction_method")).alias("reason")), ("source_occurrence",), "select id, case when contains(extraction_method, '+layout?') then 'rebuilt from the layout of a page, with a doubt' when contains(extraction_method, '+ocr') then 'recognised from an image' when contains(extraction_method, '+weak') then 'a general sentence shape, no defining verb' end as reason from kb_source_occurrence")
+_WHY = "case when contains({c}, '+ocr') then 'recognised from an image' when contains({c}, '+weak') then 'a general sentence shape, no defining verb' when contains({c}, '+layout?') then 'rebuilt from the layout of a page, with a doubt' when contains({c}, 'EquationCandidate') then 'a text layer can lose the layout of an equation' end"
+simple("an4_why_uncertain", lambda kb: kb.source_occurrence.select("id", L.why_uncertain(F.col("extraction_method")).alias("reason")), ("source_occurrence",), f"select id, {_WHY.format(c='extraction_method')} as reason from kb_source_occurrence")
 
 
 def _named_items(kb):
@@ -177,4 +178,19 @@ def _concept_requests(kb):
     return kb.concept.select(n.alias("request_id"), F.concat(F.when(n % 2 == 0, "Show everything about ").otherwise("What are the prerequisites of "), F.col("canonical_name")).alias("text"))
 
 
-query("an1_answers", flat=True)(lambda spark, d: (lambda kb: Q.answers(kb, _concept_requests(kb)))(knowledge_base(spark, d)))
+_WANTED = "case when " + _N.format("c.id") + " % 2 = 0 then 'everything' else 'prerequisites' end"
+_FOUND = (
+    f"with_found as (select {_N.format('s.section_id')} as request_id, s.group_no, s.group_name, s.position, s.item_id, coalesce(case when right(s.group_name, 1) = 's' then left(s.group_name, length(s.group_name) - 1) end || ': ' || k.statement, e.relation_type || ': ' || coalesce(o.names, '')) as text,"
+    f" case when k.certainty = 'UNCERTAIN' then coalesce({_WHY.format(c='m.methods')}, 'stored as uncertain') end as uncertain"
+    f" from ({_section_sql(False)}) s join kb_concept c on c.id = s.section_id left join kb_knowledge k on k.id = s.item_id left join kb_edge e on e.id = s.item_id"
+    f" left join (select section_id, edge_id, string_agg(distinct canonical_name, ', ') as names from ({_LINKS}) l join kb_concept n on n.id = l.other where l.k is null group by 1, 2) o on o.section_id = s.section_id and o.edge_id = s.item_id"
+    f" left join (select knowledge_id, string_agg(distinct extraction_method, ' ') as methods from kb_source_occurrence group by 1) m on m.knowledge_id = s.item_id where {_N.format('c.id')} % 2 = 0 or s.group_name = 'Prerequisites')"
+).removeprefix("with_found as ")
+_ANSWERED = f"select request_id, cast(0 as int) as clause, 'FOUND' as status, row_number() over (partition by request_id order by group_no, position) as line, group_name, item_id, text, uncertain from {_FOUND} f"
+simple("an1_answers", lambda kb: Q.answers(kb, _concept_requests(kb)), _SECTION_TABLES, f"{_ANSWERED} union all select {_N.format('id')}, 0, 'UNKNOWN', 0, null, null, null, null from kb_concept where {_N.format('id')} not in (select request_id from {_FOUND} g)")
+simple("an1_sources", lambda kb: Q.answer_sources(kb, Q.answers(kb, _concept_requests(kb))), _SECTION_TABLES, (
+    f"select request_id, clause, place, document_id, page_number, text from (select request_id, clause, document_id, page_number, text, row_number() over (partition by request_id, clause order by first) as place from (select a.request_id, a.clause, p.document_id, p.page_number, p.text, min(row(a.line, {_N.format('p.document_id')}, p.page_number, p.char_start, {_N.format('p.id')})) as first"
+    f" from ({_ANSWERED}) a join (select subject_id, id, document_id, page_number, char_start, text from ({_EVIDENCE}) e union all select b.relationship_id, o.id, o.document_id, o.page_number, o.char_start, o.text from kb_basis b join kb_source_occurrence o on o.id = b.basis_occurrence_id) p on p.subject_id = a.item_id group by 1, 2, 3, 4, 5) x) y where place <= {Q.MOST_SOURCES}"))
+simple("an1_conflicts", lambda kb: Q.answer_conflicts(kb, _concept_requests(kb)), ("edge", "knowledge", "concept", "conflict"), (
+    f"select distinct {_N.format('e.from_concept_id')} as request_id, cast(0 as int) as clause, c.id as conflict_id, c.claim_a_id, a.statement as claim_a, c.claim_b_id, b.statement as claim_b from kb_edge e join kb_concept p on p.id = e.from_concept_id join kb_knowledge k on k.id = e.to_knowledge_id and k.lifecycle_status not in ('ARCHIVED', 'DELETED') join kb_conflict c on e.to_knowledge_id in (c.claim_a_id, c.claim_b_id) and c.lifecycle_status not in ('ARCHIVED', 'DELETED')"
+    " left join kb_knowledge a on a.id = c.claim_a_id and a.lifecycle_status not in ('ARCHIVED', 'DELETED') left join kb_knowledge b on b.id = c.claim_b_id and b.lifecycle_status not in ('ARCHIVED', 'DELETED') where e.lifecycle_status = 'ACTIVE'"))
