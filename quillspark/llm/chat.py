@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, ship
 
-_CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
+_OPEN, _CLOSE = "<tool_call>", "</tool_call>"
 _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 EVENT = "kind string, conv_id long, turn long, call_id string, name string, arguments string, after array<string>, content string"
 
@@ -94,9 +93,18 @@ def _call(body: str) -> tuple[str, str, str, list[str]]:
     return _name(call.get("id")), _name(call.get("name")), canonical(call.get("arguments", {})), [_name(x) for x in after or []]
 
 
+def _bodies(text: str) -> list[str]:
+    """What stands between an opening tag and the next closing one, from left to right: one pass, however many tags stay open."""
+    out, at = [], 0
+    while (start := text.find(_OPEN, at)) >= 0 and (end := text.find(_CLOSE, start + len(_OPEN))) >= 0:
+        out.append(text[start + len(_OPEN) : end])
+        at = end + len(_CLOSE)
+    return out
+
+
 def _events(conv: int | None, turn: int | None, role: str | None, text: str | None) -> Iterator[tuple]:
     text = text or ""
-    found = _CALL.findall(text) if "<tool_call>" in text else []
+    found = _bodies(text)
     for body in found:
         try:
             call_id, name, arguments, after = _call(body)

@@ -102,6 +102,32 @@ def _parts(text: Column, pattern: str, hint: Column) -> Column:
     return F.when(hint, F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("s")))
 
 
+def _pieces(text: Column, pattern: str, hint: Column) -> Column:
+    """array<struct<gap, s>> as of _parts, and a last piece with what lies behind the last match."""
+    return F.when(hint, F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("s")))
+
+
+#: Pieces that may lie within CONTEXT_CHARS of a match: matches have five characters at least.
+_NEAR = CONTEXT_CHARS // 5
+
+
+def _ends(pieces: str) -> Column:
+    """Of a column of _pieces, the characters at either end of each gap that may be context, and the matches."""
+    return F.transform(pieces, lambda x: F.struct(F.left(x["gap"], F.lit(CONTEXT_CHARS)).alias("l"), F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("r"), F.coalesce(x["s"], F.lit("")).alias("s")))
+
+
+def _around(ends: str) -> Column:
+    """array<struct<before, after>>: the CONTEXT_CHARS characters before and after each match, made of the ends of the gaps nearby, so that no text is walked again for each match."""
+    joined = lambda some, one: F.array_join(F.transform(some, one), "")
+
+    def each(x: Column, i: Column) -> Column:
+        before = F.concat(joined(F.slice(ends, F.greatest(i - _NEAR, F.lit(0)) + 1, F.least(i, F.lit(_NEAR))), lambda y: F.concat(y["r"], y["s"])), x["r"])
+        after = joined(F.slice(ends, i + 2, F.lit(_NEAR)), lambda y: F.concat(y["l"], y["s"]))
+        return F.struct(F.right(before, F.lit(CONTEXT_CHARS)).alias("before"), F.left(after, F.lit(CONTEXT_CHARS)).alias("after"))
+
+    return F.transform(ends, each)
+
+
 def _spans(parts: str) -> Column:
     """array<struct<start, end, s>> of a column of _parts, in code points."""
 
@@ -193,9 +219,10 @@ def _vote(text: Column, patterns: tuple[str | None, str | None]) -> Column:
 def candidates(docs: DataFrame, gazetteer: dict[str, tuple[str | None, str | None]] | None = None) -> DataFrame:
     """docs of base_spans with `more`: the candidates (order, kind, start, end, codes) of the method, codes the places of its votes and features among a kind's weights."""
     gazetteer = gazetteer or gazetteers()
-    d = docs.select("*", *(_parts(F.col("text"), p, F.col("text").rlike(hint)).alias(f"m_{k}") for k, (p, hint) in MORE.items()))
-    d = d.select(*docs.columns, *(_spans(f"m_{k}").alias(f"m_{k}") for k in MORE))
-    return d.withColumn("more", F.concat(*(_coded(i, k, gazetteer[k]) for i, k in enumerate(MORE, 1)))).drop(*(f"m_{k}" for k in MORE))
+    d = docs.select("*", *(_pieces(F.col("text"), p, F.col("text").rlike(hint)).alias(f"p_{k}") for k, (p, hint) in MORE.items()))
+    d = d.select("*", *(F.slice(f"p_{k}", 1, F.greatest(F.size(f"p_{k}") - 1, F.lit(0))).alias(f"m_{k}") for k in MORE), *(_ends(f"p_{k}").alias(f"e_{k}") for k in MORE)).drop(*(f"p_{k}" for k in MORE))
+    d = d.select(*docs.columns, *(_spans(f"m_{k}").alias(f"m_{k}") for k in MORE), *(_around(f"e_{k}").alias(f"e_{k}") for k in MORE))
+    return d.withColumn("more", F.concat(*(_coded(i, k, gazetteer[k]) for i, k in enumerate(MORE, 1)))).drop(*(f"{c}_{k}" for k in MORE for c in "me"))
 
 
 def _places(spans: str) -> Column:
@@ -205,10 +232,9 @@ def _places(spans: str) -> Column:
 def _coded(order: int, kind: str, gazetteer: tuple[str | None, str | None]) -> Column:
     """The candidates of a kind with their votes and features."""
 
-    def coded(x: Column) -> Column:
-        s, text = x["s"], F.col("text")
-        before = F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT_CHARS)))
-        after = F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS))
+    def coded(x: Column, i: Column) -> Column:
+        s, around = x["s"], F.get(f"e_{kind}", i)
+        before, after = around["before"], around["after"]
         check = F.when(_iban_check(s), 1).otherwise(2) if kind in CHECKED else F.lit(0)
         votes = [_vote(s, SHAPES[kind]), _vote(s, gazetteer), _vote(before, CONTEXT[kind]), _vote(after, AFTER[kind]), check]
         size, digits = F.length(s), F.length(_digits(s))
@@ -231,12 +257,13 @@ def apart(found: DataFrame) -> DataFrame:
     """(row, order, kind, start, end, codes): the candidates that overlap no base span and no candidate of an earlier kind. found: (row, KINDS, more).
 
     Spans stand in order of their starts; what overlaps from the left is known by the furthest end so far, from the
-    right by the nearest start to come, for each kind: one pass, however many spans a text has.
+    right by the nearest start to come, for each kind: a running value each from one end, however many spans a text has.
     """
     base = F.transform(F.concat(*map(_places, KINDS)), lambda x: F.struct(F.lit(0).alias("order"), F.lit("").alias("kind"), x["start"], x["end"], F.array().cast("array<int>").alias("codes")))
     spans = found.where(F.size("more") > 0).select("row", F.explode(F.concat(base, F.col("more"))).alias("x")).select("row", "x.*")
     at = W.partitionBy("row").orderBy("start", "end", "order")
-    left, right = at.rowsBetween(W.unboundedPreceding, -1), at.rowsBetween(1, W.unboundedFollowing)
+    left = at.rowsBetween(W.unboundedPreceding, -1)
+    right = W.partitionBy("row").orderBy(F.col("start").desc(), F.col("end").desc(), F.col("order").desc()).rowsBetween(W.unboundedPreceding, -1)
     last = [F.max(F.when(F.col("order") == i, F.col("end"))).over(left).alias(f"last{i}") for i in range(len(MORE))]
     soon = [F.min(F.when(F.col("order") == i, F.col("start"))).over(right).alias(f"soon{i}") for i in range(len(MORE))]
     met = reduce(lambda a, b: a | b, ((F.col("order") > i) & (F.coalesce(F.col(f"last{i}") > F.col("start"), F.lit(False)) | F.coalesce(F.col(f"soon{i}") < F.col("end"), F.lit(False))) for i in range(len(MORE))))

@@ -75,3 +75,63 @@ def test_empty(spark):
 @pytest.mark.parametrize(("value", "schema", "wrong"), [(1.0, {"type": "integer"}, []), (True, {"type": "number"}, ["$: not number"]), ([1, "x"], {"type": "array", "items": {"type": "integer"}}, ["$[1]: not integer"]), ("a", {"enum": ["b"]}, ["$: not in enum"]), (None, {"type": "null"}, []), ({}, {"required": ["k"]}, ["$.k: missing"])])
 def test_violations(value, schema, wrong):
     assert chat.violations(value, schema) == wrong
+
+
+def plain_link(events, schemas):
+    """All rows of link, from events as tuples (kind, conv, turn, call_id, name, arguments, after, content)."""
+    calls, rows = {}, []
+    for kind, conv, turn, call_id, name, arguments, after, _ in events:
+        if kind == "call" and conv is not None and call_id is not None:
+            calls.setdefault((conv, call_id), []).append((turn, arguments, name, tuple(after)))
+        elif kind in ("call", "broken"):
+            status = "unanswered" if kind == "call" else "broken"
+            record, wrong = chat.canonical({"text": arguments}), f"$: {status}"
+            if status == "unanswered":
+                args, schema = json.loads(arguments), schemas.get(name)
+                bad = chat.violations(args, schema) if schema else [f"$: unknown tool {name}"]
+                record, wrong = chat.canonical({"arguments": args, "copies": None, "id": call_id, "name": name, "result": None}), "; ".join(bad)
+            rows.append((conv, call_id if kind == "call" else None, turn, None, None, status, not wrong, wrong, record))
+    first = {k: min(v, key=lambda c: (c[0] is not None, c[0] or 0, *c[1:])) for k, v in calls.items()}
+    results = [(conv, call_id, turn, content) for kind, conv, turn, call_id, _, _, _, content in events if kind == "result"]
+    for conv, call_id, turn, content in results:
+        if (conv, call_id) not in first or conv is None or call_id is None:
+            rows.append((conv, call_id, None, None, turn, "orphan", False, "$: orphan", chat.canonical({"id": call_id, "result": json.loads(content)})))
+    for (conv, call_id), (turn, arguments, name, _) in first.items():
+        args, schema = json.loads(arguments), schemas.get(name)
+        bad = chat.violations(args, schema) if schema else [f"$: unknown tool {name}"]
+        answers = [(t, c) for a, b, t, c in results if (a, b) == (conv, call_id)]
+        for t, c in answers or [(None, None)]:
+            record = chat.canonical({"arguments": args, "copies": len(calls[conv, call_id]), "id": call_id, "name": name, "result": None if c is None else json.loads(c)})
+            rows.append((conv, call_id, turn, "round", t, "unanswered" if c is None else "linked", not bad, "; ".join(bad), record))
+    return rows
+
+
+def test_whole_records_against_a_plain_version(spark):
+    r = random.Random(21)
+    schemas = {"f": {"type": "object", "properties": {"n": {"type": "integer", "minimum": 0}}, "required": ["n"], "additionalProperties": False}, "g": {"type": "object"}}
+    events = []
+    for _ in range(400):
+        conv, call_id, turn = r.choice([1, 2, 3, None]), r.choice(["a", "b", "c", "d", "e", None]), r.choice([0, 1, 2, 3, None])
+        kind = r.choice(["call", "call", "result", "broken"])
+        arguments = chat.canonical(r.choice([{"n": 1}, {"n": -1}, {"n": 1, "m": 2}, {}]))
+        events.append((kind, conv, turn, call_id if kind != "broken" else None, r.choice(["f", "g", "h"]) if kind == "call" else None, arguments if kind == "call" else "[" if kind == "broken" else None, r.sample(["a", "b"], 1) if kind == "call" else [], chat.canonical([r.randint(0, 9)]) if kind == "result" else None))
+    got = [(*x[:3], "round" if x["status"] in ("linked", "unanswered") and x["conv_id"] is not None and x["call_id"] is not None else None, *x[4:]) for x in map(tuple_of, chat.link(spark.createDataFrame(events, chat.EVENT), schemas).collect())]
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(got, key=key) == sorted(plain_link(events, schemas), key=key)
+
+
+class tuple_of(tuple):
+    """A row as a tuple that still knows its names."""
+
+    names = ("conv_id", "call_id", "turn", "round", "result_turn", "status", "valid", "errors", "record")
+
+    def __getitem__(self, i):
+        return tuple.__getitem__(self, self.names.index(i) if isinstance(i, str) else i)
+
+
+def test_open_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    assert list(chat._events(1, 0, "assistant", "<tool_call>" * 200_000)) == [("result", 1, 0, "-1", None, None, [], chat.canonical("<tool_call>" * 200_000))]
+    assert chat._bodies("<tool_call>a<tool_call>b</tool_call></tool_call><tool_call>c</tool_call>") == ["a<tool_call>b", "c"] and time.time() - began < 5
