@@ -1,6 +1,7 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-The mix is a row of slots of `block` words. Each source owns as many slots as its target fills, the last one in part.
+The mix is a row of slots of `block` words, in this order: whoever reads a part of it from the start reads every source
+near its share. Each source owns as many slots as its target fills, the last one in part.
 Slot i has the point frac(i * golden ratio), which the cumulative shares of the sources map to a source; a source that
 the points gave more slots than it owns hands the surplus to those that got fewer. The r-th slot of a source takes the
 r-th block of words of that source, whose documents stand in shuffled order and are read at most twice over. Points meet
@@ -25,9 +26,9 @@ _GOLDEN = 0.6180339887498949
 GRID = 4096
 BUCKETS = 4096
 CHUNK = 4096
-#: The most words in a block; smaller inputs have smaller blocks, SLOTS for each source on average.
+#: The most words in a block, and about how many slots smaller inputs have; each source has one at least.
 MOST_BLOCK = 8192
-SLOTS = 4096
+SLOTS = 1 << 16
 
 
 def running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
@@ -97,9 +98,9 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return ranked.where("rank < slots").select("slot", "sid", "rank").union(spare.join(lack, "j").select("slot", "sid", "rank"))
 
 
-def block_words(words: float, sources: int) -> int:
-    """Words in a block: SLOTS blocks for each source on average, at most MOST_BLOCK words."""
-    return int(min(MOST_BLOCK, max(1, SHARE * words // (SLOTS * max(1, sources)))))
+def block_words(words: float) -> int:
+    """Words in a block: SLOTS blocks in all, at most MOST_BLOCK words each, so the number of sources only adds their last slots."""
+    return int(min(MOST_BLOCK, max(1, SHARE * words // SLOTS)))
 
 
 def _same(a: str, b: str) -> Column:
@@ -122,12 +123,11 @@ def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return d.join(buckets, _same("source", "s") & (F.col("bucket") == F.col("b"))).drop("s", "b").withColumn("start", F.col("before") + F.col("within"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """mix, with the row's key `h` besides."""
+def _laid(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows of docs with their place in their source, and the mix: pieces of rows with words in the slots that the schedule gives them (slot null: not taken)."""
     sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _row_key().alias("h")), "sizes")
     targets = source_targets(sized)
-    whole = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    block = block_words(whole, targets.count())
+    block = block_words(sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"])
     targets = cut(owned(targets, block), "targets")
     d = cut(_placed(sized, targets), "placed")
     # readings of a row: its words in the first and in the second pass over the source, as far as the source is taken
@@ -135,27 +135,38 @@ def mixed(docs: DataFrame) -> DataFrame:
     end = F.least(F.col("at") + F.col("size"), F.col("words"))
     first, last = F.floor(F.col("at") / block), F.floor((end - 1) / block)
     pieces = read.withColumn("rank", F.explode(F.when(end > F.col("at"), F.sequence(first, last)).otherwise(F.array(F.lit(None).cast("long")))))
-    part = F.least(end, (F.col("rank") + 1) * block) - F.greatest(F.col("at"), F.col("rank") * block)
-    slots = schedule(targets, block).select(F.col("sid").alias("s"), F.col("rank").alias("k"))
+    begin = F.greatest(F.col("at"), F.col("rank") * block)
+    pieces = pieces.withColumn("offset", begin - F.col("at")).withColumn("part", F.least(end, (F.col("rank") + 1) * block) - begin)
+    slots = schedule(targets, block).select(F.col("sid").alias("s"), F.col("rank").alias("k"), "slot")
+    return d, pieces.join(slots, (F.col("sid") == F.col("s")) & (F.col("rank") == F.col("k")), "left").drop("s", "k")
+
+
+def mix_slots(docs: DataFrame) -> DataFrame:
+    """(slot, source, doc_id, epoch, offset, words): the mix itself. Slot by slot in the order of the schedule, which words of which row stand there: `words` words from word `offset` on, in reading `epoch` of the source. A slot holds one source's words."""
+    return _laid(docs)[1].where("slot is not null").select("slot", "source", "doc_id", "epoch", "offset", F.col("part").alias("words"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """mix, with the row's key `h` and the slots where its readings begin besides."""
+    d, pieces = _laid(docs)
     columns = ("doc_id", "source", "size", "source_size", "target", "h")
-    taken = (
-        pieces.withColumn("part", part).join(slots, (F.col("sid") == F.col("s")) & (F.col("rank") == F.col("k")), "left")
-        .groupBy("sid", "start").agg(*(F.first(c).alias(c) for c in columns), F.sum(F.when(F.col("k").isNotNull(), F.col("part")).otherwise(0)).cast("long").alias("taken"))
-    )
-    empty = d.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    order = ["doc_id", "size", "source_size", "target", "taken", "source", "h"]
+    begin = [F.min(F.when(F.col("epoch") == e, F.col("slot"))).alias(f"slot{e}") for e in range(EPOCHS)]
+    taken = pieces.groupBy("sid", "start").agg(*(F.first(c).alias(c) for c in columns), F.sum(F.when(F.col("slot").isNotNull(), F.col("part")).otherwise(0)).cast("long").alias("taken"), F.min("slot").alias("first_slot"), *begin)
+    none = F.lit(None).cast("long")
+    empty = d.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumns({c: none for c in ("first_slot", *(f"slot{e}" for e in range(EPOCHS)))})
+    order = ["doc_id", "size", "source_size", "target", "taken", "first_slot", "source", "h", *(f"slot{e}" for e in range(EPOCHS))]
     return taken.select(*order).union(empty.select(*order))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): (doc_id, size, source_size, target, taken, source).
+    """One row per row of docs (doc_id, text, source): (doc_id, size, source_size, target, taken, first_slot, source).
 
-    size counts words (null: 0); taken counts the words that the mix takes of this row, repeats included, at most
-    twice its size. The words taken of a source are its target, rounded to a whole word. A null source is a source of
+    size counts words (null: 0); taken counts the words that stand in slots of the schedule, repeats included, at most
+    twice the row's size; first_slot is where the row first comes, null if it doesn't. The words taken of a source are its target, rounded to a whole word. A null source is a source of
     its own. Rows without words take nothing. Rows that are equal throughout are interchangeable. An empty table gives
     no rows. The same rows give the same mix again.
     """
-    return mixed(docs).drop("h")
+    return mixed(docs).drop("h", *(f"slot{e}" for e in range(EPOCHS)))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
@@ -163,10 +174,13 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     A source is taken as a run of its shuffled rows, so rounding touches one row of each source at most. Of rows that
     are equal in doc_id, text and source each comes as often as the one that is taken most; rows without words go; an
-    empty table gives no rows; all columns stay as they are.
+    empty table gives no rows; all columns stay as they are. Rows come, and are written, in the order of the schedule.
     """
-    copies = F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))
-    taken = mixed(docs).where("size > 0").groupBy(F.col("h").alias("taken_h"), F.col("doc_id").alias("taken_id")).agg(F.max(copies).cast("int").alias("copies")).where("copies > 0")
+    copies = F.floor((F.col("taken") * 2 + F.col("size")) / F.greatest(F.col("size") * 2, F.lit(1)))
+    begins = F.slice(F.array_sort(F.array(*(F.coalesce(f"slot{e}", "first_slot") for e in range(EPOCHS)))), F.lit(1), copies.cast("int"))
+    found = mixed(docs).where("size > 0").withColumn("begins", begins).where(F.size("begins") > 0)
+    taken = found.groupBy(F.col("h").alias("taken_h"), F.col("doc_id").alias("taken_id")).agg(F.max_by("begins", F.struct(F.size("begins"), -F.col("first_slot"))).alias("begins"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), _row_key().alias("key"), F.col("doc_id").cast("long").alias("id"))
     joined = keyed.join(taken, (F.col("key") == F.col("taken_h")) & F.col("id").eqNullSafe(F.col("taken_id")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    placed = joined.select("row", F.explode("begins").alias("slot"), "key")
+    return placed.repartitionByRange("slot", "key").sortWithinPartitions("slot", "key").select("row.*")

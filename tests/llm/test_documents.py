@@ -279,6 +279,62 @@ def test_slots_follow_targets(spark):
     assert {k: len(v) for k, v in ranks.items()} == {0: 600, 1: 300, 2: 101, 3: 1} | {5 + i: 1 for i in range(40)}
 
 
+def discrepancy(slots, sizes):
+    """The furthest that any source's words are from its share of a prefix of the mix, in words."""
+    whole, seen, total, worst = sum(sizes.values()), Counter(), 0, 0.0
+    for source, n in slots:
+        seen[source] += n
+        total += n
+        worst = max(worst, *(abs(seen[s] - total * sizes[s] / whole) for s in sizes))
+    return worst
+
+
+def test_every_prefix_of_the_mix_is_near_the_shares(spark, monkeypatch):
+    """The order of the mix comes from the schedule: every beginning of it has each source near its share, which one source after the other has not."""
+    r = random.Random(31)
+    data = [(i, " ".join("w" for _ in range(r.randint(1, 90))), "en", r.choice(["a", "a", "a", "b", "b", "c"]), 1, "c", "c") for i in range(700)]
+    d = frame(spark, data)
+
+    def laid():
+        rows = mixing.mix_slots(d).collect()
+        words, source = Counter(), {}
+        for x in rows:
+            words[x["slot"]] += x["words"]
+            assert source.setdefault(x["slot"], x["source"]) == x["source"]
+        taken = Counter()
+        for s, n in words.items():
+            taken[source[s]] += n
+        return [(source[s], words[s]) for s in sorted(words)], taken, rows
+
+    slots, taken, rows = laid()
+    got = {x["doc_id"]: x for x in mixing.mix(d).collect()}
+    of = {}
+    for x in rows:
+        of.setdefault(x["doc_id"], []).append(x)
+    assert all(sum(y["words"] for y in of.get(i, [])) == x["taken"] and min((y["slot"] for y in of.get(i, [])), default=None) == x["first_slot"] for i, x in got.items())
+    block = mixing.block_words(sum(x["size"] for x in got.values()))
+    good = discrepancy(slots, taken)
+    assert good <= 8 * block
+    ordered = mixing.apply_mix(d).select("doc_id").collect()
+    first = {}
+    for place, x in enumerate(ordered):
+        first.setdefault(x["doc_id"], place)
+    by_slot = sorted((x["first_slot"], i) for i, x in got.items() if i in first)
+    assert [i for _, i in by_slot] == sorted(first, key=lambda i: (got[i]["first_slot"], first[i]))
+
+    def one_after_the_other(targets, block):
+        few = mixing.owned(targets, block).where("slots > 0").orderBy("sid").collect()
+        rows, at = [], 0
+        for x in few:
+            rows += [(at + k, x["sid"], k) for k in range(x["slots"])]
+            at += x["slots"]
+        return spark.createDataFrame(rows, "slot long, sid long, rank long")
+
+    monkeypatch.setattr(mixing, "schedule", one_after_the_other)
+    other, taken, _ = laid()
+    assert other != slots and discrepancy(other, taken) > 20 * good
+
+
 def test_tiny_sources_beside_a_huge_one(spark):
     data = [(i, "w " * 2000, "en", "huge", 1, "c", "c") for i in range(60)] + [(1000 + i, "one two three four five six seven eight", "en", f"t{i}", 1, "c", "c") for i in range(9)]
     taken, target = Counter(), {}
