@@ -319,6 +319,33 @@ def _values(rows: DataFrame) -> DataFrame:
     return rows.select("problem_id", "place", "formulas", "bound").mapInArrow(run, f"problem_id {kind}, place int, value string, dimension array<int>, problem string")
 
 
+def worked(routes: DataFrame) -> DataFrame:
+    """(problem_id, number, symbol, formula, inputs, value, dimension) of each step of routes (problem_id, formulas, bound), inputs as struct(symbol, value, dimension, from_step); what has no value ends a route."""
+    ship(routes.sparkSession)
+    given = pa.list_(pa.struct([("symbol", pa.string()), ("value", pa.string()), ("dimension", pa.list_(pa.int32())), ("from_step", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for problem, texts, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                bound = {k: (Fraction(v["value"]), tuple(v["dimension"] or calculation.NONE)) for k, v in known or ()}
+                made: dict[str, int] = {}
+                for number, text in enumerate(texts, 1):
+                    name, tree = formulas.parse(text)
+                    try:
+                        value, dimension = calculation.value_of(tree, bound)
+                    except calculation.NoValue:
+                        break
+                    inputs = [{"symbol": s, "value": str(bound[s][0]), "dimension": list(bound[s][1]), "from_step": made.get(s)} for s in formulas.symbols(text)[1:]]
+                    bound[name], made[name] = (value, dimension), number
+                    out.append((problem, number, name, text, inputs, str(value), list(dimension)))
+            kinds = [b.schema.field(0).type, pa.int32(), pa.string(), pa.string(), given, pa.string(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["problem_id", "number", "symbol", "formula", "inputs", "value", "dimension"])
+
+    kind = routes.schema["problem_id"].dataType.simpleString()
+    return routes.select("problem_id", "formulas", "bound").mapInArrow(run, f"problem_id {kind}, number int, symbol string, formula string, inputs array<struct<symbol: string, value: string, dimension: array<int>, from_step: int>>, value string, dimension array<int>")
+
+
 def answers(found: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame:
     """(problem_id, symbol, status, value, dimension, tier, steps, n_agreeing, problem) for each problem's target.
 
@@ -365,4 +392,4 @@ def spellings(found: DataFrame, asked: DataFrame) -> DataFrame:
     return others.groupBy("problem_id", "symbol").agg(F.count("*").alias("n"), F.min("spelled").alias("spelled")).where("n = 1").select("problem_id", "symbol", "spelled")
 
 
-__all__ = ["answers", "costs", "forms", "heads", "library", "missing", "plans", "products", "readings", "spelled", "spellings"]
+__all__ = ["answers", "costs", "forms", "heads", "library", "missing", "plans", "products", "readings", "spelled", "spellings", "worked"]
