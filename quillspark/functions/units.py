@@ -13,12 +13,13 @@ DERIVED = {
     "Hz": (0, 0, -1, 0, 0, 0, 0), "N": (1, 1, -2, 0, 0, 0, 0), "Pa": (-1, 1, -2, 0, 0, 0, 0), "J": (2, 1, -2, 0, 0, 0, 0), "W": (2, 1, -3, 0, 0, 0, 0), "C": (0, 0, 1, 1, 0, 0, 0),
     "V": (2, 1, -3, -1, 0, 0, 0), "F": (-2, -1, 4, 2, 0, 0, 0), "Ω": (2, 1, -3, -2, 0, 0, 0), "S": (-2, -1, 3, 2, 0, 0, 0), "Wb": (2, 1, -2, -1, 0, 0, 0), "T": (0, 1, -2, -1, 0, 0, 0), "H": (2, 1, -2, -2, 0, 0, 0),
 }
-PREFIXES = {"p": -12, "n": -9, "μ": -6, "m": -3, "c": -2, "k": 3, "M": 6, "G": 9}
+PREFIXES = {"p": -12, "n": -9, "μ": -6, "µ": -6, "m": -3, "c": -2, "k": 3, "M": 6, "G": 9}
 
 
 def table(spark: SparkSession) -> DataFrame:
     """(symbol, factor decimal, dimension array<int>) of every unit with and without a prefix; grams stand for kilograms with prefixes."""
     dims = {b: tuple(int(i == j) for j in range(7)) for i, b in enumerate(BASE)} | DERIVED
+    dims["\u2126"] = dims["Ω"]  # the sign for ohm has a character of its own besides the letter
     rows = [(s, Decimal(1), list(d)) for s, d in dims.items()] + [("g", Decimal("0.001"), list(dims["kg"]))]
     rows += [(p + s, Decimal(10) ** e, list(d)) for s, d in dims.items() if s not in ("kg", "K") for p, e in PREFIXES.items()]
     rows += [(p + "g", Decimal(10) ** (e - 3), list(dims["kg"])) for p, e in PREFIXES.items() if p != "k"]

@@ -118,7 +118,7 @@ def evaluated(rows: DataFrame) -> DataFrame:
 
 
 def solved(equations: DataFrame, known: DataFrame) -> DataFrame:
-    """(problem_id, symbol, state, value, dimension, n_methods, round) of every symbol of each problem.
+    """(problem_id, symbol, state, value, dimension, n_methods, round, problem) of every symbol of each problem; problem says why an equation that had all it needs gave no value.
 
     equations: (equation_id, target, formula, needs array); known: (problem_id, symbol, value, dimension). AVAILABLE as
     given; DERIVED if some equation has all it needs: all such equations of a round are evaluated and none is
@@ -129,6 +129,7 @@ def solved(equations: DataFrame, known: DataFrame) -> DataFrame:
     now, done = written(given, "known"), 0
     each = equations.select("equation_id", "target", "formula", F.size(F.array_distinct("needs")).alias("n"), F.explode_outer(F.array_distinct("needs")).alias("symbol"))
     problems = written(known.select("problem_id").distinct(), "problems")
+    failed = None
     while True:
         done += 1
         usable = now.where("state in ('AVAILABLE', 'DERIVED')").select("problem_id", "symbol", F.struct("value", "dimension").alias("v"))
@@ -137,7 +138,9 @@ def solved(equations: DataFrame, known: DataFrame) -> DataFrame:
             free = each.where("n = 0 or symbol is null").join(F.broadcast(problems), F.lit(True)).select("problem_id", "equation_id", "target", "formula", "n", F.map_from_entries(F.array().cast("array<struct<symbol:string,v:struct<value:string,dimension:array<int>>>>")).alias("bound"))
             ready = ready.union(free)
         ready = ready.join(now.select("problem_id", F.col("symbol").alias("target")), ["problem_id", "target"], "left_anti")
-        got = evaluated(ready.select("problem_id", "equation_id", "target", "formula", "bound")).where("problem is null")
+        tried = written(evaluated(ready.select("problem_id", "equation_id", "target", "formula", "bound")).select("problem_id", "target", "value", "dimension", "problem"), "tried")
+        got, lost = tried.where("problem is null"), tried.where("problem is not null").select("problem_id", F.col("target").alias("symbol"), "problem")
+        failed = lost if failed is None else failed.union(lost)
         made = got.groupBy("problem_id", F.col("target").alias("symbol")).agg(F.min("value").alias("value"), F.min("dimension").alias("dimension"), (F.countDistinct("value", "dimension") > 1).alias("clash"), F.count("*").alias("n_methods"))
         new = written(made.select("problem_id", "symbol", F.when(~F.col("clash"), F.col("value")).alias("value"), F.when(~F.col("clash"), F.col("dimension")).alias("dimension"), F.when(F.col("clash"), "CONFLICTING").otherwise("DERIVED").alias("state"), "n_methods", F.lit(done).alias("round")), "derived")
         if new.isEmpty():
@@ -147,7 +150,9 @@ def solved(equations: DataFrame, known: DataFrame) -> DataFrame:
     # every problem has a state for every symbol of the equations: a stated set of problems against all symbols
     rest = problems.join(F.broadcast(named), F.lit(True)).join(now.select("problem_id", "symbol"), ["problem_id", "symbol"], "left_anti")
     rest = rest.select("problem_id", "symbol", F.lit(None).cast("string"), F.lit(None).cast("array<int>"), F.when(F.col("defined"), "BLOCKED").otherwise("MISSING"), F.lit(0).cast("long"), F.lit(None).cast("int"))
-    return now.union(rest).select("problem_id", "symbol", "state", "value", "dimension", "n_methods", "round")
+    why = failed.groupBy("problem_id", "symbol").agg(F.min("problem").alias("problem"))
+    found = now.union(rest).join(why, ["problem_id", "symbol"], "left")
+    return found.select("problem_id", "symbol", "state", "value", "dimension", "n_methods", "round", F.when(F.col("state") == "BLOCKED", F.col("problem")).alias("problem"))
 
 
 def symbol_cycles(equations: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ NOUNS = (
 BARE_IS = r"^([A-Z][A-Za-z\-]*(?:\s+[a-z][a-z\-]*){0,3})\s+(?:is|are)\s+(?:the|an?)\s+(?:[a-z\-]+\s+){0,2}?(?:" + "|".join(NOUNS) + r")\b"
 TERM_END = r"\s*(?:,|;|\(|\band\b|\bwhich\b|\bthat\b|\bor\b|\bif\b|\bfor\b|\bwhen\b|\bwith\b)"
 OPENING = r"(?i)^(?:It|This|They|These|(?:A|An|The)\s+[\w \-]{1,40}?)\s+(?:is|are|means|refers to)\b"
-MEASURED_IN = r"(?i)\b(?:is |are )?(?:measured|expressed)\s+in\s+([A-Za-zΩ]+)\s*(?:\(([^)]{1,4})\))?"
-UNIT_OF = r"(?i)\b(?:SI\s+)?units?\s+of\s+([a-z][a-z ]{2,30}?)\s+(?:is|are)\s+(?:the\s+)?([A-Za-zΩ]+)\s*(?:\(([^)]{1,4})\))?"
+MEASURED_IN = r"(?i)\b(?:is |are )?(?:measured|expressed)\s+in\s+([A-Za-zΩΩ]+)\s*(?:\(([^)]{1,4})\))?"
+UNIT_OF = r"(?i)\b(?:SI\s+)?units?\s+of\s+([a-z][a-z ]{2,30}?)\s+(?:is|are)\s+(?:the\s+)?([A-Za-zΩΩ]+)\s*(?:\(([^)]{1,4})\))?"
 NOT_UNITS = ["terms", "the", "a", "an", "form", "this", "which", "its", "either", "both", "such", "units", "per", "general", "polar", "rectangular", "phasor", "time"]
 PROPERTY_OF_SUBJECT = r"^([A-Za-z][A-Za-z \-']{2,40}?)\s+(?:is|are)\s+(?:the|a|an)\s+(?:property|properties|characteristic|characteristics)\b"
 PROPERTY_NAMED = r"(?i)\b(?:the\s+)?(?:property|characteristic)s?\s+of\s+([a-zA-Z][\w \-]{2,40}?)\s+(?:is|are)\b"

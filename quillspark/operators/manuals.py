@@ -78,15 +78,36 @@ def combo(text: Column) -> Column:
     return F.array_join(F.transform(F.split(F.trim(text), r"\s*\+\s*"), one), "+")
 
 
+def sentences(text: Column, excluded: Column) -> Column:
+    """array<struct<start, end>> of the sentences of a text, blanks at either end left out. No sentence crosses an excluded stretch (array<struct<start, end>>) or lies in one."""
+    pieces = F.split(text, SENTENCE_END, -1)
+    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
+    bounds = F.flatten(F.transform(excluded, lambda x: F.array(x["start"], x["end"])))
+    cuts = F.array_sort(F.array_distinct(F.concat(ends, bounds, F.array(F.length(text)))))
+    each = F.transform(F.slice(cuts, 1, F.greatest(F.size(cuts) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("start"), F.get(cuts, i + 1).alias("end")))
+    each = F.filter(each, lambda x: ~F.exists(excluded, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
+    piece = lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"])
+    trimmed = F.transform(each, lambda x: F.struct((x["start"] + F.length(F.regexp_extract(piece(x), r"(?U)^\s*", 0))).alias("start"), (x["end"] - F.length(F.regexp_extract(piece(x), r"(?U)\s*$", 0))).alias("end")))
+    return F.filter(trimmed, lambda x: x["start"] < x["end"])
+
+
 def sentence_items(texts: DataFrame) -> DataFrame:
-    """(document_id, page_number, sentence, kind, statement) of the shortcuts, constraints and file formats that sentences state. texts: (document_id, page_number, text), menu paths left out."""
-    s = texts.select("document_id", "page_number", F.posexplode(F.split("text", SENTENCE_END)).alias("sentence", "s")).withColumn("s", flat(F.col("s"))).where("s <> ''")
-    item = lambda kind, statement: F.struct(F.lit(kind).alias("kind"), statement.alias("statement"))
-    keys = F.transform(F.regexp_extract_all("s", F.lit(SHORTCUT), F.lit(0)), lambda m: item("SHORTCUT", F.concat(F.lit("Press "), combo(m))))
+    """(document_id, page_number, start, end, kind, statement, name, quote) of the shortcuts, constraints and file formats that sentences state.
+
+    texts: (document_id, page_number, text), and if there is one a column `excluded` with the places of menu paths, which
+    no sentence enters. start and end are the sentence's place in the text, quote the sentence. The statement is the
+    sentence, but for a shortcut what to press; the name of a file format lists its endings.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    excluded = F.coalesce("excluded", none) if "excluded" in texts.columns else none
+    s = texts.select("document_id", "page_number", "text", F.explode(sentences(F.coalesce("text", F.lit("")), excluded)).alias("at"))
+    s = s.select("document_id", "page_number", F.col("at.start").alias("start"), F.col("at.end").alias("end"), flat(F.substring(F.col("text"), F.col("at.start") + 1, F.col("at.end") - F.col("at.start"))).alias("s"))
+    item = lambda kind, statement, name: F.struct(F.lit(kind).alias("kind"), statement.alias("statement"), name.alias("name"))
+    keys = F.transform(F.regexp_extract_all("s", F.lit(SHORTCUT), F.lit(0)), lambda m: item("SHORTCUT", F.concat(F.lit("Press "), combo(m)), F.concat(F.lit("Keyboard shortcut "), combo(m))))
     formats = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit(EXTENSION), F.lit(1)), lambda m: F.concat(F.lit("."), F.lower(m)))))
-    one = lambda holds, x: F.when(holds, F.array(x)).otherwise(F.array().cast("array<struct<kind:string,statement:string>>"))
-    found = F.concat(keys, one(F.col("s").rlike(CONSTRAINT), item("CONSTRAINT", F.col("s"))), one((F.size(formats) > 0) & F.col("s").rlike(FORMAT_WORD), item("FILE_FORMAT", F.concat(F.lit("File format "), F.array_join(formats, ", ")))))
-    return s.select("document_id", "page_number", "sentence", F.explode(found).alias("x")).select("document_id", "page_number", "sentence", "x.*")
+    one = lambda holds, x: F.when(holds, F.array(x)).otherwise(F.array().cast("array<struct<kind:string,statement:string,name:string>>"))
+    found = F.concat(keys, one(F.col("s").rlike(CONSTRAINT), item("CONSTRAINT", F.col("s"), F.lit("Constraint"))), one((F.size(formats) > 0) & F.col("s").rlike(FORMAT_WORD), item("FILE_FORMAT", F.col("s"), F.concat(F.lit("File format "), F.array_join(formats, ", ")))))
+    return s.select("document_id", "page_number", "start", "end", F.explode(found).alias("x"), F.col("s").alias("quote")).select("document_id", "page_number", "start", "end", "x.*", "quote")
 
 
 def step_input(step: Column) -> Column:

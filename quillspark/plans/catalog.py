@@ -213,6 +213,19 @@ query("t8_prose_regions", flat=True)(lambda spark, d: S.prose_regions(_pages(spa
 query("t9_sentences", flat=True)(lambda spark, d: S.sentences(S.prose_regions(_pages(spark, d))).select("document_id", "start", "end", "flat"))
 query("t12_masked_pages", flat=True)(lambda spark, d: S.masked(_pages(spark, d)).select("document_id", "expository", "instructional", "question_chars"))
 query("t6_lines", flat=True, sql="select cast(doc_id as varchar) as document_id, count(*) as n_lines, cast(sum(length(l)) as bigint) as n_chars from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) x where l <> '' group by 1")(lambda spark, d: S.lines(_pages(spark, d)).where("stripped <> ''").groupBy("document_id").agg(F.count("*").alias("n_lines"), F.sum(F.length(F.rtrim(F.regexp_replace("raw", "\n$", "")))).alias("n_chars")))
+query("t6_headings", flat=True, sql=(
+    "select p_partkey as page_number, case p_partkey % 4 when 0 then case when p_size % 2 = 0 then 'SECTION' else 'SUBSECTION' end when 1 then 'DEFINITION' when 2 then 'CHAPTER' end as kind, case p_partkey % 4 when 0 then cast(p_size as varchar) || '.3' || case when p_size % 2 = 0 then '' else '.1' end when 1 then cast(p_size as varchar) || '.2' else cast(p_size as varchar) end as label, p_type as title, case p_partkey % 4 when 0 then case when p_size % 2 = 0 then 1 else 2 end when 1 then 4 else 0 end as depth from part where p_partkey % 4 <> 3"))(lambda spark, d: S.headings(_headed(spark, d)).select("page_number", "kind", "label", "title", "depth"))
+
+
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part, whose second line is a numbered, labelled or keyword heading, or none, with the part's type as its title."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    n = F.col("p_size").cast("string")
+    line = F.element_at(F.array(
+        F.concat(n, F.lit(".3"), F.when(F.col("p_size") % 2 == 0, "").otherwise(".1"), F.lit(" "), F.col("p_type")), F.concat(F.lit("Definition "), n, F.lit(".2 "), F.col("p_type")), F.concat(F.lit("Chapter "), n, F.lit(": "), F.col("p_type")), F.concat(F.lit("the size of "), F.col("p_type"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return p.select(F.lit("d").alias("document_id"), F.col("p_partkey").alias("page_number"), F.concat(F.lit("words of "), F.lower("p_name"), F.lit(",\n  "), line, F.lit("\nand more,")).alias("text"))
+
+
 query("e13_candidates", flat=True)(lambda spark, d: X.detect(_pages(spark, d)))
 _NAMES = "select id as concept_id, canonical_name as normalized_alias from kb_knowledge union all select id, split_part(canonical_name, ' ', 1) || ' ' || split_part(canonical_name, ' ', 2) from kb_knowledge union all select id, 'rated ' || regexp_extract(statement, 'rated ([0-9]+)', 1) from kb_knowledge union all select id, 'is rated' from kb_knowledge where knowledge_type = 'RULE'"
 

@@ -77,8 +77,14 @@ query("t21_combos", flat=True, sql="select p_partkey, 'Ctrl+Shift+' || case when
 query("t22_parameters", flat=True, sql="select p_partkey, 'File Name,size' as names, 'Save part ' || cast(p_partkey as varchar) || ' as <size>' as done from part")(
     lambda spark, d: _part(spark, d).select("p_partkey", F.array_join(M.parameters(F.array(F.lit("Save <File  Name> as <size>"), F.lit("Close <file name>"))), ",").alias("names"), M.substituted(F.lit("Save <File  Name> as <size>"), F.create_map(F.lit("file name"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")))).alias("done")))
 query("e14_menu_paths", flat=True, sql="select r_regionkey as page_number, 'Menu ' || cast(r_regionkey as varchar) || '|' || string_agg('Item ' || cast(n_nationkey as varchar), '|' order by n_nationkey) as path from region join nation on n_regionkey = r_regionkey group by r_regionkey")(lambda spark, d: _menus(spark, d))
-query("e15_sentence_items", flat=True, sql="select p_partkey as page_number, unnest(['CONSTRAINT', 'FILE_FORMAT', 'SHORTCUT']) as kind, unnest(['The size must not exceed ' || cast(p_size as varchar) || ' units.', 'File format .csv, .txt', 'Press Ctrl+S']) as statement from part")(
-    lambda spark, d: M.sentence_items(_part(spark, d).select(F.lit("p").alias("document_id"), F.col("p_partkey").alias("page_number"), F.concat(F.lit("Use CTRL + s  to keep it. The size must not\nexceed "), F.col("p_size").cast("string"), F.lit(" units. It saves *.txt and .CSV files.")).alias("text"))).select("page_number", "kind", "statement"))
+_SAID = "The ' || p_type || ' must not' || chr(10) || 'exceed ' || cast(p_size as varchar) || ' units."
+_SAVES = "It saves ' || p_name || ' as *.txt and .CSV files."
+_PRESSED = "' Use CTRL + s  to keep ' || p_brand || '. '"
+_FLAT = _SAID.replace("' || chr(10) || '", " ")
+query("e15_sentence_items", flat=True, sql=(
+    f"select page_number, kind, \"start\", \"start\" + size as \"end\", statement, name from (select p_partkey as page_number, unnest(['SHORTCUT', 'CONSTRAINT', 'FILE_FORMAT']) as kind, unnest([1, 25 + length(p_brand), 26 + length(p_brand) + length('{_SAID}')]) as \"start\", unnest([23 + length(p_brand), length('{_SAID}'), length('{_SAVES}')]) as size,"
+    f" unnest(['Press Ctrl+S', '{_FLAT}', '{_SAVES}']) as statement, unnest(['Keyboard shortcut Ctrl+S', 'Constraint', 'File format .csv, .txt']) as name from part) x"))(
+    lambda spark, d: M.sentence_items(_part(spark, d).select(F.lit("p").alias("document_id"), F.col("p_partkey").alias("page_number"), F.expr(f"concat({_PRESSED.replace(' || ', ', ')}, '{_SAID} {_SAVES}')".replace("' || ", "', ").replace(" || '", ", '").replace("varchar", "string").replace(" || ", ", ")).alias("text"))).select("page_number", "kind", "start", "end", "statement", "name"))
 query("e16_step_inputs", flat=True, sql="select p_partkey, case when p_size % 2 = 0 then lower(p_type) end as input from part")(lambda spark, d: _part(spark, d).select("p_partkey", M.step_input(F.concat(F.when(F.col("p_size") % 2 == 0, " Select the ").otherwise("Look at the "), F.col("p_type"), F.lit("."))).alias("input")))
 
 
@@ -130,7 +136,16 @@ def _solved(spark, d):
 
 _KNOWN_SYMBOLS = "union all select o_orderkey, 'quantity', 'AVAILABLE', null, 0 from orders union all select o_orderkey, 'price', 'AVAILABLE', null, 0 from orders union all select o_orderkey, 'discount', 'AVAILABLE', null, 0 from orders union all select o_orderkey, 'cost', 'MISSING', null, 0 from orders union all select o_orderkey, 'margin', 'BLOCKED', null, 0 from orders union all select o_orderkey, 'a', 'BLOCKED', null, 0 from orders union all select o_orderkey, 'b', 'BLOCKED', null, 0 from orders"
 query("c7_solved_symbols", flat=True, sql=f"select o_orderkey as problem_id, 'gross' as symbol, 'DERIVED' as state, cast((o_orderkey % 7 + 1) * (o_orderkey % 11) as varchar) as value, cast(1 as bigint) as n_methods from orders union all select o_orderkey, 'net', 'DERIVED', case when n % 4 = 0 then cast(n // 4 as varchar) when n % 2 = 0 then cast(n // 2 as varchar) || '/2' else cast(n as varchar) || '/4' end, 2 from (select o_orderkey, 3 * (o_orderkey % 7 + 1) * (o_orderkey % 11) as n from orders) x {_KNOWN_SYMBOLS}")(_solved)
-query("c8_symbol_cycles", flat=True, sql="select unnest(['a', 'b']) as node, 'a' as component from (select min(r_regionkey) from region) x")(lambda spark, d: K.symbol_cycles(_equations(spark)))
+_IN_TEN = "'p' || lpad(cast({} as varchar), 9, '0')"
+query("c8_symbol_cycles", flat=True, sql=f"select {_IN_TEN.format('p_partkey')} as node, {_IN_TEN.format('p_partkey - p_partkey % 10 + case when p_partkey % 2 = 1 then 1 else 2 end')} as component from part where p_partkey % 10 not in (0, 5)")(lambda spark, d: K.symbol_cycles(_thirds(spark, d)))
+
+
+def _thirds(spark, d):
+    """A symbol for each part, which needs the part that three times its last digit names, and one that no part has."""
+    p, name = F.col("p_partkey"), lambda c: F.concat(F.lit("p"), F.lpad(c.cast("string"), 9, "0"))
+    return _part(spark, d).select(p.cast("string").alias("equation_id"), name(p).alias("target"), F.array(name(p - p % 10 + (p * 3) % 10), F.concat(F.lit("q"), p.cast("string"))).alias("needs"))
+
+
 query("c5_coherent_units", flat=True, sql="select p_partkey, case p_size % 3 when 0 then 'V' when 1 then 'm·s^-1' else '' end as unit from part")(lambda spark, d: _part(spark, d).select("p_partkey", K.coherent_unit(F.when(F.col("p_size") % 3 == 0, F.array(*map(F.lit, (2, 1, -3, -1, 0, 0, 0)))).when(F.col("p_size") % 3 == 1, F.array(*map(F.lit, (1, 0, -1, 0, 0, 0, 0)))).otherwise(F.array(*map(F.lit, (0,) * 7)))).alias("unit")))
 _DIVIDED = "value = (a + b) / (a - b)"
 query("c3_exact_values", flat=True, sql="select p_partkey, case when a = b then null when (a + b) % (a - b) = 0 then cast((a + b) // (a - b) as varchar) else cast((a + b) // gcd(a + b, a - b) * sign(a - b) as bigint) || '/' || cast(abs((a - b) // gcd(a + b, a - b)) as bigint) end as value, case when a = b then 'DIVISION_BY_ZERO' end as problem from (select p_partkey, cast(p_size as bigint) as a, cast(p_partkey % 10 as bigint) as b from part) x")(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: First bytes (hexadecimal) and endings of the formats that are read, and those that are refused.
 MAGIC = {"pdf": "255044462D", "png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "tiff": "49492A00", "rtf": "7B5C727466", "zip": "504B0304", "ole": "D0CF11E0A1B11AE1"}
 ENDINGS = {"md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "xhtml": "html", "csv": "csv", "txt": "txt", "text": "txt", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "epub": "epub"}
+#: The member, or the folder of members, that tells what a ZIP file is.
+MEMBERS = {"docx": ("word/document.xml",), "pptx": ("ppt/",), "xlsx": ("xl/",), "epub": ("META-INF/container.xml", "application/epub+zip", ".opf")}
 REFUSED = {"doc": "an old binary format", "xls": "an old binary format", "ppt": "an old binary format", "json": "data, not a document", "xml": "data, not a document"}
 MOST_BYTES = 512 << 20
 
@@ -22,11 +24,12 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def detected(rows: DataFrame) -> DataFrame:
-    """rows with format, file_hash and reason: null for what can be read, else why it is refused."""
+    """rows with format, file_hash and reason: null for what can be read, else why it is refused. A ZIP file is what its members say, whatever its name ends in."""
     head, end = F.hex(F.substring("content", 1, 8)), ending(F.col("path"))
     by_magic = F.coalesce(*(F.when(head.startswith(m), k) for k, m in MAGIC.items()))
     by_end = F.coalesce(*(F.when(end == e, k) for e, k in ENDINGS.items()))
-    kind = F.when(by_magic == "zip", F.when(by_end.isin("docx", "pptx", "xlsx", "epub"), by_end)).when(by_magic == "ole", F.lit(None)).otherwise(F.coalesce(by_magic, by_end))
+    by_member = F.coalesce(*(F.when(F.contains(F.decode("content", "ISO-8859-1"), F.lit(m)), k) for k, names in MEMBERS.items() for m in names))
+    kind = F.when(by_magic == "zip", by_member).when(by_magic == "ole", F.lit(None)).otherwise(F.coalesce(by_magic, by_end))
     refused = F.coalesce(*(F.when(end == e, r) for e, r in REFUSED.items()))
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large").when(refused.isNotNull(), refused).when(kind.isNull(), "unknown format")
     return rows.withColumn("format", kind).withColumn("file_hash", F.sha2("content", 256)).withColumn("reason", reason)
