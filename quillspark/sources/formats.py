@@ -24,12 +24,12 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def detected(rows: DataFrame) -> DataFrame:
-    """rows with format, file_hash and reason: null for what can be read, else why it is refused. A ZIP file is what its members say, whatever its name ends in."""
+    """rows with format, file_hash and reason: null for what can be read, else why it is refused. A ZIP file is what its members say, and what its name says only if they say nothing."""
     head, end = F.hex(F.substring("content", 1, 8)), ending(F.col("path"))
     by_magic = F.coalesce(*(F.when(head.startswith(m), k) for k, m in MAGIC.items()))
     by_end = F.coalesce(*(F.when(end == e, k) for e, k in ENDINGS.items()))
     by_member = F.coalesce(*(F.when(F.contains(F.decode("content", "ISO-8859-1"), F.lit(m)), k) for k, names in MEMBERS.items() for m in names))
-    kind = F.when(by_magic == "zip", by_member).when(by_magic == "ole", F.lit(None)).otherwise(F.coalesce(by_magic, by_end))
+    kind = F.when(by_magic == "zip", F.coalesce(by_member, F.when(by_end.isin(*MEMBERS), by_end))).when(by_magic == "ole", F.lit(None)).otherwise(F.coalesce(by_magic, by_end))
     refused = F.coalesce(*(F.when(end == e, r) for e, r in REFUSED.items()))
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MOST_BYTES, "too large").when(refused.isNotNull(), refused).when(kind.isNull(), "unknown format")
     return rows.withColumn("format", kind).withColumn("file_hash", F.sha2("content", 256)).withColumn("reason", reason)
