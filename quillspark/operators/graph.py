@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions.ids import counter
-from quillspark.storage import written
+from quillspark.storage import forget, written
 
 
 def edges_of(kb: SimpleNamespace, *types: str) -> DataFrame:
@@ -197,15 +197,93 @@ def derivable(edges: DataFrame, available: DataFrame) -> DataFrame:
     return states(edges, available).where("state = 'DERIVED'").select("node")
 
 
-def chains(edges: DataFrame, available: DataFrame, target: str, limit: int = 1000) -> DataFrame:
-    """(path, complete) of the simple chains from an available node to the target, inputs first, in order: the first `limit` of them, and whether these are all."""
-    there = available.select(F.col("node").alias("at")).distinct()
-    level = edges.where(F.col("src") == target).select(F.array(F.col("dst"), F.col("src")).alias("path"), F.col("dst").alias("at"))
-    out = edges.select(F.array("src").alias("path")).limit(0)
+#: Chains that are listed for a target, and the most that are looked at.
+MAX_PATHS, MAX_STATES = 1000, 100_000
+#: Open chains that a round keeps for each chain that may be listed.
+WIDTH = 4
+
+
+def chains_of(edges: DataFrame, available: DataFrame, targets: DataFrame, limit: int = MAX_PATHS, states: int = MAX_STATES) -> DataFrame:
+    """(target, place, path, complete) of the simple chains from available nodes to targets (target), inputs first, by the numbers of their nodes: the first `limit`, and whether these are all.
+
+    A chain goes on through nodes that are available themselves. Only nodes from which an available one can be had are
+    entered, so nearly every open chain ends in a listed one, and a round keeps the first WIDTH * limit open chains of a
+    target. A target whose rounds had to leave some out, or that has looked at `states` chains, is not complete. A graph
+    with however many chains takes as many rounds as its longest chain, each of bounded size.
+    """
+    e = written(edges.select("src", "dst").distinct(), "edges")
+    there = written(available.select(F.col("node").alias("at")).distinct(), "available")
+    useful = reachable(reverse(e), there.select(F.col("at").alias("node"))).select("node").union(there.select("at")).distinct()
+    e = written(e.join(useful.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "useful")
+    number = lambda c: F.struct(counter(c).alias("n"), c.alias("id"))
+    one = targets.select("target").distinct()
+    level = written(one.select("target", F.col("target").alias("at"), F.array(number(F.col("target"))).alias("path")), "open")
+    seen, found, cut = written(one.withColumn("seen", F.lit(0).cast("long")), "seen"), None, one.limit(0)
+    while True:
+        step = level.join(e, F.col("at") == F.col("src")).where(~F.exists("path", lambda x: x["id"] == F.col("dst")))
+        step = step.select("target", F.col("dst").alias("at"), F.concat("path", F.array(number(F.col("dst")))).alias("path"))
+        left = F.least(F.lit(WIDTH * limit), F.lit(states) - F.col("seen"))
+        ranked = step.join(seen, "target").withColumn("k", F.row_number().over(W.partitionBy("target").orderBy("path"))).withColumn("left", left)
+        ranked = written(ranked.where(F.col("k") <= F.greatest(F.col("left"), F.lit(0)) + 1), "ranked")
+        if ranked.isEmpty():
+            break
+        cut = written(cut.union(ranked.where("k > left").select("target")).distinct(), "cut")
+        before, level = level, written(ranked.where("k <= left").select("target", "at", "path"), "open")
+        forget(before)
+        seen = written(seen.join(level.groupBy("target").agg(F.count("*").alias("more")), "target", "left").select("target", (F.col("seen") + F.coalesce("more", F.lit(0).cast("long"))).alias("seen")), "seen")
+        done = level.join(there, "at", "left_semi").select("target", F.reverse("path").alias("path"))
+        both = done if found is None else found.union(done)
+        # more than the limit are never needed: the first ones, and one that says that there are others
+        best = both.withColumn("k", F.row_number().over(W.partitionBy("target").orderBy("path"))).where(F.col("k") <= limit + 1).drop("k")
+        before, found = found, written(best, "found")
+        forget(before)
+        forget(ranked)
+    if found is None:
+        return one.select("target", F.lit(1).cast("long").alias("place"), F.array("target").alias("path"), F.lit(True).alias("complete")).limit(0)
+    per = found.withColumn("place", F.row_number().over(W.partitionBy("target").orderBy("path")).cast("long")).withColumn("n", F.count("*").over(W.partitionBy("target")))
+    per = per.where(F.col("place") <= limit).join(cut.withColumn("cut", F.lit(True)), "target", "left")
+    return per.select("target", "place", F.transform("path", lambda x: x["id"]).alias("path"), ((F.col("n") <= limit) & F.col("cut").isNull()).alias("complete"))
+
+
+def chains(edges: DataFrame, available: DataFrame, target: str, limit: int = MAX_PATHS) -> DataFrame:
+    """(path, complete) of the chains of one target; see chains_of."""
+    one = edges.sparkSession.createDataFrame([(target,)], "target string")
+    return chains_of(edges, available, one, limit).orderBy("place").select("path", "complete")
+
+
+def shared_hierarchy(edges: DataFrame) -> DataFrame:
+    """(root, node, n_paths, least_depth, most_depth) for every node that a root leads to: how many ways lead down to it, and the shortest and longest.
+
+    A part that many parents share is one row for each root, not one for each way. Edges between nodes of one circle are
+    left out (see hierarchy_cycles); roots are parents that no other edge leads to. Ways are counted length by length,
+    so there are as many rounds as the longest way is long and never more rows than roots and nodes.
+    """
+    together = written(components(edges), "components")
+    side = lambda c: together.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    e = written(edges.distinct().join(side("src"), "src").join(side("dst"), "dst").where("src_of <> dst_of").select("src", "dst"), "edges")
+    tops = e.select("src").distinct().join(e.select(F.col("dst").alias("src")), "src", "left_anti").select(F.col("src").alias("root"))
+    level = written(tops.select("root", F.col("root").alias("node"), F.lit(1).cast("decimal(38,0)").alias("n_paths")), "level")
+    out, depth = level.withColumn("depth", F.lit(0)), 0
+    while not level.isEmpty():
+        depth += 1
+        level = written(level.join(e, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.sum("n_paths").cast("decimal(38,0)").alias("n_paths")), "level")
+        out = out.union(level.withColumn("depth", F.lit(depth)))
+    return out.groupBy("root", "node").agg(F.sum("n_paths").cast("decimal(38,0)").alias("n_paths"), F.min("depth").alias("least_depth"), F.max("depth").alias("most_depth"))
+
+
+def hierarchy_cycles(edges: DataFrame) -> DataFrame:
+    """(component, path) of each group of nodes that lead to one another: the shortest way from its smallest node back to itself, the first of these by name."""
+    together = components(edges)
+    side = lambda c: together.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    e = written(edges.distinct().join(side("src"), "src").join(side("dst"), "dst").where("src_of = dst_of").select("src", "dst", F.col("src_of").alias("component")), "edges")
+    first = e.where("src = component")
+    level = written(first.select("component", F.array("src", "dst").alias("path"), F.col("dst").alias("at")), "level")
+    out = None
     while not level.isEmpty():
-        level = written(level, "chains")
-        out = out.union(level.join(there, "at", "left_semi").select("path"))
-        more = level.join(there, "at", "left_anti").join(edges, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        level = more.select(F.concat(F.array("dst"), "path").alias("path"), F.col("dst").alias("at"))
-    n = out.count()
-    return out.orderBy("path").limit(limit).withColumn("complete", F.lit(n <= limit))
+        done = level.where("at = component").groupBy("component").agg(F.min("path").alias("path"))
+        out = done if out is None else out.union(done)
+        still = level.where("at <> component").join(done, "component", "left_anti")
+        # of the ways of a length to a node only the first can be part of the first shortest circle
+        step = still.join(e, [still["component"] == e["component"], F.col("at") == F.col("src")]).where((F.col("dst") == still["component"]) | ~F.array_contains("path", F.col("dst")))
+        level = written(step.select(still["component"], F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")).groupBy("component", "at").agg(F.min("path").alias("path")).select("component", "path", "at"), "level")
+    return edges.select(F.col("src").alias("component"), F.array("src").alias("path")).limit(0) if out is None else out
