@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quillspark.functions.ids import format_id
 from quillspark.functions.text import collapse, label, normalised
 from quillspark.operators.dedup import exact_groups
+from quillspark.operators.lookups import DISCARDING
+from quillspark.operators.structure import masked
 from quillspark.operators.validation import equation_problem, page_glyph_loss
 from quillspark.storage import written
 
@@ -64,8 +66,34 @@ def validated(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, issues
 
 
+def labelled() -> Column:
+    """What a statement is called: the type, a definition's concept, a unit or a property's subject, or an example's own label, and the beginning of the statement (a definition's: the concept)."""
+    cut = lambda prefix, text: F.concat(prefix, F.substring(label("", text), 1, 1 << 16))
+    kind, none = F.col("category"), F.lit("")
+    statement = F.col("norm_text")
+    named = lambda word, c: F.concat(F.lit(f"{word} "), F.coalesce(c, none))
+    prefix = (
+        F.when(kind == "UNIT", named("Unit", F.col("unit"))).when(kind == "PROPERTY", named("Property of", F.coalesce("owner", "subject", "name")))
+        .when(kind == "EXAMPLE", F.coalesce("name", F.lit("Example"))).otherwise(F.initcap(F.lower(kind)))
+    )
+    return cut(prefix, F.when(kind == "DEFINITION", F.coalesce("name", none)).otherwise(statement))
+
+
+def companions(said: DataFrame) -> DataFrame:
+    """(id, kind, knowledge_id, document_id, expression, symbol, name, unit, statement, lifecycle_status): what equations, variables, rules and procedures have besides their statement, one row for each stored one."""
+    kinds = {"EQUATION": "EQN", "VARIABLE": "VAR", "RULE": "RUL", "PROCEDURE": "PRC"}
+    of = F.col("category")
+    c = said.where(of.isin(*kinds)).withColumn("number", F.split_part("id", F.lit("-"), F.lit(2)).cast("long"))
+    prefix = F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), of)
+    name = F.when(of == "VARIABLE", F.col("name")).when(of == "RULE", F.substring(F.coalesce("name", F.lit("Rule")), 1, 200)).when(of == "PROCEDURE", F.coalesce("name", F.lit("Procedure")))
+    only = lambda kind, col: F.when(of == kind, F.col(col))
+    return c.select(F.concat_ws("-", prefix, F.lpad(F.col("number").cast("string"), 8, "0")).alias("id"), of.alias("kind"), F.col("id").alias("knowledge_id"), "document_id", only("EQUATION", "norm_text").alias("expression"), only("VARIABLE", "symbol").alias("symbol"), name.alias("name"), only("VARIABLE", "unit").alias("unit"), F.when(of.isin("RULE", "PROCEDURE"), F.col("norm_text")).alias("statement"), F.lit("ACTIVE").alias("lifecycle_status"))
+
+
 def write(candidates: DataFrame, pages: DataFrame) -> SimpleNamespace:
-    """The tables of one run for each document: concept, alias, knowledge, edge, concept_occurrence, source_occurrence, edge_occurrence, issue, run.
+    """The tables of one run for each document: concept, alias, knowledge, companion, edge, concept_occurrence, source_occurrence, edge_occurrence, issue, run.
+
+    A run is PARTIAL if one of its issues kept something from being stored as it stands, lost glyphs among its claims included.
 
     candidates: what detectors found; pages: (document_id, page_number, text), with text_origin and reader if known.
     Repeated candidates add occurrences; documents without candidates have a run and nothing else.
@@ -94,7 +122,7 @@ def write(candidates: DataFrame, pages: DataFrame) -> SimpleNamespace:
     said = written(said.withColumn("norm", normalised(F.col("norm_text"))), "said")
     items = said.select("id", F.col("category").alias("knowledge_type"), "norm", F.concat_ws(":", "document_id", "page_number", "char_start").alias("location"), F.when(F.col("category") == "DEFINITION", normalised(F.col("name"))).alias("alias"))
     said = written(said.join(exact_groups(items), "id"), "linked")
-    knowledge = said.where("id = canonical_id").select("id", "document_id", F.col("category").alias("knowledge_type"), label("Definition", F.coalesce("name", F.lit(""))).alias("label"), F.col("norm_text").alias("statement"), "certainty", F.lit("ACTIVE").alias("lifecycle_status"))
+    knowledge = said.where("id = canonical_id").select("id", "document_id", F.col("category").alias("knowledge_type"), labelled().alias("label"), F.col("norm_text").alias("statement"), "certainty", F.lit("ACTIVE").alias("lifecycle_status"))
 
     key = lambda col: normalised(F.col(col))
     hold = said.where("category = 'DEFINITION' and name is not null").select(*at, F.lit("DEFINED_BY").alias("relation_type"), key("name").alias("key"), F.col("canonical_id").alias("target"))
@@ -109,12 +137,15 @@ def write(candidates: DataFrame, pages: DataFrame) -> SimpleNamespace:
 
     spot = ("document_id", "page_number", "char_start", "char_end", F.col("method").alias("extraction_method"), "text")
     by_edge = edge.select(F.col("id").alias("relationship_id"), "relation_type", F.col("from_concept_id").alias("source"), F.coalesce("to_concept_id", "to_knowledge_id").alias("target"))
-    runs = pages.select("document_id").distinct().join(issues.groupBy("document_id").agg(F.count("*").alias("n_issues")), "document_id", "left")
+    claims = masked(pages.select("document_id", "page_number", "text")).select("document_id", "page_number", F.col("expository").alias("text"))
+    issues = written(issues.union(page_glyph_loss(claims).select("document_id", "page_number", F.lit("OCR_UNCERTAINTY"), F.concat_ws(": ", "sign", "excerpt"))), "issues")
+    lost = issues.where(F.col("issue_type").isin(*DISCARDING)).groupBy("document_id").agg(F.count("*").alias("n_issues"))
+    runs = pages.select("document_id").distinct().join(lost, "document_id", "left")
     return SimpleNamespace(
         concept=concept.select("id", "document_id", "canonical_name", F.lit("ACTIVE").alias("lifecycle_status")), alias=concept.select(F.col("id").alias("concept_id"), F.col("key").alias("normalized_alias"), F.col("canonical_name").alias("alias"), F.lit("ACTIVE").alias("lifecycle_status")),
         knowledge=knowledge, edge=edge, source_occurrence=said.select(F.col("canonical_id").alias("knowledge_id"), (F.col("id") != F.col("canonical_id")).alias("linked"), "category", *spot),
         concept_occurrence=named.join(ids, ["document_id", "key"]).select("concept_id", *spot).dropDuplicates(["concept_id", "page_number", "char_start"]), edge_occurrence=edges.join(by_edge, ["relation_type", "source", "target"]).select("relationship_id", *spot),
-        issue=issues.union(page_glyph_loss(pages).select("document_id", "page_number", F.lit("OCR_UNCERTAINTY"), F.concat_ws(": ", "sign", "excerpt"))), run=runs.select("document_id", F.when(F.coalesce("n_issues", F.lit(0)) > 0, "PARTIAL").otherwise("COMPLETED").alias("status")),
+        companion=companions(said.where("id = canonical_id")), issue=issues, run=runs.select("document_id", F.when(F.coalesce("n_issues", F.lit(0)) > 0, "PARTIAL").otherwise("COMPLETED").alias("status")),
     )
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from quillspark.adapter import knowledge_base, with_tables
 from quillspark.functions.ids import counter
 from quillspark.operators import classification as K
+from quillspark.operators import graph as G
 from quillspark.operators import solving as S
 from quillspark.operators import verification as V
-from quillspark.plans.catalog import _DENIED, _EVIDENCE, _N, query, simple
+from quillspark.plans.catalog import _DENIED, _DOWN, _EVIDENCE, _N, query, simple
 from quillspark.plans.solving import _THREE, _forms, _problems
 from quillspark.storage import written
 
@@ -87,3 +88,29 @@ _SEEN = f"select subject_id as id from ({_EVIDENCE}) e left join kb_source s on
 simple("vr3_derivation_checks", lambda kb: V.derivations(kb, _derived(kb)).select("answer_id", "status", "detail"), ("edge", "source", "basis", "source_occurrence", "concept_occurrence", "edge_occurrence"), (
     f"select answer_id, case when bad is null and n % 5 <> 0 then 'VERIFIED' else 'FAILED' end as status, case when bad is not null then bad || ': not in scope' when n % 5 = 0 then least_id || ': left out' end as detail from (select {_N.format('e.from_concept_id')} as answer_id, {_N.format('e.from_concept_id')} as n, min(e.id) as least_id, min(case when v.id is null and not ({_N.format('e.from_concept_id')} % 5 = 0 and e.id = f.first_id) then e.id end) as bad from kb_edge e"
     f" join (select from_concept_id, min(id) as first_id from kb_edge where relation_type in ('REQUIRES', 'DEPENDS_ON') and lifecycle_status = 'ACTIVE' and to_concept_id is not null group by 1) f on f.from_concept_id = e.from_concept_id left join ({_SEEN}) v on v.id = e.id where e.relation_type in ('REQUIRES', 'DEPENDS_ON') and e.lifecycle_status = 'ACTIVE' and e.to_concept_id is not null group by 1, 2) x"))
+
+
+# chains to concepts and what parts share
+_SHARED = f"edges as ({_DOWN}), tree as (select src as root, src as node, 0 as depth from (select distinct src from edges where src not in (select dst from edges)) r union all select t.root, e.dst, t.depth + 1 from tree t join edges e on e.src = t.node)"
+
+
+@query("g6_shared_hierarchy", flat=True, sql=f"{with_tables('edge')}, {_SHARED} select root, node, cast(count(*) as bigint) as n_paths, min(depth) as least_depth, max(depth) as most_depth from tree group by 1, 2")
+def _shared(spark, d):
+    found = G.shared_hierarchy(G.hierarchy_edges(knowledge_base(spark, d)))
+    return found.withColumn("n_paths", F.col("n_paths").cast("long"))
+
+
+_NEEDED = "select distinct from_concept_id as src, to_concept_id as dst from kb_edge where lifecycle_status = 'ACTIVE' and to_concept_id is not null and relation_type in ('REQUIRES', 'DEPENDS_ON')"
+_GIVEN = "select id from kb_concept where {0} % 3 = 0 and {0} > 1000".format(_N.format("id"))
+_WAYS = f"ways as (select id as target, id as here, [id] as path from kb_concept where {_N.format('id')} > 1000 and {_N.format('id')} % 2 = 1 union all select w.target, e.dst, list_prepend(e.dst, w.path) from ways w join ({_NEEDED}) e on e.src = w.here where not list_contains(w.path, e.dst))"
+
+
+@query("r6_chains", flat=True, sql=(
+    f"{with_tables('edge', 'concept')}, {_WAYS}, found as (select target, path from ways where len(path) > 1 and here in ({_GIVEN})), counted as (select target, path, row_number() over (partition by target order by list_transform(path, lambda x: {_N.format('x')})) as place, count(*) over (partition by target) as n from found)"
+    f" select target, place, array_to_string(path, ',') as path, n <= {G.MAX_PATHS} as complete from counted where place <= {G.MAX_PATHS}"))
+def _chains(spark, d):
+    kb = knowledge_base(spark, d)
+    given = kb.concept.where((counter("id") % 3 == 0) & (counter("id") > 1000)).select(F.col("id").alias("node"))
+    targets = kb.concept.where((counter("id") > 1000) & (counter("id") % 2 == 1)).select(F.col("id").alias("target"))
+    found = G.chains_of(G.edges_of(kb, "REQUIRES", "DEPENDS_ON"), given, targets)
+    return found.select("target", "place", F.array_join("path", ",").alias("path"), "complete")

@@ -107,6 +107,41 @@ query("v8_run_report", flat=True)(lambda spark, d: W.report(_written(spark, d)))
 query("v10_written_knowledge", flat=True)(lambda spark, d: _written(spark, d).knowledge)
 query("v12_written_edges", flat=True)(lambda spark, d: _written(spark, d).edge)
 
+
+
+def _planted(spark, d):
+    """A page for each part that states its type's definition twice, an equation, a variable, a property, a rule that parts of its size share, and a relation to the next part; every fifth equation is broken and every seventh relation has no end."""
+    p = _part(spark, d)
+    n, key = F.col("p_partkey").cast("string"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
+    one = lambda at, category, **more: F.struct(F.lit(at).alias("char_start"), F.lit(at + 5).alias("char_end"), F.lit(category).alias("category"), *(more.get(c, F.lit(None)).cast("string").alias(c) for c in X.FIELDS), F.lit(False).alias("numeric"), F.lit(category == "PROPERTY").alias("weak"))
+    said = F.concat(key, F.lit(" is a  "), F.col("p_type"))
+    rows = F.array(
+        one(0, "CONCEPT", name=key), one(0, "DEFINITION", name=key, statement=said), one(10, "DEFINITION", name=F.upper(key), statement=F.upper(said)),
+        one(20, "EQUATION", statement=F.concat(F.lit("V"), n, F.when(F.col("p_partkey") % 5 == 0, " = (I").otherwise(" = I * R"))), one(30, "VARIABLE", symbol=F.concat(F.lit("V"), n), name=key, unit=F.lit("V"), statement=F.concat(F.lit("where V"), n, F.lit(" is it"))),
+        one(40, "PROPERTY", owner=key, subject=key, statement=F.concat(F.lit("the size of "), key)), one(50, "RULE", statement=F.concat(F.lit("size "), F.col("p_size").cast("string"), F.lit(" must not change"))), one(60, "RELATIONSHIP", subject=key, object=F.when(F.col("p_partkey") % 7 == 0, "nothing").otherwise(key), relation_type=F.lit("USES")),
+    )
+    doc = F.concat(F.lit("DOC-"), F.lpad(n, 8, "0"))
+    c = p.select(doc.alias("document_id"), F.lit(1).alias("page_number"), F.explode(rows).alias("r")).select("document_id", "page_number", "r.char_start", "r.char_end", "r.category", F.coalesce("r.statement", "r.name", F.lit("t")).alias("text"), *(f"r.{x}" for x in (*X.FIELDS, "numeric", "weak")))
+    return W.write(c, p.select(doc.alias("document_id"), F.lit(1).alias("page_number"), F.lit("text").alias("text")))
+
+
+_OF = "cast(p_partkey as varchar)"
+_KNOWN_PARTS = (
+    f"select 'DEFINITION' as knowledge_type, 'Definition: Part ' || {_OF} as label, 'Part ' || {_OF} || ' is a ' || p_type as statement, 'REPORTED_BY_SOURCE' as certainty, null as kind, null as symbol from part"
+    f" union all select 'EQUATION', 'Equation: V' || {_OF} || ' = I * R', 'V' || {_OF} || ' = I * R', 'UNCERTAIN', 'EQUATION', null from part where p_partkey % 5 <> 0"
+    f" union all select 'VARIABLE', 'Variable: where V' || {_OF} || ' is it', 'where V' || {_OF} || ' is it', 'REPORTED_BY_SOURCE', 'VARIABLE', 'V' || {_OF} from part"
+    f" union all select 'PROPERTY', 'Property of Part ' || {_OF} || ': the size of Part ' || {_OF}, 'the size of Part ' || {_OF}, 'UNCERTAIN', null, null from part"
+    " union all select distinct 'RULE', 'Rule: size ' || cast(p_size as varchar) || ' must not change', 'size ' || cast(p_size as varchar) || ' must not change', 'REPORTED_BY_SOURCE', 'RULE', null from part"
+)
+query("v10_planted_knowledge", flat=True, sql=_KNOWN_PARTS)(lambda spark, d: (lambda t: t.knowledge.join(t.companion.select(F.col("knowledge_id").alias("id"), "kind", "symbol"), "id", "left").select("knowledge_type", "label", "statement", "certainty", "kind", "symbol"))(_planted(spark, d)))
+query("v8_planted_report", flat=True, sql=(
+    "select 'DOC-' || lpad(cast(p_partkey as varchar), 8, '0') as document_id, c.category, cast(case c.category when 'RULE' then case when first then 1 else 0 end else 1 end as bigint) as n_stored, cast(case c.category when 'DEFINITION' then 1 when 'RULE' then case when first then 0 else 1 end else 0 end as bigint) as n_linked, case when p_partkey % 5 = 0 or p_partkey % 7 = 0 then 'PARTIAL' else 'COMPLETED' end as status"
+    " from (select *, p_partkey = min(p_partkey) over (partition by p_size) as first from part) p cross join (values ('DEFINITION'), ('EQUATION'), ('VARIABLE'), ('PROPERTY'), ('RULE')) c(category) where not (c.category = 'EQUATION' and p_partkey % 5 = 0)"))(
+    lambda spark, d: (lambda t: W.report(t).join(t.run, "document_id"))(_planted(spark, d)))
+query("v12_planted_edges", flat=True, sql=(
+    f"select 'DEFINED_BY' as relation_type, 'Part ' || {_OF} as name, cast(2 as bigint) as n from part union all select 'HAS_PROPERTY', 'Part ' || {_OF}, 1 from part union all select 'USES', 'Part ' || {_OF}, 1 from part where p_partkey % 7 <> 0"))(
+    lambda spark, d: (lambda t: t.edge.join(t.concept.select(F.col("id").alias("from_concept_id"), F.col("canonical_name").alias("name")), "from_concept_id").join(t.edge_occurrence.groupBy(F.col("relationship_id").alias("id")).agg(F.count("*").alias("n")), "id").select("relation_type", "name", "n"))(_planted(spark, d)))
+
 # derivations
 _K_ROWS = f"select subject_id, sum(case when v = 'IN_SCOPE' then 1 else 0 end) as seen, sum(case when v = 'OUT_OF_SCOPE' then 1 else 0 end) as out from (select e.subject_id, case when {_DENIED} then 'NOT_AUTHORIZED' when s.source_category not in ('USER_PROVIDED_SOURCE', 'LOCAL_SOURCE') then 'OUT_OF_SCOPE' else 'IN_SCOPE' end as v from ({_EVIDENCE}) e left join kb_source s on s.id = e.source_id where e.subject_kind = 'KNOWLEDGE') x group by 1"
 simple("r2_availability", lambda kb: R.availability(kb, own_books=True), (*_OCC, "source", "knowledge"), f"select k.id, case when r.seen is null then 'NO_EVIDENCE' when r.seen = 0 and r.out > 0 then 'OUT_OF_SCOPE' when r.seen = 0 then 'NOT_AUTHORIZED' when k.lifecycle_status in ('ARCHIVED', 'DELETED') then 'EXCLUDED_BY_LIFECYCLE' else 'AVAILABLE' end as status, cast(coalesce(r.seen, 0) as bigint) as n_in_scope from kb_knowledge k left join ({_K_ROWS}) r on r.subject_id = k.id")

@@ -108,7 +108,11 @@ def test_writer(spark):
     per = t.edge_occurrence.join(t.edge.select(F.col("id").alias("relationship_id"), "relation_type"), "relationship_id").groupBy("relation_type").count().collect()
     assert {x["relation_type"]: x["count"] for x in per} == {"DEFINED_BY": 2, "DEPENDS_ON": 2, "HAS_PROPERTY": 1}
     assert sorted((x["document_id"], x["issue_type"]) for x in t.issue.collect()) == [("d1", "BROKEN_RELATIONSHIP"), ("d1", "INVALID_EQUATION_STRUCTURE"), ("d2", "OCR_UNCERTAINTY")]
-    assert {x["document_id"]: x["status"] for x in t.run.collect()} == {"d1": "PARTIAL", "d2": "COMPLETED", "d3": "COMPLETED"}
+    assert {x["document_id"]: x["status"] for x in t.run.collect()} == {"d1": "PARTIAL", "d2": "PARTIAL", "d3": "COMPLETED"}
+    names = {(x["knowledge_type"], x["label"]) for x in t.knowledge.collect()}
+    assert names == {("DEFINITION", "Definition: Voltage"), ("EQUATION", "Equation: V = I R"), ("PROPERTY", "Property of Voltage: p"), ("RULE", "Rule: Never do")} or names == {("DEFINITION", "Definition: Voltage"), ("EQUATION", "Equation: V = I R"), ("PROPERTY", "Property of Voltage: p"), ("RULE", "Rule: never do")}
+    own = {x["kind"]: (x["expression"], x["name"], x["statement"] is not None) for x in t.companion.collect()}
+    assert own == {"EQUATION": ("V = I R", None, False), "RULE": (None, "Rule", True)} and t.companion.join(t.knowledge.select(F.col("id").alias("knowledge_id")), "knowledge_id").count() == 2
     assert {x["extraction_method"] for x in t.source_occurrence.where("category = 'PROPERTY'").collect()} == {"deterministic/PropertyCandidate@v6+weak"}
     assert sum(x["n_linked"] for x in writer.report(t).collect()) == 2
     empty = writer.write(spark.createDataFrame([], fields), pages.limit(0))
