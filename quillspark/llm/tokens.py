@@ -39,6 +39,13 @@ HINT_EVERY = 256
 SCHEMA = "part int, block int, first long, width int, n_docs int, universe long, low_bits int, low binary, high binary, hints binary, n_null int, first_id long, last_id long, id_bits int, id_low binary, id_high binary, id_hints binary, ids binary"
 
 
+def _short(places: np.ndarray) -> bytes:
+    """Places in a code as 32-bit numbers: a code has about three bits for each number of a block."""
+    if len(places) and int(places[-1]) >= 1 << 32:
+        raise OverflowError("a block of more than a billion documents")
+    return places.astype("<u4").tobytes()
+
+
 class EliasFano:
     """An ascending sequence of n numbers up to `universe`, in about 2 + log2(universe / n) bits each.
 
@@ -60,7 +67,7 @@ class EliasFano:
         unary = np.zeros((universe >> bits) + n + 1 if n else 0, dtype=np.uint8)
         unary[places] = 1
         pack = lambda x: np.packbits(x, bitorder="little").tobytes()
-        return cls(n, universe, bits, pack(lows.ravel()), pack(unary), places[::HINT_EVERY].astype("<u8").tobytes())
+        return cls(n, universe, bits, pack(lows.ravel()), pack(unary), _short(places[::HINT_EVERY]))
 
     def some(self, first: int, last: int) -> np.ndarray:
         """Numbers `first` to `last` - 1, by select: only the stretches of the code that hold them are read."""
@@ -68,7 +75,7 @@ class EliasFano:
             raise IndexError(last)
         if first == last:
             return np.zeros(0, np.uint64)
-        hints = np.frombuffer(self.hints, "<u8")
+        hints = np.frombuffer(self.hints, "<u4")
         start = int(hints[first // HINT_EVERY])
         end = int(hints[h]) if (h := -(-last // HINT_EVERY)) < len(hints) else 8 * len(self.high)
         bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[start // 8 : -(-end // 8)], bitorder="little")[start % 8 :]
