@@ -112,14 +112,6 @@ def unknown_symbols(equations: DataFrame, introduced: DataFrame) -> DataFrame:
     return left.withColumn("r", F.row_number().over(w)).where("r = 1").select("document_id", "page_number", "symbol")
 
 
-def steps(statement: Column) -> Column:
-    """The steps of a stored procedure, split at slashes and step marks, collapsed."""
-    return F.filter(F.transform(F.split(statement, r"\s+/\s+|(?i)\bstep\s*\d{1,2}\s*[:.]?"), lambda s: F.trim(F.regexp_replace(s, r"(?U)\s+", " "))), lambda s: s != "")
-
-
-def parameters(text: Column) -> Column:
-    """The names in angle brackets, each once, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"<([a-z][a-z0-9_ -]*)>"), F.lit(1)))
 
 
 def quantity(piece: Column) -> Column:

@@ -45,12 +45,21 @@ RULES = (
     ("query.equations_short", 3, r"^(?:the )?(?:equations|formulas|formulae) (?:for|of|about) (.+)$", "QUERY_CONCEPT", "equations"),
     ("query.variables", 3, r"^(?:what|which) (?:variables|quantities|symbols) (?:are )?(?:associated with|used in|in|of|appear in|involved in|related to|belong to) (.+)$", "QUERY_CONCEPT", "variables"),
     ("query.summarize", 3, r"^(?:summari[sz]e|give (?:me )?(?:a )?summary of|give (?:me )?an overview of|(?:an )?overview of) (?:what (?:my|the) (?:documents|books) say about )?(.+)$", "QUERY_CONCEPT", "summary"),
-    ("query.what_is", 1, r"^(?:what is|what's|what are|define|explain|describe|tell me about) (.+)$", "QUERY_CONCEPT", "definition"),
+    ("query.state_law", 3, r"^(?:state (?=.)|what (?:does|do) (?=.+ state$))(.+?)(?: state)?$", "QUERY_CONCEPT", "explanation"),
+    ("query.properties", 3, r"^(?:what|which) (?:are )?(?:the )?(?:properties|characteristics|features) (?:of|does|do) (.+?)(?: have)?(?: (?:are|is|do|does)(?: \w+)*?)?(?: (?:stated|given|listed|found|mentioned|there))?$", "QUERY_CONCEPT", "properties"),
+    ("query.compare_definitions", 3, r"^compare (?:the )?(?:(?:two|different|all|various|both) )?definitions(?: (?:of|for) (.+?))?(?: (?:found|given|stated) in (?:my|the) (?:books|documents|notes))?$", "QUERY_CONCEPT", "definitions_all"),
+    ("query.where_stated", 3, r"^where (?:is|are|was|were) (.+?) (?:stated|defined|mentioned|described|given|explained|found|discussed)(?:\s+(?:in|from) (?:my|the) (?:documents|books|notes|files|sources))?$", "QUERY_CONCEPT", "locations"),
+    ("web.search", 3, r"^(?:search|look) (?:on )?(?:the )?(?:web|internet|online) for (.+)$", "WEB_SEARCH", None),
+    ("image.request", 3, r"^(?:draw|generate|create|make|produce) (?:a |an |the )?(?:diagram|image|picture|drawing|schematic|block diagram)(?: of| for| showing)? (.+)$", "IMAGE_REQUEST", None),
+    ("calculate.what_is_given", 3, r"^what (?:is|are|would be|will be) (.+?),? (?:given|if|when|where|with|for|at|assuming|knowing) (?=.*[0-9]).+$", "CALCULATE", "value"),
+    ("calculate.given_first", 3, r"^(?:if|given|with|when|assuming|knowing|suppose|for)\s+(?=.*[0-9].*,).+?,\s*(?:then\s+)?(?:calculate|compute|find|determine|evaluate|work out|what is|what's|what are|what would be)\s+(.+)$", "CALCULATE", "value"),
+    ("query.what_is", 1, r"^(?:what is|what's|what are|define|tell me about) (.+)$", "QUERY_CONCEPT", "definition"),
+    ("query.what_is", 1, r"^(?:explain|describe) (.+)$", "QUERY_CONCEPT", "explanation"),
 )
 POLITE = r"(?i)^(?:(?:please|kindly|can you|could you|would you)[,\s]+)+"
 SCOPES = {"AUTHORIZED": r"(?i)\s+(?:in|from|using) (?:all )?authori[sz]ed sources$", "MY_BOOKS": r"(?i)\s+(?:in|from|using|according to|based on|with) my (?:books|documents|notes|files|sources)$"}
-CLAUSES = r"(?i)\s*(?:,\s*)?\b(?:and then|and|then)\s+(?=(?:calculate|compute|evaluate|determine|search|find|what|where)\b)"
-REFERENCES = r"(?i)^(?:it|this|that|these|those|them|(?:the|that|this|my) (?:project|file|document|folder|answer|result))$"
+CLAUSES = r"(?i)\s*(?:,\s*)?\b(?:and then|and|then)\s+(?=(?:open|launch|start|run|close|quit|exit|calculate|compute|evaluate|determine|type|press|take|capture|create|make|copy|move|rename|delete|remove|save|search|find|what|where|draw|generate|paste|look)\b)"
+REFERENCES = r"(?i)^(?:it|this|that|these|those|them|(?:the|that|this|my) (?:project|file|document|folder|application|app|program|answer|result|window)|(?:this|that|these|those) \w+|(?:the )?(?:section|chapter|topic|page|paragraph|passage|part|document|book|text|above|following|previous|same|figure|table|example|subject|one))$"
 #: The groups that each part of an answer shows, the most lines, mentions and sources of a part.
 PARTS = {
     "definition": ("Definitions",), "explanation": ("Definitions", "Properties", "Relationships", "Dependencies"), "equations": ("Equations", "Variables"), "variables": ("Variables", "Equations"), "properties": ("Properties",), "applications": ("Applications",), "definitions_all": ("Definitions",),
@@ -60,7 +69,7 @@ MOST_LINES, MOST_MENTIONS, MOST_SOURCES = 5000, 8, 5
 
 
 def cleaned(text: Column) -> Column:
-    """A request as the rules read it: blanks collapsed, politeness and final punctuation gone, the words as they are."""
+    """A request for the rules: one blank between words, no opening courtesy, no mark at the end. No word is changed."""
     flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.trim(F.regexp_replace(F.regexp_replace(flat, POLITE, ""), r"(?i)(?:\s+please)?[.!?]+$", ""))
 

@@ -73,9 +73,9 @@ query("t19_step_checks", flat=True, sql="select p_partkey, case when p_size % 3
     lambda spark, d: _part(spark, d).select("p_partkey", M.step_problem(F.concat(F.lit("Open "), F.col("p_type"), F.lit(" / Save it")), F.when(F.col("p_size") % 3 == 1, F.lit("Open and save it")).otherwise(F.concat(F.lit("Step 1: Open "), F.col("p_type"), F.lit("\n Step 2. Save "), F.when(F.col("p_size") % 3 == 0, "them").otherwise("it")))).alias("problem")))
 query("t20_menu_elements", flat=True, sql="select p_partkey, case when p_size % 2 = 0 then 'File|Save as...|Size ' || cast(p_size as varchar) end as path from part")(
     lambda spark, d: _part(spark, d).select("p_partkey", F.when(M.menu_elements(F.concat(F.when(F.col("p_size") % 2 == 0, "File -> Save as... → Size ").otherwise("File -> save it now -> Size "), F.col("p_size").cast("string"))).isNotNull(), F.array_join(M.menu_elements(F.concat(F.lit("File -> Save as... → Size "), F.col("p_size").cast("string"))), "|")).alias("path")))
-query("t21_combos", flat=True, sql="select p_partkey, 'Ctrl+Shift+' || case when p_size % 2 = 0 then 'F' || cast(p_size % 12 + 1 as varchar) else 'PageUp' end as combo from part")(lambda spark, d: _part(spark, d).select("p_partkey", M.combo(F.concat(F.lit(" control + shift+ "), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("f"), (F.col("p_size") % 12 + 1).cast("string"))).otherwise("pgup"))).alias("combo")))
-query("t22_parameters", flat=True, sql="select p_partkey, 'File Name,size' as names, 'Save part ' || cast(p_partkey as varchar) || ' as <size>' as done from part")(
-    lambda spark, d: _part(spark, d).select("p_partkey", F.array_join(M.parameters(F.array(F.lit("Save <File  Name> as <size>"), F.lit("Close <file name>"))), ",").alias("names"), M.substituted(F.lit("Save <File  Name> as <size>"), F.create_map(F.lit("file name"), F.concat(F.lit("part "), F.col("p_partkey").cast("string")))).alias("done")))
+query("t21_combos", flat=True, sql="select p_partkey, 'Ctrl+Shift+' || case when p_size % 2 = 0 then 'F' || cast(p_size % 12 + 1 as varchar) else upper(left(p_name, 1)) end as combo from part")(lambda spark, d: _part(spark, d).select("p_partkey", M.combo(F.concat(F.lit(" control + shift+ "), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("f"), (F.col("p_size") % 12 + 1).cast("string"))).otherwise(F.lower(F.left("p_name", F.lit(1)))))).alias("combo")))
+query("t22_parameters", flat=True, sql="select p_partkey, p_name || ',size' as names, 'Save ' || p_brand || ' as <size>' as done from part")(
+    lambda spark, d: _part(spark, d).select("p_partkey", F.array_join(M.parameters(F.array(F.concat(F.lit("Save <"), F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit("> as <size>")), F.concat(F.lit("Close <"), F.upper("p_name"), F.lit(">")))), ",").alias("names"), M.substituted(F.concat(F.lit("Save <"), F.initcap("p_name"), F.lit("> as <size>")), F.create_map(F.lower("p_name"), F.col("p_brand"))).alias("done")))
 query("e14_menu_paths", flat=True, sql="select r_regionkey as page_number, 'Menu ' || cast(r_regionkey as varchar) || '|' || string_agg('Item ' || cast(n_nationkey as varchar), '|' order by n_nationkey) as path from region join nation on n_regionkey = r_regionkey group by r_regionkey")(lambda spark, d: _menus(spark, d))
 _SAID = "The ' || p_type || ' must not' || chr(10) || 'exceed ' || cast(p_size as varchar) || ' units."
 _SAVES = "It saves ' || p_name || ' as *.txt and .CSV files."
@@ -181,7 +181,9 @@ def _thirds(spark, d):
     return _part(spark, d).select(p.cast("string").alias("equation_id"), name(p).alias("target"), F.array(name(p - p % 10 + (p * 3) % 10), F.concat(F.lit("q"), p.cast("string"))).alias("needs"))
 
 
-query("c5_coherent_units", flat=True, sql="select p_partkey, case p_size % 3 when 0 then 'V' when 1 then 'm·s^-1' else '' end as unit from part")(lambda spark, d: _part(spark, d).select("p_partkey", K.coherent_unit(F.when(F.col("p_size") % 3 == 0, F.array(*map(F.lit, (2, 1, -3, -1, 0, 0, 0)))).when(F.col("p_size") % 3 == 1, F.array(*map(F.lit, (1, 0, -1, 0, 0, 0, 0)))).otherwise(F.array(*map(F.lit, (0,) * 7)))).alias("unit")))
+_POWER = "case when {e} = 0 then '' when {e} = 1 then '{u}' else '{u}^' || cast({e} as varchar) end"
+query("c5_coherent_units", flat=True, sql=f"select p_partkey, case when a = 0 and b = -1 then 'Hz' when a <> 0 and b <> 0 then {_POWER.format(e='a', u='m')} || '·' || {_POWER.format(e='b', u='s')} else {_POWER.format(e='a', u='m')} || {_POWER.format(e='b', u='s')} end as unit from (select p_partkey, p_size % 5 - 2 as a, p_partkey % 5 - 2 as b from part) x")(
+    lambda spark, d: _part(spark, d).select("p_partkey", K.coherent_unit(F.array((F.col("p_size") % 5 - 2).cast("int"), F.lit(0), (F.col("p_partkey") % 5 - 2).cast("int"), *map(F.lit, (0, 0, 0, 0)))).alias("unit")))
 _DIVIDED = "value = (a + b) / (a - b)"
 query("c3_exact_values", flat=True, sql="select p_partkey, case when a = b then null when (a + b) % (a - b) = 0 then cast((a + b) // (a - b) as varchar) else cast((a + b) // gcd(a + b, a - b) * sign(a - b) as bigint) || '/' || cast(abs((a - b) // gcd(a + b, a - b)) as bigint) end as value, case when a = b then 'DIVISION_BY_ZERO' end as problem from (select p_partkey, cast(p_size as bigint) as a, cast(p_partkey % 10 as bigint) as b from part) x")(
     lambda spark, d: K.evaluated(_part(spark, d).select("p_partkey", F.lit(_DIVIDED).alias("formula"), F.create_map(F.lit("a"), _fraction(F.col("p_size")), F.lit("b"), _fraction(F.col("p_partkey") % 10)).alias("bound"))).select("p_partkey", "value", "problem"))
@@ -208,17 +210,26 @@ query("d10_unrecorded_pairs", flat=True)(lambda spark, d: (lambda kb: D.unrecord
 # requests in words
 
 
+_ASKS = (  # text before and after the target, intent, rule, part
+    ("Please,  what is the ", "?", "QUERY_CONCEPT", "query.what_is", "definition"), ("What does ", " require?", "REASON", "reason.requires", "dependencies"), ("search my books for ", "", "KEYWORD_SEARCH", "query.keyword", None), ("State ", ".", "QUERY_CONCEPT", "query.state_law", "explanation"),
+    ("which properties does ", " have?", "QUERY_CONCEPT", "query.properties", "properties"), ("Compare the two definitions of ", " given in my books", "QUERY_CONCEPT", "query.compare_definitions", "definitions_all"), ("where was ", " mentioned in my notes?", "QUERY_CONCEPT", "query.where_stated", "locations"),
+    ("Explain the ", "!", "QUERY_CONCEPT", "query.what_is", "explanation"), ("draw a diagram of ", "", "IMAGE_REQUEST", "image.request", None), ("If the load is 5 ohms, what is ", "?", "CALCULATE", "calculate.given_first", "value"),
+)
+
+
 def _requests(spark, d):
-    p, t = _part(spark, d), F.col("p_type")
-    text = F.element_at(F.array(F.concat(F.lit("Please,  what is the "), t, F.lit("?")), F.concat(F.lit("What does "), t, F.lit(" require in my books?")), F.concat(F.lit("search my books for "), t), F.concat(F.lit("sing of "), t), F.concat(F.lit("what are the prerequisites of "), t, F.lit(" and then find everything about "), t)), (F.col("p_size") % 5 + 1).cast("int"))
+    """Requests about each part's type and name; every twelfth is nothing that a rule knows, and every twelfth one asks twice."""
+    p, t = _part(spark, d), F.concat_ws(" ", "p_type", "p_name")
+    single = [F.concat(F.lit(before), t, F.lit(after)) for before, after, *_ in _ASKS]
+    text = F.element_at(F.array(*single, F.concat(F.lit("sing of "), t), F.concat(F.lit("what are the prerequisites of "), t, F.lit(" and then find everything about "), t)), (F.col("p_partkey") % 12 + 1).cast("int"))
     return p.select(F.col("p_partkey").alias("request_id"), text.alias("text"))
 
 
-_ASKED = "select p_partkey as request_id, {c} as clause, '{i}' as intent, '{r}' as rule, '{s}' as status, p_type as target, {o} as scope from part where p_size % 5 = {k}"
+_ASKED = "select p_partkey as request_id, {c} as clause, '{i}' as intent, '{r}' as rule, 'INTERPRETED' as status, p_type || ' ' || p_name as target, cast(null as varchar) as scope, {p} as part from part where p_partkey % 12 = {k}"
 query("n1_interpreted", flat=True, sql=" union all ".join([
-    _ASKED.format(c=0, i="QUERY_CONCEPT", r="query.what_is", s="INTERPRETED", o="null", k=0), _ASKED.format(c=0, i="REASON", r="reason.requires", s="INTERPRETED", o="null", k=1), _ASKED.format(c=0, i="KEYWORD_SEARCH", r="query.keyword", s="INTERPRETED", o="null", k=2),
-    "select p_partkey, 0, null, '', 'UNRECOGNIZED', null, null from part where p_size % 5 = 3", _ASKED.format(c=0, i="QUERY_CONCEPT", r="query.prerequisites", s="INTERPRETED", o="null", k=4), _ASKED.format(c=1, i="QUERY_CONCEPT", r="query.everything", s="INTERPRETED", o="null", k=4)]))(
-    lambda spark, d: Q.interpreted(_requests(spark, d).withColumn("text", F.regexp_replace("text", " in my books\\?$", "?"))).select("request_id", "clause", "intent", "rule", "status", "target", "scope"))
+    *(_ASKED.format(c=0, i=i, r=r, p="null" if p is None else f"'{p}'", k=k) for k, (_, _, i, r, p) in enumerate(_ASKS)), "select p_partkey, 0, null, '', 'UNRECOGNIZED', null, null, null from part where p_partkey % 12 = 10",
+    _ASKED.format(c=0, i="QUERY_CONCEPT", r="query.prerequisites", p="'prerequisites'", k=11), _ASKED.format(c=1, i="QUERY_CONCEPT", r="query.everything", p="'everything'", k=11)]))(
+    lambda spark, d: Q.interpreted(_requests(spark, d)).select("request_id", "clause", "intent", "rule", "status", "target", "scope", "part"))
 query("n3_scopes", flat=True, sql="select p_partkey as request_id, case p_size % 3 when 0 then 'MY_BOOKS' when 1 then 'AUTHORIZED' end as scope, p_type as target from part")(
     lambda spark, d: Q.interpreted(_part(spark, d).select(F.col("p_partkey").alias("request_id"), F.concat(F.lit("Explain the "), F.col("p_type"), F.when(F.col("p_size") % 3 == 0, " according to my books").when(F.col("p_size") % 3 == 1, " from authorised sources").otherwise(""), F.lit(" please.")).alias("text"))).select("request_id", "scope", "target"))
 
