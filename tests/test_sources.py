@@ -101,8 +101,8 @@ def test_answer_columns(spark):
     }
     got = {x["t"]: x["p"] for x in spark.createDataFrame([(t,) for t in cases], "t string").select("t", answers.equation_problem(F.col("t")).alias("p")).collect()}
     assert got == cases
-    r = spark.createDataFrame([("Open A / Press <key> / Save  <file name> as <key>", "the voltage is 10 volts")], "s string, q string").select(manuals.stored_steps(F.col("s")).alias("s"), manuals.parameters(F.array("s")).alias("p"), answers.quantity(F.col("q")).alias("q")).first()
-    assert r["s"] == ["Open A", "Press <key>", "Save <file name> as <key>"] and r["p"] == ["key", "file name"] and tuple(r["q"]) == ("voltage", "10", "volts")
+    r = spark.createDataFrame([("Open A / Press <key> / Save  <file name> as <key>", "the voltage is 10 volts")], "s string, q string").select(manuals.stored_steps(F.col("s")).alias("steps"), manuals.parameters(F.array("s")).alias("p"), answers.quantity(F.col("q")).alias("q")).first()
+    assert r["steps"] == ["Open A", "Press <key>", "Save <file name> as <key>"] and r["p"] == ["key", "file name"] and tuple(r["q"]) == ("voltage", "10", "volts")
     c = spark.createDataFrame([("d", "A", "b"), ("d", "A", "z"), ("e", "A", "B")], "document_id string, subject string, object string")
     k = spark.createDataFrame([("d", "a"), ("d", "B"), ("d", "b")], "document_id string, name string")
     assert {(x["document_id"], x["object"]): x["broken"] for x in answers.endpoints_known(c, k).collect()} == {("d", "b"): False, ("d", "z"): True, ("e", "B"): True}
