@@ -21,20 +21,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.llm import bpe, wordtable
 from quillspark.llm.common import resident, ship
 
 #: Ids after which a block is closed; a longer document has a block of its own.
 BLOCK_IDS = 1 << 19
-#: Pieces of text whose ids a worker keeps, the first that it meets; later ones are encoded each time.
+#: Words whose ids a worker keeps, the first that it meets; later ones are encoded each time.
 CACHE = 1_000_000
 END_ID = 0
 #: Texts that a worker encodes together.
-TOGETHER = 64
+TOGETHER = 512
 HINT_EVERY = 256
 SCHEMA = "part int, block int, first long, width int, n_docs int, universe long, low_bits int, low binary, high binary, hints binary, n_null int, first_id long, last_id long, id_bits int, id_low binary, id_high binary, id_hints binary, ids binary"
 
@@ -102,17 +104,13 @@ class EliasFano:
 class Encoder:
     """Ids of whole texts by the tokenizers library, as bytes.
 
-    The file's pre-tokenizer never joins what a space or line end separates from a preceding character, so a text in
-    which these are the only white space is the sum of its pieces (white space and the run after it), and the ids of a
-    piece can be kept. Any other text is encoded in one piece. Pieces are named by keys: a word stands for itself after
-    one space, a line end and a word for themselves, anything else stands after AS_IS.
+    Texts are cut into words where the file's pre-tokenizer always divides them (see bpe.words), so the ids of a text are
+    those of its words. The distinct words of some texts are looked up among those that the worker has kept, new ones
+    are encoded, and the words' ids are put together by their places.
     """
 
-    PIECE = re.compile(r"\n(?=[^ \n])|[ \n]*[^ \n]+|[ \n]+")
-    AS_IS = "\x02"
-    #: White space other than space and line end, what engines disagree on, AS_IS, and the start of a special token.
-    OTHER = (*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff\x02", *map(chr, range(0x2000, 0x200E)), "<|")
-    UNEVEN = ("  ", " \n", "\n ", "\n\n")
+    #: Characters that no words are encoded beside: white space, what engines disagree on, and the start of a special token.
+    ODD = re.compile("[\\t\\n\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]|<\\||^  |^ *$")
 
     def __init__(self, path: str):
         import os
@@ -121,76 +119,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.model._resize_cache(0)  # pieces are kept here, so the library's own cache is never hit
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.line_end = self._library("\n")
-        self.marks = {x: self._library(x) for x in ".,"}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.kept: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=f"<u{self.width}").tobytes()
 
-    def _library(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _keys(self, text: str) -> list[str]:
-        if text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in self.UNEVEN):
-            keys = text.replace("\n", " \n").split(" ")
-            keys[0] = self.AS_IS + keys[0]
-            return keys
-        return [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in " \n" else self.AS_IS + p for p in self.PIECE.findall(text)]
-
-    def _ids(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of the pieces, as of one text with a line end after each; a piece that holds line ends or is all blank is encoded by itself."""
-        pieces = [k[1:] if k[0] == self.AS_IS else " " + k for k in keys]
-        plain = [i for i, p in enumerate(pieces) if "\n" not in p and p.strip()]
-        out = {k: self._library(p) for k, p in zip(keys, pieces, strict=True) if "\n" in p or not p.strip()}
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in plain])], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-            ends = [*np.flatnonzero(ids == np.frombuffer(self.line_end, ids.dtype)[0]).tolist(), len(ids)]
-            if len(ends) != len(plain):  # the tokenizer joined or split a line end: each piece by itself
-                return out | {keys[i]: self._library(pieces[i]) for i in plain}
-            raw, w = ids.tobytes(), self.width
-            out |= {keys[i]: raw[a * w : b * w] for i, a, b in zip(plain, [0, *(e + 1 for e in ends)], ends, strict=False)}
-        return out
-
-    def _learn(self, keys: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces; they are kept while there is room. A mark after a letter is a token of its own, and so is a single line end, so only what remains is encoded."""
-        parts = {}
-        for k in keys:
-            mark = k[-1] if k[-1] in self.marks and k[-2:-1].isascii() and k[-2:-1].isalpha() else ""
-            body = k[:-1] if mark else k
-            parts[k] = (self.AS_IS + body[1:], mark, True) if body[0] == "\n" else (body, mark, False)
-        need = {p[0] for p in parts.values()}
-        known = {k: y for k in need if (y := self.kept.get(k)) is not None}
-        known |= self._ids([k for k in need if k not in known])
-        known |= {k: (self.line_end if line else b"") + known[body] + (self.marks[mark] if mark else b"") for k, (body, mark, line) in parts.items()}
-        if len(self.kept) < CACHE:
-            self.kept |= known
-        return known
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text with the end id."""
-        end, get = self._bytes([END_ID]), self.kept.get
-        out: list[bytes] = [b""] * len(texts)
-        later: list[tuple[int, list[str], list[bytes | None]]] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if any(x in text for x in self.OTHER):
-                out[i] = self._library(text)
-                continue
-            keys = self._keys(text)
-            found = list(map(get, keys))
-            try:
-                out[i] = b"".join(found)
-            except TypeError:  # a piece is new
-                later.append((i, keys, found))
-        if later:
-            learnt = self._learn({k for _, keys, found in later for k, y in zip(keys, found, strict=True) if y is None})
-            for i, keys, found in later:
-                out[i] = b"".join([learnt[k] if y is None else y for k, y in zip(keys, found, strict=True)])
-        return [raw + end for raw in out]
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of words: of plain ones as of one text with a line end after each, of others one by one."""
+        odd = [self.ODD.search(w) is not None for w in words]
+        plain = [w for w, o in zip(words, odd, strict=True) if not o]
+        found: list[bytes] = []
+        if plain and len(self.line_end) == 1:
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            ends = [*np.flatnonzero(ids == self.line_end[0]).tolist(), len(ids)]
+            if len(ends) == len(plain):
+                raw, w = ids.tobytes(), self.width
+                found = [raw[a * w : b * w] for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
+        if len(found) != len(plain):  # the tokenizer joined or split a line end
+            found = [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)]
+        others = iter([self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast([w for w, o in zip(words, odd, strict=True) if o], add_special_tokens=False)])
+        own = iter(found)
+        return [next(others) if o else next(own) for o in odd]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text with the end id; a null text is empty."""
+        words, sizes = wordtable.found(pc.fill_null(texts, ""), bpe.words)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        ids = list(map(self.kept.get, distinct))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            names = [distinct[i] for i in new]
+            learnt = self._new(names)
+            for i, x in zip(new, learnt, strict=True):
+                ids[i] = x
+            if len(self.kept) < CACHE:
+                self.kept.update(zip(names, learnt, strict=True))
+        placed = pa.array(ids, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(placed.buffers()[1], np.int64)[placed.offset : placed.offset + len(placed) + 1] if len(placed) else np.zeros(1, np.int64)
+        raw, end = memoryview(placed.buffers()[2] or b"") if len(placed) else b"", self._bytes([END_ID])
+        at = ends[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        return [bytes(raw[a:b]) + end for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def encoder_of(path: str) -> Encoder:
@@ -213,8 +186,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Encode (doc_id, text) and write the file set to a new folder `path`, in ascending doc_id order (null first, ties by a hash of the text).
 
     Null and empty texts give the end id alone; repeated rows are written as often as they come; an empty table writes
-    a file set without blocks. Pieces of texts whose ids can't be told apart are
-    encoded one by one, texts with other white space whole. Partitions are ranges of doc_id, so none depends on the number of documents of a source.
+    a file set without blocks. Partitions are ranges of doc_id, so none depends on the number of documents of a source.
     """
     ship(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tie"))
@@ -226,7 +198,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         for b in batches:
             for at in range(0, b.num_rows, TOGETHER):
                 few = b.slice(at, TOGETHER)
-                for doc_id, raw in zip(few.column(0).to_pylist(), encoder.encode(few.column(1).to_pylist()), strict=True):
+                for doc_id, raw in zip(few.column(0).to_pylist(), encoder.encode(few.column(1)), strict=True):
                     ids.append(raw)
                     doc_ids.append(doc_id)
                     size += len(raw) // encoder.width

@@ -69,7 +69,7 @@ def unpack_words(packed: list[bytes]) -> tuple[pa.Array, list[int]]:
 Split = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
 
-def _words(texts: pa.Array, split: Split) -> tuple[pa.Array, np.ndarray]:
+def found(texts: pa.Array, split: Split) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, and how many each text has. Words are views of the texts' bytes."""
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
@@ -142,7 +142,7 @@ def blocks(rows: DataFrame, split: Split, parts: str = "held sent counts") -> Da
             realms = b.column(1).dictionary_encode(null_encoding="encode")
             for code, realm in enumerate(realms.dictionary.to_pylist()):
                 few = b.filter(pc.equal(realms.indices, code)) if len(realms.dictionary) > 1 else b
-                words, sizes = _words(pc.fill_null(few.column(2), ""), split)
+                words, sizes = found(pc.fill_null(few.column(2), ""), split)
                 ids, all_sizes, all_words = held.setdefault(realm, ([], [], []))
                 ids.append(few.column(0))
                 all_sizes.append(sizes)
