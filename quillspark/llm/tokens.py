@@ -36,7 +36,7 @@ BLOCK_IDS = 1 << 19
 CACHE = 1_000_000
 END_ID = 0
 #: Texts that a worker encodes together.
-TOGETHER = 512
+TOGETHER = 1024
 HINT_EVERY = 256
 SCHEMA = "part int, block int, first long, width int, n_docs int, universe long, low_bits int, low binary, high binary, hints binary, n_null int, first_id long, last_id long, id_bits int, id_low binary, id_high binary, id_hints binary, ids binary"
 
