@@ -258,21 +258,19 @@ def plans(found: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame:
     """(problem_id, place, steps): the KEEP best plans that give each problem's target (problem_id, symbol) from what it knows (problem_id, symbol); found: see forms.
 
     A plan's steps are in the order in which they can be applied, at most MAX_DEPTH deep; no quantity is found twice in
-    it, and no statement is used twice. Only quantities that lie behind the target within that depth, and can be had at
-    all, are looked at. The KEEP best plans of each quantity grow by one level a round.
+    it, and no statement is used twice. Only quantities that lie behind the target within that depth are looked at, never
+    all that a problem could reach. The KEEP best plans of each quantity grow by one level a round.
     """
     kind = "array<" + _STEP + ">"
-    cost = written(costs(found, known), "reachable")
     step = F.struct("equation_id", "statement", "output", "inputs", "formula", "rearranged", "stated").alias("step")
     each = written(found.select("output", step), "forms")
-    # backwards from the target: what it may need, with what could be had anyhow
-    wanted = written(targets.select("problem_id", "symbol").distinct().join(cost.select("problem_id", "symbol"), ["problem_id", "symbol"], "left_semi"), "wanted")
+    # backwards from the target: what it may need, as deep as plans go
+    wanted = written(targets.select("problem_id", "symbol").distinct(), "wanted")
     given = written(known.select("problem_id", "symbol").distinct(), "given")
     front, needed, used = wanted, wanted, None
     for _ in range(MAX_DEPTH):
         ways = front.join(given, ["problem_id", "symbol"], "left_anti").join(each, F.col("symbol") == F.col("output")).select("problem_id", "step")
-        inputs = ways.select("problem_id", "step", F.explode("step.inputs").alias("symbol"), F.size("step.inputs").alias("n")).join(cost.select("problem_id", "symbol"), ["problem_id", "symbol"])
-        ways = written(inputs.groupBy("problem_id", "step", "n").agg(F.collect_set("symbol").alias("s")).where("size(s) = n").select("problem_id", "step"), "ways")
+        ways = written(ways, "ways")
         used = ways if used is None else used.union(ways)
         front = written(ways.select("problem_id", F.explode("step.inputs").alias("symbol")).distinct().join(needed, ["problem_id", "symbol"], "left_anti"), "front")
         if front.isEmpty():
