@@ -37,7 +37,9 @@ _WAYS = 3
 def heads(equations: DataFrame) -> DataFrame:
     """(atom): the quantities that stand alone on the left of an equation (expression)."""
     left = F.trim(F.split_part("plain_text", F.lit("="), F.lit(1)))
-    return notation.plain(equations.select("expression"), "expression").where("plain_text is not null").select(left.alias("atom")).where(notation.is_symbol(F.col("atom"))).distinct()
+    # written, or the filters would work out the plain text again wherever they use it
+    texts = written(notation.plain(equations.select("expression").repartition("expression"), "expression"), "plain")
+    return texts.where("plain_text is not null").select(left.alias("atom")).where(notation.is_symbol(F.col("atom"))).distinct()
 
 
 def products(runs: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -49,7 +51,8 @@ def products(runs: DataFrame, atoms: DataFrame) -> DataFrame:
     n = F.length("run")
     at = runs.select("run", F.explode(F.sequence(F.lit(1), n)).alias("start"))
     cut = at.select("run", "start", F.explode(F.sequence(F.lit(1), F.least(n - F.col("start") + 1, F.lit(max(1, longest))))).alias("n"))
-    cut = cut.withColumn("atom", F.expr("substring(run, start, n)")).where("atom <> run").join(atoms, "atom")
+    # merged, since Spark takes the stretches for as few as the runs and would broadcast them
+    cut = cut.withColumn("atom", F.expr("substring(run, start, n)")).where("atom <> run").join(atoms.hint("merge"), "atom")
     steps = cut.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("start", F.col("n").alias("n"), "atom")), asc=False).alias("steps"))
 
     def back(ways: Column, step: Column) -> Column:
@@ -74,7 +77,7 @@ def readings(equations: DataFrame, atoms: DataFrame) -> DataFrame:
     is becomes a product only if atoms (atom) make it in one way. A unit after a result goes. `notes` says what was done.
     """
     atoms = written(atoms.where("atom is not null").distinct(), "atoms")
-    texts = written(notation.plain(equations.select("equation_id", "expression"), "expression"), "plain")
+    texts = written(notation.plain(equations.select("equation_id", "expression").repartition("equation_id"), "expression"), "plain")
     parts = F.transform(F.split("plain_text", "="), lambda p: F.trim(p))
     sides = texts.where("plain_text is not null").select("equation_id", parts.alias("parts"))
     empty = sides.where(F.exists("parts", lambda p: p == "")).select("equation_id")
