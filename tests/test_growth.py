@@ -2,7 +2,7 @@
 
 from quillspark import session
 from quillspark.adapter import knowledge_base
-from quillspark.operators import solving
+from quillspark.operators import classification, dedup, mentions, solving
 
 SF, LIMIT = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
 
@@ -34,3 +34,31 @@ def test_heads_work_out_each_text_once(spark):
     found = solving.heads(kb)
     assert [x["atom"] for x in found.collect()] == ["S1"]
     assert "frac" not in plan_of(found)
+
+
+def test_spans_carry_no_lists_of_concepts(spark):
+    known = mentions.name_sizes(spark.createDataFrame([("C1", "red box"), ("C2", "red box"), ("C2", "Red-box"), ("C1", "box")], "concept_id string, normalized_alias string"))
+    assert {tuple(x) for x in known.select("name", "n_words", "n_concepts").collect()} == {("red box", 2, 2), ("box", 1, 1)}
+    found = mentions.spans(spark.createDataFrame([("t", "o", "a red box in a box")], "text_id string, own string, text string"), known)
+    assert not any("array" in kind for _, kind in found.dtypes)
+    assert {(x["name"], x["start_word"]) for x in found.collect()} == {("red box", 2), ("box", 6)}
+
+
+def test_places_of_characters_are_not_broadcast(spark):
+    texts = spark.createDataFrame([("t", "o", "a red box")], "text_id string, own string, text string")
+    known = classification.name_table(spark.createDataFrame([("C1", "red box")], "concept_id string, normalized_alias string"))
+    found = classification.located(texts, known)
+    assert "SortMergeJoin" in plan_of(found)
+    assert [(x["name"], x["raw_start"], x["outcome"]) for x in found.collect()] == [("red box", 2, "MENTION")]
+
+
+def test_pairs_are_compared_by_numbers_read_once(spark):
+    norms = ["it is 5 by a", "it is 6 by a", "it is 5.0 by a", "it is # by a", "it is 5, by a", "it is 7, by a", "it is 5 by b", "it is " + "9" * 60 + " by a"]
+    rows = spark.createDataFrame([(f"K-{i:08d}", "RULE", n, "x") for i, n in enumerate(norms)], "id string, knowledge_type string, norm string, name string")
+    pairs = [(a, b) for a in range(len(norms)) for b in range(a + 1, len(norms))]
+    one = spark.createDataFrame([(a, b, norms[a], norms[b]) for a, b in pairs], "i int, j int, a string, b string")
+    want = {(f"K-{x['i']:08d}", f"K-{x['j']:08d}") for x in one.where(dedup.contradicts(one["a"], one["b"])).collect()}
+    found = dedup.contradictions(rows, "name")
+    assert "split" not in plan_of(found)
+    assert {tuple(x) for x in found.collect()} == want and len(want) == 3
+    assert {(x["canonical_id"], x["other_id"]) for x in dedup.compared(rows, "name").where("outcome = 'CONTRADICTORY'").collect()} == want
