@@ -88,7 +88,8 @@ def located(texts: DataFrame, known: DataFrame) -> DataFrame:
         return F.when(clash, a).otherwise(F.concat(a, F.array(x)))
 
     chosen = per.select("text_id", "own", F.explode(F.aggregate("m", F.slice("m", 1, 0), choose)).alias("x")).select("text_id", "own", "x.name", "x.concepts", "x.start", "x.end")
-    d = chosen.join(t.select("text_id", "text", "begins", "ends"), "text_id")
+    # merged, since the places of a text's characters take far more than the text that Spark measures
+    d = chosen.join(t.select("text_id", "text", "begins", "ends").hint("merge"), "text_id")
     d = d.withColumn("_a", F.get("begins", F.col("start"))).withColumn("_b", F.get("ends", F.col("end") - 1))
     d = d.withColumn("_raw", F.substring(F.col("text"), F.col("_a") + 1, F.col("_b") - F.col("_a")))
     proved = F.coalesce(normalised(F.col("_raw")) == F.col("name"), F.lit(False))
