@@ -223,7 +223,10 @@ def derivations(kb: Base, steps: DataFrame, own_books: bool = False) -> DataFram
         F.when(F.col("stored").isNull(), "not stored").when(F.col("lifecycle_status") != "ACTIVE", "not active").when(~F.col("relation_type").isin(*REQUIREMENTS), "no requirement")
         .when(~F.coalesce(joins, F.lit(False)), "joins something else").when(F.col("seen").isNull(), "not in scope")
     )
-    bad = c.withColumn("why", why).where("why is not null").groupBy(*key).agg(F.min(F.struct("id", "why")).alias("bad"))
+    # several edges may bear one number: the one that fits best is the cited one
+    stage = F.array_position(F.array(*map(F.lit, ("not stored", "not active", "no requirement", "joins something else", "not in scope"))), F.col("why"))
+    per = c.withColumn("why", why).groupBy(*key, "id").agg(F.count_if(F.col("why").isNull()).alias("n_right"), F.max_by("why", stage).alias("why"))
+    bad = per.where("n_right = 0").groupBy(*key).agg(F.min(F.struct("id", "why")).alias("bad"))
     now = kb.edge.where(F.col("relation_type").isin(*REQUIREMENTS) & (F.col("lifecycle_status") == "ACTIVE") & F.col("to_concept_id").isNotNull()).select(F.col("from_concept_id").alias("concept_id"), "id")
     missing = steps.select(*key).join(now, "concept_id").join(cited.select("answer_id", "number", "id"), ["answer_id", "number", "id"], "left_anti").groupBy(*key).agg(F.min("id").alias("left_out"))
     d = steps.select(*key).join(bad, key, "left").join(missing, key, "left")

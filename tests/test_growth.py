@@ -1,8 +1,12 @@
 """What must not grow with the tables: what the driver collects for joins, and work done twice."""
 
+from types import SimpleNamespace
+
 from quillspark import session
 from quillspark.adapter import knowledge_base
-from quillspark.operators import classification, dedup, mentions, solving
+from quillspark.operators import classification, dedup, mentions, solving, verification
+from quillspark.plans import lookups  # noqa: F401, queries register on import
+from quillspark.plans.catalog import QUERIES
 
 SF, LIMIT = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
 
@@ -62,3 +66,18 @@ def test_pairs_are_compared_by_numbers_read_once(spark):
     assert "split" not in plan_of(found)
     assert {tuple(x) for x in found.collect()} == want and len(want) == 3
     assert {(x["canonical_id"], x["other_id"]) for x in dedup.compared(rows, "name").where("outcome = 'CONTRADICTORY'").collect()} == want
+
+
+def test_citations_of_a_number_that_two_edges_bear(spark):
+    kb = knowledge_base(spark, SF)
+    own = kb.edge.where("relation_type = 'REQUIRES' and lifecycle_status = 'ACTIVE'").join(kb.edge_occurrence.join(kb.source.where("authorization = 'AUTHORIZED' and source_category <> 'UNAUTHORIZED_SOURCE'").selectExpr("id as source_id"), "source_id").selectExpr("relationship_id as id"), "id", "left_semi").orderBy("id").limit(1)
+    other = own.selectExpr("id", "'DEFINED_BY' as relation_type", "origin", "lifecycle_status", "'CPT-00001000' as from_concept_id", "cast(null as string) as to_concept_id", "'K-00000001' as to_knowledge_id")
+    both = SimpleNamespace(**vars(kb) | {"edge": own.unionByName(other)})
+    steps = own.selectExpr("1L as answer_id", "1 as number", "from_concept_id as concept_id", "array(to_concept_id) as requirements", "array(id) as relationships")
+    assert [(x["status"], x["detail"]) for x in verification.derivations(both, steps).collect()] == [("VERIFIED", None)]
+
+
+def test_lines_of_a_number_that_two_edges_bear_keep_their_order(spark):
+    """Two edges of the smallest table bear the number REL-00000007: lines that lead to a statement come first."""
+    found = QUERIES["an1_answers"](spark, SF).where("request_id = 2 and item_id = 'REL-00000007'").orderBy("line")
+    assert [x["text"] for x in found.collect()] == ["APPLIES_TO: NATION_6", "PARENT_OF: NATION_6"]
