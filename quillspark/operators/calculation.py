@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import formulas
 from quillspark.functions.units import BASE, DERIVED
 from quillspark.operators.graph import components
-from quillspark.session import ship
+from quillspark.session import ship, small_broadcasts
 from quillspark.storage import written
 
 #: What keeps an expression from having a value; the most bits of a result.
@@ -92,26 +92,41 @@ def value_of(tree: ast.expr, bound: dict[str, tuple[Fraction, tuple[int, ...]]])
     return out, d
 
 
+def _tuples(bound: pa.MapArray) -> list[tuple]:
+    """For each row its (symbol, value, dimension), column by column; nothing for a null."""
+    offsets, at = bound.offsets.to_pylist(), bound.offsets[0].as_py()
+    n = offsets[-1] - at
+    items = bound.items.slice(at, n)
+    dimensions = [None if d is None else tuple(d) for d in items.field("dimension").to_pylist()] if items.field("dimension").null_count < n else [None] * n
+    flat = list(zip(bound.keys.slice(at, n).to_pylist(), items.field("value").to_pylist(), dimensions, strict=True))
+    return [tuple(flat[x - at : y - at]) for x, y in zip(offsets, offsets[1:], strict=False)]
+
+
 def evaluated(rows: DataFrame) -> DataFrame:
     """rows (key, formula, bound: map of symbol to struct(value, dimension)) with `value`, `dimension` and `problem`, one of PROBLEMS or why the formula can't be read."""
     ship(rows.sparkSession)
     columns = [c for c in rows.columns if c not in ("formula", "bound")]
 
+    def one(formula: str | None, bound: tuple) -> tuple[str | None, list[int] | None, str | None]:
+        try:
+            given = {k: (Fraction(v), d or NONE) for k, v, d in bound}
+            v, d = value_of(formulas.parse(formula or "")[1], given)
+            return str(v), list(d), None
+        except NoValue as e:
+            return None, None, str(e)
+        except (formulas.FormulaError, ValueError, ZeroDivisionError) as e:
+            return None, None, f"not read: {e}"[:80]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values, dims, problems = [], [], []
-            for r in b.select(["formula", "bound"]).to_pylist():
-                try:
-                    given = {k: (Fraction(v["value"]), tuple(v["dimension"] or NONE)) for k, v in r["bound"] or ()}
-                    v, d = value_of(formulas.parse(r["formula"] or "")[1], given)
-                    found = str(v), list(d), None
-                except NoValue as e:
-                    found = None, None, str(e)
-                except (formulas.FormulaError, ValueError, ZeroDivisionError) as e:
-                    found = None, None, f"not read: {e}"[:80]
-                for out, x in zip((values, dims, problems), found, strict=True):
-                    out.append(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(values, pa.string()), pa.array(dims, pa.list_(pa.int32())), pa.array(problems, pa.string())], [*columns, "value", "dimension", "problem"])
+            # rows with the same formula and values are worked out once a batch
+            known: dict[tuple, tuple] = {}
+            found = []
+            for formula, bound in zip(b.column("formula").to_pylist(), _tuples(b.column("bound")), strict=True):
+                if (formula, bound) not in known:
+                    known[formula, bound] = one(formula, bound)
+                found.append(known[formula, bound])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *(pa.array([x[i] for x in found], k) for i, k in enumerate((pa.string(), pa.list_(pa.int32()), pa.string())))], [*columns, "value", "dimension", "problem"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     return rows.mapInArrow(run, f"{kinds}, value string, dimension array<int>, problem string")
@@ -125,17 +140,20 @@ def solved(equations: DataFrame, known: DataFrame) -> DataFrame:
     preferred, so equations with different values make the symbol CONFLICTING; MISSING if nothing defines it; BLOCKED
     otherwise, cycles included. Rounds are as many as the longest chain; a symbol's methods are those of its round.
     """
+    small_broadcasts(known.sparkSession)
     given = known.select("problem_id", "symbol", "value", "dimension", F.lit("AVAILABLE").alias("state"), F.lit(0).cast("long").alias("n_methods"), F.lit(0).alias("round"))
     now, done = written(given, "known"), 0
-    each = equations.select("equation_id", "target", "formula", F.size(F.array_distinct("needs")).alias("n"), F.explode_outer(F.array_distinct("needs")).alias("symbol"))
+    # written, so that its size is known and Spark never broadcasts the problems to meet it
+    each = written(equations.select("equation_id", "target", "formula", F.size(F.array_distinct("needs")).alias("n"), F.explode_outer(F.array_distinct("needs")).alias("symbol")), "equations")
     problems = written(known.select("problem_id").distinct(), "problems")
     failed = None
     while True:
         done += 1
-        usable = now.where("state in ('AVAILABLE', 'DERIVED')").select("problem_id", "symbol", F.struct("value", "dimension").alias("v"))
-        ready = each.join(usable, "symbol").groupBy("problem_id", "equation_id", "target", "formula", "n").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "v"))).alias("bound")).where(F.size("bound") == F.col("n"))
+        usable = now.where("state in ('AVAILABLE', 'DERIVED')").select("problem_id", "symbol", F.struct("value", "dimension").alias("v"), "round")
+        # what had all its inputs in an earlier round was tried then
+        ready = each.join(usable, "symbol").groupBy("problem_id", "equation_id", "target", "formula", "n").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "v"))).alias("bound"), F.max("round").alias("last")).where((F.size("bound") == F.col("n")) & (F.col("last") == done - 1)).drop("last")
         if done == 1:
-            free = each.where("n = 0 or symbol is null").join(F.broadcast(problems), F.lit(True)).select("problem_id", "equation_id", "target", "formula", "n", F.map_from_entries(F.array().cast("array<struct<symbol:string,v:struct<value:string,dimension:array<int>>>>")).alias("bound"))
+            free = each.where("n = 0 or symbol is null").crossJoin(problems).select("problem_id", "equation_id", "target", "formula", "n", F.map_from_entries(F.array().cast("array<struct<symbol:string,v:struct<value:string,dimension:array<int>>>>")).alias("bound"))
             ready = ready.union(free)
         ready = ready.join(now.select("problem_id", F.col("symbol").alias("target")), ["problem_id", "target"], "left_anti")
         tried = written(evaluated(ready.select("problem_id", "equation_id", "target", "formula", "bound")).select("problem_id", "target", "value", "dimension", "problem"), "tried")
@@ -145,10 +163,10 @@ def solved(equations: DataFrame, known: DataFrame) -> DataFrame:
         new = written(made.select("problem_id", "symbol", F.when(~F.col("clash"), F.col("value")).alias("value"), F.when(~F.col("clash"), F.col("dimension")).alias("dimension"), F.when(F.col("clash"), "CONFLICTING").otherwise("DERIVED").alias("state"), "n_methods", F.lit(done).alias("round")), "derived")
         if new.isEmpty():
             break
-        now = written(now.union(new), "known")
+        now = written(now.union(new), "known") if done % 10 == 0 else now.union(new)
     named = written(equations.select(F.col("target").alias("symbol"), F.lit(True).alias("defined")).union(equations.select(F.explode("needs"), F.lit(False))).groupBy("symbol").agg(F.max("defined").alias("defined")), "symbols")
     # every problem has a state for every symbol of the equations: a stated set of problems against all symbols
-    rest = problems.join(F.broadcast(named), F.lit(True)).join(now.select("problem_id", "symbol"), ["problem_id", "symbol"], "left_anti")
+    rest = problems.crossJoin(named).join(now.select("problem_id", "symbol"), ["problem_id", "symbol"], "left_anti")
     rest = rest.select("problem_id", "symbol", F.lit(None).cast("string"), F.lit(None).cast("array<int>"), F.when(F.col("defined"), "BLOCKED").otherwise("MISSING"), F.lit(0).cast("long"), F.lit(None).cast("int"))
     why = failed.groupBy("problem_id", "symbol").agg(F.min("problem").alias("problem"))
     found = now.union(rest).join(why, ["problem_id", "symbol"], "left")

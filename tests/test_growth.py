@@ -2,9 +2,11 @@
 
 from types import SimpleNamespace
 
+import pyarrow as pa
+
 from quillspark import session
 from quillspark.adapter import knowledge_base
-from quillspark.operators import classification, dedup, mentions, solving, verification
+from quillspark.operators import calculation, classification, dedup, mentions, solving, verification
 from quillspark.plans import lookups  # noqa: F401, queries register on import
 from quillspark.plans.catalog import QUERIES
 
@@ -81,3 +83,21 @@ def test_lines_of_a_number_that_two_edges_bear_keep_their_order(spark):
     """Two edges of the smallest table bear the number REL-00000007: lines that lead to a statement come first."""
     found = QUERIES["an1_answers"](spark, SF).where("request_id = 2 and item_id = 'REL-00000007'").orderBy("line")
     assert [x["text"] for x in found.collect()] == ["APPLIES_TO: NATION_6", "PARENT_OF: NATION_6"]
+
+
+def test_problems_are_not_broadcast_to_meet_equations(spark, monkeypatch):
+    plans, old = [], calculation.written
+    monkeypatch.setattr(calculation, "written", lambda df, name: (plans.append(plan_of(df)) if name == "tried" else None, old(df, name))[1])
+    eq = spark.createDataFrame([("1", "b", "b = a + 1", ["a"]), ("2", "c", "c = 4", []), ("3", "d", "d = b / c", ["b", "c"])], "equation_id string, target string, formula string, needs array<string>")
+    known = spark.range(20000).selectExpr("id as problem_id", "'a' as symbol", "cast(id % 7 as string) as value", "cast(null as array<int>) as dimension")
+    found = calculation.solved(eq, known)
+    assert "BroadcastNestedLoopJoin BuildLeft" in plans[0] and "BroadcastNestedLoopJoin BuildRight" not in plans[0]
+    assert found.where("symbol = 'd'").groupBy("state", "round").count().collect() == [("DERIVED", 2, 20000)]
+    assert found.where("symbol = 'd' and problem_id = 9").first()["value"] == "3/4"
+
+
+def test_values_are_read_column_by_column():
+    kind = pa.map_(pa.string(), pa.struct([("value", pa.string()), ("dimension", pa.list_(pa.int32()))]))
+    rows = pa.array([[("a", {"value": "1", "dimension": None})], None, [], [("b", {"value": "2", "dimension": []}), ("c", {"value": "3", "dimension": [1, 0]})]], kind)
+    assert calculation._tuples(rows) == [(("a", "1", None),), (), (), (("b", "2", ()), ("c", "3", (1, 0)))]
+    assert calculation._tuples(rows.slice(2)) == calculation._tuples(rows)[2:]
