@@ -3,10 +3,11 @@
 from types import SimpleNamespace
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillspark import session
 from quillspark.adapter import knowledge_base
-from quillspark.operators import calculation, classification, dedup, mentions, solving, verification
+from quillspark.operators import calculation, catalogue, classification, dedup, mentions, retrieval, solving, verification
 from quillspark.plans import lookups  # noqa: F401, queries register on import
 from quillspark.plans.catalog import QUERIES
 
@@ -101,3 +102,24 @@ def test_values_are_read_column_by_column():
     rows = pa.array([[("a", {"value": "1", "dimension": None})], None, [], [("b", {"value": "2", "dimension": []}), ("c", {"value": "3", "dimension": [1, 0]})]], kind)
     assert calculation._tuples(rows) == [(("a", "1", None),), (), (), (("b", "2", ()), ("c", "3", (1, 0)))]
     assert calculation._tuples(rows.slice(2)) == calculation._tuples(rows)[2:]
+
+
+def test_pairs_of_names_are_dropped_where_they_meet(spark):
+    rows = spark.createDataFrame([("C-1", "x"), ("C-2", "x"), ("C-3", "x"), ("C-1", "y"), ("C-2", "y"), ("C-4", "y"), ("C-5", "z"), ("C-1", None)], "concept_id string, name string")
+    found = catalogue.name_pairs(rows, F.col("a.concept_id") < F.col("b.concept_id")).select("a.concept_id", "b.concept_id", "a.name")
+    assert sorted(tuple(x) for x in found.collect()) == [("C-1", "C-2", "x"), ("C-1", "C-3", "x"), ("C-1", "C-4", "y"), ("C-2", "C-3", "x"), ("C-2", "C-4", "y")]
+    got = retrieval.one_hop_equivalents(rows, spark.createDataFrame([("C-2",), ("C-3",), ("C-2",)], "concept_id string"))
+    assert sorted(tuple(x) for x in got.collect()) == [("C-2", "C-1"), ("C-2", "C-3"), ("C-2", "C-4"), ("C-3", "C-1")]
+    kb = knowledge_base(spark, SF)
+    for df in (catalogue.equivalent_pairs(kb), got, QUERIES["d10_unrecorded_pairs"](spark, SF)):
+        # above the join of names nothing gathers or sorts pairs
+        assert not any(x in plan_of(df).split("SortMergeJoin [name")[0].split("SortMergeJoin")[0] for x in ("Aggregate", "Exchange", "Sort "))
+
+
+def test_recorded_pairs_are_left_out(spark):
+    kb = knowledge_base(spark, SF.replace("0.001", "0.01"))
+    pairs = catalogue.equivalent_pairs(kb).collect()
+    first = pairs[0]
+    recorded = spark.createDataFrame([(first["concept_b"], first["concept_a"]), (first["concept_a"], None)], "a string, b string")
+    left = catalogue.equivalent_pairs(kb, recorded).collect()
+    assert sorted(map(tuple, left)) == sorted(tuple(x) for x in pairs if x != first)
