@@ -211,7 +211,7 @@ _STEP = "struct<equation_id: string, statement: string, output: string, inputs:
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """(problem_id, symbol, steps) of rows (problem_id, step, plans): one plan for each input, joined in order where they don't clash, and the step itself at the end.
+    """(problem_id, far, symbol, steps) of rows (problem_id, far, step, plans): one plan for each input, joined in order where they don't clash, and the step itself at the end.
 
     Plans clash if they find a quantity in two ways or use a statement twice.
     """
@@ -233,8 +233,8 @@ def _merged(rows: DataFrame) -> DataFrame:
         kind = None
         for b in batches:
             kind = kind or b.schema.field("step").type
-            problems, symbols, found = [], [], []
-            for problem, step, plans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            problems, fars, symbols, found = [], [], [], []
+            for problem, far, step, plans in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 of = {p["symbol"]: p["plans"] for p in plans}
                 partial: list[list[dict]] = [[]]
                 for needed in step["inputs"]:
@@ -242,12 +242,13 @@ def _merged(rows: DataFrame) -> DataFrame:
                 for have in partial:
                     if (m := joined(have, [step])) is not None and len(m) > len(have):
                         problems.append(problem)
+                        fars.append(far)
                         symbols.append(step["output"])
                         found.append(m)
-            yield pa.RecordBatch.from_arrays([pa.array(problems, b.schema.field("problem_id").type), pa.array(symbols, pa.string()), pa.array(found, pa.list_(kind))], ["problem_id", "symbol", "steps"])
+            yield pa.RecordBatch.from_arrays([pa.array(problems, b.schema.field("problem_id").type), pa.array(fars, pa.int32()), pa.array(symbols, pa.string()), pa.array(found, pa.list_(kind))], ["problem_id", "far", "symbol", "steps"])
 
     kind = rows.schema["problem_id"].dataType.simpleString()
-    return rows.select("problem_id", "step", "plans").mapInArrow(run, f"problem_id {kind}, symbol string, steps array<{_STEP}>")
+    return rows.select("problem_id", "far", "step", "plans").mapInArrow(run, f"problem_id {kind}, far int, symbol string, steps array<{_STEP}>")
 
 
 def _rank() -> Column:
@@ -262,7 +263,8 @@ def plans(found: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame:
 
     A plan's steps are in the order in which they can be applied, at most MAX_DEPTH deep; no quantity is found twice in
     it, and no statement is used twice. Only quantities that lie behind the target within that depth are looked at, never
-    all that a problem could reach. The KEEP best plans of each quantity grow by one level a round.
+    all that a problem could reach. The KEEP best plans of each quantity grow by one level a round; a round leaves out
+    what lies too far behind the target for its plans to get there in the rounds that remain.
     """
     kind = "array<" + _STEP + ">"
     step = F.struct("equation_id", "statement", "output", "inputs", "formula", "rearranged", "stated").alias("step")
@@ -271,30 +273,30 @@ def plans(found: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = written(targets.select("problem_id", "symbol").distinct(), "wanted")
     given = written(known.select("problem_id", "symbol").distinct(), "given")
     front, needed, used = wanted, wanted, None
-    for _ in range(MAX_DEPTH):
-        ways = front.join(given, ["problem_id", "symbol"], "left_anti").join(each, F.col("symbol") == F.col("output")).select("problem_id", "step")
+    for far in range(MAX_DEPTH):
+        ways = front.join(given, ["problem_id", "symbol"], "left_anti").join(each, F.col("symbol") == F.col("output")).select("problem_id", F.lit(far).alias("far"), "step")
         ways = written(ways, "ways")
         used = ways if used is None else used.union(ways)
         front = written(ways.select("problem_id", F.explode("step.inputs").alias("symbol")).distinct().join(needed, ["problem_id", "symbol"], "left_anti"), "front")
         if front.isEmpty():
             break
         needed = needed.union(front)
-    used = written(used, "used")
-    inputs = written(used.select("problem_id", "step", F.explode("step.inputs").alias("symbol")), "inputs")
+    inputs = written(used.select("problem_id", "far", "step", F.explode("step.inputs").alias("symbol")), "inputs")
     leaves = given.select("problem_id", "symbol", F.array(F.array().cast(kind)).alias("plans"))
-    now, before = None, None
-    for _ in range(MAX_DEPTH):
-        options = leaves if now is None else leaves.union(now)
-        ready = inputs.join(options, ["problem_id", "symbol"]).groupBy("problem_id", "step").agg(F.collect_list(F.struct("symbol", "plans")).alias("plans")).where("size(plans) = size(step.inputs)")
+    now = None
+    for left in range(MAX_DEPTH - 1, -1, -1):
+        options = leaves if now is None else leaves.union(now.select("problem_id", "symbol", "plans"))
+        ready = inputs.where(F.col("far") <= left).join(options, ["problem_id", "symbol"]).groupBy("problem_id", "far", "step").agg(F.collect_list(F.struct("symbol", "plans")).alias("plans")).where("size(plans) = size(step.inputs)")
         made = _merged(ready).withColumn("rank", _rank()).distinct()
         best = made.withColumn("place", F.row_number().over(W.partitionBy("problem_id", "symbol").orderBy("rank"))).where(F.col("place") <= KEEP)
-        new = written(best.groupBy("problem_id", "symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "steps"))), lambda x: x["steps"]).alias("plans")), "plans")
+        new = written(best.groupBy("problem_id", "symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "steps"))), lambda x: x["steps"]).alias("plans"), F.first("far").alias("far")), "plans")
+        # the same plans as a round before, of all that this round looks at: they stay so
+        mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("problem_id", "symbol", "plans") % F.lit(1 << 40))).first()
+        same = now is not None and mark(new) == mark(now.where(F.col("far") <= left))
         forget(now)
         now = new
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("problem_id", "symbol", "plans") % F.lit(1 << 40))).first()
-        if mark == before:
+        if same:
             break
-        before = mark
     return now.join(wanted, ["problem_id", "symbol"], "left_semi").select("problem_id", F.posexplode("plans").alias("place", "steps"))
 
 
@@ -359,7 +361,9 @@ def answers(found: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame
     asked = targets.join(known.select("problem_id", "symbol"), ["problem_id", "symbol"], "left_anti")
     stated = plans(found.where("stated"), known, asked).withColumn("tier", F.lit("stated"))
     rest = asked.join(stated.select("problem_id").distinct(), "problem_id", "left_anti")
-    both = written(stated.union(plans(found, known, rest).withColumn("tier", F.lit("mixed"))), "routes")
+    # where the source stated every equation, a second search would find no more
+    both = stated if found.where("not stated").isEmpty() else stated.union(plans(found, known, rest).withColumn("tier", F.lit("mixed")))
+    both = written(both, "routes")
     n, shortest = F.size("steps"), F.min(F.size("steps")).over(W.partitionBy("problem_id"))
     both = both.withColumn("shortest", shortest).withColumn("longest", F.when(F.col("tier") == "stated", F.col("shortest") + EXTRA_STEPS).otherwise(F.greatest("shortest", F.least(F.col("shortest") + EXTRA_STEPS, F.lit(MIXED_STEPS)))))
     tried = both.where(n <= F.col("longest")).withColumn("k", F.row_number().over(W.partitionBy("problem_id").orderBy("place"))).where(F.col("k") <= MAX_PLANS)

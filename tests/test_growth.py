@@ -123,3 +123,15 @@ def test_recorded_pairs_are_left_out(spark):
     recorded = spark.createDataFrame([(first["concept_b"], first["concept_a"]), (first["concept_a"], None)], "a string, b string")
     left = catalogue.equivalent_pairs(kb, recorded).collect()
     assert sorted(map(tuple, left)) == sorted(tuple(x) for x in pairs if x != first)
+
+
+def test_rounds_of_plans_leave_out_what_is_too_far_behind(spark, monkeypatch):
+    outputs, old = [], solving._merged
+    monkeypatch.setattr(solving, "_merged", lambda rows: (outputs.append({x["o"] for x in rows.selectExpr("step.output as o").distinct().collect()}), old(rows))[1])
+    # each quantity by the next one, each also by the one after it, so plans change until the last round
+    laws = [(f"E-{i}", f"q{i} = q{i + 1} + 1", True) for i in range(7)] + [(f"F-{i}", f"q{i} = q{i + 2} * 2", True) for i in range(6)]
+    found = solving.forms(spark.createDataFrame(laws, "equation_id string, formula string, stated boolean")).where("not rearranged")
+    known, target = spark.createDataFrame([(1, "q6")], "problem_id long, symbol string"), spark.createDataFrame([(1, "q0")], "problem_id long, symbol string")
+    plans = solving.plans(found, known, target).collect()
+    assert len(outputs) == 6 and outputs[-1] == {"q0"} and "q5" not in outputs[3]
+    assert len(plans) == solving.KEEP and [s["output"] for s in sorted(plans, key=lambda x: x["place"])[0]["steps"]] == ["q4", "q2", "q0"]
