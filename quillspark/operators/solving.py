@@ -92,7 +92,7 @@ def readings(equations: DataFrame, atoms: DataFrame) -> DataFrame:
     used = s.where("bad is null and not head").select("equation_id", "i", F.explode(F.array_distinct("tokens")).alias("run")).where(notation.is_symbol(F.col("run")))
     runs = written(used.select("run").distinct().join(atoms.withColumnRenamed("atom", "run"), "run", "left_anti"), "runs")
     ways = written(products(runs, atoms), "ways")
-    per = used.join(ways, "run").groupBy("equation_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("run", "ways"))).alias("ways"))
+    per = used.join(ways.hint("merge"), "run").groupBy("equation_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("run", "ways"))).alias("ways"))
     s = s.join(per, ["equation_id", "i"], "left")
     unclear = F.get(F.filter("tokens", lambda t: F.size(F.element_at("ways", t)) > 1), F.lit(0))
     s = s.withColumn("unclear", F.when(~F.col("head") & F.col("ways").isNotNull(), unclear))
@@ -191,22 +191,29 @@ def forms(stated: DataFrame) -> DataFrame:
 def costs(found: DataFrame, known: DataFrame) -> DataFrame:
     """(problem_id, symbol, cost): the fewest equations by which each quantity can be had, those of its inputs each counted, from known (problem_id, symbol); found: see forms.
 
-    Costs relax over all equations until a round lowers none, so circles end by themselves. Rounds are as many as the
-    longest cheapest chain.
+    Costs relax until a round lowers none, so circles end by themselves; a round tries only the equations of a quantity
+    whose cost fell in the one before. Rounds are as many as the longest cheapest chain.
     """
     each = written(found.select("formula", "equation_id", "output", F.size("inputs").alias("n"), F.explode("inputs").alias("symbol")), "inputs")
     now = written(known.select("problem_id", "symbol").distinct().withColumn("cost", F.lit(0).cast("long")), "costs")
+    fell = now
     while True:
-        total = each.join(now, "symbol").groupBy("problem_id", "equation_id", "formula", "output", "n").agg(F.count("*").alias("have"), F.sum("cost").alias("cost")).where("have = n")
+        total = _touched(each, fell).join(each, ["equation_id", "formula", "output", "n"]).join(now, ["problem_id", "symbol"]).groupBy("problem_id", "equation_id", "formula", "output", "n").agg(F.count("*").alias("have"), F.sum("cost").alias("cost")).where("have = n")
         came = total.groupBy("problem_id", F.col("output").alias("symbol")).agg((F.min("cost") + 1).alias("cost"), F.lit(1).alias("new"))
         new = now.withColumn("new", F.lit(0)).unionByName(came).groupBy("problem_id", "symbol").agg(F.min("cost").alias("cost"), F.min_by("new", F.struct("cost", "new")).alias("new"))
         new = written(new, "costs")
         forget(now)
-        now = new.drop("new")
-        if new.where("new = 1").isEmpty():
+        now, fell = new.drop("new"), new.where("new = 1")
+        now._written = new._written
+        if fell.isEmpty():
             return now
 
 
+def _touched(each: DataFrame, fell: DataFrame) -> DataFrame:
+    """(problem_id, equation_id, formula, output, n): the equations, each once, that use a quantity whose cost fell."""
+    return each.join(fell.select("problem_id", "symbol"), "symbol").select("problem_id", "equation_id", "formula", "output", "n").distinct()
+
+
 _STEP = "struct<equation_id: string, statement: string, output: string, inputs: array<string>, formula: string, rearranged: boolean, stated: boolean>"
 
 
@@ -382,8 +389,9 @@ def answers(found: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame
 
 def missing(found: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame:
     """(problem_id, symbol, place, formula, equation_id, needs): the first OPTIONS ways to write each target, with what is not known, fewest first."""
-    ways = targets.select("problem_id", "symbol").distinct().join(found.select("equation_id", "formula", "output", "inputs").distinct(), F.col("symbol") == F.col("output"))
-    have = known.groupBy("problem_id").agg(F.collect_set("symbol").alias("have"))
+    # merged, since Spark takes both for much smaller than they are and would broadcast them
+    ways = targets.select("problem_id", "symbol").distinct().hint("merge").join(found.select("equation_id", "formula", "output", "inputs").distinct(), F.col("symbol") == F.col("output"))
+    have = known.groupBy("problem_id").agg(F.collect_set("symbol").alias("have")).hint("merge")
     needs = F.filter("inputs", lambda x: ~F.array_contains(F.coalesce("have", F.array().cast("array<string>")), x))
     ways = ways.join(have, "problem_id", "left").withColumn("needs", needs)
     order = W.partitionBy("problem_id", "symbol").orderBy(F.size("needs"), counter("equation_id"), "equation_id", "formula")

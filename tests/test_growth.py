@@ -135,3 +135,31 @@ def test_rounds_of_plans_leave_out_what_is_too_far_behind(spark, monkeypatch):
     plans = solving.plans(found, known, target).collect()
     assert len(outputs) == 6 and outputs[-1] == {"q0"} and "q5" not in outputs[3]
     assert len(plans) == solving.KEEP and [s["output"] for s in sorted(plans, key=lambda x: x["place"])[0]["steps"]] == ["q4", "q2", "q0"]
+
+
+def test_costs_try_only_equations_of_what_fell(spark, monkeypatch):
+    tried, old = [], solving._touched
+    monkeypatch.setattr(solving, "_touched", lambda each, fell: (tried.append(sorted(x["equation_id"] for x in old(each, fell).collect())), old(each, fell))[1])
+    laws = [(f"E-{i}", f"q{i + 1} = q{i} + 1", True) for i in range(4)] + [("F-0", "q0 = q1 * k", True), ("G-0", "z = q4 + k", True), ("H-0", "y = none + k", True)]
+    found = solving.forms(spark.createDataFrame(laws, "equation_id string, formula string, stated boolean")).where("not rearranged")
+    known = spark.createDataFrame([(1, "q0"), (1, "k")], "problem_id long, symbol string")
+    got = {x["symbol"]: x["cost"] for x in solving.costs(found, known).collect()}
+    assert got == {"q0": 0, "k": 0, "q1": 1, "q2": 2, "q3": 3, "q4": 4, "z": 5}
+    assert tried == [["E-0", "F-0", "G-0", "H-0"], ["E-1", "F-0"], ["E-2"], ["E-3"], ["G-0"], []]
+
+
+def test_costs_that_fall_later_are_passed_on(spark):
+    """The short way costs more: b by two inputs of two equations each, then by a chain of three."""
+    laws = [("A-0", "b = c + d", True), ("A-1", "c = e + 1", True), ("A-2", "d = f + 1", True), ("A-3", "e = k + 1", True), ("A-4", "f = k + 2", True), ("B-0", "u = k + 3", True), ("B-1", "v = u + 1", True), ("B-2", "w = v + 1", True), ("B-3", "b = w + 1", True), ("C-0", "x = b + 1", True)]
+    found = solving.forms(spark.createDataFrame(laws, "equation_id string, formula string, stated boolean")).where("not rearranged")
+    known = spark.createDataFrame([(1, "k")], "problem_id long, symbol string")
+    got = {x["symbol"]: x["cost"] for x in solving.costs(found, known).collect()}
+    assert got["b"] == 4 and got["x"] == 5
+
+
+def test_ways_to_missing_quantities_are_not_broadcast(spark):
+    found = solving.forms(spark.createDataFrame([("E-1", "b = a + c", True)], "equation_id string, formula string, stated boolean"))
+    known, targets = spark.createDataFrame([(1, "a")], "problem_id long, symbol string"), spark.createDataFrame([(1, "b")], "problem_id long, symbol string")
+    ways = solving.missing(found, known, targets)
+    assert "Broadcast" not in plan_of(ways)
+    assert [(x["formula"], x["needs"]) for x in ways.collect()] == [("b = a + c", ["c"])]
