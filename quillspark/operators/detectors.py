@@ -7,11 +7,13 @@ object, owner, relation_type, numeric, weak); what a category lacks is null.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import clean_term
+from quillspark.functions.text import clean_term, let
 from quillspark.operators.structure import lines, masked, prose_regions, sentences
 from quillspark.storage import written
 
@@ -60,6 +62,10 @@ RELATIONS = {
     "CONSTRAINS": "constrains|is limited by",
 }
 EQUALS = r"[=≅≈∝]"
+#: What a sentence holds if a detector finds something in it: beginnings, a symbol that is something, or the first word of a cue.
+OPENINGS = (LABELLED_TERM, DASH_TERM, BY_WE_MEAN, WE_DEFINE, IS_A, BARE_IS)
+SYMBOL_IS = r"(?:where|and|,)\s+[A-Za-z](?:_?[A-Za-z0-9]{1,3})?\s+is\s"
+CUES = r"(?i)\b(?:" + "|".join([*(p.removeprefix(r"(?i)\b(?:").removesuffix(r")\b") for p in (COMPLEMENT, SUBJECT, MODAL)), *RELATIONS.values(), "denote|represent|measured|expressed|unit|propert|characteristic|law|theorem|principle|rule|pre-?requisite|require"]) + ")"
 
 
 def _some(text: Column, pattern: str, group: int = 1) -> Column:
@@ -183,12 +189,18 @@ def relations(s: DataFrame) -> DataFrame:
     return d.where("a is not null and b is not null and lower(a) <> lower(b)").select(*_row("RELATIONSHIP", subject=F.col("a"), object=F.col("b"), relation_type=F.col("r")))
 
 
+def telling(text: Column) -> Column:
+    """Whether a sentence holds what any of its detectors looks for: each of them finds nothing elsewhere."""
+    return let(text, lambda t: reduce(lambda a, b: a | b, (t.rlike(p) for p in (CUES, SYMBOL_IS, *OPENINGS))))
+
+
 def detect(pages: DataFrame) -> DataFrame:
-    """All candidates of pages (document_id, page_number, text)."""
+    """All candidates of pages (document_id, page_number, text). Detectors see only the sentences, lines and pages that hold a cue."""
     m = written(masked(pages), "masked")
     claims, lessons = m.select(*_PAGE, F.col("expository").alias("text")), m.select(*_PAGE, F.col("instructional").alias("text"))
-    s, l = written(sentences(prose_regions(claims)), "sentences"), written(lines(claims), "lines")
+    s = written(sentences(prose_regions(claims)).where(telling(F.col("flat"))), "sentences")
+    l = written(lines(claims.where(F.col("text").rlike(rf"{EQUALS}|(?i:Step\s*\d)"))).where(F.col("stripped").rlike(rf"{EQUALS}|^\s*(?i:Step\s*\d)")), "lines")
     out = definitions(s)
-    for part in (equations(l), variables(s), units_of(s), properties(s), rules(s), examples(lines(lessons)), procedures(l), prerequisites(s), relations(s)):
+    for part in (equations(l), variables(s), units_of(s), properties(s), rules(s), examples(lines(lessons.where(F.col("text").rlike("(?i)example")))), procedures(l), prerequisites(s), relations(s)):
         out = out.union(part)
     return out

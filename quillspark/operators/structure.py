@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import alpha_ratio, collapse
+from quillspark.functions.text import alpha_ratio, collapse, let
+from quillspark.storage import written
 
 #: Where a line ends, least length and share of letters of prose, headings, masks.
 LINE_END = r"(?<=\n|[\x0B\x0C\x1C-\x1E\x85  ])|(?<=\r)(?!\n)"
@@ -24,14 +25,20 @@ OPENER = r"(?i)^\s*CHAPTER\s+HIGHLIGHTS\s*$"
 OPTION = r"^\s*\((?:[A-Da-d]|i{1,3}|iv|v|vi{0,3}|ix|x)\)"
 NOT_CLAIMED = (OPTION, r"\[(?:19|20)\d\d\]", r"_{3,}", r"\?$")
 EXAMPLE_START, SOLUTION_START = r"(?i)^\s*Example\b", r"(?i)^\s*(?:Solution|Sol\.?)\b"
+#: What a text holds if one of its lines opens questions or an example.
+MAY_ASK, MAY_SHOW = r"(?i)Exercises|Practice\s+Problems|Previous\s+Year|Answer\s+Key|Direction\s+for\s+questions", r"(?i)Example"
 _PAGE = ("document_id", "page_number")
 
 
+def _stripped(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+
+
 def lines(pages: DataFrame) -> DataFrame:
     """(document_id, page_number, line, offset, raw, stripped) of every line, with its line break."""
     each = pages.select(*_PAGE, F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_END)).alias("line", "raw")).where("raw <> ''")
     before = W.partitionBy(*_PAGE).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    return each.select("*", F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)).cast("int").alias("offset"), F.regexp_replace("raw", r"(?U)^\s+|\s+$", "").alias("stripped"))
+    return each.select("*", F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)).cast("int").alias("offset"), _stripped(F.col("raw")).alias("stripped"))
 
 
 def headings(pages: DataFrame) -> DataFrame:
@@ -99,7 +106,22 @@ def masked(pages: DataFrame) -> DataFrame:
 
     Question sections go on across pages until a page that holds a chapter opener, which ends them for the whole page;
     a section heading on that page starts anew. Example stems last until a solution, within a page. Lengths never change.
+    Where no page of a document may open questions and the page no example, a line's mask depends on the line alone.
     """
+    asking = written(pages.where(F.col("text").rlike(MAY_ASK)).select("document_id").distinct(), "asking")
+    p = pages.select(*_PAGE, F.coalesce("text", F.lit("")).alias("text")).join(asking.withColumn("asks", F.lit(True)), "document_id", "left")
+    alone = F.col("document_id").isNotNull() & F.col("asks").isNull() & ~F.col("text").rlike(MAY_SHOW)
+    line = lambda raw: F.when(let(_stripped(raw), _no_claim), _blank(raw)).otherwise(raw)
+    plain = p.where(alone & (F.col("text") != "")).select(*_PAGE, F.array_join(F.transform(F.split("text", LINE_END), line), "").alias("expository"), F.col("text").alias("instructional"), F.lit(0).cast("long").alias("question_chars"))
+    return plain.union(_masked(p.where(~alone)))
+
+
+def _no_claim(stripped: Column) -> Column:
+    return reduce(lambda a, b: a | b, (stripped.rlike(p) for p in NOT_CLAIMED))
+
+
+def _masked(pages: DataFrame) -> DataFrame:
+    """See masked: of documents with all their pages, or pages that are asked nothing."""
     s = F.col("stripped")
     by_doc = W.partitionBy("document_id").orderBy("page_number", "line")
     l = lines(pages).withColumn("opens", F.max(s.rlike(OPENER).cast("int")).over(W.partitionBy(*_PAGE)))
@@ -108,7 +130,7 @@ def masked(pages: DataFrame) -> DataFrame:
     l = l.withColumn("asked", F.coalesce(F.last(event, ignorenulls=True).over(by_doc.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)) == 1)
     stem = F.when(~F.col("asked") & s.rlike(EXAMPLE_START), 1).when(~F.col("asked") & s.rlike(SOLUTION_START), 0)
     l = l.withColumn("stem", F.coalesce(F.last(stem, ignorenulls=True).over(W.partitionBy(*_PAGE).orderBy("line").rowsBetween(W.unboundedPreceding, 0)), F.lit(0)) == 1)
-    no_claim = reduce(lambda a, b: a | b, (s.rlike(p) for p in NOT_CLAIMED)) | F.col("stem") | F.col("asked")
+    no_claim = _no_claim(s) | F.col("stem") | F.col("asked")
     l = l.select(*_PAGE, "line", F.when(no_claim, _blank(F.col("raw"))).otherwise(F.col("raw")).alias("e"), F.when(F.col("asked"), _blank(F.col("raw"))).otherwise(F.col("raw")).alias("i"), F.when(F.col("asked"), F.length("stripped")).otherwise(0).alias("q"))
     text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", c))), lambda x: x[c]), "")
     return l.groupBy(*_PAGE).agg(text("e").alias("expository"), text("i").alias("instructional"), F.sum("q").alias("question_chars"))

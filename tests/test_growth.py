@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import session
 from quillspark.adapter import knowledge_base
-from quillspark.operators import calculation, catalogue, classification, dedup, mentions, retrieval, solving, verification
+from quillspark.operators import calculation, catalogue, classification, dedup, detectors, mentions, retrieval, solving, structure, verification
 from quillspark.plans import lookups  # noqa: F401, queries register on import
 from quillspark.plans.catalog import QUERIES
 
@@ -163,3 +163,33 @@ def test_ways_to_missing_quantities_are_not_broadcast(spark):
     ways = solving.missing(found, known, targets)
     assert "Broadcast" not in plan_of(ways)
     assert [(x["formula"], x["needs"]) for x in ways.collect()] == [("b = a + c", ["c"])]
+
+
+def test_sentences_without_a_cue_are_not_stored(spark, monkeypatch):
+    """Each detector finds the same in the sentences that are kept as in all of them."""
+    told = ["By mass we mean what resists a push.", "Resistance: the property of a thing that holds back a current.", "Zeta – a letter of the Greek alphabet here.", "The moving part is called the rotor.", "Power is defined as work by time.", "The ohm is a unit.", "Voltage is the measure of push.",
+            "It holds where V is the voltage, and I denotes the current.", "The push is denoted by F.", "Force is measured in newtons (N).", "The SI unit of force is the newton.", "Inertia is a property of bodies.", "The characteristics of steel are many.", "One must not touch it.",
+            "Ohm's law says the sum of drops is zero.", "Algebra is a prerequisite for analysis.", "Analysis requires a knowledge of algebra.", "A motor consists of a rotor and a stator.", "Heat depends on the current.", "THE GEAR IS USED IN A CLOCK."]
+    idle = ["Nothing at all was there that day.", "We went home, later.", "Viele Worte ohne Sinn."]
+    rows = spark.createDataFrame([("d", 1, i * 100, i * 100 + len(x), x) for i, x in enumerate([*told, *idle])], "document_id string, page_number int, start int, end int, flat string")
+    kept = rows.where(detectors.telling(rows["flat"]))
+    assert {x["flat"] for x in kept.collect()} == set(told)
+    for f in (detectors.definitions, detectors.variables, detectors.units_of, detectors.properties, detectors.rules, detectors.prerequisites, detectors.relations):
+        found = [sorted(map(str, f(x).collect())) for x in (rows, kept)]
+        assert found[0] == found[1] and found[0]
+    stored, old = {}, detectors.written
+    monkeypatch.setattr(detectors, "written", lambda df, name: (lambda t: (stored.update({name: t}), t)[1])(old(df, name)))
+    detectors.detect(spark.createDataFrame([("d", 1, "The moving part is called the rotor of it.\n\n\nNothing at all was there that day, they said.\n\nx = y + 1\n")], "document_id string, page_number int, text string"))
+    assert [x["flat"] for x in stored["sentences"].collect()] == ["The moving part is called the rotor of it."]
+    assert [x["stripped"] for x in stored["lines"].collect()] == ["x = y + 1"]
+
+
+def test_masks_of_plain_pages_need_no_windows(spark):
+    """Pages alone and in their documents: the same masks as from the lines of all."""
+    texts = [("a", 1, "one line\r\n(a) an option\nis it so?\n\n ____ gap\x0btail"), ("a", 2, None), ("a", 3, ""), ("b", 1, "Exercises\nfind x"), ("b", 2, "still asked [1999]"), ("b", 3, "CHAPTER HIGHLIGHTS\nfree again"), ("c", 1, "Example 1 stem\nmore stem\nSolution\nplain"), ("c", 2, "plain [2001] year\rnext"), (None, 1, "Exercises\nasked"), ("d", 1, "\n")]
+    pages = spark.createDataFrame(texts, "document_id string, page_number int, text string")
+    whole, found = structure._masked(pages), structure.masked(pages)
+    assert found.dtypes == whole.dtypes
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+    plain = structure.masked(pages.where("document_id = 'a'"))
+    assert [x["expository"] for x in plain.collect()] == ["one line\r\n" + " " * 13 + "\n" + " " * 9 + "\n\n" + " " * 10 + "tail"]
