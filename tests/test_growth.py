@@ -193,3 +193,15 @@ def test_masks_of_plain_pages_need_no_windows(spark):
     assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
     plain = structure.masked(pages.where("document_id = 'a'"))
     assert [x["expository"] for x in plain.collect()] == ["one line\r\n" + " " * 13 + "\n" + " " * 9 + "\n\n" + " " * 10 + "tail"]
+
+
+def test_statements_made_from_small_files_are_not_broadcast(spark):
+    """20,000 parts are under 180 KB of files, but statements made of them are megabytes."""
+    before = spark.conf.get(LIMIT)
+    try:
+        spark.conf.set(LIMIT, "10MB")
+        kb = knowledge_base(spark, SF.replace("0.001", "0.1"))
+        said = kb.knowledge.selectExpr("id as knowledge_id", "statement")
+        assert "Broadcast" not in plan_of(kb.source_occurrence.join(said, "knowledge_id"))
+    finally:
+        spark.conf.set(LIMIT, before)
