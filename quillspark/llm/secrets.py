@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns label credentials, automata learnt from these score all other candidates.
 
 Labelled credentials and a background of other tokens are read as strings of symbols: the first characters as they
-are, for issuers' prefixes, the others by class. Each kind's strings form a prefix tree whose states are merged where
-their continuations are statistically compatible (Hoeffding bound), which gives a probabilistic automaton. A candidate's
-score is the mean over its symbols of the log likelihood under the best kind less that under the background.
+are, for issuers' prefixes, the others by class. The states of a kind's automaton are what a string's last symbols are
+(its last character and place at the beginning, its last three classes behind), so the automaton of all strings is a
+table of counts whose size depends on the symbols alone, and Spark counts it over every distinct string of the table.
+States are merged where their continuations are statistically compatible (Hoeffding bound). A candidate's score is the
+mean over its symbols of the log likelihood under the best kind less that under the background.
 
 The background must not hold credentials that nobody labelled, however many leak. It consists of ordinary tokens, too
 short to be a credential, and of those long tokens that the kinds explain no better than an automaton of ordinary tokens
@@ -15,12 +17,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +36,11 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 LEARNT = "learnt"
 #: Candidates: runs of credential characters of this length. The gain over the background rejects plain words and numbers.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Strings of each kind that the automata are fitted on: those with the smallest hashes over the whole table. Longer ones are not fitted on, but scored.
-SAMPLE, LONGEST = 500, 200
-#: Confidence of the Hoeffding test; characters at the start that keep their identity.
-ALPHA, PREFIX = 0.05, 4
+#: Characters of a string, and classes of those behind the first PREFIX: digits, a-f, other lower-case, upper-case, the others as they are.
+LETTERS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_.=-"
+PREFIX, CLASSES = 4, 10
+#: Confidence of the Hoeffding test.
+ALPHA = 0.05
 #: Probabilities are mixed with this share of an even one over so many symbols, so that nothing is impossible.
 MIX, SYMBOLS = 0.1, 32
 #: Least gain over the background, in nats a symbol.
@@ -49,6 +50,10 @@ BACKGROUND, ORDINARY = "background", "ordinary"
 TOKEN, LONG = re.compile(r"[A-Za-z0-9+/_.=-]{6,}"), 12
 #: The share of unseen background tokens that may score above the threshold.
 FALSE_ALARMS = 0.005
+#: Gains are counted in steps of this many nats when the threshold is set.
+STEP = 1e-4
+#: Distinct strings that a task keeps before it hands them on.
+HELD = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,136 +76,121 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[in
             yield start, end, s
 
 
-def symbols(s: str) -> list[str]:
-    """The first characters themselves, then classes: digit, a-f, other lower-case, upper-case, or the character."""
-    return [*s[:PREFIX], *("0" if c.isdigit() else "a" if c in "abcdef" else "g" if c.islower() else "A" if c.isupper() else c for c in s[PREFIX:])]
+def _codes() -> tuple[np.ndarray, np.ndarray]:
+    """By byte: the character's number, and its class."""
+    char, kind = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    for i, c in enumerate(LETTERS):
+        char[ord(c)] = i
+        kind[ord(c)] = 0 if c.isdigit() else 1 if c in "abcdef" else 2 if c.islower() else 3 if c.isupper() else 4 + i - LETTERS.index("+")
+    return char, kind
+
+
+_CHAR, _CLASS = _codes()
+#: States: none read; the last of one to PREFIX characters; the last one, two and three classes behind them. Symbols: characters, and the end.
+END = len(LETTERS)
+_BEHIND = 1 + PREFIX * END
+STATES, WIDTH = _BEHIND + CLASSES + CLASSES**2 + CLASSES**3, END + 1
+#: Steps that are looked at together, which bounds memory for long strings; symbols that a state depends on.
+PIECE, BEFORE = 1 << 18, 3
+
+
+def cells(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of ASCII strings that are not empty, one after another and PIECE steps at a time: state * WIDTH + symbol of each step, the end's included; and which string it belongs to."""
+    sizes = np.array([len(s) for s in strings], np.int64) + 1
+    begin = np.cumsum(sizes) - sizes
+    raw = np.frombuffer(("\0" * BEFORE + "\0".join(strings) + "\0").encode("ascii", "replace"), np.uint8)
+    for lo in range(0, len(raw) - BEFORE, PIECE):
+        read = raw[lo : lo + PIECE + BEFORE]
+        back = lambda codes, n: codes[read[BEFORE - n : len(read) - n]]  # noqa: B023, E731
+        step = np.arange(lo, lo + len(read) - BEFORE)
+        owner = np.searchsorted(begin, step, "right") - 1
+        at = step - begin[owner]
+        one, two, three = (back(_CLASS, n) for n in (1, 2, 3))
+        state = np.select(
+            [at == 0, at <= PREFIX, at == PREFIX + 1, at == PREFIX + 2],
+            [0, 1 + (at - 1) * END + back(_CHAR, 1), _BEHIND + one, _BEHIND + CLASSES + two * CLASSES + one],
+            _BEHIND + CLASSES + CLASSES**2 + (three * CLASSES + two) * CLASSES + one,
+        )
+        symbol = np.where(read[BEFORE:] == 0, END, np.where(at < PREFIX, back(_CHAR, 0), back(_CLASS, 0)))
+        yield state * WIDTH + symbol, owner
+
+
+def tallied(strings: list[str]) -> np.ndarray:
+    """How often each state meets each symbol."""
+    return sum((np.bincount(at, minlength=STATES * WIDTH) for at, _ in cells(strings)), np.zeros(STATES * WIDTH, np.int64))
+
+
+def _following() -> np.ndarray:
+    """By state and symbol: the next state."""
+    out = np.zeros((STATES, WIDTH), np.int64)
+    for x in range(END):
+        for i in range(PREFIX):
+            out[0 if i == 0 else slice(1 + (i - 1) * END, 1 + i * END), x] = 1 + i * END + x
+    two, three = _BEHIND + CLASSES, _BEHIND + CLASSES + CLASSES**2
+    for x in range(CLASSES):
+        out[_BEHIND - END : _BEHIND, x] = _BEHIND + x
+        out[_BEHIND:two, x] = two + np.arange(CLASSES) * CLASSES + x
+        out[two:three, x] = three + np.arange(CLASSES**2) * CLASSES + x
+        out[three:, x] = three + np.arange(CLASSES**3) % CLASSES**2 * CLASSES + x
+    return out
 
 
 class Automaton:
-    """A probabilistic automaton: for each state the count of strings that pass, that end, and of each next symbol."""
+    """A probabilistic automaton: by state and symbol, the log of the symbol's smoothed probability among the state and those merged with it."""
 
-    def __init__(self) -> None:
-        self.passed: list[int] = [0]
-        self.ended: list[int] = [0]
-        self.next: list[dict[str, int]] = [{}]
+    def __init__(self, counts: np.ndarray):
+        self.logs = np.log((1 - MIX) * self._merged(counts.reshape(STATES, WIDTH).astype(np.float64)) + MIX / SYMBOLS)
+        self.logs[:, END] = 0.0
 
-    def _state(self) -> int:
-        self.passed.append(0)
-        self.ended.append(0)
-        self.next.append({})
-        return len(self.next) - 1
+    @staticmethod
+    def _differ(share: np.ndarray, n: np.ndarray, p: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others have an ending or next symbol that tells them apart from p."""
+        bound = (1 / np.sqrt(n[p]) + 1 / np.sqrt(n[others])) * math.sqrt(0.5 * math.log(2 / ALPHA))
+        return (np.abs(share[others] - share[p]) > bound[:, None]).any(axis=1)
 
     @classmethod
-    def tree(cls, strings: Iterable[list[str]]) -> Automaton:
-        a = cls()
-        for s in strings:
-            q = 0
-            a.passed[0] += 1
-            for x in s:
-                if x not in a.next[q]:
-                    a.next[q][x] = a._state()
-                q = a.next[q][x]
-                a.passed[q] += 1
-            a.ended[q] += 1
-        return a
-
-    def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        return abs(f1 / n1 - f2 / n2) > (1 / math.sqrt(n1) + 1 / math.sqrt(n2)) * math.sqrt(0.5 * math.log(2 / ALPHA))
-
-    def compatible(self, p: int, q: int) -> bool:
-        """Whether no ending or next symbol, here or further on, tells the two states apart."""
+    def _merged(cls, counts: np.ndarray) -> np.ndarray:
+        """Shares of symbols in merged states. The states of a length, and all behind the prefix, go by how many strings pass; each merges into the first settled one that neither it nor what follows tells apart, or settles. States that nothing passes take the first one's shares."""
+        n, out, following = counts.sum(axis=1), np.zeros_like(counts), _following()
+        share = counts / np.maximum(n, 1)[:, None]
+        for first, last in [(0, 1), *((1 + i * END, 1 + (i + 1) * END) for i in range(PREFIX - 1)), (_BEHIND - END, STATES)]:
+            order = first + np.argsort(-n[first:last], kind="stable")
+            settled: list[int] = []
+            block = {}
+            for p in order[n[order] > 0].tolist():
+                near = np.array(settled, np.int64)
+                same = near[~cls._differ(share, n, p, near)] if settled else near
+                block[p] = next((q for q in same.tolist() if cls._alike(share, n, following, p, q)), p)
+                if block[p] == p:
+                    settled.append(p)
+            if not settled:
+                continue
+            total = np.zeros_like(counts)
+            for p, q in block.items():
+                total[q] += counts[p]
+            total /= np.maximum(total.sum(axis=1), 1)[:, None]
+            for p in order.tolist():
+                out[p] = total[block.get(p, settled[0])]
+        return out
+
+    @classmethod
+    def _alike(cls, share: np.ndarray, n: np.ndarray, following: np.ndarray, p: int, q: int) -> bool:
+        """Whether nothing after p and q tells them apart; after the same three classes both are in one state."""
         todo = [(p, q)]
         while todo:
             p, q = todo.pop()
-            n1, n2 = self.passed[p], self.passed[q]
-            if self._differ(self.ended[p], n1, self.ended[q], n2):
-                return False
-            a, b = self.next[p], self.next[q]
-            for x in a.keys() | b.keys():
-                if self._differ(self.passed[a[x]] if x in a else 0, n1, self.passed[b[x]] if x in b else 0, n2):
-                    return False
-                if x in a and x in b and self.passed[a[x]] > 1 and self.passed[b[x]] > 1:
-                    todo.append((a[x], b[x]))
+            for x in np.flatnonzero((share[p, :END] > 0) & (share[q, :END] > 0)).tolist():
+                a, b = int(following[p, x]), int(following[q, x])
+                if a != b and n[a] and n[b]:
+                    if cls._differ(share, n, a, np.array([b]))[0]:
+                        return False
+                    todo.append((a, b))
         return True
 
-    def fold(self, p: int, q: int) -> set[int]:
-        """Add the tree under q to p; the states that got something."""
-        todo, changed = [(p, q)], set()
-        while todo:
-            p, q = todo.pop()
-            changed.add(p)
-            self.passed[p] += self.passed[q]
-            self.ended[p] += self.ended[q]
-            for x, r in self.next[q].items():
-                if x in self.next[p]:
-                    todo.append((self.next[p][x], r))
-                else:
-                    self.next[p][x] = r
-        return changed
-
-    def merged(self) -> Automaton:
-        """Red states are settled; blue ones, next to them, merge into the first compatible red state in order or turn red."""
-        red, settled, waiting = [0], {0}, deque((0, x) for x in sorted(self.next[0]))
-        while waiting:
-            p, x = waiting.popleft()
-            q = self.next[p][x]
-            if q in settled:
-                continue
-            same = next((r for r in red if self.compatible(r, q)), None)
-            if same is None:
-                red.append(q)
-                settled.add(q)
-                waiting.extend((q, y) for y in sorted(self.next[q]))
-            else:
-                self.next[p][x] = same
-                waiting.extend((r, y) for r in sorted(self.fold(same, q) & settled) for y in sorted(self.next[r]) if self.next[r][y] not in settled)
-        return self
-
-    def log_likelihood(self, s: list[str]) -> float:
-        """Of the symbols, smoothed; where the automaton has no way on, the state stays."""
-        q, total = 0, 0.0
-        for x in s:
-            p = self.weights[q].get(x, 0) / self.passed[q] if self.passed[q] else 0.0
-            total += math.log((1 - MIX) * p + MIX / SYMBOLS)
-            q = self.next[q].get(x, q)
-        return total
-
-    def weigh(self, strings: Iterable[list[str]]) -> Automaton:
-        """Count the strings' ways through the merged states."""
-        self.passed, self.weights = [0] * len(self.next), [{} for _ in self.next]
-        for s in strings:
-            q = 0
-            for x in s:
-                r = self.next[q].get(x)
-                if r is None:
-                    break
-                self.passed[q] += 1
-                self.weights[q][x] = self.weights[q].get(x, 0) + 1
-                q = r
-            else:
-                self.passed[q] += 1
-        return self
-
-    def trimmed(self) -> Automaton:
-        """Only what the strings reach."""
-        keep = {0}
-        todo = [0]
-        while todo:
-            for r in self.next[todo.pop()].values():
-                if r not in keep:
-                    keep.add(r)
-                    todo.append(r)
-        order = {q: i for i, q in enumerate(sorted(keep))}
-        out = Automaton()
-        out.next = [{x: order[r] for x, r in self.next[q].items()} for q in sorted(keep)]
-        out.passed, out.ended = [self.passed[q] for q in sorted(keep)], [self.ended[q] for q in sorted(keep)]
-        return out
-
 
 def infer(strings: list[str]) -> Automaton:
     """The automaton of some strings, the same for any order of them."""
-    read = [symbols(s) for s in sorted(strings)]
-    return Automaton.tree(read).merged().trimmed().weigh(read)
+    return Automaton(tallied(strings))
 
 
 class Model:
@@ -208,80 +198,133 @@ class Model:
 
     def __init__(self, kinds: dict[str, Automaton], background: Automaton | None, threshold: float):
         self.kinds, self.background, self.threshold = kinds, background, threshold
-
-    def gain(self, s: str) -> float:
-        """Nats a symbol by which the best kind explains the string better than the background; minus infinity if there is none."""
-        if not self.kinds:
-            return -math.inf
-        read = symbols(s)
-        plain = self.background.log_likelihood(read) if self.background else -math.log(16) * len(read)
-        return (max(a.log_likelihood(read) for a in self.kinds.values()) - plain) / len(read)
+        plain = background.logs if background else np.full((STATES, WIDTH), -math.log(16)) * (np.arange(WIDTH) < END)
+        self.tables = [(a.logs - plain).ravel() for a in kinds.values()]
+
+    def gains(self, strings: list[str]) -> np.ndarray:
+        """Nats a symbol by which the best kind explains each string better than the background; minus infinity if there is none."""
+        if not self.kinds or not strings:
+            return np.full(len(strings), -np.inf)
+        total = np.zeros((len(self.tables), len(strings)))
+        for at, owner in cells(strings):
+            for i, t in enumerate(self.tables):
+                total[i] += np.bincount(owner, t[at], len(strings))
+        return total.max(axis=0) / np.array([len(s) for s in strings])
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, kind, end) of all spans; kind 3 is what the automata add."""
         if not text:
             return []
         base = base_spans(text)
-        more = [(a, 3, b) for a, b, s in candidates(text, base) if self.gain(s) >= self.threshold] if self.kinds else []
-        return sorted(base + more)
-
-
-def _lowest(found: dict[str, dict[str, int]]) -> Iterator[tuple[str, str, int]]:
-    for kind, strings in found.items():
-        yield from ((kind, s, h) for s, h in sorted(strings.items(), key=lambda x: (x[1], x[0]))[:SAMPLE])
+        more = list(candidates(text, base)) if self.kinds else []
+        return sorted(base + [(a, 3, b) for (a, b, _), gain in zip(more, self.gains([s for *_, s in more]), strict=True) if gain >= self.threshold])
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """(kind, string, h): of each kind the SAMPLE strings with the smallest hashes over all texts. Background and ordinary strings are tokens outside the base spans."""
+    """(kind, string, half): all distinct strings of each kind over all texts, each in one of two halves by its hash. Background and ordinary strings are tokens outside the base spans."""
     ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, dict[str, int]] = {k: {} for k in (*KINDS, BACKGROUND, ORDINARY)}
+        found: dict[str, set[str]] = {k: set() for k in (*KINDS, BACKGROUND, ORDINARY)}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for k, strings in found.items():
+                if strings:
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(strings), pa.string()), pa.array(list(strings), pa.string())], ["kind", "string"])
+                    strings.clear()
+
         for b in batches:
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
                 base = base_spans(text)
                 for start, kind, end in base:
-                    s = ASSIGN.match(text, start, end)[2] if kind == 0 else text[start:end]
-                    if len(s) <= LONGEST:
-                        found[KINDS[kind]][s] = xxhash.xxh64_intdigest(s, 7) >> 1
+                    found[KINDS[kind]].add(ASSIGN.match(text, start, end)[2] if kind == 0 else text[start:end])
                 spans = iter(base)
                 near = next(spans, None)
                 for m in TOKEN.finditer(text):
                     while near and near[2] <= m.start():
                         near = next(spans, None)
-                    if m.end() - m.start() <= LONGEST and not (near and near[0] < m.end()):
-                        found[BACKGROUND if m.end() - m.start() >= LONG else ORDINARY][m[0]] = xxhash.xxh64_intdigest(m[0], 7) >> 1
-            for k, strings in found.items():
-                if len(strings) > 20 * SAMPLE:
-                    found[k] = {s: h for _, s, h in _lowest({k: strings})}
-        rows = list(_lowest(found))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["kind", "string", "h"])
-
-    each = cut(docs.select("text").mapInArrow(run, "kind string, string string, h long"), "credentials")
-    parts = [each.where(F.col("kind") == k).distinct().orderBy("h", "string").limit(SAMPLE) for k in (*KINDS, BACKGROUND, ORDINARY)]
-    return reduce(DataFrame.union, parts)
-
-
-def trained(strings: dict[str, list[str]]) -> Model:
-    """The model of strings by kind. Long background tokens that the kinds explain better than ordinary tokens do, by LEAST_GAIN, are taken for credentials and left out; every other token of what remains is kept to set the threshold on."""
-    kinds = {k: infer(v) for k, v in sorted(strings.items()) if k in KINDS and v}
-    ordinary, long = sorted(strings.get(ORDINARY, [])), sorted(strings.get(BACKGROUND, []))
-    first = Model(kinds, infer(ordinary) if ordinary else None, LEAST_GAIN)
-    plain = [*ordinary, *(s for s in long if not kinds or first.gain(s) < LEAST_GAIN)]
-    model = Model(kinds, infer(plain[::2]) if plain else None, LEAST_GAIN)
-    unseen = sorted(model.gain(s) for s in plain[1::2]) if kinds else []
-    if unseen:
-        model.threshold = max(LEAST_GAIN, unseen[min(len(unseen) - 1, int((1 - FALSE_ALARMS) * len(unseen)))])
-    return model
+                    if not (near and near[0] < m.end()):
+                        found[BACKGROUND if m.end() - m.start() >= LONG else ORDINARY].add(m[0])
+            if sum(map(len, found.values())) > HELD:
+                yield from rows()
+        yield from rows()
+
+    each = docs.select("text").mapInArrow(run, "kind string, string string").distinct()
+    return cut(each.withColumn("half", F.pmod(F.xxhash64("string"), F.lit(2)).cast("int")), "credentials")
+
+
+def counted(strings: DataFrame, plain: Model | None = None) -> dict[tuple[str, int], np.ndarray]:
+    """By kind and half: how often each state meets each symbol over all strings, or over those that the model `plain` gives no gain. What is collected depends on the symbols, not on the strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for key, some in _by_kind(batches, plain):
+            n = tallied(some)
+            sums[key] = sums[key] + n if key in sums else n
+        for (kind, half), n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array([half] * len(at), pa.int32()), pa.array(at), pa.array(n[at])], ["kind", "half", "cell", "n"])
+
+    out: dict[tuple[str, int], np.ndarray] = {}
+    for kind, half, cell, n in strings.mapInArrow(run, "kind string, half int, cell long, n long").groupBy("kind", "half", "cell").agg(F.sum("n").alias("n")).collect():
+        out.setdefault((kind, half), np.zeros(STATES * WIDTH, np.int64))[cell] = n
+    return out
+
+
+def _by_kind(batches: Iterable[pa.RecordBatch], plain: Model | None) -> Iterator[tuple[tuple[str, int], list[str]]]:
+    """((kind, half), strings) of batches of labelled; of long background tokens only those that the model gives no gain."""
+    for b in batches:
+        groups: dict[tuple[str, int], list[str]] = {}
+        for kind, s, half in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            groups.setdefault((kind, half), []).append(s)
+        for (kind, half), some in groups.items():
+            if plain and kind == BACKGROUND:
+                some = [s for s, gain in zip(some, plain.gains(some).tolist(), strict=True) if gain < LEAST_GAIN]
+            if some:
+                yield (kind, half), some
+
+
+def threshold(strings: DataFrame, plain: Model, model: Model) -> float:
+    """The least gain that only FALSE_ALARMS of all plain strings exceed, LEAST_GAIN at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some in _by_kind(batches, plain):
+            gains = model.gains(some)
+            step, n = np.unique(np.floor(np.maximum(gains, LEAST_GAIN) / STEP).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
+
+    steps = sorted(strings.mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect(), reverse=True)
+    allowed = FALSE_ALARMS * sum(r["n"] for r in steps)
+    for r in steps:
+        allowed -= r["n"]
+        if allowed < 0:
+            return max(LEAST_GAIN, (r["step"] + 1) * STEP)
+    return LEAST_GAIN
 
 
 def fit(docs: DataFrame) -> Model:
-    """Automata from the credentials that the base patterns label, and a background without what they explain; see trained."""
-    by: dict[str, list[str]] = {}
-    for r in labelled(docs).collect():
-        by.setdefault(r["kind"], []).append(r["string"])
-    return trained(by)
+    """Automata of all credentials that the base patterns label, and of the background without what they explain.
+
+    Long background tokens that the kinds explain better than ordinary tokens do, by LEAST_GAIN, are taken for credentials
+    and left out; of what remains one half makes the background's automaton and the other sets the threshold.
+    """
+    strings = labelled(docs)
+    long = F.col("kind") == BACKGROUND
+    n = counted(strings.where(~long))
+    of = lambda *keys: sum((n[k] for k in keys if k in n), np.zeros(STATES * WIDTH, np.int64))
+    known = {k: of((k, 0), (k, 1)) for k in sorted(KINDS)}
+    kinds = {k: Automaton(c) for k, c in known.items() if c.any()}
+    if not kinds:
+        return Model({}, None, LEAST_GAIN)
+    ordinary = of((ORDINARY, 0), (ORDINARY, 1))
+    first = Model(kinds, Automaton(ordinary) if ordinary.any() else None, LEAST_GAIN)
+    n |= counted(strings.where(long & (F.col("half") == 0)), first)
+    plain = of((ORDINARY, 0), (BACKGROUND, 0))
+    model = Model(kinds, Automaton(plain) if plain.any() else None, LEAST_GAIN)
+    model.threshold = threshold(strings.where(F.col("kind").isin(BACKGROUND, ORDINARY) & (F.col("half") == 1)), first, model)
+    return model
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:

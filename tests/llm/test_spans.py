@@ -74,6 +74,29 @@ def test_secrets_found_however_many_leak(spark, bare):
     assert sum(bool(found[400 + bare + i]) for i in range(len(others))) <= 0.01 * len(others)
 
 
+def test_secrets_learn_from_all_strings(spark, monkeypatch):
+    """Every distinct string counts, however many and however long, in whatever pieces they are read, and repeats don't."""
+    r = random.Random(9)
+    keys = ["".join(r.choice(secrets.LETTERS[:62]) for _ in range(r.choice([8, 20, 300]))) for _ in range(3000)]
+    d = docs(spark, [f"token={k} and password={k}" for k in keys])
+    rows = [(x["kind"], x["string"]) for x in secrets.labelled(d).collect()]
+    assert len(rows) == len(set(rows)) and {s for k, s in rows if k == "assign"} == {*keys, "hunter2hunter2"}
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    want = secrets.tallied([*keys[:50], "a"])
+    steps = 0
+    for s in [*keys[:50], "a"]:
+        state = 0
+        for i, c in enumerate(s):
+            x = secrets.LETTERS.index(c) if i < secrets.PREFIX else int(secrets._CLASS[ord(c)])
+            assert want[state * secrets.WIDTH + x] > 0
+            state, steps = int(secrets._following()[state, x]), steps + 1
+        assert want[state * secrets.WIDTH + secrets.END] > 0
+    assert want.sum() == steps + 51
+    monkeypatch.undo()
+    n = secrets.counted(secrets.labelled(d))
+    assert ((n["assign", 0] + n["assign", 1]) == secrets.tallied([*keys, "hunter2hunter2"])).all()
+
+
 def test_secrets_on_empty_table(spark):
     d = docs(spark, []).limit(0)
     assert secrets.scan(d, secrets.fit(d)).collect() == []
