@@ -205,3 +205,15 @@ def test_statements_made_from_small_files_are_not_broadcast(spark):
         assert "Broadcast" not in plan_of(kb.source_occurrence.join(said, "knowledge_id"))
     finally:
         spark.conf.set(LIMIT, before)
+
+
+def test_requests_are_spread_and_interpreted_in_one_pass(spark, monkeypatch):
+    """A packed file gives few tasks; requests are dealt over all before the rules, and written once, behind them."""
+    from quillspark.operators import requests
+
+    seen = []
+    monkeypatch.setattr(requests, "written", lambda df, name: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    d = spark.createDataFrame([(i, f"what is a thing {i}?") for i in range(40)], "request_id long, text string").coalesce(1)
+    found = requests.interpreted(d).orderBy("request_id").collect()
+    assert [(r["target"], r["rule"]) for r in found] == [(f"thing {i}", "query.what_is") for i in range(40)]
+    assert len(seen) == 1 and "REPARTITION_BY_COL" in seen[0]
