@@ -7,7 +7,7 @@ order of document, page, category and place.
 
 from __future__ import annotations
 
-from types import SimpleNamespace
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,17 +25,21 @@ from quillspark.storage import written
 ORDER = ("CONCEPT", "DEFINITION", "EQUATION", "VARIABLE", "UNIT", "PROPERTY", "RULE", "EXAMPLE", "PROCEDURE", "PREREQUISITE", "RELATIONSHIP")
 STORED = ("DEFINITION", "EQUATION", "VARIABLE", "UNIT", "PROPERTY", "RULE", "EXAMPLE", "PROCEDURE")
 VERSION = 6
+TWO_ENDS = ("RELATIONSHIP", "PREREQUISITE")
+#: Columns that say where a claim stands, and with what.
+PLACE = ("page_number", "rank", "char_start", "char_end")
+AT = ("document_id", *PLACE, "method", "text")
 #: Readers whose text is the document's own.
 EXACT_READERS = ("docx", "pptx", "xlsx", "epub", "html", "markdown", "txt", "csv", "rtf")
 
 
 def numbered(df: DataFrame, prefix: str, *order: Column) -> DataFrame:
-    """df with `id`, numbered from 1 in an order that has no ties: within ranges of the order, then over the ranges, so no task holds all rows."""
-    dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    """df with `id`, numbered from 1 in an order that has no ties: by place within sorted ranges of the order, and the sizes of the ranges before, so no task holds all rows and they are shuffled once."""
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_n", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     sizes = dealt.groupBy("_part").count()
     before = sizes.select("_part", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    n = F.row_number().over(W.partitionBy("_part").orderBy(*order)) + F.col("_before")
-    return dealt.join(F.broadcast(before), "_part").withColumn("id", format_id(prefix, n)).drop("_part", "_before")
+    return dealt.join(F.broadcast(before), "_part").withColumn("id", format_id(prefix, F.col("_n") + F.col("_before"))).drop("_at", "_part", "_n", "_before")
 
 
 def method_tag(category: Column, weak: Column, ocr: Column) -> Column:
@@ -48,22 +52,28 @@ def certainty(category: Column, weak: Column, ocr: Column, exact: Column) -> Col
     return F.when(ocr | weak | ((category == "EQUATION") & ~exact), "UNCERTAIN").otherwise("REPORTED_BY_SOURCE")
 
 
-def validated(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates that are kept, and the issues (document_id, page_number, issue_type, detail) of those that are not.
+def validated(candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates of one statement or name that are kept, relations and prerequisites that are, and the issues (document_id, page_number, issue_type, detail) of those that are not.
 
     Relations and prerequisites need both ends among the concepts that the document defines, by the normal form of
-    their names; equations must not be broken, and numeric ones are not stored.
+    their names; equations must not be broken, and numeric ones are not stored. Only relations meet the names. `norm_text`
+    and `norm` are what a stored statement says and its normal form, `key` that of a concept's name or a property's owner.
     """
-    c = candidates.withColumn("from_key", normalised(F.coalesce("subject", "name"))).withColumn("to_key", normalised(F.col("object"))).withColumn("problem", F.when(F.col("category") == "EQUATION", equation_problem(F.col("statement"))))
+    of = F.col("category")
+    defines, stored, two = of.isin("CONCEPT", "DEFINITION"), of.isin(*STORED), of.isin(*TWO_ENDS)
+    # texts are worked out once, before anything is written or sampled
+    c = candidates.withColumn("problem", F.when(of == "EQUATION", equation_problem(F.col("statement")))).withColumn("norm_text", F.when(stored, collapse(F.coalesce("statement", "text"))))
+    c = c.withColumn("norm", normalised(F.col("norm_text"))).withColumn("key", normalised(F.when(defines, F.col("name")).when(of == "PROPERTY", F.col("owner"))))
     c = written(c, "candidates")
-    known = c.where("category in ('CONCEPT', 'DEFINITION')").select("document_id", normalised(F.col("name")).alias("key")).distinct()
+    known = c.where(defines).select("document_id", "key").distinct()
     end = lambda side: known.select("document_id", F.col("key").alias(f"{side}_key"), F.lit(True).alias(f"knows_{side}"))
-    c = c.join(end("from"), ["document_id", "from_key"], "left").join(end("to"), ["document_id", "to_key"], "left")
-    two = F.col("category").isin("RELATIONSHIP", "PREREQUISITE")
-    broken = two & (F.col("knows_from").isNull() | F.col("knows_to").isNull())
-    kept = c.where(~broken & F.col("problem").isNull() & ~((F.col("category") == "EQUATION") & F.col("numeric"))).drop("problem", "knows_from", "knows_to")
-    issues = c.where(broken | F.col("problem").isNotNull()).select("document_id", "page_number", F.when(broken, "BROKEN_RELATIONSHIP").otherwise("INVALID_EQUATION_STRUCTURE").alias("issue_type"), F.coalesce("problem", F.concat_ws(" -> ", "from_key", "to_key")).alias("detail"))
-    return kept, issues
+    ends = c.where(two).withColumn("from_key", normalised(F.coalesce("subject", "name"))).withColumn("to_key", normalised(F.col("object"))).join(end("from"), ["document_id", "from_key"], "left").join(end("to"), ["document_id", "to_key"], "left")
+    broken = F.col("knows_from").isNull() | F.col("knows_to").isNull()
+    single = c.where(~two & F.col("problem").isNull() & ~((F.col("category") == "EQUATION") & F.col("numeric"))).drop("problem")
+    issue = lambda kind, detail: ("document_id", "page_number", F.lit(kind).alias("issue_type"), detail.alias("detail"))
+    issues = c.where(~two & F.col("problem").isNotNull()).select(*issue("INVALID_EQUATION_STRUCTURE", F.col("problem")))
+    issues = issues.union(ends.where(broken).select(*issue("BROKEN_RELATIONSHIP", F.concat_ws(" -> ", "from_key", "to_key"))))
+    return single, ends.where(~broken).select(*single.columns, "from_key", "to_key"), issues
 
 
 def labelled() -> Column:
@@ -90,65 +100,130 @@ def companions(said: DataFrame) -> DataFrame:
     return c.select(F.concat_ws("-", prefix, F.lpad(F.col("number").cast("string"), 8, "0")).alias("id"), of.alias("kind"), F.col("id").alias("knowledge_id"), "document_id", only("EQUATION", "norm_text").alias("expression"), only("VARIABLE", "symbol").alias("symbol"), name.alias("name"), only("VARIABLE", "unit").alias("unit"), F.when(of.isin("RULE", "PROCEDURE"), F.col("norm_text")).alias("statement"), F.lit("ACTIVE").alias("lifecycle_status"))
 
 
-def write(candidates: DataFrame, pages: DataFrame) -> SimpleNamespace:
-    """The tables of one run for each document: concept, alias, knowledge, companion, edge, concept_occurrence, source_occurrence, edge_occurrence, issue, run.
+class Tables:
+    """The tables of one run for each document: concept, alias, knowledge, companion, edge, concept_occurrence, source_occurrence, edge_occurrence, issue, run. Each is made, with what it needs, when it is first asked for."""
+
+    def __init__(self, candidates: DataFrame, pages: DataFrame) -> None:
+        self._pages = pages
+        single, two, self._broken = validated(candidates)
+        self._single, self._two = self._marked(single), self._marked(two)
+
+    def _marked(self, kept: DataFrame) -> DataFrame:
+        """Kept candidates with their rank, method and certainty; they meet the pages only where these say how their text was got."""
+        says = {"ocr": ("text_origin", F.col("text_origin") == "OCR"), "exact": ("reader", F.col("reader").isin(*EXACT_READERS))}
+        told = {name: c.alias(name) for name, (column, c) in says.items() if column in self._pages.columns}
+        c = kept.join(self._pages.select("document_id", "page_number", *told.values()), ["document_id", "page_number"], "left") if told else kept
+        c = c.withColumns({name: F.lit(False) for name in says if name not in told}).na.fill(False, ["ocr", "exact", "weak"])
+        rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("category"))
+        c = c.withColumn("rank", rank).withColumn("method", method_tag(F.col("category"), F.col("weak"), F.col("ocr"))).withColumn("certainty", certainty(F.col("category"), F.col("weak"), F.col("ocr"), F.col("exact")))
+        return written(c, "kept") if told else c
+
+    @property
+    def _known(self) -> DataFrame:
+        return self._single.where("category in ('CONCEPT', 'DEFINITION')").select("document_id", "key").distinct()
+
+    @cached_property
+    def _named(self) -> DataFrame:
+        """Where concepts are named, and by which name and key."""
+        c, two = self._single, self._two
+        owner = c.where("category = 'PROPERTY' and owner is not null").join(self._known, ["document_id", "key"], "left_semi")
+        ends = [
+            c.where("category in ('CONCEPT', 'DEFINITION')").select(*AT, "name", "key"), owner.select(*AT, F.col("owner").alias("name"), "key"),
+            two.select(*AT, F.coalesce("subject", "name").alias("name"), F.col("from_key").alias("key")), two.select(*AT, F.col("object").alias("name"), F.col("to_key").alias("key")),
+        ]
+        return written(reduce(DataFrame.union, ends), "named")
+
+    @cached_property
+    def _concepts(self) -> DataFrame:
+        first = self._named.groupBy("document_id", "key").agg(F.min(F.struct(*PLACE, "name")).alias("f"))
+        concept = numbered(first.select("document_id", "key", "f.name", *(F.col(f"f.{p}").alias(p) for p in PLACE)), "CPT", F.col("document_id"), *(F.col(p) for p in PLACE), F.col("key"))
+        return written(concept.select("document_id", "key", F.col("name").alias("canonical_name"), "id"), "concepts")
+
+    @property
+    def _ids(self) -> DataFrame:
+        return self._concepts.select("document_id", "key", F.col("id").alias("concept_id"))
+
+    @cached_property
+    def _said(self) -> DataFrame:
+        """Statements with their numbers, and those of the equal ones that they are linked to."""
+        said = self._single.where(F.col("category").isin(*STORED))
+        said = numbered(said, "K", F.col("document_id"), *(F.col(p) for p in PLACE), F.col("norm_text"), F.coalesce("name", F.lit("")), F.coalesce("symbol", F.lit("")), F.coalesce("unit", F.lit("")))
+        items = said.select("id", F.col("category").alias("knowledge_type"), "norm", F.concat_ws(":", "document_id", "page_number", "char_start").alias("location"), F.when(F.col("category") == "DEFINITION", F.col("key")).alias("alias"))
+        return written(said.join(exact_groups(items), "id"), "linked")
+
+    @cached_property
+    def _related(self) -> DataFrame:
+        """What is related where: a concept to a statement or another concept."""
+        said, ids = self._said, self._ids
+        hold = said.where("category = 'DEFINITION' and name is not null").select(*AT, F.lit("DEFINED_BY").alias("relation_type"), "key", F.col("canonical_id").alias("target"))
+        hold = hold.union(said.where("category = 'PROPERTY' and owner is not null").join(self._known, ["document_id", "key"], "left_semi").select(*AT, F.lit("HAS_PROPERTY"), "key", F.col("canonical_id")))
+        hold = hold.join(ids, ["document_id", "key"]).select(*AT, "relation_type", F.col("concept_id").alias("source"), "target")
+        pre = self._two.select(*AT, F.when(F.col("category") == "PREREQUISITE", "PREREQUISITE_OF").otherwise(F.col("relation_type")).alias("relation_type"), "from_key", "to_key")
+        pre = pre.join(ids.withColumnRenamed("key", "from_key").withColumnRenamed("concept_id", "source"), ["document_id", "from_key"]).join(ids.withColumnRenamed("key", "to_key").withColumnRenamed("concept_id", "target"), ["document_id", "to_key"])
+        return written(hold.union(pre.select(*AT, "relation_type", "source", "target")), "related")
+
+    @cached_property
+    def edge(self) -> DataFrame:
+        single = self._related.groupBy("relation_type", "source", "target").agg(F.min(F.struct("document_id", *PLACE)).alias("f"))
+        edge = numbered(single.select("relation_type", "source", "target", "f.*"), "REL", F.col("document_id"), *(F.col(p) for p in PLACE), F.col("relation_type"), F.col("source"), F.col("target"))
+        return written(edge.select("id", "relation_type", F.col("source").alias("from_concept_id"), F.when(F.col("target").startswith("CPT-"), F.col("target")).alias("to_concept_id"), F.when(F.col("target").startswith("K-"), F.col("target")).alias("to_knowledge_id"), F.lit("EXPLICIT").alias("origin"), F.lit("ACTIVE").alias("lifecycle_status")), "edges")
+
+    @cached_property
+    def concept(self) -> DataFrame:
+        return self._concepts.select("id", "document_id", "canonical_name", F.lit("ACTIVE").alias("lifecycle_status"))
+
+    @cached_property
+    def alias(self) -> DataFrame:
+        return self._concepts.select(F.col("id").alias("concept_id"), F.col("key").alias("normalized_alias"), F.col("canonical_name").alias("alias"), F.lit("ACTIVE").alias("lifecycle_status"))
+
+    @cached_property
+    def knowledge(self) -> DataFrame:
+        return self._said.where("id = canonical_id").select("id", "document_id", F.col("category").alias("knowledge_type"), labelled().alias("label"), F.col("norm_text").alias("statement"), "certainty", F.lit("ACTIVE").alias("lifecycle_status"))
+
+    @cached_property
+    def companion(self) -> DataFrame:
+        return companions(self._said.where("id = canonical_id"))
+
+    @cached_property
+    def source_occurrence(self) -> DataFrame:
+        return self._said.select(F.col("canonical_id").alias("knowledge_id"), (F.col("id") != F.col("canonical_id")).alias("linked"), "category", *_spot())
+
+    @cached_property
+    def concept_occurrence(self) -> DataFrame:
+        return self._named.join(self._ids, ["document_id", "key"]).select("concept_id", *_spot()).dropDuplicates(["concept_id", "page_number", "char_start"])
+
+    @cached_property
+    def edge_occurrence(self) -> DataFrame:
+        by_edge = self.edge.select(F.col("id").alias("relationship_id"), "relation_type", F.col("from_concept_id").alias("source"), F.coalesce("to_concept_id", "to_knowledge_id").alias("target"))
+        return self._related.join(by_edge, ["relation_type", "source", "target"]).select("relationship_id", *_spot())
+
+    @cached_property
+    def issue(self) -> DataFrame:
+        claims = masked(self._pages.select("document_id", "page_number", "text")).select("document_id", "page_number", F.col("expository").alias("text"))
+        return written(self._broken.union(page_glyph_loss(claims).select("document_id", "page_number", F.lit("OCR_UNCERTAINTY"), F.concat_ws(": ", "sign", "excerpt"))), "issues")
+
+    @cached_property
+    def run(self) -> DataFrame:
+        lost = self.issue.where(F.col("issue_type").isin(*DISCARDING)).groupBy("document_id").agg(F.count("*").alias("n_issues"))
+        runs = self._pages.select("document_id").distinct().join(lost, "document_id", "left")
+        return runs.select("document_id", F.when(F.coalesce("n_issues", F.lit(0)) > 0, "PARTIAL").otherwise("COMPLETED").alias("status"))
+
+
+def _spot() -> tuple[str | Column, ...]:
+    return "document_id", "page_number", "char_start", "char_end", F.col("method").alias("extraction_method"), "text"
+
+
+def write(candidates: DataFrame, pages: DataFrame) -> Tables:
+    """See Tables.
 
     A run is PARTIAL if one of its issues kept something from being stored as it stands, lost glyphs among its claims included.
 
     candidates: what detectors found; pages: (document_id, page_number, text), with text_origin and reader if known.
     Repeated candidates add occurrences; documents without candidates have a run and nothing else.
     """
-    kept, issues = validated(candidates)
-    origin = pages.select("document_id", "page_number", (F.col("text_origin") == "OCR" if "text_origin" in pages.columns else F.lit(False)).alias("ocr"), (F.col("reader").isin(*EXACT_READERS) if "reader" in pages.columns else F.lit(False)).alias("exact"))
-    c = kept.join(origin, ["document_id", "page_number"], "left").na.fill(False, ["ocr", "exact", "weak"])
-    rank = F.array_position(F.array(*map(F.lit, ORDER)), F.col("category"))
-    c = written(c.withColumn("rank", rank).withColumn("method", method_tag(F.col("category"), F.col("weak"), F.col("ocr"))).withColumn("certainty", certainty(F.col("category"), F.col("weak"), F.col("ocr"), F.col("exact"))), "kept")
-    place = ("page_number", "rank", "char_start", "char_end")
-    at = ("document_id", *place, "method", "text")
-
-    known = c.where("category in ('CONCEPT', 'DEFINITION')").select("document_id", normalised(F.col("name")).alias("key"), F.lit(True).alias("known")).distinct()
-    owner = c.where("category = 'PROPERTY' and owner is not null").withColumn("key", normalised(F.col("owner"))).join(known, ["document_id", "key"], "left_semi").select(*at, F.col("owner").alias("name"), "key")
-    ends = [c.where("category in ('CONCEPT', 'DEFINITION')").select(*at, "name", normalised(F.col("name")).alias("key")), owner]
-    two = c.where("category in ('RELATIONSHIP', 'PREREQUISITE')")
-    ends += [two.select(*at, F.coalesce("subject", "name").alias("name"), F.col("from_key").alias("key")), two.select(*at, F.col("object").alias("name"), F.col("to_key").alias("key"))]
-    named = written(ends[0].union(ends[1]).union(ends[2]).union(ends[3]), "named")
-    first = named.groupBy("document_id", "key").agg(F.min(F.struct(*place, "name")).alias("f"))
-    concept = numbered(first.select("document_id", "key", "f.name", *(F.col(f"f.{p}").alias(p) for p in place)), "CPT", F.col("document_id"), *(F.col(p) for p in place), F.col("key"))
-    concept = written(concept.select("document_id", "key", F.col("name").alias("canonical_name"), "id"), "concepts")
-    ids = concept.select("document_id", "key", F.col("id").alias("concept_id"))
-
-    said = c.where(F.col("category").isin(*STORED)).withColumn("norm_text", collapse(F.coalesce("statement", "text")))
-    said = numbered(said, "K", F.col("document_id"), *(F.col(p) for p in place), F.col("norm_text"), F.coalesce("name", F.lit("")), F.coalesce("symbol", F.lit("")), F.coalesce("unit", F.lit("")))
-    said = written(said.withColumn("norm", normalised(F.col("norm_text"))), "said")
-    items = said.select("id", F.col("category").alias("knowledge_type"), "norm", F.concat_ws(":", "document_id", "page_number", "char_start").alias("location"), F.when(F.col("category") == "DEFINITION", normalised(F.col("name"))).alias("alias"))
-    said = written(said.join(exact_groups(items), "id"), "linked")
-    knowledge = said.where("id = canonical_id").select("id", "document_id", F.col("category").alias("knowledge_type"), labelled().alias("label"), F.col("norm_text").alias("statement"), "certainty", F.lit("ACTIVE").alias("lifecycle_status"))
-
-    key = lambda col: normalised(F.col(col))
-    hold = said.where("category = 'DEFINITION' and name is not null").select(*at, F.lit("DEFINED_BY").alias("relation_type"), key("name").alias("key"), F.col("canonical_id").alias("target"))
-    hold = hold.union(said.where("category = 'PROPERTY' and owner is not null").withColumn("key", key("owner")).join(known, ["document_id", "key"], "left_semi").select(*at, F.lit("HAS_PROPERTY"), "key", F.col("canonical_id")))
-    hold = hold.join(ids, ["document_id", "key"]).select(*at, "relation_type", F.col("concept_id").alias("source"), "target")
-    pre = two.select(*at, F.when(F.col("category") == "PREREQUISITE", "PREREQUISITE_OF").otherwise(F.col("relation_type")).alias("relation_type"), "from_key", "to_key")
-    pre = pre.join(ids.withColumnRenamed("key", "from_key").withColumnRenamed("concept_id", "source"), ["document_id", "from_key"]).join(ids.withColumnRenamed("key", "to_key").withColumnRenamed("concept_id", "target"), ["document_id", "to_key"])
-    edges = written(hold.union(pre.select(*at, "relation_type", "source", "target")), "related")
-    single = edges.groupBy("relation_type", "source", "target").agg(F.min(F.struct("document_id", *place)).alias("f"))
-    edge = numbered(single.select("relation_type", "source", "target", "f.*"), "REL", F.col("document_id"), *(F.col(p) for p in place), F.col("relation_type"), F.col("source"), F.col("target"))
-    edge = written(edge.select("id", "relation_type", F.col("source").alias("from_concept_id"), F.when(F.col("target").startswith("CPT-"), F.col("target")).alias("to_concept_id"), F.when(F.col("target").startswith("K-"), F.col("target")).alias("to_knowledge_id"), F.lit("EXPLICIT").alias("origin"), F.lit("ACTIVE").alias("lifecycle_status")), "edges")
-
-    spot = ("document_id", "page_number", "char_start", "char_end", F.col("method").alias("extraction_method"), "text")
-    by_edge = edge.select(F.col("id").alias("relationship_id"), "relation_type", F.col("from_concept_id").alias("source"), F.coalesce("to_concept_id", "to_knowledge_id").alias("target"))
-    claims = masked(pages.select("document_id", "page_number", "text")).select("document_id", "page_number", F.col("expository").alias("text"))
-    issues = written(issues.union(page_glyph_loss(claims).select("document_id", "page_number", F.lit("OCR_UNCERTAINTY"), F.concat_ws(": ", "sign", "excerpt"))), "issues")
-    lost = issues.where(F.col("issue_type").isin(*DISCARDING)).groupBy("document_id").agg(F.count("*").alias("n_issues"))
-    runs = pages.select("document_id").distinct().join(lost, "document_id", "left")
-    return SimpleNamespace(
-        concept=concept.select("id", "document_id", "canonical_name", F.lit("ACTIVE").alias("lifecycle_status")), alias=concept.select(F.col("id").alias("concept_id"), F.col("key").alias("normalized_alias"), F.col("canonical_name").alias("alias"), F.lit("ACTIVE").alias("lifecycle_status")),
-        knowledge=knowledge, edge=edge, source_occurrence=said.select(F.col("canonical_id").alias("knowledge_id"), (F.col("id") != F.col("canonical_id")).alias("linked"), "category", *spot),
-        concept_occurrence=named.join(ids, ["document_id", "key"]).select("concept_id", *spot).dropDuplicates(["concept_id", "page_number", "char_start"]), edge_occurrence=edges.join(by_edge, ["relation_type", "source", "target"]).select("relationship_id", *spot),
-        companion=companions(said.where("id = canonical_id")), issue=issues, run=runs.select("document_id", F.when(F.coalesce("n_issues", F.lit(0)) > 0, "PARTIAL").otherwise("COMPLETED").alias("status")),
-    )
+    return Tables(candidates, pages)
 
 
-def report(tables: SimpleNamespace) -> DataFrame:
+def report(tables: Tables) -> DataFrame:
     """(document_id, category, n_stored, n_linked) of what was written."""
     return tables.source_occurrence.groupBy("document_id", "category").agg(F.count_if(~F.col("linked")).alias("n_stored"), F.count_if(F.col("linked")).alias("n_linked"))

@@ -217,3 +217,22 @@ def test_requests_are_spread_and_interpreted_in_one_pass(spark, monkeypatch):
     found = requests.interpreted(d).orderBy("request_id").collect()
     assert [(r["target"], r["rule"]) for r in found] == [(f"thing {i}", "query.what_is") for i in range(40)]
     assert len(seen) == 1 and "REPARTITION_BY_COL" in seen[0]
+
+
+def test_writer_makes_only_what_is_asked_for(spark, monkeypatch):
+    """Statements need no edges or issues, rows are numbered without a second shuffle, and pages that don't say how they were read are not met."""
+    from quillspark.operators import writer
+
+    names, plans, kept = [], [], writer.written
+    monkeypatch.setattr(writer, "written", lambda df, name: (names.append(name), plans.append(plan_of(df)), kept(df, name))[2])
+    found = QUERIES["v10_planted_knowledge"](spark, SF)
+    assert found.count() > 0 and set(names) == {"candidates", "numbered", "linked"}
+    assert not any("row_number" in p for p in plans) and "REPARTITION_BY_COL" in plans[0]
+
+
+def test_numbers_follow_the_order_over_all_ranges(spark):
+    from quillspark.operators import writer
+
+    rows = spark.range(1000, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("v"))
+    found = writer.numbered(rows, "K", F.col("v")).orderBy("v").collect()
+    assert [(r["v"], r["id"]) for r in found] == [(i, f"K-{i + 1:08d}") for i in range(1000)]
