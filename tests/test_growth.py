@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark import session
 from quillspark.adapter import knowledge_base
-from quillspark.operators import calculation, catalogue, classification, dedup, detectors, mentions, retrieval, solving, structure, verification
+from quillspark.operators import calculation, catalogue, classification, dedup, detectors, mentions, requests, retrieval, solving, structure, verification
 from quillspark.plans import lookups  # noqa: F401, queries register on import
 from quillspark.plans.catalog import QUERIES
 
@@ -86,6 +86,17 @@ def test_lines_of_a_number_that_two_edges_bear_keep_their_order(spark):
     assert [x["text"] for x in found.collect()] == ["APPLIES_TO: NATION_6", "PARENT_OF: NATION_6"]
 
 
+def test_answers_leave_out_no_line_and_no_mention(spark):
+    kb = knowledge_base(spark, SF)
+    edges = spark.range(6000).selectExpr("concat('REL-', lpad(id, 8, '0')) as id", "'RELATED_TO' as relation_type", "'EXPLICIT' as origin", "'ACTIVE' as lifecycle_status", "'CPT-00000001' as from_concept_id", "'CPT-00000002' as to_concept_id", "cast(null as string) as to_knowledge_id")
+    said = spark.range(30).selectExpr("concat('K-', lpad(id, 8, '0')) as id", "'PROPERTY' as knowledge_type", "'x' as canonical_name", "'the america is rated' as statement", "'ACTIVE' as lifecycle_status", "'KNOWN' as certainty")
+    kb = SimpleNamespace(**vars(kb) | {"edge": edges, "knowledge": said})
+    asked = spark.createDataFrame([(1, "Show everything about AFRICA"), (2, "What are the prerequisites of AMERICA")], "request_id long, text string")
+    asked = asked.unionByName(spark.createDataFrame([(3, "Show everything about ASIA")], asked.schema))
+    found = {(x["request_id"], x["status"]): (x["n"], x["last"]) for x in requests.answers(kb, asked).groupBy("request_id", "status").agg(F.count("*").alias("n"), F.max("line").alias("last")).collect()}
+    assert found == {(1, "FOUND"): (6000, 6000), (2, "MENTIONED"): (30, 30), (3, "UNKNOWN"): (1, 0)}
+
+
 def test_problems_are_not_broadcast_to_meet_equations(spark, monkeypatch):
     plans, old = [], calculation.written
     monkeypatch.setattr(calculation, "written", lambda df, name: (plans.append(plan_of(df)) if name == "tried" else None, old(df, name))[1])
