@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from types import SimpleNamespace
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ STATED = ("REPORTED_BY_SOURCE", "KNOWN", "VERIFIED")
 EXTRA_STEPS, MAX_PLANS, MIXED_STEPS = 2, 8, 3
 #: Ways to read a run of letters that are told apart.
 _WAYS = 3
+#: How many times as many equations the search for plans would rather try ahead than back: what is found ahead need not be looked at from behind.
+_LEAN = 4
 
 
 def heads(equations: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def spelled(rows: DataFrame) -> DataFrame:
                 try:
                     name, tree = formulas.parse(text)
                     formula = formulas.written(name, tree)
-                    needs = formulas.symbols(formula)[1:]
+                    needs = formulas.symbols_of(name, tree)[1:]
                     if name in needs:
                         raise formulas.FormulaError("the quantity stands on both sides")
                     out.append((formula, name, needs, None))
@@ -172,15 +175,16 @@ def forms(stated: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for equation_id, formula, by_source in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                name, *needs = formulas.symbols(formula)
+                name, tree = formulas.parse(formula)
+                needs = formulas.symbols_of(name, tree)[1:]
                 if needs:
                     out.append((equation_id, formula, name, needs, formula, False, by_source))
                 for wanted in needs:
                     try:
-                        other = formulas.isolate(formula, wanted)
+                        other = formulas.isolated(name, tree, wanted)
                     except formulas.FormulaError:
                         continue
-                    out.append((equation_id, formula, wanted, formulas.symbols(other)[1:], other, True, by_source))
+                    out.append((equation_id, formula, wanted, formulas.symbols_of(wanted, other)[1:], formulas.written(wanted, other), True, by_source))
             kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.bool_()]
             names = ["equation_id", "statement", "output", "inputs", "formula", "rearranged", "stated"]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
@@ -269,44 +273,89 @@ def plans(found: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame:
     """(problem_id, place, steps): the KEEP best plans that give each problem's target (problem_id, symbol) from what it knows (problem_id, symbol); found: see forms.
 
     A plan's steps are in the order in which they can be applied, at most MAX_DEPTH deep; no quantity is found twice in
-    it, and no statement is used twice. Only quantities that lie behind the target within that depth are looked at, never
-    all that a problem could reach. The KEEP best plans of each quantity grow by one level a round; a round leaves out
-    what lies too far behind the target for its plans to get there in the rounds that remain.
+    it, and no statement is used twice. Only equations that lead from what is known to the target within that depth are
+    looked at (see _between). The KEEP best plans of each quantity grow by one level a round; a round leaves out what
+    lies too far behind the target for its plans to get there in the rounds that remain.
     """
     kind = "array<" + _STEP + ">"
     step = F.struct("equation_id", "statement", "output", "inputs", "formula", "rearranged", "stated").alias("step")
-    each = written(found.select("output", step), "forms")
-    # backwards from the target: what it may need, as deep as plans go
+    # written with their numbers, so that these stay the same
+    each = written(found.select(F.monotonically_increasing_id().alias("form"), step), "forms")
     wanted = written(targets.select("problem_id", "symbol").distinct(), "wanted")
     given = written(known.select("problem_id", "symbol").distinct(), "given")
-    front, needed, used = wanted, wanted, None
-    for far in range(MAX_DEPTH):
-        ways = front.join(given, ["problem_id", "symbol"], "left_anti").join(each, F.col("symbol") == F.col("output")).select("problem_id", F.lit(far).alias("far"), "step")
-        ways = written(ways, "ways")
-        used = ways if used is None else used.union(ways)
-        front = written(ways.select("problem_id", F.explode("step.inputs").alias("symbol")).distinct().join(needed, ["problem_id", "symbol"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        needed = needed.union(front)
-    inputs = written(used.select("problem_id", "far", "step", F.explode("step.inputs").alias("symbol")), "inputs")
+    inputs = _between(each, wanted, given)
     leaves = given.select("problem_id", "symbol", F.array(F.array().cast(kind)).alias("plans"))
-    now = None
+    now, before = None, None
     for left in range(MAX_DEPTH - 1, -1, -1):
         options = leaves if now is None else leaves.union(now.select("problem_id", "symbol", "plans"))
-        ready = inputs.where(F.col("far") <= left).join(options, ["problem_id", "symbol"]).groupBy("problem_id", "far", "step").agg(F.collect_list(F.struct("symbol", "plans")).alias("plans")).where("size(plans) = size(step.inputs)")
+        ready = inputs.where(F.col("far") <= left).join(options, ["problem_id", "symbol"]).groupBy("problem_id", "far", "form").agg(F.collect_list(F.struct("symbol", "plans")).alias("plans"))
+        ready = ready.join(each, "form").where("size(plans) = size(step.inputs)")
         made = _merged(ready).withColumn("rank", _rank()).distinct()
         best = made.withColumn("place", F.row_number().over(W.partitionBy("problem_id", "symbol").orderBy("rank"))).where(F.col("place") <= KEEP)
         new = written(best.groupBy("problem_id", "symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "steps"))), lambda x: x["steps"]).alias("plans"), F.first("far").alias("far")), "plans")
         # the same plans as a round before, of all that this round looks at: they stay so
-        mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("problem_id", "symbol", "plans") % F.lit(1 << 40))).first()
-        same = now is not None and mark(new) == mark(now.where(F.col("far") <= left))
+        marks = {x[0]: x[1:] for x in new.groupBy("far").agg(F.count("*"), F.sum(F.xxhash64("problem_id", "symbol", "plans") % F.lit(1 << 40))).collect()}
+        same = before is not None and marks == {f: m for f, m in before.items() if f <= left}
         forget(now)
-        now = new
+        now, before = new, marks
         if same:
             break
     return now.join(wanted, ["problem_id", "symbol"], "left_semi").select("problem_id", F.posexplode("plans").alias("place", "steps"))
 
 
+def _between(each: DataFrame, wanted: DataFrame, given: DataFrame) -> DataFrame:
+    """(problem_id, far, form, symbol): the inputs of the equations (form, step) by which wanted quantities (problem_id, symbol) can be had from given ones in MAX_DEPTH levels, far the levels between an equation and the target.
+
+    The search goes from both ends until it meets: back from the target through all that it may need, ahead from what is
+    given through what it gives; the next level is made ahead unless more than _LEAN times as many equations wait there.
+    Behind the place where they meet only equations count whose inputs can be had in the levels that remain, so none of
+    the others is looked at.
+    """
+    key = ["problem_id", "symbol"]
+    uses = written(each.select("form", F.col("step.output").alias("output"), F.size("step.inputs").alias("n"), F.explode("step.inputs").alias("symbol")), "uses")
+    # all inputs must be given at first, so an equation waits for the one that the fewest problems know
+    n_known = given.groupBy("symbol").agg(F.count("*").alias("k"))
+    waits = uses.join(n_known, "symbol").groupBy("form", "output", "n").agg(F.count("*").alias("m"), F.min_by("symbol", F.struct("k", "symbol")).alias("symbol")).where("m = n").drop("m")
+    waits = written(waits, "waits")
+    unknown = lambda df, *tables: reduce(lambda x, t: x.join(t, key, "left_anti"), tables, df)
+    front = written(unknown(wanted, given), "front")
+    needed, back = front, []
+    had, fresh, ahead = given, given, []
+    outputs = each.select(F.col("step.output").alias("symbol"))
+    n_back, n_ahead = _meetings(front, outputs), _meetings(fresh, waits)
+    while len(back) + len(ahead) < MAX_DEPTH:
+        if n_ahead > _LEAN * n_back:
+            far = len(back)
+            back.append(written(front.withColumnRenamed("symbol", "output").join(uses, "output").select("problem_id", F.lit(far).alias("far"), "form", "symbol"), "back"))
+            front = written(unknown(back[-1].select(*key).distinct(), given, needed), "front")
+            needed = needed.union(front)
+            n_back = _meetings(front, outputs)
+        else:
+            met = fresh.join(waits, "symbol").select("problem_id", "form", "output").distinct()
+            met = met.join(given.withColumnRenamed("symbol", "output"), ["problem_id", "output"], "left_anti")
+            full = met.join(uses.drop("output"), "form").join(had, key).groupBy("problem_id", "form", "output", "n").agg(F.count("*").alias("m")).where("m = n")
+            ahead.append(written(full.select("problem_id", "form", F.col("output").alias("symbol")), "ahead"))
+            fresh = written(unknown(ahead[-1].select(*key).distinct(), had), "fresh")
+            had, waits = had.union(fresh), uses
+            n_ahead = _meetings(fresh, waits)
+    if back:
+        # of the last equations, those that need what can't be had in the levels that remain
+        lost = back[-1].join(unknown(front, had), key, "left_semi").select("problem_id", "form").distinct()
+        back[-1] = back[-1].join(lost, ["problem_id", "form"], "left_anti").select("problem_id", "far", "form", "symbol")
+    for far in range(len(back), MAX_DEPTH):
+        ways = reduce(DataFrame.union, ahead[: MAX_DEPTH - far]).join(front, key).select("problem_id", "form")
+        back.append(written(ways.join(uses, "form").select("problem_id", F.lit(far).alias("far"), "form", "symbol"), "back"))
+        front = written(unknown(back[-1].select(*key).distinct(), given, needed), "front")
+        needed = needed.union(front)
+    return written(reduce(DataFrame.unionByName, back), "inputs")
+
+
+def _meetings(rows: DataFrame, others: DataFrame) -> int:
+    """How many pairs of rows and others have the same symbol, without making them."""
+    n = lambda df, name: df.groupBy("symbol").agg(F.count("*").alias(name))
+    return int(n(rows, "a").join(n(others, "b"), "symbol").agg(F.coalesce(F.sum(F.col("a").cast("decimal(38,0)") * F.col("b")), F.lit(0))).first()[0])
+
+
 def _values(rows: DataFrame) -> DataFrame:
     """rows (problem_id, place, steps, bound) with value, dimension and problem of each plan's last step; bound: map of symbol to struct(value, dimension)."""
     ship(rows.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark import session
 from quillspark.adapter import knowledge_base
 from quillspark.operators import calculation, catalogue, classification, dedup, detectors, mentions, requests, retrieval, solving, structure, verification
-from quillspark.plans import lookups  # noqa: F401, queries register on import
+from quillspark.plans import checks, lookups  # noqa: F401, queries register on import
 from quillspark.plans.catalog import QUERIES
 
 SF, LIMIT = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
@@ -148,6 +148,34 @@ def test_rounds_of_plans_leave_out_what_is_too_far_behind(spark, monkeypatch):
     assert len(plans) == solving.KEEP and [s["output"] for s in sorted(plans, key=lambda x: x["place"])[0]["steps"]] == ["q4", "q2", "q0"]
 
 
+def test_plans_look_only_at_what_lies_between(spark, monkeypatch):
+    """Wherever the search from both ends meets, the plans are the same, and equations whose inputs can't be had are not carried along."""
+    laws = [(f"E-{i}", f"q{i} = q{i + 1} + 1", True) for i in range(6)] + [("F-0", "q0 = q2 * k", True), ("F-1", "q1 = q4 / k", True)]
+    idle = [(f"D-{i}", f"q{i % 3} = d{i} + k", True) for i in range(20)] + [(f"D-{i + 20}", f"d{i} = g{i} + 1", True) for i in range(20)]
+    found = solving.forms(spark.createDataFrame(laws + idle, "equation_id string, formula string, stated boolean")).where("not rearranged")
+    known = spark.createDataFrame([(1, "q4"), (1, "k"), (2, "q6"), (2, "k"), (3, "k")], "problem_id long, symbol string")
+    targets = spark.createDataFrame([(1, "q0"), (2, "q0"), (3, "q0"), (1, "q4")], "problem_id long, symbol string")
+    seen, old, got = [], solving._between, []
+    monkeypatch.setattr(solving, "_between", lambda each, *rest: (lambda x: (seen.append(x.join(each, "form").selectExpr("problem_id", "step.equation_id as e")), x)[1])(old(each, *rest)))
+    for lean in (0, 10**9):
+        monkeypatch.setattr(solving, "_LEAN", lean)
+        got.append(sorted((x["problem_id"], x["place"], [s["formula"] for s in x["steps"]]) for x in solving.plans(found, known, targets).collect()))
+    assert got[0] == got[1] and {x[0] for x in got[0]} == {1, 2}
+    assert got[0][0][2] == ["q1 = q4 / k", "q0 = q1 + 1"]
+    # ahead alone nothing is carried that can't be had; the search back alone still saw dead ends
+    assert not {x["e"] for x in seen[1].collect()} & {x[0] for x in idle} and {x["problem_id"] for x in seen[1].collect()} == {1, 2}
+
+
+def test_a_second_evaluation_runs_nothing_again(spark, monkeypatch):
+    """Recorded steps are enough for it, and verdicts read the equations once for the record and the run that repeats it."""
+    calls, old = [], checks._forms
+    monkeypatch.setattr(checks, "_forms", lambda kb: (calls.append(1), old(kb))[1])
+    with monkeypatch.context() as m:
+        m.setattr(solving, "answers", None)
+        assert QUERIES["vr1_second_evaluation"](spark, SF).where("status = 'VERIFIED'").count() > 0 and len(calls) == 1
+    assert QUERIES["vr2_verdicts"](spark, SF).count() > 0 and len(calls) == 2
+
+
 def test_costs_try_only_equations_of_what_fell(spark, monkeypatch):
     tried, old = [], solving._touched
     monkeypatch.setattr(solving, "_touched", lambda each, fell: (tried.append(sorted(x["equation_id"] for x in old(each, fell).collect())), old(each, fell))[1])
