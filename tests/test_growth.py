@@ -71,6 +71,21 @@ def test_pairs_are_compared_by_numbers_read_once(spark):
     assert {(x["canonical_id"], x["other_id"]) for x in dedup.compared(rows, "name").where("outcome = 'CONTRADICTORY'").collect()} == want
 
 
+def test_texts_are_compared_once_for_all_statements_that_have_them(spark, monkeypatch):
+    """Blocks of two numbers each give the same pairs as every two statements; a text of twenty statements is compared once a block."""
+    rows = [(f"K-{(i * 37) % 101:08d}", ("RULE", "RULE", "PROPERTY")[i % 3], f"it is {i % 4} by {'ab'[i % 2]}", ("x", "y")[i % 5 == 0]) for i in range(80)]
+    rows += [("K-00000003", "RULE", "another by a", "x"), ("odd", "RULE", "it is 1 by a", "x"), ("K-00000900", "RULE", None, "x"), ("K-00000901", None, "it is 1 by a", "x"), ("K-00000902", "RULE", "it is 1 by a", None)]
+    said = spark.createDataFrame(rows, "id string, knowledge_type string, norm string, name string")
+    kinds = {(a, b): c for a, b, c in spark.createDataFrame([(a, b) for a in {r[2] for r in rows if r[2]} for b in {r[2] for r in rows if r[2]}], "a string, b string").select("a", "b", dedup.contradicts(F.col("a"), F.col("b"))).collect()}
+    number = lambda r: int(r[0][2:]) if r[0].startswith("K-") else None
+    want = sorted((a[0], b[0], "CONTRADICTORY" if kinds[a[2], b[2]] else "POSSIBLE_DUPLICATE") for a in rows for b in rows if None not in (*a, *b, number(a), number(b)) and a[1] == b[1] and a[3] == b[3] and a[2] != b[2] and number(a) < number(b))
+    monkeypatch.setattr(dedup, "_BLOCK", 2)
+    found = dedup.compared(said, "name")
+    assert sorted(map(tuple, found.collect())) == want and len({x[2] for x in want}) == 2
+    # texts meet below the lists of statements that are written out
+    assert "zip_with" in plan_of(found).split("Generate", 2)[2] and "zip_with" not in plan_of(found).split("Generate", 2)[0]
+
+
 def test_citations_of_a_number_that_two_edges_bear(spark):
     kb = knowledge_base(spark, SF)
     own = kb.edge.where("relation_type = 'REQUIRES' and lifecycle_status = 'ACTIVE'").join(kb.edge_occurrence.join(kb.source.where("authorization = 'AUTHORIZED' and source_category <> 'UNAUTHORIZED_SOURCE'").selectExpr("id as source_id"), "source_id").selectExpr("relationship_id as id"), "id", "left_semi").orderBy("id").limit(1)
